@@ -277,10 +277,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     else:  # some groups were compared in blocks: put their parts together
         joined = components(linked.select(F.col("doc").alias("a"), F.col("to").alias("b")))
         label = counted.join(joined, F.col("doc") == F.col("node"), "left").select("doc", "links", F.coalesce("label", "to").alias("label"))
-    member = signed.select("doc", "c1", "c2").join(reps.select("c1", "c2", F.col("doc").alias("rep"), "copies"), ["c1", "c2"], "left")
-    known = member.join(label.select(F.col("doc").alias("at"), "links", "label"), F.col("rep") == F.col("at"), "left")
-    rep = F.coalesce("rep", "doc")
-    out = known.select(F.col("doc").alias("doc_id"), F.coalesce("label", rep).alias("class_id"), rep.alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"))
+    rep = reps.select("c1", "c2", F.col("doc").alias("rep"), "copies")
+    known = rep.join(label.select(F.col("doc").alias("at"), "links", "label"), F.col("rep") == F.col("at"), "left").drop("at")
+    member = signed.select("doc", "c1", "c2").join(known, ["c1", "c2"], "left")
+    first = F.coalesce("rep", "doc")
+    out = member.select(F.col("doc").alias("doc_id"), F.coalesce("label", first).alias("class_id"), first.alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"))
     lone = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(lone)
 

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op1_decontaminate import op1_decontaminate
+from .op2_warc_normalise import op2_warc_normalise
+from .op3_token_shards import op3_token_shards
 from .op4_suffix_dedup import op4_suffix_dedup
 from .op6_substring_dedup import op6_substring_dedup
 from .op7_sentencepiece import op7_sentencepiece
 from .op9_jaccard_join import op9_jaccard_join
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op4_suffix_dedup, op6_substring_dedup, op7_sentencepiece, op9_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_warc_normalise, op3_token_shards, op4_suffix_dedup, op6_substring_dedup, op7_sentencepiece, op9_jaccard_join)}
 SQL: dict[str, str] = {}

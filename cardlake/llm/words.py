@@ -25,7 +25,8 @@ class Memory:
                     unseen.append(w)
                 else:
                     known[w] = code
-            known.update(zip(unseen, self.encode(unseen), strict=True))
+            if unseen:
+                known.update(zip(unseen, self.encode(unseen), strict=True))
         out = [b"".join(map(known.__getitem__, words)) for words in texts]
         if len(known) > self.limit:
             self.old, self.new = known, {}
