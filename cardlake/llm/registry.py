@@ -10,9 +10,15 @@ from .op1_decontaminate import op1_decontaminate
 from .op2_warc_normalise import op2_warc_normalise
 from .op3_token_shards import op3_token_shards
 from .op4_suffix_dedup import op4_suffix_dedup
+from .op5_language_id import op5_language_id
 from .op6_substring_dedup import op6_substring_dedup
 from .op7_sentencepiece import op7_sentencepiece
+from .op8_toxicity import op8_toxicity
 from .op9_jaccard_join import op9_jaccard_join
+from .op10_fingerprints import op10_fingerprints
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_warc_normalise, op3_token_shards, op4_suffix_dedup, op6_substring_dedup, op7_sentencepiece, op9_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_decontaminate, op2_warc_normalise, op3_token_shards, op4_suffix_dedup, op5_language_id, op6_substring_dedup, op7_sentencepiece, op8_toxicity, op9_jaccard_join, op10_fingerprints)
+}
 SQL: dict[str, str] = {}
