@@ -16,12 +16,14 @@ appears under its name only when it is whole.
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .shared import opened, partitions, shared_folder, table
-from .words import Memory, pieces
+from .words import IdMemory, blocks
 
 MAGIC = b"WMATRIX1"
 END = 1
@@ -153,29 +155,29 @@ def read_shard(uri: str, *, only_planes: bool = False) -> tuple[WaveletMatrix, n
     return WaveletMatrix(planes, head["n"]), docs, sizes
 
 
-_memories: dict[str, tuple[Memory, int]] = {}
+_memories: dict[str, tuple[IdMemory, int]] = {}
 
 
-def _memory(path: str) -> tuple[Memory, int]:
-    """The words that this worker has encoded, and the bits of an id. Texts are split only at spaces and line feeds, where the pre-tokenizer splits them too."""
+def _memory(path: str) -> tuple[IdMemory, int]:
+    """The words that this worker has encoded, and the bits of an id. Texts are split only at ASCII white space, where the pre-tokenizer splits them too."""
     if path not in _memories:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         t = Tokenizer.from_file(path)
         stop = t.token_to_id(STOP)
 
-        def encode(words: list[str]) -> list[bytes]:
+        def encode(words: list[str]) -> list[np.ndarray]:
             """A hundred words at a time, with a special token between them; words that could hold one are encoded alone."""
-            odd = {i: np.array(t.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for i, w in enumerate(words) if "<|" in w}
+            odd = {i: np.array(t.encode(w, add_special_tokens=False).ids, dtype=np.uint32) for i, w in enumerate(words) if "<|" in w}
             rows = [w if i not in odd else "" for i, w in enumerate(words)] if odd else words
             lines = t.encode_batch_fast([STOP.join(rows[i : i + 100]) for i in range(0, len(rows), 100)], add_special_tokens=False)
-            ids = np.concatenate([np.array([*e.ids, stop], dtype="<u4") for e in lines])
-            end = np.flatnonzero(ids == stop) * 4
-            code = ids.tobytes()
-            out = [code[a:b] for a, b in zip([0, *(end[:-1] + 4).tolist()], end.tolist(), strict=True)]
+            ids = np.concatenate([np.array([*e.ids, stop], dtype=np.uint32) for e in lines])
+            end = np.flatnonzero(ids == stop)
+            out = [ids[a:b] for a, b in zip([0, *(end[:-1] + 1).tolist()], end.tolist(), strict=True)]
             for i, c in odd.items():
                 out[i] = c
             return out
 
-        _memories[path] = Memory(encode), max(t.get_vocab_size() - 1, END).bit_length()
+        _memories[path] = IdMemory(encode), max(t.get_vocab_size() - 1, END).bit_length()
     return _memories[path]
 
 
@@ -188,30 +190,39 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shard: int = SHAR
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, bits = _memory(tokenizer)
-        end = np.array([END], dtype="<u4").tobytes()
         part = TaskContext.get().partitionId()
-        held: list[bytes] = []
-        ids: list[int] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = seq = before = 0
 
         def close() -> pa.RecordBatch:
-            nonlocal held, ids, size, seq, before
+            nonlocal held, size, seq, before
             uri = f"{folder}/part-{part:05d}-{seq:05d}.wm"
-            write_shard(uri, np.frombuffer(b"".join(held), dtype="<u4"), bits, np.array(ids, np.int64), np.array([len(x) // 4 for x in held], np.int64))
+            ids, keys, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+            write_shard(uri, ids, bits, keys, sizes)
             out = pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([uri]), pa.array([before], pa.int64()), pa.array([size], pa.int64())], names=["part", "seq", "uri", "before", "n_ids"])
-            held, ids, size, seq, before = [], [], 0, seq + 1, before + size
+            held, size, seq, before = [], 0, seq + 1, before + size
             return out
 
         for b in batches:
-            keys = iter(b.column(0).to_pylist())
-            for texts in pieces([t or "" for t in b.column(1).to_pylist()]):
-                for code in memory.join([t.replace("\n", " ").split(" ") for t in texts]):
-                    held.append(code + end)
-                    key = next(keys)
-                    ids.append(NULL if key is None else key)
-                    size += len(code) // 4 + 1
+            keys = pc.fill_null(b.column(0), NULL).to_numpy(zero_copy_only=False)
+            row = 0
+            for data, offs in blocks(b.column(1)):
+                ids, sizes = memory.encode_block(data, offs)
+                docs_ = len(sizes)
+                at = np.arange(len(ids)) + np.repeat(np.arange(docs_), sizes)
+                sizes = sizes + 1
+                whole = np.full(len(ids) + docs_, END, dtype=np.uint32)
+                whole[at] = ids
+                cut = np.concatenate([[0], np.cumsum(sizes)])
+                a = 0
+                while a < docs_:  # up to the document that fills the shard
+                    to = min(docs_, max(a + 1, int(np.searchsorted(cut, cut[a] + shard - size))))
+                    held.append((whole[cut[a] : cut[to]], keys[row + a : row + to], sizes[a:to]))
+                    size += int(cut[to] - cut[a])
+                    a = to
                     if size >= shard:
                         yield close()
+                row += docs_
         if held:
             yield close()
 

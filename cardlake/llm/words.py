@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+
+from . import kernels as K
 
 
 class Memory:
@@ -44,3 +49,82 @@ def pieces(texts: list[str], size: int = 1 << 21):
             part, n = [], 0
     if part:
         yield part
+
+
+class IdMemory:
+    """Token ids of words by the words' 64-bit hashes: an open-addressing table in flat arrays, looked up for a whole batch at once.
+
+    When limit words are known, all are forgotten: frequent ones are soon back."""
+
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], limit: int = 1 << 20):
+        self.encode, self.limit, self.mask = encode, limit, np.uint64(4 * limit - 1)
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(int(self.mask) + 1, dtype=np.uint64)
+        self.rows = np.zeros(int(self.mask) + 1, dtype=np.int32)
+        self.n = self.used = 0
+        self.starts, self.sizes = np.zeros(self.limit * 2, np.int64), np.zeros(self.limit * 2, np.int32)
+        self.ids = np.zeros(1 << 16, dtype=np.uint32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Rows of the hashes, or -1."""
+        out = np.full(len(h), -1, dtype=np.int32)
+        at, left = h & self.mask, np.arange(len(h))
+        while len(left):
+            k = self.keys[at]
+            hit = k == h[left]
+            out[left[hit]] = self.rows[at[hit]]
+            go = ~hit & (k != 0)
+            left, at = left[go], (at[go] + np.uint64(1)) & self.mask
+        return out
+
+    def learn(self, h: np.ndarray, codes: list[np.ndarray]) -> None:
+        """Distinct new hashes."""
+        sizes = np.array([len(c) for c in codes], dtype=np.int32)
+        flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n + len(h) > len(self.starts):
+            self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.starts[self.n : self.n + len(h)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.n : self.n + len(h)] = sizes
+        at, left = h & self.mask, np.arange(len(h))
+        while len(left):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[left[free]]
+            mine = self.keys[at] == h[left]
+            self.rows[at[mine]] = self.n + left[mine]
+            left, at = left[~mine], (at[~mine] + np.uint64(1)) & self.mask
+        self.n += len(h)
+        self.used += len(flat)
+
+    def encode_block(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows' words, one after the other, and each row's number of ids."""
+        start, end, first = K.word_spans(data, offs, K.SPACE)
+        h = K.span_hashes(data, start, end) | np.uint64(1)
+        row = self.find(h)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            if self.n > self.limit:
+                self.forget()
+                new = np.arange(len(h))
+            keys, at = np.unique(h[new], return_index=True)
+            raw = data.tobytes()
+            words = [raw[a:b].decode() for a, b in zip(start[new[at]].tolist(), end[new[at]].tolist(), strict=True)]
+            self.learn(keys, self.encode(words))
+            row[new] = self.find(h[new])
+        size = self.sizes[row].astype(np.int64)
+        cut = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[K.ranges(self.starts[row], size)], np.diff(cut[first])
+
+
+def blocks(column: pa.Array, size: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and offsets of consecutive rows of about size bytes in all; a longer text is alone."""
+    data, offs = K.text_bytes(column)
+    a = 0
+    while a < len(offs) - 1:
+        b = max(a + 1, int(np.searchsorted(offs, offs[a] + size, side="right")) - 1)
+        yield data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+        a = b
