@@ -22,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,8 +102,14 @@ def stream_records(uri: str) -> Iterator[bytes]:
         raise ValueError(f"{uri} ends within a record")
 
 
-def normalise(uri: str, to: str) -> None:
-    """Writes to (an archive with a member for each record) and to + '.idx'."""
+def normalise(uri: str, to: str, *, keep: bool = False) -> None:
+    """Writes to (an archive with a member for each record) and to + '.idx'; these replace the archive unless it is kept.
+
+    If a task that had finished runs again, the archive is gone and there is nothing left to do."""
+    where, path = opened(uri)
+    target = opened(to)[1]
+    if all(x.type == fs.FileType.NotFound if x.path == path else x.is_file for x in where.get_file_info([path, target, f"{target}.idx"])):
+        return
     out, index = _Whole(to), _Whole(f"{to}.idx")
     for r in stream_records(uri):
         head, _ = headers(r)
@@ -112,6 +119,8 @@ def normalise(uri: str, to: str) -> None:
         out.write(member)
     out.close()
     index.close()
+    if not keep:
+        where.delete_file(path)
 
 
 def write_archives(pages: DataFrame, folder: str, archive: int = ARCHIVE) -> DataFrame:
@@ -142,8 +151,8 @@ def write_archives(pages: DataFrame, folder: str, archive: int = ARCHIVE) -> Dat
         if uris:
             yield pa.record_batch([pa.array(uris)], names=["uri"])
 
-    n = partitions(pages)
-    dealt = rows.select("page_id", "url", "payload", "first", "sha1").repartition(n, "page_id").sortWithinPartitions("page_id", "sha1")
+    # the join has dealt the payloads already: by page_id, or not at all if the other side was small
+    dealt = rows.select("page_id", "url", "payload", "first", "sha1").sortWithinPartitions("page_id", "sha1")
     return dealt.select("page_id", "url", "payload", "first").mapInArrow(scan, "uri string")
 
 
