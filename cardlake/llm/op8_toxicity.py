@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-SAMPLE = 3000
-FEATURES = 4096
+SAMPLE = 2000
+FEATURES = 2048
 THRESHOLD = 0.7
 #: A sentence without features that tell: so unlikely that thousands of them stay below any threshold.
 BIAS = -12.0
@@ -40,7 +40,7 @@ def word_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     """Features (a column for each kind) of all words, each word's sentence (counted through the batch), rows' first words and first sentences."""
     data, offs = K.text_bytes(pc.utf8_lower(column.cast(pa.large_string())))
     start, end, first = K.word_spans(data, offs, K.PLAIN)
-    stops = np.unique(np.concatenate([np.flatnonzero(ENDS[data]), offs[1:-1] - 1]))
+    stops = np.unique(np.concatenate([np.flatnonzero(ENDS[data]), offs[1:] - 1]))
     out = np.empty((len(start), 1 + len(PREFIXES)), dtype=np.uint64)
     out[:, 0] = K.span_hashes(data, start, end)
     for i, n in enumerate(PREFIXES):
@@ -49,6 +49,15 @@ def word_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return out, np.searchsorted(stops, start), first, np.searchsorted(stops, offs)
 
 
+def _distinct(*columns: np.ndarray) -> np.ndarray:
+    """The distinct rows of these columns, in order."""
+    x = np.stack([c.astype(np.int64) for c in columns])
+    x = x[:, np.lexsort(x[::-1])]
+    keep = np.ones(x.shape[1], dtype=bool)
+    keep[1:] = (x[:, 1:] != x[:, :-1]).any(axis=0)
+    return x[:, keep]
+
+
 @dataclass
 class Model:
     features: np.ndarray  # sorted hashes
@@ -76,11 +85,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y = b.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
         row = np.repeat(np.arange(b.num_rows), np.diff(first))
         for c in range(x.shape[1]):
-            seen = np.unique(np.stack([x[:, c], row.astype(np.uint64)]), axis=1) if len(x) else np.zeros((2, 0), np.uint64)
-            seen = seen[:, seen[0] != 0]
-            f, at = np.unique(seen[0], return_inverse=True)
-            toxic = np.bincount(at, y[seen[1].astype(np.int64)], len(f)).astype(np.int64)
-            yield pa.record_batch([K.signed(f), toxic, np.bincount(at, minlength=len(f)) - toxic], names=["feature", "toxic", "clean"])
+            f, at = np.unique(x[:, c], return_inverse=True)
+            at, of = _distinct(at, row)
+            toxic = np.bincount(at, y[of], len(f)).astype(np.int64)
+            count = np.bincount(at, minlength=len(f))
+            some = f != 0  # words shorter than a prefix
+            yield pa.record_batch([K.signed(f[some]), toxic[some], (count - toxic)[some]], names=["feature", "toxic", "clean"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
@@ -106,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
             at, which = model.find(x.ravel())
             word = at // x.shape[1]
             row = np.searchsorted(first, word, side="right") - 1
-            cells = np.unique(np.stack([row, sentence[word] - base[row], which]), axis=1)
+            cells = _distinct(row, sentence[word] - base[row], which)
             hit = np.bincount(cells[0], minlength=b.num_rows)
             lone = np.flatnonzero(hit == 0)  # documents without any chosen feature count too
             row = np.concatenate([cells[0], lone])
@@ -127,9 +137,8 @@ def _train(doc: np.ndarray, toxic: np.ndarray, sentence: np.ndarray, which: np.n
     y = np.zeros(len(docs))
     np.maximum.at(y, d, toxic)
     ok = which >= 0
-    key, s = np.unique(np.stack([d[ok], sentence[ok]]), axis=1, return_inverse=True)
-    s = s.ravel()
-    of, f = key[0], which[ok]
+    key, s = np.unique(d[ok].astype(np.int64) << 32 | sentence[ok], return_inverse=True)
+    of, f = key >> 32, which[ok]
     share = len(y) / (2 * np.maximum(np.array([(1 - y).sum(), y.sum()]), 1))
     cost = np.where(y == 1, share[1], share[0])
     w, m, v = np.zeros(n), np.zeros(n), np.zeros(n)
@@ -158,7 +167,7 @@ def score_documents(docs: DataFrame, model: Model, *, locate: bool = False) -> D
             x, sentence, first, base = word_features(b.column("text"))
             at, which = model.find(x.ravel())
             word = at // x.shape[1]
-            cells = np.unique(np.stack([sentence[word], which]), axis=1) if len(word) else np.zeros((2, 0), np.int64)
+            cells = _distinct(sentence[word], which)
             s, i = np.unique(cells[0], return_inverse=True)
             z = BIAS + np.bincount(i.ravel(), model.weights[cells[1]], len(s)) if len(s) else np.zeros(0)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
