@@ -26,7 +26,7 @@ from . import kernels as K
 from . import repeats as R
 
 THRESHOLD = 100
-GRAM = 32
+GRAM = 24
 BLOCK = 8
 
 
@@ -48,7 +48,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
     fields = [f"__{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.small(batches):
             data, offs = K.text_bytes(b.column("text"))
             keep = R.kept_elements(b, offs, threshold)
             gone = ~keep
