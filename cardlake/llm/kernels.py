@@ -6,6 +6,8 @@ its rows), so their cost doesn't depend on how many rows a batch has.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -78,6 +80,17 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def small(batches: Iterator[pa.RecordBatch], column: int | str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about size bytes of text (a longer text is alone), as arrays over a batch's words take many times its bytes."""
+    for b in batches:
+        _, offs = text_bytes(b.column(column))
+        a = 0
+        while a < b.num_rows:
+            to = max(a + 1, int(np.searchsorted(offs, offs[a] + size, side="right")) - 1)
+            yield b.slice(a, to - a)
+            a = to
+
+
 def word_spans(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of word bytes, and the index of each row's first word."""
     inside = is_word[data]

@@ -154,7 +154,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     """bucket, id, text, extra, in partitions sorted so that each document's next one (descending id) is the next row.
 
     Buckets are ranges of ids; each ends with an extra row, the first of the next bucket."""
-    n = partitions(docs)
+    tasks = partitions(docs)
+    n = 4 * tasks  # so that tasks get about as many
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bounds = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
     edges = F.array(*(F.lit(x) for x in sorted(set(bounds or [])))).cast("array<bigint>")
@@ -165,7 +166,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     above = F.coalesce(F.lead("bucket").over(order), F.min("bucket").over(order))
     ends = texts.select(above.alias("bucket"), "id", "text", F.lit(1).alias("extra"))
     every = rows.select("bucket", "id", "text", F.lit(0).alias("extra")).unionByName(ends)
-    return every.repartition(n, "bucket").sortWithinPartitions("bucket", "extra", F.desc("id"), F.desc("text")).select("bucket", "id", "text", "extra")
+    return every.repartition(tasks, "bucket").sortWithinPartitions("bucket", "extra", F.desc("id"), F.desc("text")).select("bucket", "id", "text", "extra")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -114,7 +114,7 @@ def _small_benchmark(docs: DataFrame, items: list) -> DataFrame:
     near[hashes >> np.uint64(64 - bits)] = True
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.small(batches, 1):
             doc, at = tokens(b.column(1))
             ids_ = b.column(0)
             found = []
@@ -140,7 +140,7 @@ def _large_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
     n = partitions(docs)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.small(batches, 1):
             x, at = tokens(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for m in range(len(MASKS)):

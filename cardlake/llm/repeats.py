@@ -100,7 +100,7 @@ def runs(docs: DataFrame, elements: Elements, t: int, k: int) -> DataFrame:
     """docs has KEY and text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.small(batches, 1, 16 << 20):
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             x, offs = elements(b.column(1))
             start, size, gram, content, off = window_runs(x, offs, t, k)
@@ -208,7 +208,7 @@ def open_blocks(docs: DataFrame, marks: DataFrame, elements: Elements, t: int, b
     A piece's gram is what all windows of that place share (t-block+1 elements)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.small(batches, size=8 << 20):
             ids = b.column(KEY).to_numpy(zero_copy_only=False).astype(np.int64)
             x, offs = elements(b.column("text"))
             row, start, size, off = _opened(b, offs, "marks", t)
@@ -239,7 +239,7 @@ def open_windows(docs: DataFrame, marks: DataFrame, elements: Elements, t: int)
     cuts = [0, t // 4, t // 2, t * 3 // 4, t]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in K.small(batches, size=8 << 20):
             ids = b.column(KEY).to_numpy(zero_copy_only=False).astype(np.int64)
             x, offs = elements(b.column("text"))
             row, first, size, _ = _opened(b, offs, "marks", t)

@@ -13,7 +13,7 @@ from . import kernels as K
 class Memory:
     """word -> encoded bytes. Two generations of up to limit words each: what is still in use survives, the rest goes."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 200_000):
         self.encode, self.limit = encode, limit
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
