@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 
@@ -183,7 +184,7 @@ def score_documents(docs: DataFrame, model: Model, *, locate: bool = False) -> D
     named = docs.select(*(F.col(c).alias(f"__own_{k}") for k, c in enumerate(own)), "text")
     schema = named.select("*").schema.add("__score", "double")
     if locate:
-        schema = schema.add("__offending", "array<int>")
+        schema = schema.add("__offending", T.ArrayType(T.IntegerType()))
     out = named.mapInArrow(scan, schema)
     at = {c: F.col(f"__own_{k}").alias(c) for k, c in enumerate(own)} | {"text": F.col("text")}
     return out.select(*(at[c] for c in docs.columns if c in at), *(F.col(f"__{c}").alias(c) for c in new))
