@@ -176,7 +176,7 @@ def test_op1(spark, docs, limit):
 
 
 def test_op8(spark):
-    clean, bad = "a quiet walk. by the river bank", "a quiet walk. you {}! by the river"
+    clean, bad = "a quiet walk. you sit! by the river", "a quiet walk. you {}! by the river"
     rows = [(i, bad.format(["clot", "cloten", "clotish"][i % 3]) if i % 2 else clean) for i in range(300)] + [(500, None), (501, ""), (502, "fine.\n\nand a clot here. fine")]
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(7, None)], "doc_id long, toxic int")
     d = frame(spark, rows)
