@@ -21,4 +21,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_decontaminate, op2_warc_normalise, op3_token_shards, op4_suffix_dedup, op5_language_id, op6_substring_dedup, op7_sentencepiece, op8_toxicity, op9_jaccard_join, op10_fingerprints)
 }
-SQL: dict[str, str] = {}
+#: The others tokenise, learn, or score alignments and sketches; tests/llm holds them against brute force.
+SQL: dict[str, str] = {
+    "op2_warc_normalise": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS s, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+c AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(s, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS v FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((x >> k) & 31) + 1 AS BIGINT), 1)), '')), '') AS payload_digest,
+CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM c""",
+    "op4_suffix_dedup": """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, i, substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS byte, CASE WHEN 2 * (i + 100) <= length(x) THEN md5(substr(x, CAST(2 * i + 1 AS BIGINT), 200)) END AS w FROM (SELECT doc_id, x, unnest(range(length(x) // 2)) AS i FROM t)),
+f AS (SELECT *, w IS NOT NULL AND row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1 AS again FROM b),
+g AS (SELECT *, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM f),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS edge FROM g),
+r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS removed, count(*) FILTER (WHERE edge) AS spans, string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY 1)
+SELECT t.doc_id, coalesce(n, 0) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM t LEFT JOIN r ON t.doc_id = r.doc_id""",
+    "op6_substring_dedup": """
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS x FROM documents),
+b AS (SELECT doc_id, i, x[i] AS word, CASE WHEN i + 19 <= len(x) THEN array_to_string(x[i:i + 19], ' ') END AS w FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM t)),
+f AS (SELECT *, w IS NOT NULL AND row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1 AS again FROM b),
+g AS (SELECT *, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f),
+r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM g GROUP BY 1)
+SELECT t.doc_id, coalesce(n, 0) AS n_words, coalesce(removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN r ON t.doc_id = r.doc_id""",
+    "op9_jaccard_join": """
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS x FROM documents),
+m AS (SELECT doc_id, x, min(doc_id) OVER (PARTITION BY x) AS rep, count(*) OVER (PARTITION BY x) AS copies FROM t),
+s AS (SELECT DISTINCT doc_id, array_to_string(x[i:i + 4], ' ') AS g FROM (SELECT doc_id, x, unnest(range(1, greatest(len(x) - 4, 1) + 1)) AS i FROM m WHERE doc_id = rep AND len(x) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 5 * k >= 4 * (u.n + v.n - k)),
+reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+class AS (SELECT a, min(b) AS least FROM reach GROUP BY 1),
+links AS (SELECT l.a, sum(c.copies) AS n FROM l JOIN m c ON c.doc_id = l.b GROUP BY 1)
+SELECT m.doc_id, least(m.rep, coalesce(class.least, m.rep)) AS class_id, m.rep AS copy_of, CAST(coalesce(links.n, 0) + m.copies - 1 AS BIGINT) AS n_links FROM m LEFT JOIN class ON class.a = m.rep LEFT JOIN links ON links.a = m.rep""",
+}
