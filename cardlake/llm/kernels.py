@@ -6,6 +6,8 @@ its rows), so their cost doesn't depend on how many rows a batch has.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,6 +91,14 @@ def small(batches: Iterator[pa.RecordBatch], column: int | str = "text", size: i
             to = max(a + 1, int(np.searchsorted(offs, offs[a] + size, side="right")) - 1)
             yield b.slice(a, to - a)
             a = to
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers stay, and what they keep is missing to the next stage's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such function
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

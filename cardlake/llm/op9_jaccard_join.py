@@ -150,6 +150,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tup
         rest = t
     if rest is not None and rest.num_rows:
         yield rest.combine_chunks(), cuts(rest)
+    K.give_back()
 
 
 def _in_blocks(members: DataFrame, key: str, part: int) -> DataFrame:

@@ -144,6 +144,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], settle: C
         carry = {c: v[at : at + 1] for c, v in x.items()}
         if out is not None:
             yield out
+    K.give_back()
 
 
 def settle_runs(dealt: DataFrame, n: int) -> DataFrame:

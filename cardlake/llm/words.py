@@ -18,6 +18,9 @@ class Memory:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.new, self.old = {}, {}
+
     def join(self, texts: list[list[str]]) -> list[bytes]:
         """The encodings of each text's words, one after the other."""
         known = self.new
