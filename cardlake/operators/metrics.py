@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardlake.operators.ordered import in_ranges, running
+
 EPSILON = 1e-4
 
 
@@ -44,11 +46,12 @@ def confusion(df: DataFrame, score: str, label: str, threshold: float) -> DataFr
 
 
 def curve(df: DataFrame, score: str, label: str) -> DataFrame:
-    """A row for each distinct score: tp and n there, ctp and cn at or above it, all and pos of all. Scores are grouped before they are ordered, so only distinct ones are summed up."""
+    """A row for each distinct score: tp and n there, ctp and cn at or above it, all and pos of all. Scores are grouped first; those are summed up by ranges."""
     points = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("bigint")).alias("tp"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return points.select("score", "tp", "n", F.sum("tp").over(down).alias("ctp"), F.sum("n").over(down).alias("cn"), F.sum("tp").over(every).alias("pos"), F.sum("n").over(every).alias("all"))
+    total = points.agg(F.sum("tp").alias("pos"), F.sum("n").alias("all"))  # one row
+    up = running(in_ranges(points, "score"), [], [F.desc("score")], {"tp": "btp", "n": "bn"}, downward=True)
+    so_far = lambda before, own: (F.coalesce(F.col(before), F.lit(0)) + F.col(own)).alias(f"c{own}")
+    return up.join(F.broadcast(total)).select("score", "tp", "n", so_far("btp", "tp"), so_far("bn", "n"), "pos", "all")
 
 
 def average_precision(points: DataFrame) -> DataFrame:

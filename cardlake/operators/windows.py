@@ -1,20 +1,23 @@
 """Point-in-time features: what had happened before each event, in trailing windows.
 
 A window of w holds the events of the same key that come earlier in (time, sequence) and are at most w old; events of the same
-instant that come earlier count, the event itself doesn't. One ascending key makes that a RANGE frame: time in microseconds times
-4096 plus the rank among ties.
+instant that come earlier count, the event itself doesn't.
 
-A key may hold a large share of all events, so work is divided by key and period: a period is as long as the longest
-window, and each event is copied to the next period as history. No task needs more than two periods of a key, and all windows share
-one exchange and one sort."""
+A window's sum is a running sum: an event adds its amount when it comes and takes it away just after it is w old. So each event
+sends one change for itself and one for each window, all windows share one sort, and the work is linear however many
+events a window holds. A key may hold a large share of all events: its changes are divided by ranges of time (see ``ordered``).
+
+Distinct values too: an event counts its value unless an earlier event's still lasts, and what the earlier one takes away at its
+end is then given back."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardlake.operators.ordered import bounds, in_ranges, running
+
 WINDOWS = {"1h": 3600, "1d": 86_400, "7d": 604_800, "30d": 2_592_000}
-TIES = 4096
 CAP = 2_592_000
 
 
@@ -22,48 +25,71 @@ def micros(time: Column) -> Column:
     return F.unix_micros(time.cast("timestamp"))
 
 
-def with_order_key(events: DataFrame, key: str, time: str, seq: str) -> DataFrame:
-    """Adds __k, ascending in (time, seq) for each key."""
-    tie = F.row_number().over(Window.partitionBy(key, "__us").orderBy(seq))
-    return events.withColumn("__us", micros(F.col(time))).withColumn("__k", F.col("__us") * TIES + tie)
-
-
 def trailing(events: DataFrame, key: str, time: str, seq: str, amount: str, error: Column, city: str, windows: dict[str, int] = WINDOWS, *, distinct: bool = True) -> DataFrame:
-    """events with txn_count, amount_sum, amount_mean, decline_rate (and distinct, is_new) of each window."""
-    period = max(windows.values()) * 1_000_000
-    rows = with_order_key(events.withColumns({"__amount": F.col(amount).cast("decimal(18,2)"), "__error": error.cast("int")}), key, time, seq)
-    own = F.floor(F.col("__us") / F.lit(period))
-    rows = rows.withColumn("__own", own).withColumn("__period", F.explode(F.array(own, own + 1)))
-    by = Window.partitionBy(key, "__period").orderBy("__k")
-    cols: dict[str, Column] = {}
-    for name, w in windows.items():
-        frame = by.rangeBetween(-(w * 1_000_000 * TIES + TIES // 2), -1)
-        cols[f"txn_count_{name}"] = F.count(F.lit(1)).over(frame)
-        cols[f"amount_sum_{name}"] = F.coalesce(F.sum("__amount").over(frame).cast("double"), F.lit(0.0))
-        cols[f"__errors_{name}"] = F.coalesce(F.sum("__error").over(frame), F.lit(0))
+    """events with txn_count, amount_sum, amount_mean, decline_rate (and distinct, is_new) of each window.
+
+    Amounts count in hundredths. Events without a time have no history and are none. Null amounts and cities count as events only."""
+    c = F.col
+    own = events.columns
+    longest = max(windows, key=windows.get)
+    rows = events.withColumns({"__us": micros(c(time)), "__cents": F.coalesce((c(amount).cast("decimal(18,2)") * 100).cast("long"), F.lit(0)), "__error": F.coalesce(error.cast("long"), F.lit(0))})
+    cuts = bounds(rows, "__us")
+    if distinct:
+        rows = running(in_ranges(rows, "__us", cuts), [key, city], [c("__us"), c(seq)], {"__us": "__was"}, F.max)
+        rows = rows.withColumn("__was", F.when(c(city).isNotNull(), c("__was")))
+    some = c(city).isNotNull().cast("long") if distinct else F.lit(0).cast("long")
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    # a change: when; 0 for a coming event or, after all events of its instant, the number of the window that ends; what it counts
+    change = lambda at, ends, counts, cities: F.struct(at.alias("at"), F.lit(ends).alias("ends"), counts.alias("counts"), cities.alias("cities"))
+    changes = [change(c("__us"), 0, one, some)]
+    for i, w in enumerate(windows.values(), 1):
+        changes.append(change(c("__us") + w * 1_000_000, i, -one, -some))
+        if distinct:
+            last = c("__was") + w * 1_000_000
+            changes.append(change(F.when(c("__us") <= last, last), i, zero, one))
+    sent = rows.withColumn("__change", F.explode(F.array(*changes))).withColumns({"__at": c("__change.at"), "__ends": c("__change.ends")})
+    sent = sent.where((c("__ends") == 0) | (c("__at") <= int(cuts[-1]) if cuts else F.lit(False)))  # ends after the last event change nothing
+    steps: dict[str, Column] = {}
+    for i, (name, w) in enumerate(windows.items(), 1):
+        mine = c("__ends").isin(0, i)
+        counts = F.when(mine, c("__change.counts")).otherwise(0)
+        steps[f"__n_{name}"], steps[f"__s_{name}"], steps[f"__e_{name}"] = counts, counts * c("__cents"), counts * c("__error")
         if distinct:
-            cols[f"__cities_{name}"] = F.collect_set(city).over(frame)
-    out = rows.withColumns(cols).where(F.col("__own") == F.col("__period"))
+            lasts = F.coalesce((c("__ends") == 0) & (c("__us") - c("__was") <= w * 1_000_000), F.lit(False))
+            steps[f"__d_{name}"] = F.when(mine, c("__change.cities") - lasts.cast("long")).otherwise(0)
+    kept = [*own, "__us", *(["__was"] if distinct else [])]
+    event = F.when(c("__ends") == 0, F.struct(*kept)).alias("__event")  # only events need their columns
+    sent = sent.withColumns(steps).select(c(key).alias("__k"), "__at", "__ends", c(seq).alias("__seq"), event, *steps)
+    out = running(in_ranges(sent, "__at", cuts), ["__k"], [c("__at"), c("__ends"), c("__seq")], {s: f"__r{s}" for s in steps}).where("__ends = 0")
     more: dict[str, Column] = {}
     for name in windows:
-        n = F.col(f"txn_count_{name}")
-        more[f"amount_mean_{name}"] = F.when(n > 0, F.col(f"amount_sum_{name}") / n).otherwise(0.0)
-        more[f"decline_rate_{name}"] = F.when(n > 0, F.col(f"__errors_{name}") / n).otherwise(0.0)
+        n, cents, errors = (F.coalesce(c(f"__r__{x}_{name}"), zero) for x in "nse")
+        total = cents.cast("double") / 100
+        more[f"txn_count_{name}"], more[f"amount_sum_{name}"] = n, total
+        more[f"amount_mean_{name}"] = F.when(n > 0, total / n).otherwise(0.0)
+        more[f"decline_rate_{name}"] = F.when(n > 0, errors / n).otherwise(0.0)
         if distinct:
-            more[f"distinct_city_{name}"] = F.size(f"__cities_{name}").cast("bigint")
+            more[f"distinct_city_{name}"] = F.coalesce(c(f"__r__d_{name}"), zero)
     if distinct:
-        longest = max(windows, key=windows.get)
-        more[f"is_new_city_{longest}"] = ~F.array_contains(f"__cities_{longest}", F.col(city))
-    out = out.withColumns(more)
-    return out.drop(*(c for c in out.columns if c.startswith("__")))
+        known = F.coalesce(c("__event.__us") - c("__event.__was") <= windows[longest] * 1_000_000, F.lit(False))
+        more[f"is_new_city_{longest}"] = F.when(c(f"__event.{city}").isNotNull(), ~known)
+    return out.select(*(c("__event")[x].alias(x) for x in own), *(v.alias(k) for k, v in more.items()))
 
 
 def since_last(events: DataFrame, key: str, time: str, seq: str) -> DataFrame:
-    """last_event_ts and time_since_last_txn_s (from 0 to CAP; CAP for a first event)."""
-    by = Window.partitionBy(key).orderBy(time, seq)
-    out = events.withColumn("last_event_ts", F.lag(time).over(by))
-    gap = (micros(F.col(time)) - micros(F.col("last_event_ts"))) / 1e6
-    return out.withColumn("time_since_last_txn_s", F.when(gap.isNull(), float(CAP)).otherwise(F.least(F.greatest(gap, F.lit(0.0)), F.lit(float(CAP)))))
+    """last_event_ts and time_since_last_txn_s (from 0 to CAP; CAP for a first event). Within a key times ascend, so the greatest earlier one is the last."""
+    rows = in_ranges(events.withColumn("__us", micros(F.col(time))), "__us")
+    out = running(rows, [key], [F.col("__us"), F.col(seq)], {time: "last_event_ts"}, F.max)
+    gap = (F.col("__us") - micros(F.col("last_event_ts"))) / 1e6
+    return out.withColumn("time_since_last_txn_s", F.when(gap.isNull(), float(CAP)).otherwise(F.least(F.greatest(gap, F.lit(0.0)), F.lit(float(CAP))))).drop("__us", "__range")
+
+
+def running_totals(events: DataFrame, key: str, time: str, seq: str, amount: str) -> DataFrame:
+    """running_sum and running_count of each key's events so far, the event itself included."""
+    rows = events.withColumns({"__us": micros(F.col(time)), "__amount": F.col(amount).cast("decimal(18,2)"), "__one": F.lit(1).cast("long")})
+    out = running(in_ranges(rows, "__us"), [key], [F.col("__us"), F.col(seq)], {"__amount": "__sum", "__one": "__count"})
+    both = lambda a, b: F.coalesce(F.col(a), F.lit(0)) + F.coalesce(F.col(b), F.lit(0))
+    return out.withColumns({"running_sum": both("__sum", "__amount").cast("double"), "running_count": both("__count", "__one").cast("long")}).drop("__us", "__amount", "__one", "__sum", "__count", "__range")
 
 
 def latest_state(events: DataFrame, key: str, time: str, amount: str, windows: dict[str, int] = WINDOWS) -> DataFrame:
@@ -78,10 +104,8 @@ def latest_state(events: DataFrame, key: str, time: str, amount: str, windows: d
     return rows.groupBy(key, "last_event_ts").agg(*aggs)
 
 
-def positions(df: DataFrame, bucket: Column, *order: str) -> DataFrame:
-    """Adds __pos, the row's place from 1 in a total order: buckets ascend with the order (say, days), are counted, and are numbered each by itself."""
-    rows = df.withColumn("__b", bucket)
-    rows = rows.withColumn("__in", F.row_number().over(Window.partitionBy("__b").orderBy(*order)))
-    sizes = df.groupBy(bucket.alias("__at")).agg(F.count(F.lit(1)).alias("__n"))  # a row for each bucket
-    before = sizes.select("__at", F.coalesce(F.sum("__n").over(Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return rows.join(before, F.col("__b") == F.col("__at")).withColumn("__pos", F.col("__before") + F.col("__in")).drop("__b", "__at", "__before", "__in")
+def positions(df: DataFrame, time: str, seq: str) -> DataFrame:
+    """Adds __pos, the row's place from 1 in the order of (time, seq)."""
+    rows = in_ranges(df.withColumns({"__us": micros(F.col(time)), "__one": F.lit(1).cast("long")}), "__us")
+    out = running(rows, [], [F.col("__us"), F.col(seq)], {"__one": "__before"})
+    return out.withColumn("__pos", F.coalesce("__before", F.lit(0)) + 1).drop("__us", "__one", "__before", "__range")

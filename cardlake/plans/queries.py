@@ -108,7 +108,7 @@ def latest_card_state(spark, sf):
 
 @query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS row_id FROM events")
 def stable_row_id(spark, sf):
-    return W.positions(t(spark, sf, "events"), F.to_date("ts"), "ts", "event_id").select("event_id", c("__pos").cast("bigint").alias("row_id"))
+    return W.positions(t(spark, sf, "events"), "ts", "event_id").select("event_id", c("__pos").cast("bigint").alias("row_id"))
 
 
 @query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 5")
@@ -120,7 +120,7 @@ def tail_n_per_key(spark, sf):
 @query("WITH p AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS pos, count(*) OVER () AS n FROM events), s AS (SELECT *, CASE WHEN pos <= floor(floor(n * 0.8) * 0.8) THEN 'train' WHEN pos <= floor(n * 0.8) THEN 'validation' ELSE 'test' END AS split FROM p) SELECT split, count(*) AS n_rows, count(*) FILTER (WHERE event_type = 'error') AS n_pos, min(ts) AS first_ts, max(ts) AS last_ts, CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN count(*) FILTER (WHERE event_type <> 'error') / CAST(count(*) FILTER (WHERE event_type = 'error') AS DOUBLE) ELSE 1.0 END AS scale_pos_weight FROM s GROUP BY 1")
 def time_split_counts(spark, sf):
     e = t(spark, sf, "events")
-    pos, n = W.positions(e, F.to_date("ts"), "ts", "event_id"), e.count()
+    pos, n = W.positions(e, "ts", "event_id"), e.count()
     split = F.when(c("__pos") <= int(int(n * 0.8) * 0.8), "train").when(c("__pos") <= int(n * 0.8), "validation").otherwise("test")
     err = c("event_type") == "error"
     return pos.groupBy(split.alias("split")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(err).alias("n_pos"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.coalesce(F.try_divide(F.count_if(~err).cast("double"), F.count_if(err)), F.lit(1.0)).alias("scale_pos_weight"))
@@ -128,8 +128,7 @@ def time_split_counts(spark, sf):
 
 @query(f"SELECT event_id, CAST(sum({dec('value')}) OVER w AS DOUBLE) AS running_sum, count(*) OVER w AS running_count FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def prefix_sums(spark, sf):
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t(spark, sf, "events").select("event_id", F.sum(c("value").cast("decimal(18,2)")).over(by).cast("double").alias("running_sum"), F.count(F.lit(1)).over(by).alias("running_count"))
+    return W.running_totals(t(spark, sf, "events"), "user_id", "ts", "event_id", "value").select("event_id", "running_sum", "running_count")
 
 
 # ---- mapping, validation, enrichment
@@ -442,12 +441,17 @@ def derive_dims(spark, sf):
     return u.select(F.concat(F.lit("acct-"), c("user_id")).alias("account_id"), "user_id", (1000 * (1 + c("user_id") % 20)).cast("double").alias("credit_limit"), F.element_at(F.array(*map(F.lit, ("credit", "debit", "prepaid"))), (c("user_id") % 3 + 1).cast("int")).alias("card_type"), F.date_add(F.lit("2010-01-01").cast("date"), c("user_id").cast("int")).cast("timestamp_ntz").alias("issued_at"))
 
 
-@query("WITH u AS (SELECT c_nationkey, sha256(string_agg(c_custkey || '|' || c_name, chr(10) ORDER BY c_custkey)) AS h FROM customer GROUP BY 1) SELECT sha256(string_agg(c_nationkey || ':' || h, chr(10) ORDER BY c_nationkey)) AS fingerprint FROM u")
+_LEVEL = "SELECT b // 1000 AS b, sha256(string_agg(b || ':' || h, chr(10) ORDER BY b)) AS h FROM {} GROUP BY 1"
+
+
+@query(f"WITH l0 AS (SELECT c_custkey // 1000 AS b, sha256(string_agg(c_custkey || ':' || c_name, chr(10) ORDER BY c_custkey)) AS h FROM customer GROUP BY 1), l1 AS ({_LEVEL.format('l0')}), l2 AS ({_LEVEL.format('l1')}) SELECT sha256(string_agg(b || ':' || h, chr(10) ORDER BY b)) AS fingerprint FROM l2")
 def fingerprint(spark, sf):
-    """Of groups first, so that no row gathers the table."""
-    line = lambda key, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, text.alias("x")))), lambda r: r["x"]), "\n")
-    g = t(spark, sf, "customer").groupBy("c_nationkey").agg(F.sha2(line("c_custkey", F.concat_ws("|", "c_custkey", "c_name")), 256).alias("h"))
-    return g.agg(F.sha2(line("c_nationkey", F.concat_ws(":", "c_nationkey", "h")), 256).alias("fingerprint"))
+    """A tree of digests over ranges of the key: no group holds more than a thousand lines, up to 10**12 keys."""
+    g = t(spark, sf, "customer").select(c("c_custkey").alias("b"), c("c_name").alias("h"))
+    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda r: F.concat_ws(":", r["b"], r["h"])), "\n"), 256)
+    for _ in range(3):
+        g = g.groupBy(F.expr("b div 1000").alias("__up")).agg(digest.alias("h")).withColumnRenamed("__up", "b")
+    return g.agg(digest.alias("fingerprint"))
 
 
 @query("SELECT 'event_id_null' AS check, count(*) FILTER (WHERE event_id IS NULL) AS violations FROM events UNION ALL SELECT 'event_id_unique', count(*) FROM (SELECT event_id FROM events GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'event_type_accepted', count(*) FILTER (WHERE event_type NOT IN ('click', 'view', 'purchase', 'signup')) FROM events UNION ALL SELECT 'orphan_custkey', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'rate_range', count(*) FROM lineitem WHERE l_discount IS NULL OR l_discount < 0 OR l_discount > 0.05")
@@ -540,7 +544,7 @@ def gbt_scores(spark, sf):
     e = t(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value")
     x = W.trailing(e, "user_id", "ts", "event_id", "value", c("event_type") == "error", "event_type", {"1d": 86_400, "7d": 604_800}, distinct=False)
     n = e.count()
-    x = W.positions(x, F.to_date("ts"), "ts", "event_id").withColumn("label", (c("event_type") == "error").cast("double"))
+    x = W.positions(x, "ts", "event_id").withColumn("label", (c("event_type") == "error").cast("double"))
     features = ["value", *(f"{m}_{w}" for w in ("1d", "7d") for m in ("txn_count", "amount_sum", "amount_mean", "decline_rate"))]
     model = fit(x.where(c("__pos") <= int(n * 0.64)), features)
     return scored(model, x.where(c("__pos") > int(n * 0.8))).select("event_id", "probability")

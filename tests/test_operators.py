@@ -8,6 +8,7 @@ from cardlake.functions import expr as X
 from cardlake.functions import schema as S
 from cardlake.operators import metrics as M
 from cardlake.operators import model
+from cardlake.operators import ordered as O
 from cardlake.operators import windows as W
 from cardlake.session import shared_folder
 from cardlake.sources import avro
@@ -37,6 +38,32 @@ def test_first_event_and_gap(spark):
     assert got == [W.CAP, 300.0, W.CAP]
 
 
+def test_running_over_ranges(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), rng.choice([None, 0.5, *map(float, range(50))]), i % 7) for i in range(500)]
+    df = O.in_ranges(spark.createDataFrame(rows, "id long, k int, v double, x long"), "v")
+    assert df.select(O.RANGE).distinct().count() > 1  # so that a key is divided
+    for down in (False, True):
+        sign = -1 if down else 1
+        by = [F.desc_nulls_last("v") if down else F.asc_nulls_first("v"), F.asc("id")]
+        got = {r.id: (r.total, r.most) for r in O.running(O.running(df, ["k"], by, {"x": "total"}, downward=down), ["k"], by, {"x": "most"}, F.max, downward=down).collect()}
+        at = lambda r: (sign * (float("-inf") if r[2] is None else r[2]), r[0])
+        for r in rows:
+            before = [q[3] for q in rows if q[1] == r[1] and at(q) < at(r)]
+            assert got[r[0]] == ((sum(before), max(before)) if before else (None, None))
+
+
+def test_edges_of_windows(spark):
+    """Nulls in key, city and amount; an event exactly as old as the window; an empty table."""
+    t0 = datetime(2024, 1, 1)
+    rows = [(1, None, t0, 1.0, "a"), (2, None, t0 + timedelta(hours=1), None, None), (3, None, t0 + timedelta(hours=1, microseconds=1), 2.0, "a"), (4, 7, t0, 5.0, "b")]
+    df = spark.createDataFrame(rows, "id long, k int, t timestamp_ntz, amount double, city string")
+    of = lambda d: W.trailing(d, "k", "t", "id", "amount", F.lit(False), "city", {"1h": 3600})
+    got = {r.id: (r.txn_count_1h, r.amount_sum_1h, r.distinct_city_1h, r.is_new_city_1h) for r in of(df).collect()}
+    assert got == {1: (0, 0.0, 0, True), 2: (1, 1.0, 1, None), 3: (1, 0.0, 0, True), 4: (0, 0.0, 0, True)}
+    assert of(df.limit(0)).count() == 0
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([(2999,), (3000,), (3999,), (4000,), (4829,)], "mcc int")
     assert [r[0] for r in df.select(X.mcc_group(F.col("mcc"))).collect()] == ["other", "travel", "travel", "other", "cash"]
