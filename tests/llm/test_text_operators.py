@@ -175,6 +175,41 @@ def test_op1(spark, docs, limit):
     assert got[900, 1].share == 1.0 and got[901, 1].n_matched == 38
 
 
+def test_op1_seeds_hit_every_pattern():
+    """Of all patterns of any length that no mask fits into, the best matches - 4 x mismatches by the last places and matches so far: never 0 with 12 matches."""
+    masks = [m for m in o1.MASKS if len(m) > 5]
+    keep = max(map(len, masks)) - 1
+    best = {("0" * keep, 0): 0}
+    todo = list(best)
+    while todo:
+        last, matches = at = todo.pop()
+        for bit, score in (("1", 1), ("0", -4)):
+            new = last + bit
+            if any(all(x == "0" or y == "1" for x, y in zip(m, new[-len(m) :], strict=True)) for m in masks):
+                continue
+            to, value = (new[1:], min(12, matches + (bit == "1"))), best[at] + score
+            assert to[1] < 12 or value < 0, new
+            if value > best.get(to, -60):
+                best[to] = value
+                todo.append(to)
+
+
+@pytest.mark.parametrize("limit", [1 << 23, 0])
+def test_op1_finds_short_items_with_substitutions(spark, limit):
+    rng = np.random.default_rng(5)
+    items, rows = [], []
+    for n, k in [(14, 2), (15, 2), (16, 3), (17, 3), (18, 3), (20, 4), (25, 5)] * 12:
+        item = [f"t{i}" for i in rng.integers(0, 100_000, n)]
+        copy = [*item]
+        for i in rng.choice(n, k, replace=False):
+            copy[i] = "other"
+        if o1.stretch(np.array(item), np.array(copy), 0):
+            items.append((len(items), " ".join(item)))
+            rows.append((len(rows), " ".join(copy)))
+    got = {(r.doc_id, r.item_id) for r in o1.leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), limit).collect()}
+    assert len(items) > 40 and got == {(i, i) for i in range(len(items))}
+
+
 def test_op8(spark):
     clean, bad = "a quiet walk. you sit! by the river", "a quiet walk. you {}! by the river"
     rows = [(i, bad.format(["clot", "cloten", "clotish"][i % 3]) if i % 2 else clean) for i in range(300)] + [(500, None), (501, ""), (502, "fine.\n\nand a clot here. fine")]
