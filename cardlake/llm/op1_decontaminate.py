@@ -3,8 +3,9 @@
 Tokens are runs of digits, lower-case letters and non-ASCII bytes after lower-casing. Each mask takes some of
 the positions of a window of tokens and ignores the others, so a substitution at an ignored position leaves the
 seed intact; every stretch that the limits below allow holds a seed whole. Seeds of the benchmark and of the documents are joined by hash; around each hit the two token
-sequences are compared place by place on the hit's diagonal, and the best stretch (a match counts 1, a mismatch
--2) must have at least 12 matches, or all of a shorter item, and 80 % matches.
+sequences are compared place by place on the hit's diagonal. A stretch of it with at least 12 matches and 80 % matches
+is a leak, and so is a whole item of fewer than 15 tokens with 80 % matches. Reported is the stretch that scores best (a match
+counts 1, a mismatch -2) if it is a leak, else the leak with the most matches.
 
 The benchmark's seeds go to all tasks while its text has at most BROADCAST_BYTES, which is checked; beyond, seeds are
 joined by a shuffle, with the same result. Items of fewer than MIN_ITEM tokens are ignored (too common to tell). Null and
@@ -24,10 +25,11 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .shared import partitions
 
-#: Positions that count. Any stretch of 12 or more matches of which 80 % match, of whatever length, holds one of the first four (tests
-#: show it for all patterns). The last is for items of fewer than SEEDED tokens.
-MASKS = ("111111", "11101011", "101001111", "1100010111", "11111")
-SEEDED = 12
+#: Positions that count. Any stretch of 12 or more matches of which 80 % match, of whatever length, holds one of the first four; any item
+#: of 5 to SEEDED - 1 tokens, whole and with 80 % matches, one of the LIGHT ones (tests show both for all patterns).
+MASKS = ("111111", "11101011", "101001111", "1100010111", "111", "11011")
+LIGHT = 2
+SEEDED = 14
 MIN_ITEM = 5
 MIN_MATCHES = 12
 SHARE = 0.8
@@ -56,14 +58,18 @@ def seeds(x: np.ndarray, mask: int) -> np.ndarray:
     return K.mix(h)
 
 
-def item_seeds(x: np.ndarray, first: np.ndarray, keep_short: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row and place of the seeds of all rows; the last mask only for rows of fewer than SEEDED tokens."""
+def item_masks(n: int) -> range:
+    """The masks that seed an item of n tokens."""
+    heavy = len(MASKS) - LIGHT
+    return range(0) if n < MIN_ITEM else range(heavy, len(MASKS)) if n < SEEDED else range(heavy)
+
+
+def item_seeds(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row and place of the seeds of all rows."""
     out = []
     for r in range(len(first) - 1):
         one = x[first[r] : first[r + 1]]
-        if len(one) < MIN_ITEM:
-            continue
-        for m in range(len(MASKS) - 1) if len(one) >= SEEDED else [len(MASKS) - 1]:
+        for m in item_masks(len(one)):
             h = seeds(one, m)
             out.append((h, np.full(len(h), r), np.arange(len(h))))
     if not out:
@@ -72,7 +78,7 @@ def item_seeds(x: np.ndarray, first: np.ndarray, keep_short: bool = True) -> tup
 
 
 def stretch(item: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, int, int] | None:
-    """Start in the document, length and matches of the best stretch of a diagonal, if it is a leak."""
+    """Start in the document, length and matches of the best leak of a diagonal, if there is one."""
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
     if hi <= lo:
         return None
@@ -84,6 +90,19 @@ def stretch(item: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, int, in
     n, matched = end - start, int(same[start:end].sum())
     if n and matched >= min(MIN_MATCHES, len(item)) and matched >= SHARE * n:
         return lo + start + shift, n, matched
+    total = np.concatenate([[0], np.cumsum(same)])
+    if total[-1] >= MIN_MATCHES:
+        # 80 % match between two places if 5 x matches - 4 x places is no less at the second: the first place of all that allow an end has the most matches
+        sums = 5 * total - 4 * np.arange(len(total))
+        starts = np.searchsorted(-np.minimum.accumulate(sums), -sums, side="left")
+        end = int(np.argmax(total - total[starts]))
+        start = int(starts[end])
+        matched = int(total[end] - total[start])
+        if matched >= MIN_MATCHES:
+            inside = np.flatnonzero(same[start:end])
+            return lo + start + int(inside[0]) + shift, int(inside[-1] - inside[0]) + 1, matched
+    if hi - lo == len(item) and total[-1] * 5 >= len(item) * 4:
+        return lo + shift, len(item), int(total[-1])
     return None
 
 
@@ -110,6 +129,7 @@ def _small_benchmark(docs: DataFrame, items: list) -> DataFrame:
     hashes, rows, places = item_seeds(x, first)
     order = np.argsort(hashes, kind="stable")
     hashes, rows, places = hashes[order], rows[order], places[order]
+    masks = sorted({m for n in np.diff(first).tolist() for m in item_masks(n)})
     bits = 20
     near = np.zeros(1 << bits, dtype=bool)
     near[hashes >> np.uint64(64 - bits)] = True
@@ -118,8 +138,8 @@ def _small_benchmark(docs: DataFrame, items: list) -> DataFrame:
         for b in K.small(batches, 1):
             doc, at = tokens(b.column(1))
             ids_ = b.column(0)
-            found = []
-            for m in range(len(MASKS)):
+            found = [np.zeros((0, 3), np.int64)]
+            for m in masks:
                 h = seeds(doc, m)
                 place = np.flatnonzero(near[h >> np.uint64(64 - bits)])
                 h = h[place]
@@ -140,11 +160,17 @@ def _small_benchmark(docs: DataFrame, items: list) -> DataFrame:
 def _large_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
     n = partitions(docs)
 
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([pa.array(sorted({m for k in np.diff(tokens(b.column(1))[1]).tolist() for m in item_masks(k)}), pa.int32())], names=["mask"])
+
+    masks = sorted(r.mask for r in items.mapInArrow(used, "mask int").distinct().collect())
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.small(batches, 1):
             x, at = tokens(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for m in range(len(MASKS)):
+            for m in masks:
                 h = seeds(x, m)
                 row = np.searchsorted(at, np.arange(len(h)), side="right") - 1
                 ok = np.arange(len(h)) + len(MASKS[m]) <= at[row + 1]

@@ -1,6 +1,7 @@
 """Each operator against brute force on small rows."""
 
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -177,7 +178,7 @@ def test_op1(spark, docs, limit):
 
 def test_op1_seeds_hit_every_pattern():
     """Of all patterns of any length that no mask fits into, the best matches - 4 x mismatches by the last places and matches so far: never 0 with 12 matches."""
-    masks = [m for m in o1.MASKS if len(m) > 5]
+    masks = [m for m in o1.MASKS if m.count("1") > 5]
     keep = max(map(len, masks)) - 1
     best = {("0" * keep, 0): 0}
     todo = list(best)
@@ -194,6 +195,42 @@ def test_op1_seeds_hit_every_pattern():
                 todo.append(to)
 
 
+def test_op1_verifies_every_stretch_within_the_limits():
+    def leak(same):
+        whole = len(same) < 15 and sum(same) * 5 >= len(same) * 4
+        return whole or any(sum(same[a:b]) >= 12 and sum(same[a:b]) * 5 >= (b - a) * 4 for a in range(len(same)) for b in range(a + 12, len(same) + 1))
+
+    rng = np.random.default_rng(8)
+    patterns = [[i not in gone for i in range(15)] for gone in itertools.combinations(range(15), 3)]
+    patterns += [(rng.random(n) < 0.78).tolist() for n in rng.integers(5, 60, 1500)]
+    for same in patterns:
+        found = o1.stretch(np.arange(len(same)), np.where(same, np.arange(len(same)), -1), 0)
+        assert bool(found) == leak(same), same
+        if found:
+            a, n, matched = found
+            assert matched == sum(same[a : a + n]) and matched * 5 >= n * 4 and (matched >= 12 or n == len(same) < 15)
+    for n in range(5, o1.SEEDED):
+        for gone in itertools.combinations(range(n), n // 5):
+            same = ["0" if i in gone else "1" for i in range(n)]
+            masks = [o1.MASKS[m] for m in o1.item_masks(n)]
+            assert any(all(x == "0" or y == "1" for x, y in zip(m, same[i : i + len(m)], strict=True)) for m in masks for i in range(n - len(m) + 1)), same
+
+
+@pytest.mark.parametrize("limit", [1 << 23, 0])
+def test_op1_finds_items_of_5_to_15_tokens_with_substitutions(spark, limit):
+    rng = np.random.default_rng(6)
+    items, rows = [], []
+    for n in [5, 7, 9, 10, 11, 12, 13, 14, 15] * 8:
+        item = [f"t{i}" for i in rng.integers(0, 100_000, n)]
+        copy = [*item]
+        for i in rng.choice(n, n // 5, replace=False):
+            copy[i] = "other"
+        items.append((len(items), " ".join(item)))
+        rows.append((len(rows), " ".join(copy)))
+    got = {(r.doc_id, r.item_id): r.n_matched for r in o1.leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), limit).collect()}
+    assert got == {(i, i): len(t.split()) - len(t.split()) // 5 for i, t in items}
+
+
 @pytest.mark.parametrize("limit", [1 << 23, 0])
 def test_op1_finds_short_items_with_substitutions(spark, limit):
     rng = np.random.default_rng(5)
