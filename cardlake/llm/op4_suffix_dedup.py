@@ -8,8 +8,8 @@ windows next to each other that share it, the second what eight neighbouring win
 left are ordered by the four quarters of their window.
 
 Nulls and empty texts: no bytes, nothing removed. Texts shorter than the threshold: nothing
-removed. Rows that repeat a doc_id with the same text count as one document. A null doc_id counts as
-smaller than all others. Other columns pass through. An empty table gives an empty table.
+removed. Rows of the same doc_id (or without one) and the same text count as one document; those of different texts are
+documents of their own, in the order of xxhash64(text). A null doc_id counts as smaller than all others. Other columns pass through. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ def radix_passes(windows: DataFrame, n: int) -> DataFrame:
 
     Dealing by all four digits keeps equal windows together and spreads windows that share only
     their first bytes; the sort within a partition goes through the digits in order."""
-    settled = F.when(F.col("settled"), F.xxhash64("doc", "start"))
-    return R.settle_windows(windows.repartition(n, F.coalesce(settled, F.xxhash64(*R.DIGITS))))
+    settled = F.when(F.col("settled"), F.xxhash64("doc", "tie"))
+    return R.settle_windows(R.without_content(windows).repartition(n, F.coalesce(settled, F.xxhash64(*R.DIGITS))))
 
 
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, *, texts: bool = True) -> DataFrame:

@@ -7,9 +7,9 @@ a task. A group's suffixes in order, with the common prefixes of neighbours, are
 words; its internal nodes at that depth are the repeats, and all their leaves but the first go. A prefix of 20
 words is one such node, whatever its size: its leaves stream past the first one.
 
-Nulls and texts without words: nothing removed. Rows that repeat a doc_id with the same text count as one
-document. A null doc_id counts as smaller than all others. Other columns pass through. An empty table gives
-an empty table.
+Nulls and texts without words: nothing removed. Rows of the same doc_id (or without one) and the same text count as
+one document; those of different texts are documents of their own, in the order of xxhash64(text). A null doc_id counts as smaller
+than all others. Other columns pass through. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -45,12 +45,12 @@ def prefix_lengths(suffixes: DataFrame, group: int) -> DataFrame:
 def subtrees(suffixes: DataFrame, n: int, group: int = GROUP) -> DataFrame:
     """Leaves of deep internal nodes, except each node's first."""
     length = F.coalesce(F.col("length"), F.lit(1))
-    key = F.when(F.col("settled"), F.xxhash64("doc", "start"))
+    key = F.when(F.col("settled"), F.xxhash64("doc", "tie"))
     for m in range(1, 4):
         key = key.when(length == m, F.xxhash64(*R.DIGITS[:m]))
     key = key.otherwise(F.xxhash64(*R.DIGITS))
-    dealt = suffixes.join(prefix_lengths(suffixes, group), list(R.DIGITS[:3]), "left").select(*R.DIGITS, "doc", "start", "settled", key.alias("prefix"))
-    return R.settle_windows(dealt.repartition(n, "prefix"))
+    dealt = suffixes.join(prefix_lengths(suffixes, group), list(R.DIGITS[:3]), "left").select(*R.DIGITS, "doc", "tie", "start", "settled", key.alias("prefix"))
+    return R.settle_windows(R.without_content(dealt).repartition(n, "prefix"))
 
 
 def remove_repeated_words(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, group: int = GROUP) -> DataFrame:

@@ -14,6 +14,9 @@ one *run*: about one record for (T-k+2)/2 windows, instead of one for each windo
    of a few windows and settled the same way by what all windows of a piece share.
 4. Pieces still open are opened into their windows. The caller orders those by content, in four parts
    of T/4 elements, most significant first, and settles equal ones the same way.
+
+A document is a (doc_id, text): KEY holds doc_id, TIE a hash of the text, and the order of documents is by both, a null doc_id
+first. So rows that share a doc_id, or have none, but differ in their texts are documents of their own, and equal rows are one.
 """
 
 from __future__ import annotations
@@ -29,12 +32,13 @@ from . import kernels as K
 from .shared import partitions
 
 KEY = "__key"
+TIE = "__tie"
 PASSES = ("__runs", "__blocks", "__windows")
 DIGITS = ("d1", "d2", "d3", "d4")
-RUNS = "deal long, gram long, content long, doc long, start long, size int, off int, settled boolean"
-MARKS = "doc long, start long, size int, off int, open boolean"
+RUNS = "gram long, content long, doc long, tie long, start long, size int, off int, settled boolean"
+MARKS = "doc long, tie long, start long, size int, off int, open boolean"
 MARK = ("start", "size", "off", "open")
-WINDOWS = "d1 long, d2 long, d3 long, d4 long, doc long, start long, settled boolean"
+WINDOWS = "d1 long, d2 long, d3 long, d4 long, doc long, tie long, start long, settled boolean"
 LOW = np.uint64((1 << 20) - 1)
 
 #: From a batch's text column to the hash values of its elements and each document's first element.
@@ -82,37 +86,41 @@ def window_runs(elements: np.ndarray, offs: np.ndarray, t: int, k: int) -> tuple
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _later(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Rows whose keys equal those of a row of a smaller (doc, start)."""
-    order = np.lexsort((start, doc, *keys[::-1]))
+def _later(keys: list[np.ndarray], doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Rows whose keys equal those of a row of a smaller (doc, tie, start)."""
+    order = np.lexsort((start, tie, doc, *keys[::-1]))
     same = np.ones(len(order), dtype=bool)
     same[:1] = False
     for x in keys:
         same[1:] &= x[order][1:] == x[order][:-1]
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    later = (doc[order] != doc[order][head]) | (start[order] != start[order][head])
+    later = np.any([x[order] != x[order][head] for x in (doc, tie, start)], axis=0)
     out = np.zeros(len(order), dtype=bool)
     out[order] = later
     return out
 
 
 def runs(docs: DataFrame, elements: Elements, t: int, k: int) -> DataFrame:
-    """docs has KEY and text."""
+    """docs has KEY, TIE and text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.small(batches, 1, 16 << 20):
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            x, offs = elements(b.column(1))
+        for b in K.small(batches, size=16 << 20):
+            ids, ties = _documents(b)
+            x, offs = elements(b.column("text"))
             start, size, gram, content, off = window_runs(x, offs, t, k)
             if not len(start):
                 continue
             row = np.searchsorted(offs, start, side="right") - 1
-            doc, place = ids[row], start - offs[row]
-            settled = _later([gram, content], doc, place)
-            deal = np.where(settled, K.signed(K.mix(doc.astype(np.uint64))), K.signed(gram))
-            yield pa.record_batch([deal, K.signed(gram), K.signed(content), doc, place, size.astype(np.int32), off.astype(np.int32), settled], schema=_schema(RUNS))
+            doc, tie, place = ids[row], ties[row], start - offs[row]
+            settled = _later([gram, content], doc, tie, place)
+            gram[settled] = content[settled] = 0  # nothing is compared with them any more
+            yield pa.record_batch([K.signed(gram), K.signed(content), doc, tie, place, size.astype(np.int32), off.astype(np.int32), settled], schema=_schema(RUNS))
+
+    return docs.select(KEY, TIE, "text").mapInArrow(scan, RUNS)
 
-    return docs.select(KEY, "text").mapInArrow(scan, RUNS)
+
+def _documents(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (KEY, TIE))
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -121,7 +129,7 @@ def _schema(ddl: str) -> pa.Schema:
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], settle: Callable) -> Iterator[pa.RecordBatch]:
-    """Feeds rows sorted by keys, doc and start to settle(columns, later, first): only the last content's first row is carried over."""
+    """Feeds rows sorted by keys, doc, tie and start to settle(columns, later, first): only the last content's first row is carried over."""
     carry: dict[str, np.ndarray] | None = None
     for b in batches:
         if not b.num_rows:
@@ -138,7 +146,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], settle: C
             same[1:] &= x[c][1:] == x[c][:-1]
         same &= ~x["settled"]
         head = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
-        later = same & ((x["doc"] != x["doc"][head]) | (x["start"] != x["start"][head]))
+        later = same & np.any([x[c] != x[c][head] for c in ("doc", "tie", "start")], axis=0)
         at = int(head[-1])
         out = settle(x, later, ~same & ~x["settled"], extra)
         carry = {c: v[at : at + 1] for c, v in x.items()}
@@ -174,16 +182,17 @@ def settle_runs(dealt: DataFrame, n: int) -> DataFrame:
             mine = later | x["settled"]
             mine[:extra] = False
             pick = np.flatnonzero(mine | opened)
-            return pa.record_batch([x["doc"][pick], x["start"][pick], x["size"][pick].astype(np.int32), x["off"][pick].astype(np.int32), opened[pick]], schema=_schema(MARKS))
+            return pa.record_batch([x["doc"][pick], x["tie"][pick], x["start"][pick], x["size"][pick].astype(np.int32), x["off"][pick].astype(np.int32), opened[pick]], schema=_schema(MARKS))
 
         yield from _sorted_groups(batches, ["gram", "content"], settle)
 
-    dealt = dealt.repartition(n, "deal").sortWithinPartitions("settled", "gram", "content", "doc", "start")
-    return dealt.select("gram", "content", "doc", "start", "size", "off", "settled").mapInArrow(scan, MARKS)
+    deal = F.when(F.col("settled"), F.xxhash64("doc", "tie")).otherwise(F.col("gram"))
+    dealt = dealt.repartition(n, deal).sortWithinPartitions("settled", "gram", "content", "doc", "tie", "start")
+    return dealt.select("gram", "content", "doc", "tie", "start", "size", "off", "settled").mapInArrow(scan, MARKS)
 
 
 def by_document(marks: DataFrame) -> DataFrame:
-    return marks.groupBy("doc").agg(F.collect_list(F.struct(*MARK)).alias("marks"))
+    return marks.groupBy("doc", "tie").agg(F.collect_list(F.struct(*MARK)).alias("marks"))
 
 
 def _marked(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -199,8 +208,9 @@ def _opened(b: pa.RecordBatch, offs: np.ndarray, column: str, t: int) -> tuple[n
     row, m = _marked(b, column)
     pick = m["open"].astype(bool)
     row, start, size, off = (x[pick].astype(np.int64) for x in (row, m["start"], m["size"], m["off"]))
-    fits = (start >= 0) & (start + size - 1 + t <= np.diff(offs)[row])
-    return row[fits], start[fits], size[fits], off[fits]
+    if not ((start >= 0) & (start + size - 1 + t <= np.diff(offs)[row])).all():
+        raise ValueError("a run doesn't fit its text")
+    return row, start, size, off
 
 
 def open_blocks(docs: DataFrame, marks: DataFrame, elements: Elements, t: int, block: int) -> DataFrame:
@@ -210,7 +220,7 @@ def open_blocks(docs: DataFrame, marks: DataFrame, elements: Elements, t: int, b
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.small(batches, size=8 << 20):
-            ids = b.column(KEY).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, ties = _documents(b)
             x, offs = elements(b.column("text"))
             row, start, size, off = _opened(b, offs, "marks", t)
             if not len(row):
@@ -227,10 +237,10 @@ def open_blocks(docs: DataFrame, marks: DataFrame, elements: Elements, t: int, b
             core = K.mix(_spans(x, p, p - block + 1 + t) + j.astype(np.uint64))
             at = first + offs[row][of]
             content = K.mix(_spans(x, at, at + n - 1 + t) + (high * 1000003 + n).astype(np.uint64))
-            doc = ids[row][of]
-            settled = _later([core, content], doc, first)
-            deal = np.where(settled, K.signed(K.mix(doc.astype(np.uint64))), K.signed(core))
-            yield pa.record_batch([deal, K.signed(core), K.signed(content), doc, first, n.astype(np.int32), np.zeros(len(n), np.int32), settled], schema=_schema(RUNS))
+            doc, tie = ids[row][of], ties[row][of]
+            settled = _later([core, content], doc, tie, first)
+            core[settled] = content[settled] = 0
+            yield pa.record_batch([K.signed(core), K.signed(content), doc, tie, first, n.astype(np.int32), np.zeros(len(n), np.int32), settled], schema=_schema(RUNS))
 
     return _with(docs, marks, "marks").mapInArrow(scan, RUNS)
 
@@ -241,25 +251,25 @@ def open_windows(docs: DataFrame, marks: DataFrame, elements: Elements, t: int)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.small(batches, size=8 << 20):
-            ids = b.column(KEY).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, ties = _documents(b)
             x, offs = elements(b.column("text"))
             row, first, size, _ = _opened(b, offs, "marks", t)
             if not len(row):
                 continue
             place = K.ranges(first + offs[row], size)
-            doc = np.repeat(ids[row], size)
+            doc, tie = np.repeat(ids[row], size), np.repeat(ties[row], size)
             start = place - np.repeat(offs[row], size)
             parts = [_spans(x, place + cuts[d], place + cuts[d + 1]) for d in range(4)]
-            settled = _later(parts, doc, start)
-            yield pa.record_batch([*map(K.signed, parts), doc, start, settled], schema=_schema(WINDOWS))
+            settled = _later(parts, doc, tie, start)
+            yield pa.record_batch([*map(K.signed, parts), doc, tie, start, settled], schema=_schema(WINDOWS))
 
     return _with(docs, marks, "marks").mapInArrow(scan, WINDOWS)
 
 
 def _with(docs: DataFrame, marks: DataFrame, name: str) -> DataFrame:
     """docs that have opened runs. All columns stay, so that each pass reads the same exchange of docs."""
-    small = marks.where(F.exists("marks", lambda m: m["open"])).select("doc", F.col("marks").alias(name))
-    return docs.join(small, F.col(KEY) == F.col("doc"))
+    small = marks.where(F.exists("marks", lambda m: m["open"])).select("doc", "tie", F.col("marks").alias(name))
+    return docs.join(small, (F.col(KEY) == F.col("doc")) & (F.col(TIE) == F.col("tie")))
 
 
 def _spans(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -276,6 +286,11 @@ def _spans(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def without_content(windows: DataFrame) -> DataFrame:
+    """windows, the digits of settled ones 0: nothing is compared with them any more."""
+    return windows.withColumns({c: F.when(F.col("settled"), F.lit(0).cast("long")).otherwise(F.col(c)) for c in DIGITS})
+
+
 def settle_windows(dealt: DataFrame) -> DataFrame:
     """Of dealt windows, those that repeat: rows of equal digits lie in one partition."""
 
@@ -284,11 +299,11 @@ def settle_windows(dealt: DataFrame) -> DataFrame:
             mine = later | x["settled"]
             mine[:extra] = False
             pick = np.flatnonzero(mine)
-            return pa.record_batch([x["doc"][pick], x["start"][pick], np.ones(len(pick), np.int32), np.zeros(len(pick), np.int32), np.zeros(len(pick), bool)], schema=_schema(MARKS))
+            return pa.record_batch([x["doc"][pick], x["tie"][pick], x["start"][pick], np.ones(len(pick), np.int32), np.zeros(len(pick), np.int32), np.zeros(len(pick), bool)], schema=_schema(MARKS))
 
         yield from _sorted_groups(batches, list(DIGITS), settle)
 
-    return dealt.sortWithinPartitions("settled", *DIGITS, "doc", "start").select(*DIGITS, "doc", "start", "settled").mapInArrow(scan, MARKS)
+    return dealt.sortWithinPartitions("settled", *DIGITS, "doc", "tie", "start").select(*DIGITS, "doc", "tie", "start", "settled").mapInArrow(scan, MARKS)
 
 
 def kept_elements(b: pa.RecordBatch, offs: np.ndarray, t: int) -> np.ndarray:
@@ -306,15 +321,16 @@ def kept_elements(b: pa.RecordBatch, offs: np.ndarray, t: int) -> np.ndarray:
 
 
 def marked(docs: DataFrame, elements: Elements, t: int, k: int, block: int, resolve: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    """docs with the repeated windows' places in the columns PASSES. docs: KEY, text and others."""
+    """docs with the repeated windows' places in the columns PASSES. docs: KEY, TIE, text and others."""
     n = partitions(docs)
     runs_ = by_document(settle_runs(runs(docs, elements, t, k), n))
     blocks = by_document(settle_runs(open_blocks(docs, runs_, elements, t, block), n))
     windows = by_document(resolve(open_windows(docs, blocks, elements, t), n))
     for name, marks in zip(PASSES, (runs_, blocks, windows), strict=True):
-        docs = docs.join(marks.select(F.col("doc").alias("__doc"), F.col("marks").alias(name)), F.col(KEY) == F.col("__doc"), "left").drop("__doc")
+        own = marks.select(F.col("doc").alias("__doc"), F.col("tie").alias("__of"), F.col("marks").alias(name))
+        docs = docs.join(own, (F.col(KEY) == F.col("__doc")) & (F.col(TIE) == F.col("__of")), "left").drop("__doc", "__of")
     return docs
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    return docs.withColumns({KEY: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), TIE: F.xxhash64("text")})

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
@@ -10,7 +11,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import sentencepiece
-from helpers import documents, frame
+from helpers import documents, frame, text
 from tokenizers import Tokenizer
 
 from cardlake.llm import op1_decontaminate as o1
@@ -81,6 +82,26 @@ def test_repeated_rows_are_one_document(spark):
     assert len({(r.n_removed, r.kept_sha256) for r in got}) == 1
 
 
+@pytest.mark.parametrize("op", [4, 6])
+def test_null_and_repeated_ids_with_different_texts(spark, op):
+    rng = random.Random(4)
+    passage, other = text(rng, 60), text(rng, 60)
+    lone = [text(rng, 50) for _ in range(3)]
+    texts = [passage + " " + lone[0], passage + " " + lone[1], lone[2], other, text(rng, 5) + " " + other, passage, other[:200], None]
+    rows = [(i, t) for i in (None, 3) for t in texts] + [(None, texts[0]), (3, texts[1]), (1, lone[0] + " " + other), (5, lone[1])]
+    d = frame(spark, rows, 5)
+    ties = {r.text: r.tie for r in d.selectExpr("text", "xxhash64(text) AS tie").collect()}
+    split = (lambda t: list((t or "").encode())) if op == 4 else (lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()))
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, ties[r[1]]))
+    gone = repeats([(r, split(r[1])) for r in order], 100 if op == 4 else 20)
+    want = []
+    for r in rows:
+        left = [x for x, g in zip(split(r[1]), gone[r], strict=True) if not g]
+        want.append((r[0], sum(gone[r]), sha(bytes(left) if op == 4 else b" ".join(left))))
+    got = (o4.remove_repeats if op == 4 else o6.remove_repeated_words)(d).collect()
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_removed, r.kept_sha256)) for r in got)
+
+
 def test_op7(docs):
     sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     c = o7.codec(P.path("piece_bpe_32k.model"))
