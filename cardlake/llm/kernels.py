@@ -20,6 +20,8 @@ INVERSE = pow(BASE, -1, 1 << 64)
 BLOCK = 1 << 18
 _rng = np.random.default_rng(20240501)
 BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+#: By two neighbouring bytes.
+PAIR_VALUES = _rng.integers(1, 1 << 63, 1 << 16, dtype=np.uint64) * U(2) + U(1)
 _powers: dict[str, np.ndarray] = {}
 
 SPACE = np.ones(256, dtype=bool)
@@ -50,21 +52,33 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def pair_values(x: np.ndarray) -> np.ndarray:
+    """A random-looking value of each two neighbours of bytes, or of 64-bit values."""
+    if x.dtype == np.uint8:
+        return PAIR_VALUES[x[:-1].astype(np.uint16) << 8 | x[1:]]
+    return mix(x[:-1] * U(0xA24BAED4963EE407) + mix(x[1:]))
+
+
 class Hashes:
-    """Hashes of any spans of a sequence, equal for equal spans wherever they are."""
+    """Hashes of any spans (of one element or more) of bytes or 64-bit values, equal for equal spans wherever they are.
+
+    A polynomial of the values of neighbouring pairs. A polynomial of the elements alone, modulo 2**64, would be the same
+    for a Thue-Morse sequence of 1024 elements and its complement."""
 
-    def __init__(self, values: np.ndarray):
-        n = len(values)
+    def __init__(self, x: np.ndarray):
+        n = len(x)
         up, self.down = powers(n)
-        self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(values * up[:n], out=self.sums[1:])
+        self.sums = np.zeros(max(n, 1), dtype=np.uint64)
+        if n > 1:
+            np.cumsum(pair_values(x) * up[: n - 1], out=self.sums[1:])
+        self.last = BYTE_VALUES[x] if x.dtype == np.uint8 else x * U(0xC2B2AE3D27D4EB4F)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+        return mix((self.sums[end - 1] - self.sums[start]) * self.down[start] + self.last[end - 1])
 
     def grams(self, k: int) -> np.ndarray:
-        n = len(self.sums) - k
-        return mix((self.sums[k:] - self.sums[:n]) * self.down[:n])
+        n = len(self.last) - k + 1
+        return mix((self.sums[k - 1 :] - self.sums[:n]) * self.down[:n] + self.last[k - 1 :])
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +138,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK, side="right")))
         a = int(start[i])
-        out[i:j] = Hashes(BYTE_VALUES[data[a : end[j - 1]]]).spans(start[i:j] - a, end[i:j] - a)
+        out[i:j] = Hashes(data[a : end[j - 1]]).spans(start[i:j] - a, end[i:j] - a)
         i = j
     return out
 
@@ -157,3 +171,34 @@ def covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, dtype=np.uint64).view(np.int64)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1, *, most: int = 0, same: str = "") -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows regrouped so that none splits a group of sorted keys, and where groups begin (with the end); least rows at a time if there are so many.
+
+    If most and same are given, of a group of more than most rows the part read so far is given, and the first row of its last value of same again with the next."""
+    rest: pa.Table | None = None
+
+    def cuts(t: pa.Table) -> np.ndarray:
+        new = np.ones(t.num_rows, dtype=bool)
+        new[1:] = np.any([(x := t.column(c).to_numpy())[1:] != x[:-1] for c in keys], axis=0)
+        return np.append(np.flatnonzero(new), t.num_rows)
+
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        rest = t
+        if t.num_rows < least:
+            continue
+        c = cuts(t)
+        if len(c) > 2:
+            yield t.slice(0, c[-2]).combine_chunks(), c[:-1]
+            rest = t.slice(c[-2])
+        elif most and t.num_rows > most:
+            t = t.combine_chunks()
+            yield t, c
+            last = pc.index(t.column(same), t.column(same)[-1]).as_py()
+            rest = t.slice(last, 1)
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks(), cuts(rest)
+    give_back()

@@ -1,19 +1,19 @@
-"""Which fixed-length windows of a corpus also start earlier: the groundwork of operators 4 and 6.
+"""Candidates for repeated windows of fixed length: the groundwork of operators 4 and 6.
 
-A window is T consecutive elements (bytes, or words) of one document. Every window is named by
-its rarest gram: of its grams of k elements the one with the smallest hash, leftmost on ties. Equal
-windows have that gram at the same offset, so windows next to each other that share it travel as
-one *run*: about one record for (T-k+2)/2 windows, instead of one for each window.
+A window is T consecutive elements (bytes, or words) of one document. A record for each window would be some thirty times
+the input, so most are told apart, or known as copies, many at a time. Every window is named by its rarest gram: of its grams
+of k elements the one with the smallest hash (an arbitrary but fixed order), leftmost on ties. Equal windows have that gram at the
+same offset, so windows next to each other that share it travel as one *run*: about one record for (T-k+2)/2 windows.
 
 1. ``runs``: each Arrow batch emits its runs as (gram, whole content). Of runs with equal content
-   only the batch's first competes; the later ones are settled there and then, so that a passage
+   only the batch's first competes; the later ones are copies there and then, so that a passage
    held by a third of all documents sends one record a batch, not one a document.
 2. The competing runs are dealt by gram and sorted by (gram, content, document, place): all but a
-   content's first are repeats. Grams with a single content are done.
-3. The first runs of grams that have several contents (edges of passages, edits) are cut into pieces
-   of a few windows and settled the same way by what all windows of a piece share.
-4. Pieces still open are opened into their windows. The caller orders those by content, in four parts
-   of T/4 elements, most significant first, and settles equal ones the same way.
+   content's first are copies. The windows of a gram with a single content leave: nothing equals them.
+3. The first runs of grams that have several contents (where passages begin, end or were edited) are cut into pieces of a
+   few windows, named by what all windows of the piece share, and compared the same way.
+
+What is still open then goes to the operator: it orders the pieces' windows by their elements.
 
 A document is a (doc_id, text): KEY holds doc_id, TIE a hash of the text, and the order of documents is by both, a null doc_id
 first. So rows that share a doc_id, or have none, but differ in their texts are documents of their own, and equal rows are one.
@@ -33,12 +33,11 @@ from .shared import partitions
 
 KEY = "__key"
 TIE = "__tie"
-PASSES = ("__runs", "__blocks", "__windows")
-DIGITS = ("d1", "d2", "d3", "d4")
+PASSES = ("__runs", "__pieces", "__windows")
 RUNS = "gram long, content long, doc long, tie long, start long, size int, off int, settled boolean"
 MARKS = "doc long, tie long, start long, size int, off int, open boolean"
 MARK = ("start", "size", "off", "open")
-WINDOWS = "d1 long, d2 long, d3 long, d4 long, doc long, tie long, start long, settled boolean"
+OPEN = "core long, content binary, doc long, tie long, start long, n int"
 LOW = np.uint64((1 << 20) - 1)
 
 #: From a batch's text column to the hash values of its elements and each document's first element.
@@ -56,17 +55,13 @@ def word_elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return K.span_hashes(data, start, end), first
 
 
-def _values(x: np.ndarray) -> np.ndarray:
-    return K.BYTE_VALUES[x] if x.dtype == np.uint8 else x
-
-
 def window_runs(elements: np.ndarray, offs: np.ndarray, t: int, k: int) -> tuple[np.ndarray, ...]:
     """Start, number of windows, gram, content hash and the gram's offset of each run; places count from the batch's start."""
     out = []
     n = len(elements) - t + 1
     for a in range(0, max(n, 0), K.BLOCK):
         m = min(K.BLOCK, n - a)
-        h = K.Hashes(_values(elements[a : a + m + t - 1]))
+        h = K.Hashes(elements[a : a + m + t - 1])
         gram = h.grams(k)
         owner = (K.sliding_min((gram & ~LOW) | np.arange(len(gram), dtype=np.uint64), t - k + 1) & LOW).astype(np.int64)
         ok = np.ones(m, dtype=bool)
@@ -124,7 +119,7 @@ def _documents(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _schema(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
 
 
@@ -216,7 +211,7 @@ def _opened(b: pa.RecordBatch, offs: np.ndarray, column: str, t: int) -> tuple[n
 def open_blocks(docs: DataFrame, marks: DataFrame, elements: Elements, t: int, block: int) -> DataFrame:
     """Opened runs cut into pieces of up to block windows, at fixed offsets from the gram.
 
-    A piece's gram is what all windows of that place share (t-block+1 elements)."""
+    A piece's gram is its core, what all windows of that place share (t-block+1 elements); off is where the core begins."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.small(batches, size=8 << 20):
@@ -240,30 +235,34 @@ def open_blocks(docs: DataFrame, marks: DataFrame, elements: Elements, t: int, b
             doc, tie = ids[row][of], ties[row][of]
             settled = _later([core, content], doc, tie, first)
             core[settled] = content[settled] = 0
-            yield pa.record_batch([K.signed(core), K.signed(content), doc, tie, first, n.astype(np.int32), np.zeros(len(n), np.int32), settled], schema=_schema(RUNS))
+            yield pa.record_batch([K.signed(core), K.signed(content), doc, tie, first, n.astype(np.int32), (p - at).astype(np.int32), settled], schema=_schema(RUNS))
 
     return _with(docs, marks, "marks").mapInArrow(scan, RUNS)
 
 
-def open_windows(docs: DataFrame, marks: DataFrame, elements: Elements, t: int) -> DataFrame:
-    """The windows of opened pieces, each with its content in four parts; settled: repeats a smaller place of its batch."""
-    cuts = [0, t // 4, t // 2, t * 3 // 4, t]
+def open_pieces(docs: DataFrame, marks: DataFrame, elements: Elements, t: int, block: int) -> DataFrame:
+    """The pieces that are still open: the hash of the core, the elements of all n windows, and where they are."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.small(batches, size=8 << 20):
             ids, ties = _documents(b)
             x, offs = elements(b.column("text"))
-            row, first, size, _ = _opened(b, offs, "marks", t)
+            row, first, n, off = _opened(b, offs, "marks", t)
             if not len(row):
                 continue
-            place = K.ranges(first + offs[row], size)
-            doc, tie = np.repeat(ids[row], size), np.repeat(ties[row], size)
-            start = place - np.repeat(offs[row], size)
-            parts = [_spans(x, place + cuts[d], place + cuts[d + 1]) for d in range(4)]
-            settled = _later(parts, doc, tie, start)
-            yield pa.record_batch([*map(K.signed, parts), doc, tie, start, settled], schema=_schema(WINDOWS))
+            at = first + offs[row]
+            core = K.signed(_spans(x, at + off, at + off - block + 1 + t))
+            raw, wide = x.astype(x.dtype.newbyteorder(">")).tobytes(), x.dtype.itemsize
+            content = [raw[i * wide : (i + m - 1 + t) * wide] for i, m in zip(at.tolist(), n.tolist(), strict=True)]
+            yield pa.record_batch([core, pa.array(content, pa.binary()), ids[row], ties[row], first, n.astype(np.int32)], schema=_schema(OPEN))
+
+    return _with(docs, marks, "marks").mapInArrow(scan, OPEN)
+
 
-    return _with(docs, marks, "marks").mapInArrow(scan, WINDOWS)
+def as_marks(doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Single windows that repeat."""
+    n = len(doc)
+    return pa.record_batch([doc, tie, start, np.ones(n, np.int32), np.zeros(n, np.int32), np.zeros(n, bool)], schema=_schema(MARKS))
 
 
 def _with(docs: DataFrame, marks: DataFrame, name: str) -> DataFrame:
@@ -281,31 +280,11 @@ def _spans(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     while i < len(s):
         j = int(np.searchsorted(s, s[i] + K.BLOCK, side="left"))
         a = int(s[i])
-        out[order[i:j]] = K.Hashes(_values(x[a : int(e[i:j].max())])).spans(s[i:j] - a, e[i:j] - a)
+        out[order[i:j]] = K.Hashes(x[a : int(e[i:j].max())]).spans(s[i:j] - a, e[i:j] - a)
         i = j
     return out
 
 
-def without_content(windows: DataFrame) -> DataFrame:
-    """windows, the digits of settled ones 0: nothing is compared with them any more."""
-    return windows.withColumns({c: F.when(F.col("settled"), F.lit(0).cast("long")).otherwise(F.col(c)) for c in DIGITS})
-
-
-def settle_windows(dealt: DataFrame) -> DataFrame:
-    """Of dealt windows, those that repeat: rows of equal digits lie in one partition."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(x: dict[str, np.ndarray], later: np.ndarray, first: np.ndarray, extra: int) -> pa.RecordBatch:
-            mine = later | x["settled"]
-            mine[:extra] = False
-            pick = np.flatnonzero(mine)
-            return pa.record_batch([x["doc"][pick], x["tie"][pick], x["start"][pick], np.ones(len(pick), np.int32), np.zeros(len(pick), np.int32), np.zeros(len(pick), bool)], schema=_schema(MARKS))
-
-        yield from _sorted_groups(batches, list(DIGITS), settle)
-
-    return dealt.sortWithinPartitions("settled", *DIGITS, "doc", "tie", "start").select(*DIGITS, "doc", "tie", "start", "settled").mapInArrow(scan, MARKS)
-
-
 def kept_elements(b: pa.RecordBatch, offs: np.ndarray, t: int) -> np.ndarray:
     """Which of a batch's elements stay: the columns PASSES hold the repeated windows."""
     gone = np.zeros(int(offs[-1]), dtype=bool)
@@ -320,12 +299,14 @@ def kept_elements(b: pa.RecordBatch, offs: np.ndarray, t: int) -> np.ndarray:
     return ~gone
 
 
-def marked(docs: DataFrame, elements: Elements, t: int, k: int, block: int, resolve: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    """docs with the repeated windows' places in the columns PASSES. docs: KEY, TIE, text and others."""
+def marked(docs: DataFrame, elements: Elements, t: int, k: int, block: int, order: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """docs (see ``keyed``) with the repeated windows' places in the columns PASSES.
+
+    order takes the open pieces and the number of partitions, and gives those of their windows that repeat."""
     n = partitions(docs)
     runs_ = by_document(settle_runs(runs(docs, elements, t, k), n))
     blocks = by_document(settle_runs(open_blocks(docs, runs_, elements, t, block), n))
-    windows = by_document(resolve(open_windows(docs, blocks, elements, t), n))
+    windows = by_document(order(open_pieces(docs, blocks, elements, t, block), n))
     for name, marks in zip(PASSES, (runs_, blocks, windows), strict=True):
         own = marks.select(F.col("doc").alias("__doc"), F.col("tie").alias("__of"), F.col("marks").alias(name))
         docs = docs.join(own, (F.col(KEY) == F.col("__doc")) & (F.col(TIE) == F.col("__of")), "left").drop("__doc", "__of")
@@ -333,4 +314,6 @@ def marked(docs: DataFrame, elements: Elements, t: int, k: int, block: int, reso
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({KEY: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), TIE: F.xxhash64("text")})
+    """KEY, TIE, text, and the other columns under names that nothing clashes with (see ``own_columns``)."""
+    own = [F.col(f"`{c}`").alias(f"__own_{i}") for i, c in enumerate(x for x in docs.columns if x != "text")]
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias(KEY), F.xxhash64("text").alias(TIE), F.col("text").cast("string").alias("text"), *own)
