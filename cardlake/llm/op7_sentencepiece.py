@@ -4,7 +4,7 @@ A chunk's characters are its first symbols; an agenda of adjacent symbol pairs t
 score and then from left to right, says which to merge next. Characters without a piece become their UTF-8 bytes'
 pieces. No piece has a space mark after another character, nor a line feed, so texts are split there and each distinct
 chunk of a task is encoded once; ``_check_vocabulary`` makes sure of that. In every Arrow batch, all chunks that are new
-to the task are encoded and decoded by the sentencepiece library too, and a difference fails the task.
+to the task are encoded and decoded by the sentencepiece library too, and a difference fails the task. Each document is decoded from its ids.
 
 Null counts as empty: begin and end ids only. Other columns pass through; those named like a result are replaced.
 Repeated rows are each encoded. An empty table gives an empty table.
@@ -45,6 +45,8 @@ class MergeCodec:
         self.values = {i: b for b, i in self.bytes.items()}
         self.begin, self.end = sp.bos_id(), sp.eos_id()
         self._check_vocabulary()
+        #: What each id decodes to; begin and end to nothing.
+        self.decoded = [b"" if i in (self.begin, self.end) else bytes([self.values[i]]) if i in self.values else n.replace(MARK, " ").encode() for i, n in enumerate(self.names)]
         self.memory = Memory(self._encode_checked)
 
     def _check_vocabulary(self) -> None:
@@ -104,22 +106,17 @@ class MergeCodec:
                     heapq.heappush(agenda, (cost, k, i, symbols[k] + pair))
         return [s for s in symbols if s]
 
-    def decode_chunk(self, ids: list[int]) -> str:
-        """Marks become spaces."""
-        return b"".join(bytes([self.values[i]]) if i in self.values else self.names[i].encode() for i in ids).decode("utf-8", "replace").replace(MARK, " ")
-
     def _encode_checked(self, chunks: list[str]) -> list[bytes]:
-        """Encodes new chunks. Those that start with a mark are compared: the library puts one in front itself, but not of an empty text."""
+        """Encodes new chunks and compares each with the library, which puts a mark in front of a text itself. What doesn't
+        begin with one mark and more is shown to it behind a line feed, where texts are split."""
         codes = [self.encode_chunk(c) for c in chunks]
-        name = self.names.__getitem__
-        for c, chunk in zip(codes, chunks, strict=True):
-            if "".join(map(name, c)) != chunk and self.decode_chunk(c) != chunk.replace(MARK, " "):
-                raise ValueError("a chunk isn't restored")
-        marked = [i for i, c in enumerate(chunks) if c[0] == MARK and len(c) > 1]
-        told = self.library.encode([chunks[i][1:] for i in marked], num_threads=1)
-        if told != [codes[i] for i in marked]:
+        bare = [c[0] == MARK and len(c) > 1 for c in chunks]
+        texts = [c[1:].replace(MARK, " ") if x else "\n" + c.replace(MARK, " ") for c, x in zip(chunks, bare, strict=True)]
+        told = self.library.encode(texts, num_threads=1)
+        before = [self.ids[MARK], self.bytes[10]]
+        if told != [code if x else before + code for code, x in zip(codes, bare, strict=True)]:
             raise ValueError("sentencepiece encodes a chunk otherwise")
-        if self.library.decode(told, num_threads=1) != [chunks[i][1:].replace(MARK, " ") for i in marked]:
+        if self.library.decode(told, num_threads=1) != texts:
             raise ValueError("sentencepiece decodes a chunk otherwise")
         return [array("I", c).tobytes() for c in codes]
 
@@ -155,10 +152,9 @@ class MergeCodec:
         begin, end = (np.array([i], dtype="<u4").tobytes() for i in (self.begin, self.end))
         return [begin + code + end for code in self.memory.join([self.chunks(t) for t in texts])]
 
-    def decode(self, code: bytes) -> str:
-        """As the library's decode(ids): without begin and end, and without the mark that encoding put in front."""
-        ids = np.frombuffer(code, dtype="<u4").tolist()
-        return self.decode_chunk([i for i in ids if i not in (self.begin, self.end)])[1:]
+    def decode(self, code: bytes) -> bytes:
+        """The UTF-8 bytes of what the library's decode(ids) gives: without begin and end, and without the mark that encoding put in front."""
+        return b"".join(map(self.decoded.__getitem__, np.frombuffer(code, dtype="<u4").tolist()))[1:]
 
 
 def _by_hand(text: str) -> list[str]:
@@ -190,11 +186,10 @@ def encode_documents(docs: DataFrame, path: str, *, ids: bool = False) -> DataFr
             texts = [t or "" for t in b.column("text").to_pylist()]
             codes, sizes, hashes, decoded = [], [], [], []
             for part in pieces(texts):
-                for text, code in zip(part, c.encode(part), strict=True):
+                for code in c.encode(part):
                     sizes.append(len(code) // 4)
                     hashes.append(hashlib.sha256(code).hexdigest())
-                    # each chunk's ids were decoded when it was new: they give the chunk, with spaces for marks
-                    decoded.append(hashlib.sha256(text.replace(MARK, " ").encode()).hexdigest())
+                    decoded.append(hashlib.sha256(c.decode(code)).hexdigest())
                     if ids:
                         codes.append(np.frombuffer(code, dtype="<u4").astype(np.int32).tolist())
             cols = [pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string()), *([pa.array(codes, pa.list_(pa.int32()))] if ids else [])]
@@ -202,7 +197,7 @@ def encode_documents(docs: DataFrame, path: str, *, ids: bool = False) -> DataFr
         c.memory.forget()
         give_back()
 
-    named = docs.select("text", *(F.col(x).alias(f"__own_{i}") for i, x in enumerate(own)))
+    named = docs.select("text", *(F.col(f"`{x}`").alias(f"__own_{i}") for i, x in enumerate(own)))
     schema = named.drop("text").schema
     for name, kind in zip(new, ["long", "string", "string", T.ArrayType(T.IntegerType())], strict=False):
         schema = schema.add(f"__{name}", kind)

@@ -110,7 +110,19 @@ def test_op7(docs):
         ids = sp.encode(t or "", add_bos=True, add_eos=True)
         assert got[i].ids == ids and got[i].n_tokens == len(ids)
         assert got[i].ids_sha256 == sha(np.array(ids, "<u4").tobytes()) and got[i].decoded_sha256 == sha(sp.decode(ids).encode())
-        assert c.decode(np.array(ids, "<u4").tobytes()) == sp.decode(ids)
+        assert c.decode(np.array(ids, "<u4").tobytes()) == sp.decode(ids).encode()
+
+
+def test_op7_checks_chunks_of_every_kind(monkeypatch):
+    """A wrong encoding of any chunk is noticed: of a first word of a line, a line feed, marks alone."""
+    c = o7.MergeCodec(P.path("piece_bpe_32k.model"))
+    kinds = ["Word", "\n", o7.MARK, o7.MARK * 3, o7.MARK + "word", o7.MARK * 2 + "word", "é", "\x00", "日本"]
+    assert len(c._encode_checked(kinds)) == len(kinds)
+    real = c.encode_chunk
+    for k in kinds:
+        monkeypatch.setattr(c, "encode_chunk", lambda x, k=k: [*real(x), 5] if x == k else real(x))
+        with pytest.raises(ValueError, match="otherwise"):
+            c._encode_checked(kinds)
 
 
 def test_long_agenda_equals_short_one():
