@@ -1,11 +1,13 @@
 """Token ids in shards, each a wavelet matrix in one compressed file.
 
 A shard holds the ids of consecutive documents. Bit-planes, most significant first, are stably parted by
-their bits; with counts of set bits at regular places they answer access (which id is at a place), rank (how
+their bits; with counts of the set bits before each block they answer access (which id is at a place), rank (how
 often an id is before a place), count and select (where is its k-th occurrence) without the ids themselves.
 
-File: 8 bytes of magic, the length of a JSON head, the head, then zstd frames: each plane, the documents' ids and
-their lengths. The head gives each frame's place, so a reader fetches only the planes that it needs.
+File: 8 bytes of magic, the head's length and the directory's compressed one, the head (JSON), the directory (the set bits and the
+compressed bytes of each block of each plane), then zstd frames: the blocks, plane by plane, the documents' ids and their lengths.
+``open_shard`` reads head and directory, and then the blocks that a question needs: one for each plane for an access, two for a rank,
+wherever they are in a file of any size.
 
 Documents are in ascending doc_id order: ranges of doc_id are dealt to tasks, which sort them. Null and empty texts
 have the end id only. A null doc_id comes first, and rows that repeat a doc_id follow one another. Other columns are
@@ -18,7 +20,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -33,23 +35,23 @@ from tokenizers import Tokenizer
 from .shared import opened, partitions, shared_folder, table
 from .words import IdMemory, blocks
 
-MAGIC = b"WMATRIX1"
+MAGIC = b"WMATRIX2"
 END = 1
 #: A special token of the vocabulary.
 STOP = "<|endoftext|>"
 #: Ids of a shard, beyond which the next document begins another one.
 SHARD = 1 << 22
-STEP = 512
+#: Bits of a plane's block.
+STEP = 1 << 14
 NULL = -(2**63)
 
 
 class WaveletMatrix:
-    def __init__(self, planes: list[np.ndarray], n: int):
-        self.planes, self.n = planes, n
-        self.sums = []
-        for p in planes:
-            per = np.bitwise_count(np.pad(p, (0, -len(p) % (STEP // 8))).reshape(-1, STEP // 8)).sum(axis=1, dtype=np.int64)
-            self.sums.append(np.concatenate([[0], np.cumsum(per)]))
+    """planes: a function (level, block) -> the block's bytes. ones: set bits of each block, a row for each plane."""
+
+    def __init__(self, block: Callable[[int, int], np.ndarray], ones: np.ndarray, n: int):
+        self.block, self.n, self.levels = block, n, len(ones)
+        self.sums = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in ones]
         self.zeros = [n - int(s[-1]) for s in self.sums]
 
     @classmethod
@@ -60,30 +62,38 @@ class WaveletMatrix:
             one = (x >> level & 1).astype(np.uint8).view(bool)
             planes.append(np.packbits(one, bitorder="little"))
             x = np.concatenate([np.compress(~one, x), np.compress(one, x)])
-        return cls(planes, len(ids))
+        wide = STEP // 8
+        ones = np.array([np.bitwise_count(np.pad(p, (0, -len(p) % wide)).reshape(-1, wide)).sum(axis=1, dtype=np.int64) for p in planes])
+        return cls(lambda level, b: planes[level][b * wide : (b + 1) * wide], ones, len(ids))
+
+    def blocks(self) -> int:
+        return -(-self.n // STEP)
 
     def ids(self) -> np.ndarray:
         """All ids, in order."""
-        x = np.zeros(self.n, dtype=np.uint32 if len(self.planes) > 16 else np.uint16)
-        for level, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1], strict=True)):
+        x = np.zeros(self.n, dtype=np.uint32 if self.levels > 16 else np.uint16)
+        for level in range(self.levels - 1, -1, -1):
+            plane, zeros = np.concatenate([self.block(level, b) for b in range(self.blocks())]) if self.n else np.zeros(0, np.uint8), self.zeros[level]
             one = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             back = np.empty_like(x)
             back[~one] = x[:zeros]
-            back[one] = x[zeros:] | x.dtype.type(1 << level)
+            back[one] = x[zeros:] | x.dtype.type(1 << (self.levels - 1 - level))
             x = back
         return x
 
     def _ones(self, level: int, i: int) -> int:
         """Set bits of a plane before place i."""
-        a = i // STEP
-        part = self.planes[level][a * STEP // 8 : -(-i // 8)]
-        bits = np.unpackbits(part, count=i - a * STEP, bitorder="little") if i > a * STEP else part[:0]
-        return int(self.sums[level][a]) + int(bits.sum())
+        a, rest = divmod(i, STEP)
+        if not rest:
+            return int(self.sums[level][a])
+        return int(self.sums[level][a]) + int(np.unpackbits(self.block(level, a), count=rest, bitorder="little").sum())
 
     def access(self, i: int) -> int:
+        if not 0 <= i < self.n:
+            raise IndexError(i)
         out = 0
-        for level, plane in enumerate(self.planes):
-            bit = int(plane[i // 8] >> (i % 8) & 1)
+        for level in range(self.levels):
+            bit = int(self.block(level, i // STEP)[i % STEP // 8] >> (i % 8) & 1)
             ones = self._ones(level, i)
             i = self.zeros[level] + ones if bit else i - ones
             out = out * 2 + bit
@@ -91,9 +101,9 @@ class WaveletMatrix:
 
     def _range(self, token: int, i: int) -> tuple[int, int]:
         a, b = 0, i
-        for level in range(len(self.planes)):
+        for level in range(self.levels):
             x, y = self._ones(level, a), self._ones(level, b)
-            one = token >> (len(self.planes) - 1 - level) & 1
+            one = token >> (self.levels - 1 - level) & 1
             a, b = (self.zeros[level] + x, self.zeros[level] + y) if one else (a - x, b - y)
         return a, b
 
@@ -111,14 +121,14 @@ class WaveletMatrix:
         if not 0 <= k < b - a:
             raise IndexError(k)
         i = a + k
-        for level in range(len(self.planes) - 1, -1, -1):
+        for level in range(self.levels - 1, -1, -1):
             i = self._select_bit(level, i - self.zeros[level], True) if i >= self.zeros[level] else self._select_bit(level, i, False)
         return i
 
     def _select_bit(self, level: int, k: int, one: bool) -> int:
         before = self.sums[level] if one else np.minimum(np.arange(len(self.sums[level])) * STEP, self.n) - self.sums[level]
         a = int(np.searchsorted(before, k, side="right")) - 1
-        bits = np.unpackbits(self.planes[level][a * STEP // 8 : (a + 1) * STEP // 8], count=min(STEP, self.n - a * STEP), bitorder="little")
+        bits = np.unpackbits(self.block(level, a), count=min(STEP, self.n - a * STEP), bitorder="little")
         return a * STEP + int(np.flatnonzero(bits == one)[k - int(before[a])])
 
     def occurrences(self, token: int) -> list[int]:
@@ -127,32 +137,86 @@ class WaveletMatrix:
 
 def write_shard(uri: str, ids: np.ndarray, bits: int, docs: np.ndarray, sizes: np.ndarray) -> int:
     """Returns the file's bytes."""
-    pack = zstandard.ZstdCompressor(level=1).compress
-    frames = [pack(p.tobytes()) for p in WaveletMatrix.build(ids, bits).planes] + [pack(docs.astype("<i8").tobytes()), pack(sizes.astype("<i8").tobytes())]
-    head = json.dumps({"n": len(ids), "bits": bits, "docs": len(docs), "frames": [len(f) for f in frames]}).encode()
+    pack = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
+    m = WaveletMatrix.build(ids, bits)
+    blocks = [pack(m.block(level, b).tobytes()) for level in range(bits) for b in range(m.blocks())]
+    ones = np.diff(np.array(m.sums), axis=1).astype("<u2")
+    directory = pack(ones.tobytes() + np.array([len(x) for x in blocks], dtype="<u2").tobytes())
+    tail = [pack(docs.astype("<i8").tobytes()), pack(sizes.astype("<i8").tobytes())]
+    head = json.dumps({"n": len(ids), "bits": bits, "step": STEP, "docs": len(docs), "blocks": sum(map(len, blocks)), "tail": [len(x) for x in tail]}).encode()
     where, path = opened(uri)
     where.create_dir(path.rpartition("/")[0], recursive=True)
     context = TaskContext.get()
     part = f"{path}.{context.taskAttemptId() if context else 0}.part"
-    with where.open_output_stream(part) as f:
-        for x in (MAGIC, len(head).to_bytes(8, "little"), head, *frames):
-            f.write(x)
+    whole = b"".join([MAGIC, len(head).to_bytes(8, "little"), len(directory).to_bytes(8, "little"), head, directory, *blocks, *tail])
+    with where.open_output_stream(part, compression=None) as f:
+        f.write(whole)
     where.move(part, path)
-    return sum(map(len, frames)) + len(head) + 16
+    return len(whole)
 
 
-def read_shard(uri: str, *, only_planes: bool = False) -> tuple[WaveletMatrix, np.ndarray, np.ndarray]:
-    """The matrix, the documents' ids and their numbers of token ids."""
-    where, path = opened(uri)
-    with where.open_input_file(path) as f:
-        if f.read(8) != MAGIC:
+class Shard:
+    """An open shard: matrix answers from the blocks that it fetches, documents() gives the documents' ids and lengths.
+
+    read counts the bytes that were fetched."""
+
+    def __init__(self, uri: str):
+        where, path = opened(uri)
+        self.file, self.read = where.open_input_file(path), 0
+        first = self._fetch(0, 24)
+        if first[:8] != MAGIC:
             raise ValueError(f"{uri} is no shard")
-        head = json.loads(f.read(int.from_bytes(f.read(8), "little")))
-        unpack = zstandard.ZstdDecompressor().decompress
-        frames = [unpack(f.read(n)) if n else b"" for n in head["frames"]]
-    planes = [np.frombuffer(x, dtype=np.uint8) for x in frames[: head["bits"]]]
-    docs, sizes = (np.frombuffer(x, dtype="<i8") for x in frames[head["bits"] :])
-    return WaveletMatrix(planes, head["n"]), docs, sizes
+        size, wide = (int.from_bytes(first[i : i + 8], "little") for i in (8, 16))
+        self.head = head = json.loads(self._fetch(24, size))
+        if head["step"] != STEP:
+            raise ValueError(f"{uri} has blocks of {head['step']} bits")
+        shape = (2, head["bits"], -(-head["n"] // STEP))
+        ones, sizes = np.frombuffer(unpacked(self._fetch(24 + size, wide)), dtype="<u2").reshape(shape).astype(np.int64)
+        self.begin = 24 + size + wide
+        self.at = np.concatenate([[0], np.cumsum(sizes.ravel())])
+        self.held: dict[int, np.ndarray] = {}
+        self.matrix = WaveletMatrix(self._block, ones, head["n"])
+
+    def _fetch(self, at: int, size: int) -> bytes:
+        self.read += size
+        return self.file.read_at(size, at)
+
+    def _block(self, level: int, b: int) -> np.ndarray:
+        k = level * self.matrix.blocks() + b
+        if k not in self.held:
+            if len(self.held) > 4096:
+                self.held.clear()
+            a, end = int(self.at[k]), int(self.at[k + 1])
+            self.held[k] = np.frombuffer(unpacked(self._fetch(self.begin + a, end - a)), dtype=np.uint8)
+        return self.held[k]
+
+    def ids(self) -> np.ndarray:
+        """All ids, by one read of all blocks."""
+        data = memoryview(self._fetch(self.begin, self.head["blocks"]))
+        planes = lambda level, b: np.frombuffer(unpacked(data[self.at[level * self.matrix.blocks() + b] : self.at[level * self.matrix.blocks() + b + 1]]), dtype=np.uint8)
+        return WaveletMatrix(planes, np.diff(np.array(self.matrix.sums), axis=1), self.matrix.n).ids()
+
+    def documents(self) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.head["tail"]
+        data = self._fetch(self.begin + self.head["blocks"], a + b)
+        return tuple(np.frombuffer(unpacked(x), dtype="<i8") for x in (data[:a], data[a:]))
+
+    def close(self) -> None:
+        self.file.close()
+
+    def __enter__(self) -> Shard:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+
+def unpacked(frame: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(frame)
+
+
+def open_shard(uri: str) -> Shard:
+    return Shard(uri)
 
 
 _memories: dict[str, tuple[IdMemory, int]] = {}
@@ -242,8 +306,8 @@ def read_shards(shards: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                matrix, docs, sizes = read_shard(uri)
-                ids = matrix.ids().astype("<u4").tobytes()
+                with open_shard(uri) as shard:
+                    ids, (docs, sizes) = shard.ids().astype("<u4").tobytes(), shard.documents()
                 cut = np.concatenate([[0], np.cumsum(sizes)])
                 at = (cut * 4).tolist()
                 crc = [zlib.crc32(ids[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]

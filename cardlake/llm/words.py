@@ -55,9 +55,9 @@ def pieces(texts: list[str], size: int = 1 << 21):
 
 
 class IdMemory:
-    """Token ids of words by the words' 64-bit hashes: an open-addressing table in flat arrays, looked up for a whole batch at once.
+    """Token ids of words: an open-addressing table in flat arrays, looked up for a whole batch at once by the words' 64-bit hashes.
 
-    When limit words are known, all are forgotten: frequent ones are soon back."""
+    Every word that is found is compared with the one that was learned; a batch in which one differs is encoded without the table. When limit words are known, all are forgotten: frequent ones are soon back."""
 
     def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], limit: int = 1 << 20):
         self.encode, self.limit, self.mask = encode, limit, np.uint64(4 * limit - 1)
@@ -69,6 +69,8 @@ class IdMemory:
         self.n = self.used = 0
         self.starts, self.sizes = np.zeros(self.limit * 2, np.int64), np.zeros(self.limit * 2, np.int32)
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
+        self.text = np.zeros(1 << 16, dtype=np.uint8)
+        self.letters, self.text_at, self.text_size = 0, np.zeros(self.limit * 2, np.int64), np.zeros(self.limit * 2, np.int32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Rows of the hashes, or -1."""
@@ -82,8 +84,9 @@ class IdMemory:
             left, at = left[go], (at[go] + np.uint64(1)) & self.mask
         return out
 
-    def learn(self, h: np.ndarray, codes: list[np.ndarray]) -> None:
+    def learn(self, h: np.ndarray, words: list[bytes], codes: list[np.ndarray]) -> None:
         """Distinct new hashes."""
+        self._remember(words)
         sizes = np.array([len(c) for c in codes], dtype=np.int32)
         flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
         while self.used + len(flat) > len(self.ids):
@@ -103,6 +106,31 @@ class IdMemory:
         self.n += len(h)
         self.used += len(flat)
 
+    def _remember(self, words: list[bytes]) -> None:
+        raw, sizes = np.frombuffer(b"".join(words), dtype=np.uint8), np.array([len(w) for w in words], dtype=np.int32)
+        while self.letters + len(raw) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        while self.n + len(words) > len(self.text_at):
+            self.text_at, self.text_size = np.concatenate([self.text_at, np.zeros_like(self.text_at)]), np.concatenate([self.text_size, np.zeros_like(self.text_size)])
+        self.text[self.letters : self.letters + len(raw)] = raw
+        self.text_at[self.n : self.n + len(words)] = self.letters + np.cumsum(sizes) - sizes
+        self.text_size[self.n : self.n + len(words)] = sizes
+        self.letters += len(raw)
+
+    def _same(self, data: np.ndarray, sizes: np.ndarray, row: np.ndarray) -> bool:
+        """Whether the words of data are those of the rows."""
+        if (self.text_size[row] != sizes).any():
+            return False
+        inside = data[K.SPACE[data]]  # the words, one after the other
+        return bool((self.text[K.ranges(self.text_at[row], sizes)] == inside).all())
+
+    def _exactly(self, words: list[bytes], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        different = list(dict.fromkeys(words))
+        codes = dict(zip(different, self.encode([w.decode() for w in different]), strict=True))
+        ids = [codes[w] for w in words]
+        cut = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+        return np.concatenate(ids), np.diff(cut[first])
+
     def encode_block(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows' words, one after the other, and each row's number of ids."""
         start, end, first = K.word_spans(data, offs, K.SPACE)
@@ -115,9 +143,12 @@ class IdMemory:
                 new = np.arange(len(h))
             keys, at = np.unique(h[new], return_index=True)
             raw = data.tobytes()
-            words = [raw[a:b].decode() for a, b in zip(start[new[at]].tolist(), end[new[at]].tolist(), strict=True)]
-            self.learn(keys, self.encode(words))
+            words = [raw[a:b] for a, b in zip(start[new[at]].tolist(), end[new[at]].tolist(), strict=True)]
+            self.learn(keys, words, self.encode([w.decode() for w in words]))
             row[new] = self.find(h[new])
+        if not self._same(data, (end - start).astype(np.int64), row):
+            raw = data.tobytes()
+            return self._exactly([raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)], first)
         size = self.sizes[row].astype(np.int64)
         cut = np.concatenate([[0], np.cumsum(size)])
         return self.ids[K.ranges(self.starts[row], size)], np.diff(cut[first])

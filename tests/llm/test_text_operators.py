@@ -14,6 +14,7 @@ import sentencepiece
 from helpers import documents, frame, text
 from tokenizers import Tokenizer
 
+from cardlake.llm import kernels as K
 from cardlake.llm import op1_decontaminate as o1
 from cardlake.llm import op2_warc_normalise as o2
 from cardlake.llm import op3_token_shards as o3
@@ -142,14 +143,43 @@ def test_op3(spark, docs):
             start += len(ids)
 
 
-def test_wavelet_matrix():
-    x = np.random.default_rng(0).integers(0, 300, 3000)
-    w = o3.WaveletMatrix.build(x, 9)
-    assert (w.ids() == x).all()
-    for i in (0, 511, 512, 2999):
-        assert w.access(i) == x[i] and w.rank(int(x[i]), i) == (x[:i] == x[i]).sum()
-    for token in (int(x[5]), 7, 299, 300):
-        assert w.occurrences(token) == np.flatnonzero(x == token).tolist() and w.count(token) == (x == token).sum()
+def test_wavelet_matrix(tmp_path):
+    x = np.random.default_rng(0).integers(0, 300, 40_000)
+    uri = f"file://{tmp_path}/x.wm"
+    o3.write_shard(uri, x, 9, np.arange(3), np.array([1, 2, len(x) - 3]))
+    with o3.open_shard(uri) as shard:
+        assert (shard.ids() == x).all() and [v.tolist() for v in shard.documents()] == [[0, 1, 2], [1, 2, len(x) - 3]]
+        for w in (o3.WaveletMatrix.build(x, 9), shard.matrix):
+            assert (w.ids() == x).all()
+            for i in (0, 511, o3.STEP, o3.STEP + 1, 2 * o3.STEP, len(x) - 1):
+                assert w.access(i) == x[i] and w.rank(int(x[i]), i) == (x[:i] == x[i]).sum()
+            for token in (int(x[5]), 7, 299, 300):
+                assert w.occurrences(token) == np.flatnonzero(x == token).tolist() and w.count(token) == (x == token).sum()
+
+
+def test_one_question_reads_little_of_a_shard(tmp_path):
+    x = np.random.default_rng(0).integers(0, 49_000, o3.SHARD)
+    uri = f"file://{tmp_path}/x.wm"
+    size = o3.write_shard(uri, x, 16, np.arange(1), np.array([len(x)]))
+    for ask, part in ((lambda m: m.access(3_000_000) == x[3_000_000], 0.01), (lambda m: m.rank(77, 2_000_001) == (x[:2_000_001] == 77).sum(), 0.02), (lambda m: m.select(77, 5) == np.flatnonzero(x == 77)[5], 0.03)):
+        with o3.open_shard(uri) as shard:
+            assert ask(shard.matrix) and shard.read < part * size, shard.read / size
+
+
+def test_op3_words_of_equal_hash(spark, monkeypatch):
+    tk = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    m = o3.IdMemory(lambda words: [np.array(tk.encode(w, add_special_tokens=False).ids, dtype=np.uint32) for w in words])
+    x = "ab"
+    for _ in range(11):
+        x += x.translate(str.maketrans("ab", "ba"))
+    texts = [f"one {x} two", f"one {x.translate(str.maketrans('ab', 'ba'))} two", "", "one"]
+    for hashes in (K.span_hashes, lambda d, a, b: np.ones(len(a), np.uint64)):
+        monkeypatch.setattr("cardlake.llm.kernels.span_hashes", hashes)
+        m.forget()
+        (data, offs), = list(o3.blocks(pa.array(texts)))
+        for _ in range(2):
+            ids, sizes = m.encode_block(data, offs)
+            assert ids.tolist() == [i for t in texts for i in tk.encode(t, add_special_tokens=False).ids] and sizes.tolist() == [len(tk.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 def test_op2(spark):
