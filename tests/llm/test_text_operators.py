@@ -361,6 +361,22 @@ def test_op10(docs):
         assert prints.setdefault(a, r.fingerprint) == r.fingerprint
 
 
+def test_printed_fingerprints_tell_what_differs():
+    rng = random.Random(9)
+    base = [text(rng, 8) + "." for _ in range(60)]
+    versions = [" ".join([*base[:k], *(text(rng, 8) + "." for _ in range(k % 5)), *base[k + k % 3 :]]) for k in range(40)] + ["", "x"]
+    prints = [o10.sketched(*o10.digests(pa.array([v]))).texts(np.array([len(o10.digests(pa.array([v]))[0])]))[0] for v in versions]
+    sets = [set(o10.digests(pa.array([v]))[0].tolist()) for v in versions]
+    pairs = list(itertools.product(range(len(versions)), repeat=2))
+    mine, other, like, clear = o10.differences([prints[a] for a, _ in pairs], [prints[b] for _, b in pairs])
+    for i, (a, b) in enumerate(pairs):
+        if clear[i]:
+            assert (set(mine[i]), set(other[i])) == (sets[a] - sets[b], sets[b] - sets[a])
+            assert abs(like[i] - (len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1.0)) < 1e-12
+    few = np.array([len(sets[a] ^ sets[b]) <= 12 for a, b in pairs])
+    assert clear[few].mean() > 0.9 and few.sum() > 100
+
+
 def test_lone_and_empty_tables(spark):
     one = o10.fingerprints(frame(spark, [(1, "abc def ghi")])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
