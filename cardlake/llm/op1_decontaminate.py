@@ -7,9 +7,11 @@ sequences are compared place by place on the hit's diagonal. A stretch of it wit
 is a leak, and so is a whole item of fewer than 15 tokens with 80 % matches. Reported is the stretch that scores best (a match
 counts 1, a mismatch -2) if it is a leak, else the leak with the most matches.
 
-The benchmark's seeds go to all tasks while its text has at most BROADCAST_BYTES, which is checked; beyond, seeds are
-joined by a shuffle, with the same result. Items of fewer than MIN_ITEM tokens are ignored (too common to tell). Null and
-empty texts, on either side, match nothing. Repeated documents are each reported. Other columns are ignored.
+The benchmark's seeds go to all tasks while its text has at most BROADCAST_BYTES, which is checked (its arrays take some twenty
+times that); beyond, seeds are joined by a shuffle, with the same result. Of the documents' seeds only those go there that a bitmap of the
+benchmark's seeds has, whose size is fixed. Items of fewer than MIN_ITEM tokens are ignored (too common to tell). Null and
+empty texts, on either side, match nothing. Repeated documents are each reported, and so are documents without a doc_id. Items without
+an item_id are ignored, repeated items are each reported. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ SEEDED = 14
 MIN_ITEM = 5
 MIN_MATCHES = 12
 SHARE = 0.8
-BROADCAST_BYTES = 8 << 20
-LEAKS = "doc_id long, item_id long, doc_start int, n_tokens int, n_matched int, share double"
+BROADCAST_BYTES = 2 << 20
+#: Bits of a seed that say which bit of the bitmap (16 MB) is its own.
+BITS = 27
+LEAKS = "doc_id long, text_hash long, item_id long, doc_start int, n_tokens int, n_matched int, share double"
 _rng = np.random.default_rng(1)
 FACTORS = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -112,14 +116,14 @@ def _leaks(hits: list[tuple[int, int, int]], doc_tokens, item_tokens, doc_id, it
     for d, i, shift in hits:
         item = item_tokens(i)
         if found := stretch(item, doc_tokens(d), shift):
-            row = (doc_id(d), item_id(i), *found, found[2] / len(item))
-            if (d, i) not in best or row[4] > best[d, i][4]:
+            row = (*doc_id(d), item_id(i), *found, found[2] / len(item))
+            if (d, i) not in best or row[5] > best[d, i][5]:
                 best[d, i] = row
     return list(best.values())
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
     return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in LEAKS.split(", ")])
 
 
@@ -137,7 +141,7 @@ def _small_benchmark(docs: DataFrame, items: list) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.small(batches, 1):
             doc, at = tokens(b.column(1))
-            ids_ = b.column(0)
+            ids_, ties = b.column(0), b.column(2)
             found = [np.zeros((0, 3), np.int64)]
             for m in masks:
                 h = seeds(doc, m)
@@ -150,11 +154,21 @@ def _small_benchmark(docs: DataFrame, items: list) -> DataFrame:
                 ok = place + len(MASKS[m]) <= at[row + 1]
                 found.append(np.stack([row[ok], rows[seed[ok]], place[ok] - at[row[ok]] - places[seed[ok]]], axis=1))
             hits = np.unique(np.concatenate(found), axis=0).tolist()
-            out = _leaks(hits, lambda d: doc[at[d] : at[d + 1]], lambda i: x[first[i] : first[i + 1]], lambda d: ids_[d].as_py(), lambda i: ids[i])
+            out = _leaks(hits, lambda d: doc[at[d] : at[d + 1]], lambda i: x[first[i] : first[i + 1]], lambda d: (ids_[d].as_py(), ties[d].as_py()), lambda i: ids[i])
             if out:
                 yield _batch(out)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, LEAKS)
+    return docs.mapInArrow(scan, LEAKS)
+
+
+def seed_bitmap(seeds: DataFrame) -> np.ndarray:
+    """Which values the first BITS bits of seeds have; 2 ** BITS bits, however many seeds there are."""
+    top = F.shiftrightunsigned("seed", 64 - BITS)
+    parts = seeds.groupBy(F.shiftright(top, 15).alias("part")).agg(F.bitmap_construct_agg(top.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    out = np.zeros((1 << (BITS - 15), 1 << 12), dtype=np.uint8)
+    for r in parts.collect():  # 4096 rows of 4 kB at most
+        out[r.part] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out.ravel()
 
 
 def _large_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -166,42 +180,48 @@ def _large_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     masks = sorted(r.mask for r in items.mapInArrow(used, "mask int").distinct().collect())
 
+    def emit_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, row, place = item_seeds(*tokens(b.column(1)))
+            yield pa.record_batch([K.signed(h), b.column(0).take(pa.array(row)), b.column(2).take(pa.array(row)), place.astype(np.int32)], names=["seed", "item_id", "item_hash", "of"])
+
+    right = items.mapInArrow(emit_items, "seed long, item_id long, item_hash long, of int")
+    known = seed_bitmap(right)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.small(batches, 1):
             x, at = tokens(b.column(1))
-            ids = b.column(0).to_numpy(zero_copy_only=False)
             for m in masks:
                 h = seeds(x, m)
-                row = np.searchsorted(at, np.arange(len(h)), side="right") - 1
-                ok = np.arange(len(h)) + len(MASKS[m]) <= at[row + 1]
-                yield pa.record_batch([K.signed(h[ok]), ids[row[ok]].astype(np.int64), (np.flatnonzero(ok) - at[row[ok]]).astype(np.int32)], names=["seed", "id", "place"])
-
-    def emit_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, row, place = item_seeds(*tokens(b.column(1)))
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            yield pa.record_batch([K.signed(h), ids[row].astype(np.int64), place.astype(np.int32)], names=["seed", "id", "place"])
+                bit = (h >> np.uint64(64 - BITS)).astype(np.int64)
+                place = np.flatnonzero(known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                row = np.searchsorted(at, place, side="right") - 1
+                ok = place + len(MASKS[m]) <= at[row + 1]
+                place, row = place[ok], row[ok]
+                yield pa.record_batch([K.signed(h[place]), b.column(0).take(pa.array(row)), b.column(2).take(pa.array(row)), (place - at[row]).astype(np.int32)], names=["seed", "doc_id", "text_hash", "at"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             (x, at), (y, of) = tokens(b.column("text")), tokens(b.column("item"))
             shifts = b.column("shifts").to_pylist()
             hits = [(r, r, s) for r in range(b.num_rows) for s in shifts[r]]
-            if out := _leaks(hits, lambda d: x[at[d] : at[d + 1]], lambda i: y[of[i] : of[i + 1]], lambda d: b.column("doc_id")[d].as_py(), lambda i: b.column("item_id")[i].as_py()):
+            whose = lambda d: (b.column("doc_id")[d].as_py(), b.column("text_hash")[d].as_py())  # noqa: B023, E731
+            if out := _leaks(hits, lambda d: x[at[d] : at[d + 1]], lambda i: y[of[i] : of[i + 1]], whose, lambda i: b.column("item_id")[i].as_py()):
                 yield _batch(out)
 
-    kind = "seed long, id long, place int"
-    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    left = docs.mapInArrow(emit, kind).withColumnsRenamed({"id": "doc_id", "place": "at"})
-    right = items.mapInArrow(emit_items, kind).withColumnsRenamed({"id": "item_id", "place": "of"})
-    hits = left.join(right, "seed").groupBy("doc_id", "item_id").agg(F.collect_set(F.col("at") - F.col("of")).alias("shifts"))
-    whole = hits.join(docs, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id").repartition(n, "doc_id", "item_id")
-    return whole.select("doc_id", "item_id", "shifts", "text", "item").mapInArrow(verify, LEAKS)
+    left = docs.mapInArrow(emit, "seed long, doc_id long, text_hash long, at int")
+    one, other = ["doc_id", "text_hash"], ["item_id", "item_hash"]
+    hits = left.join(right, "seed").groupBy(*one, *other).agg(F.collect_set(F.col("at") - F.col("of")).alias("shifts"))
+    texts = docs.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "text")
+    whole = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+    whole = whole.join(items.withColumnRenamed("text", "item"), other).repartition(n, *one, *other)
+    return whole.select("doc_id", "text_hash", "item_id", "shifts", "text", "item").mapInArrow(verify, LEAKS)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """A row for each document and the benchmark item that it holds a passage of."""
-    items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), "text")
+    """A row for each document and the benchmark item that it holds a passage of. text_hash tells documents of one doc_id, or none, apart."""
+    items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), "text", F.xxhash64("text").alias("item_hash"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     if size <= broadcast_bytes:
         return _small_benchmark(docs, items.collect())
@@ -209,4 +229,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAS
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_hash")

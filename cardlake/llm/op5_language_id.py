@@ -4,11 +4,11 @@ Each language has probabilities for the pieces of a fixed public vocabulary. A w
 segmentations into pieces of the product of their probabilities, which a forward pass gives; a text's is the product over its
 words, and its language the likeliest. The probabilities are fitted by expectation-maximisation, with forward and backward passes.
 
-Words are lower case, split at spaces and line feeds, without what is no letter at either end; a word of more than LONGEST letters counts
-as several. Characters without a piece count as unlikely pieces of their own.
+Words are lower case, split at spaces and line feeds, without what is no letter at either end; they may be of any length, and all pieces of
+the vocabulary take part. Characters without a piece count as unlikely pieces of their own.
 
-Fitted on at most SAMPLE documents of each language (those of the least hashes of doc_id) and the WORDS most frequent words of
-each; whole texts are read in tasks, and counts of words come to the driver. Texts that are null or have no letter get ``und`` and 0;
+Fitted on at most SAMPLE documents of each language (those of the least hashes of doc_id) and all their words; whole texts are read
+in tasks, and counts of words come to the driver. Texts that are null or have no letter get ``und`` and 0;
 so do all if nothing could be learned. Null languages and held-out rows teach nothing. Rows that repeat a doc_id are each judged. A null doc_id
 is not held out. Other columns are ignored. An empty table gives an empty table.
 """
@@ -30,9 +30,8 @@ from . import kernels as K
 from .words import Memory, pieces
 
 SAMPLE = 600
-WORDS = 20_000
-LONGEST = 24
-PIECE = 8
+#: Words of more characters go through the forward pass one by one.
+USUAL = 40
 MARK = "▁"
 UNSEEN = 1e-7
 SMOOTH = 0.05
@@ -40,16 +39,16 @@ EDGES = regex.compile(r"^[^\p{L}]+|[^\p{L}]+$")
 
 
 class Pieces:
-    """A vocabulary's pieces of up to PIECE characters, found by hash."""
+    """A vocabulary's pieces, found by hash."""
 
     def __init__(self, path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         names = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-        names = sorted(p for p in names if p.strip(MARK) and len(p) <= PIECE)
+        names = sorted(p for p in names if p.strip(MARK))
         by_size: dict[int, list[str]] = {}
         for p in names:
             by_size.setdefault(len(p), []).append(p)
-        self.hashes, self.numbers, self.n = {}, {}, len(names)
+        self.hashes, self.numbers, self.n, self.longest = {}, {}, len(names), max(by_size)
         number = {p: i for i, p in enumerate(names)}
         for size, group in by_size.items():
             h = self._hash(np.array([[ord(c) for c in p] for p in group], dtype=np.uint64), 0, size)
@@ -69,7 +68,7 @@ class Pieces:
         out = []
         for a in range(size):
             h = np.zeros(len(chars), dtype=np.uint64)
-            for b in range(a + 1, min(size, a + PIECE) + 1):
+            for b in range(a + 1, min(size, a + self.longest) + 1):
                 h = K.mix(h * np.uint64(K.BASE) + chars[:, b - 1] + np.uint64(1))
                 have = self.hashes.get(b - a)
                 if have is None:
@@ -84,6 +83,21 @@ class Pieces:
         return out
 
 
+    def spans(self, chars: np.ndarray) -> list[np.ndarray]:
+        """For each length from 1 on, the piece (or -1) at each place of one word; the piece of an unknown character is n."""
+        h, out = np.zeros(len(chars), dtype=np.uint64), []
+        for size in range(1, min(self.longest, len(chars)) + 1):
+            h = K.mix(h[: len(chars) - size + 1] * np.uint64(K.BASE) + chars[size - 1 :] + np.uint64(1))
+            have = self.hashes.get(size)
+            if have is None:
+                which = np.full(len(h), -1)
+            else:
+                i = np.minimum(np.searchsorted(have, h), len(have) - 1)
+                which = np.where(have[i] == h, self.numbers[size][i], -1)
+            out.append(np.where(which < 0, self.n, which) if size == 1 else which)
+        return out
+
+
 def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers and characters of the words of each length."""
     sizes = np.array([len(w) for w in words])
@@ -102,10 +116,30 @@ def forward(lattice: list[tuple[int, int, np.ndarray]], size: int, rows: int, p:
     return alpha
 
 
+def long_word(vocabulary: Pieces, word: str, p: np.ndarray) -> np.ndarray:
+    """Log of the sum over all segmentations of one word of any length, for each language: the forward pass with the last sums only, rescaled as it goes."""
+    chars = np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    spans = vocabulary.spans(chars)
+    reach = len(spans)
+    alpha = np.zeros((reach, p.shape[1]))  # alpha[-k]: the sum of the segmentations of all but the next k - 1 characters
+    alpha[-1] = 1
+    scale = np.zeros(p.shape[1])
+    for b in range(1, len(chars) + 1):
+        sizes = np.arange(1, min(reach, b) + 1)
+        new = (alpha[-sizes] * p[[spans[k - 1][b - k] for k in sizes.tolist()]]).sum(axis=0)
+        alpha = np.concatenate([alpha[1:], new[None]])
+        top = alpha.max(axis=0)
+        alpha /= top
+        scale += np.log(top)
+    return np.log(np.maximum(alpha[-1], 1e-300)) + scale
+
+
 def fit_pieces(vocabulary: Pieces, words: list[str], counts: np.ndarray, steps: int = 4) -> np.ndarray:
     """Probabilities of the pieces (and last of unknown characters) that make the words likely."""
     p = np.full((vocabulary.n + 2, 1), 1 / vocabulary.n)
     p[-2], p[-1] = UNSEEN, 0
+    usual = [i for i, w in enumerate(words) if len(w) <= USUAL]  # a longer word is rare, and its sums underflow here
+    words, counts = [words[i] for i in usual], counts[usual]
     lattices = [(at, chars.shape[1], vocabulary.lattice(chars)) for at, chars in _by_length(words)]
     for _ in range(steps):
         seen = np.zeros(vocabulary.n + 2)
@@ -122,13 +156,10 @@ def fit_pieces(vocabulary: Pieces, words: list[str], counts: np.ndarray, steps:
     return p[:, 0]
 
 
-def clean(word: str) -> list[str]:
-    """The marked word, in parts if it is long; nothing if it has no letter."""
+def clean(word: str) -> str:
+    """The marked word; empty if it has no letter."""
     w = word if word.isalpha() else EDGES.sub("", word)
-    if not w:
-        return []
-    w = MARK + w.lower()
-    return [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
+    return MARK + w.lower() if w else ""
 
 
 def split(text: str) -> list[str]:
@@ -147,26 +178,21 @@ class Model:
     def word_scores(self, words: list[str]) -> list[bytes]:
         """Log probabilities of each word by language, as 64-bit floats."""
         self.vocabulary = self.vocabulary or Pieces(self.path)
-        parts = [clean(w) for w in words]
-        flat = [x for p in parts for x in p]
-        score = np.zeros((len(flat), len(self.languages)))
-        for at, chars in _by_length(flat):
+        marked = [clean(w) for w in words]
+        out = np.zeros((len(words), len(self.languages)))
+        for at, chars in _by_length([w if len(w) <= USUAL else "" for w in marked]):
             for i in range(0, len(at), 20_000):
                 rows = at[i : i + 20_000]
                 c = chars[i : i + 20_000]
-                score[rows] = np.log(np.maximum(forward(self.vocabulary.lattice(c), c.shape[1], len(rows), self.p)[-1], 1e-300))
-        cut = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        sums = np.concatenate([np.zeros((1, score.shape[1])), np.cumsum(score, axis=0)]) if len(flat) < 2 else None
-        if sums is None and (np.diff(cut) <= 1).all():  # the usual case: a word is one part, or none
-            out = np.zeros((len(words), score.shape[1]))
-            out[np.diff(cut) == 1] = score
-        else:
-            out = np.array([score[a:b].sum(axis=0) for a, b in zip(cut[:-1], cut[1:], strict=True)]).reshape(len(words), -1)
-        raw, n = out.astype(np.float32).tobytes(), 4 * score.shape[1]
+                out[rows] = np.log(np.maximum(forward(self.vocabulary.lattice(c), c.shape[1], len(rows), self.p)[-1], 1e-300))
+        for i, w in enumerate(marked):
+            if len(w) > USUAL:
+                out[i] = long_word(self.vocabulary, w, self.p)
+        raw, n = out.astype(np.float32).tobytes(), 4 * out.shape[1]
         return [raw[i : i + n] for i in range(0, len(raw), n)]
 
 
-def fit(docs: DataFrame, path: str, sample: int = SAMPLE, words: int = WORDS) -> Model:
+def fit(docs: DataFrame, path: str, sample: int = SAMPLE) -> Model:
     """docs: doc_id, text, lang; rows held out and null languages are not read."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row for each language
@@ -182,14 +208,13 @@ def fit(docs: DataFrame, path: str, sample: int = SAMPLE, words: int = WORDS) ->
             for lang, seen in by.items():
                 parts: Counter = Counter()
                 for w, k in seen.items():
-                    for x in clean(w):
+                    if x := clean(w):
                         parts[x] += k
                 if parts:
                     yield pa.record_batch([pa.array([lang] * len(parts)), pa.array(list(parts)), pa.array(list(parts.values()), pa.int64())], names=["lang", "word", "n"])
 
     counts = picked.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    rows = counts.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= words).select("lang", "word", "n").toPandas()
+    rows = counts.orderBy("lang", "word").toPandas()  # the words of at most sample documents a language
     languages = sorted(rows.lang.unique())
     if not languages:
         return Model([], np.zeros((0, 0)), path)

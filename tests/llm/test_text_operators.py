@@ -279,6 +279,16 @@ def test_op1_verifies_every_stretch_within_the_limits():
             assert any(all(x == "0" or y == "1" for x, y in zip(m, same[i : i + len(m)], strict=True)) for m in masks for i in range(n - len(m) + 1)), same
 
 
+def test_op1_is_the_same_by_both_ways(spark):
+    """Null and repeated doc_ids, repeated items, documents with and without leaks."""
+    rng = random.Random(11)
+    items = [text(rng, n) for n in (6, 12, 30, 60)]
+    rows = [(None, "x " + items[0]), (None, items[2] + " y"), (1, items[1]), (1, items[3]), (1, items[1]), (2, text(rng, 40)), (None, None), (3, "")]
+    bench = spark.createDataFrame([(1, items[0]), (2, items[1]), (2, items[2]), (3, items[3]), (3, items[3]), (None, items[1])], "item_id long, text string")
+    small, large = (sorted(map(str, o1.leaks(frame(spark, rows), bench, limit).collect())) for limit in (1 << 23, 0))
+    assert small == large and len(small) == 1 + 1 + 2 * 1 + 2
+
+
 @pytest.mark.parametrize("limit", [1 << 23, 0])
 def test_op1_finds_items_of_5_to_15_tokens_with_substitutions(spark, limit):
     rng = np.random.default_rng(6)
@@ -345,6 +355,17 @@ def test_forward_sums_all_segmentations():
     assert abs(o5.forward(lattice, 4, 1, p)[4, 0, 0] - total(0)) < 1e-9
 
 
+def test_long_words_are_scored_whole():
+    v = o5.Pieces(P.path("piece_bpe_32k.model"))
+    p = np.random.default_rng(0).random((v.n + 2, 2)) / 50
+    p[-1] = 0
+    for w in ("▁hat", "▁" + "understanding" * 2, "▁日本語ab"):
+        (_, chars), = o5._by_length([w])
+        whole = np.log(o5.forward(v.lattice(chars), chars.shape[1], 1, p)[-1][0])
+        assert np.allclose(whole, o5.long_word(v, w, p))
+    assert v.longest > 8 and np.isfinite(o5.long_word(v, "▁" + "größe" * 5000, p)).all()
+
+
 def test_op10(docs):
     got = {r.doc_id: r for r in o10.fingerprints(docs).collect()}
     order = sorted(ROWS, key=lambda r: -r[0])
