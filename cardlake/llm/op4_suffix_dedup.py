@@ -34,7 +34,7 @@ GRAM = 24
 BLOCK = 8
 DIGIT = 8
 #: Pieces of a core beyond which each suffix is dealt by itself.
-GROUP = 50_000
+GROUP = 2_000
 
 
 def radix_groups(data: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:

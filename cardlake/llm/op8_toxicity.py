@@ -158,9 +158,9 @@ def _train(doc: np.ndarray, toxic: np.ndarray, sentence: np.ndarray, which: np.n
     return w
 
 
-def score_documents(docs: DataFrame, model: Model, *, locate: bool = False) -> DataFrame:
-    """All columns of docs, and score and (if locate) offending: the numbers of the sentences, from 0, of probability 0.5 or more."""
-    new = ["score", *(["offending"] if locate else [])]
+def score_documents(docs: DataFrame, model: Model, *, locate: bool = False, name: str = "score") -> DataFrame:
+    """All columns of docs, and the score (under name) and (if locate) offending: the numbers of the sentences, from 0, of probability 0.5 or more."""
+    new = [name, *(["offending"] if locate else [])]
     own = [c for c in docs.columns if c not in new and c != "text"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,15 +179,15 @@ def score_documents(docs: DataFrame, model: Model, *, locate: bool = False) -> D
                 high = p >= 0.5
                 size = np.bincount(row[high], minlength=b.num_rows)
                 cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array((s - base[row])[high].astype(np.int32))))
-            yield pa.record_batch([*(b.column(f"__own_{k}") for k in range(len(own))), b.column("text"), *cols], names=[*(f"__own_{k}" for k in range(len(own))), "text", *(f"__{c}" for c in new)])
+            yield pa.record_batch([*(b.column(f"__own_{k}") for k in range(len(own))), b.column("text"), *cols], names=[*(f"__own_{k}" for k in range(len(own))), "text", *(f"__new_{k}" for k in range(len(new)))])
 
-    named = docs.select(*(F.col(c).alias(f"__own_{k}") for k, c in enumerate(own)), "text")
-    schema = named.select("*").schema.add("__score", "double")
+    named = docs.select(*(F.col(f"`{c}`").alias(f"__own_{k}") for k, c in enumerate(own)), "text")
+    schema = named.select("*").schema.add("__new_0", "double")
     if locate:
-        schema = schema.add("__offending", T.ArrayType(T.IntegerType()))
+        schema = schema.add("__new_1", T.ArrayType(T.IntegerType()))
     out = named.mapInArrow(scan, schema)
     at = {c: F.col(f"__own_{k}").alias(c) for k, c in enumerate(own)} | {"text": F.col("text")}
-    return out.select(*(at[c] for c in docs.columns if c in at), *(F.col(f"__{c}").alias(c) for c in new))
+    return out.select(*(at[c] for c in docs.columns if c in at), *(F.col(f"__new_{k}").alias(c) for k, c in enumerate(new)))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,26 +3,29 @@
 Shingles are five consecutive words (``[^\\x20\\x09-\\x0D]+``, unchanged); a text of one to four words is one
 shingle. Two texts are linked if the Jaccard similarity of their shingle sets is 0.8 or more.
 
-1. Texts of equal words form a class with its least doc_id as representative; only representatives go on.
-2. Each has TREES labels of DEPTH minhashes: the paths of a forest of prefix tries. A trie's leaves that share a
-   prefix are candidates. Prefixes start at DEPTH and are shortened until the chance that a pair of
-   similarity 0.8 shares one in some tree reaches the target recall.
-3. Within each shared prefix, members whose whole signatures are far from 0.8 are told apart; what remains
-   connected is one candidate group. Prefixes of many members are dealt as pairs of blocks.
+1. Texts of equal words (by a 128-bit BLAKE2 digest) form a class; only one of each class goes on.
+2. Each has TREES labels of DEPTH minhashes: paths of a forest of prefix tries. Paths that share the shortest prefix that is
+   used are dealt to a task and sorted; neighbours' common prefixes are the trie.
+3. A trie is walked from the longest matched prefixes up. At each of its nodes the leaves of different children are compared by their
+   whole signatures, and those that seem similar are connected. Prefixes are shortened only where something is left to be connected, and
+   no further than ``stop_depth``: there the chance that a pair of similarity 0.8 shares a prefix in some tree reaches the target recall.
+   Tries of many leaves are dealt as pairs of blocks. What is connected in any tree is one candidate group.
 4. Texts are sent once to their group and all pairs there are counted exactly as products of incidence matrices, in blocks:
    a text's links are counted, not emitted, so a group of copies costs rows in proportion to its size.
 
-Texts without words are copies of each other and similar to nothing else. Nulls count as empty. Rows that repeat a
-doc_id count as copies. A null doc_id isn't joined: its row is its own class. Other columns are ignored.
+Texts without words are copies of each other and similar to nothing else. Nulls count as empty. Every row is a document: rows that repeat a
+doc_id, or have none, are told apart by their texts, and equal rows are copies. Of ids a null one counts as the largest. Other columns
+are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -31,13 +34,15 @@ from .shared import partitions, table
 
 WORDS = 5
 SIMILARITY = 0.8
-TREES = 16
-DEPTH = 8
-RECALL = 0.9995
-#: A signature of 128 hashes is off by 0.035 (one sigma) at 0.8; pairs that seem less similar than this are not candidates.
+TREES = 24
+DEPTH = 6
+RECALL = 0.99999
+#: Bytes of a label.
+LABEL = 2
+#: A signature of 144 hashes is off by 0.033 (one sigma) at 0.8; pairs that seem less similar than this are not candidates.
 SEEMS = 0.64
-#: Members of a prefix or group that one task compares.
-PART = 2000
+#: Members of a trie or group that one task compares.
+PART = 1000
 _rng = np.random.default_rng(9)
 FACTORS = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -50,8 +55,8 @@ def stop_depth(similarity: float = SIMILARITY, target: float = RECALL) -> int:
     return depth
 
 
-def shingles(column: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all shingles, the index of each row's first, and two hashes of each row's words."""
+def shingles(column: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles, and the index of each row's first."""
     data, offs = K.text_bytes(column)
     start, end, first = K.word_spans(data, offs, K.SPACE)
     words = K.span_hashes(data, start, end)
@@ -59,19 +64,19 @@ def shingles(column: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray,
     count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     cut = np.concatenate([[0], np.cumsum(count)])
     out = np.empty(int(cut[-1]), dtype=np.uint64)
-    ids = np.empty((2, len(n)), dtype=np.uint64)
     a = 0
     while a < len(n):  # rows in blocks
         b = max(a + 1, int(np.searchsorted(first, first[a] + K.BLOCK, side="right")) - 1)
         h = K.Hashes(words[first[a] : first[b]])
         at, row = K.ranges(first[a:b] - first[a], count[a:b]), np.repeat(np.arange(a, b), count[a:b])
         out[cut[a] : cut[b]] = h.spans(at, at + np.minimum(n[row], k))
-        lo, hi = first[a:b] - first[a], first[a + 1 : b + 1] - first[a]
-        ids[0, a:b] = h.spans(lo, hi) + n[a:b].astype(np.uint64)
-        h = K.Hashes(K.mix(words[first[a] : first[b]] + np.uint64(77)))
-        ids[1, a:b] = h.spans(lo, hi)
         a = b
-    return out, cut, ids[0], ids[1]
+    return out, cut
+
+
+def word_digest(text: str | None) -> bytes:
+    """Equal for equal words (bytes.split parts at the very bytes that separate words)."""
+    return hashlib.blake2b(b" ".join((text or "").encode().split()), digest_size=16).digest()
 
 
 def signatures(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -90,31 +95,24 @@ def signatures(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return out
 
 
-SIGNED = "doc long, c1 long, c2 long, keys array<long>, sig binary"
+SIGNED = "doc long, tie long, c1 long, c2 long, sig binary, salt int"
 
 
-def signed_docs(docs: DataFrame) -> DataFrame:
-    """doc, two hashes of its words, its prefix in each tree, its signature (a byte a hash); no prefixes for texts without words."""
-    depth = stop_depth()
+def signed_docs(docs: DataFrame, salts: int) -> DataFrame:
+    """docs: doc, tie, text. doc, tie, the digest of the words, the labels of all trees (none for texts without words), and one of some salts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.small(batches, 1):
-            x, cut, c1, c2 = shingles(b.column(1))
-            sig = signatures(x, cut)
-            has = np.diff(cut) > 0
-            keys = np.zeros((len(sig), TREES), dtype=np.uint64)
-            for t in range(TREES):
-                h = np.full(len(sig), t + 1, dtype=np.uint64)
-                for d in range(depth):
-                    h = K.mix(h * np.uint64(K.BASE) + sig[:, t * DEPTH + d])
-                keys[:, t] = h
-            size = np.where(has, TREES, 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(K.signed(keys[has].ravel())))
-            byte = np.ascontiguousarray((sig & 255).astype(np.uint8)).tobytes()
-            n = len(FACTORS)
-            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(K.signed(c1)), pa.array(K.signed(c2)), lists, pa.array([byte[i : i + n] for i in range(0, len(byte), n)], pa.binary())], names=["doc", "c1", "c2", "keys", "sig"])
-
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, SIGNED)
+        seen = 0
+        for b in K.small(batches):
+            x, cut = shingles(b.column("text"))
+            sig = np.ascontiguousarray((signatures(x, cut) & 0xFFFF).astype(">u2")).tobytes()
+            n, has = LABEL * len(FACTORS), (np.diff(cut) > 0).tolist()
+            digests = np.frombuffer(b"".join(map(word_digest, b.column("text").to_pylist())), dtype=np.int64).reshape(-1, 2)
+            labels = pa.array([sig[i * n : (i + 1) * n] if x else None for i, x in enumerate(has)], pa.binary())
+            yield pa.record_batch([b.column("doc"), b.column("tie"), np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1]), labels, ((seen + np.arange(b.num_rows)) % salts).astype(np.int32)], names=[c.split()[0] for c in SIGNED.split(", ")])
+            seen += b.num_rows
+
+    return docs.mapInArrow(scan, SIGNED)
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -131,80 +129,89 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Batches regrouped so that none splits a group of sorted keys, and where groups begin (with the end)."""
-    rest: pa.Table | None = None
-
-    def cuts(t: pa.Table) -> np.ndarray:
-        new = np.ones(t.num_rows, dtype=bool)
-        new[1:] = np.any([(x := t.column(c).to_numpy())[1:] != x[:-1] for c in keys], axis=0)
-        return np.append(np.flatnonzero(new), t.num_rows)
-
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        t = t if rest is None else pa.concat_tables([rest, t])
-        c = cuts(t) if t.num_rows else np.zeros(1, np.int64)
-        if len(c) > 2:
-            yield t.slice(0, c[-2]).combine_chunks(), c[:-1]
-            t = t.slice(c[-2])
-        rest = t
-    if rest is not None and rest.num_rows:
-        yield rest.combine_chunks(), cuts(rest)
-    K.give_back()
-
-
 def _in_blocks(members: DataFrame, key: str, part: int) -> DataFrame:
     """Members of more than part are hashed to blocks, and each pair of blocks becomes a task's key (key, i, j); block tells a member's own."""
     blocks = F.ceil(F.col("n") / F.lit(part)).cast("int")
-    own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     rows = members.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
 
 
+def walk(path: np.ndarray, cut: np.ndarray, sig: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Walks tries of sorted paths (a row of labels each; cut: where each trie begins, and the end) from their longest common prefixes up.
+
+    Returns for each leaf the least one that it is connected with, and the length of the prefix at which it was first compared (0: never)."""
+    n, depth = path.shape
+    label, first_at = np.arange(n), np.zeros(n, np.int64)
+    differ = path[1:] != path[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), depth)
+    common[cut[1:-1] - 1] = -1
+
+    def like(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (sig[a] == sig[b]).mean(axis=-1) >= SEEMS
+
+    for d in range(depth, floor - 1, -1):
+        edge = np.flatnonzero(np.concatenate([[True], common < d, [True]]))
+        first, end = edge[:-1], edge[1:]
+        before = lambda x: np.concatenate([[0], np.cumsum(x)])
+        here, mixed = before(common == d), before(label[1:] != label[:-1])
+        # nodes that begin to be shared at this depth, and whose leaves aren't all connected
+        ok = (here[end - 1] > here[first]) & (mixed[end - 1] > mixed[first])
+        first, size = first[ok], (end - first)[ok]
+        child = np.arange(n) if d == depth else np.concatenate([[0], np.cumsum(common <= d)])
+        fresh = np.zeros(n, dtype=bool)
+        fresh[K.ranges(first, size)] = True
+        first_at[fresh & (first_at == 0)] = d
+        left, right = [np.arange(n)], [label]
+        for m in np.unique(size[size <= 64]).tolist():  # all nodes of a size at once
+            i, j = np.triu_indices(m, 1)
+            at = first[size == m]
+            step = max(1, (1 << 20) // len(i))
+            for s in range(0, len(at), step):
+                a, b = (at[s : s + step, None] + i).ravel(), (at[s : s + step, None] + j).ravel()
+                new = (child[a] != child[b]) & (label[a] != label[b])
+                a, b = a[new], b[new]
+                ok = like(a, b)
+                left.append(a[ok])
+                right.append(b[ok])
+        label = _labels(n, np.concatenate(left), np.concatenate(right))
+        for lo, m in zip(first[size > 64].tolist(), size[size > 64].tolist(), strict=True):
+            for x in range(lo, lo + m, 256):
+                for y in range(x, lo + m, 256):
+                    a, b = np.arange(x, min(x + 256, lo + m)), np.arange(y, min(y + 256, lo + m))
+                    new = (child[a][:, None] != child[b]) & (label[a][:, None] != label[b])
+                    if new.any():
+                        u, v = np.nonzero(new & like(a[:, None], b[None]))
+                        mine = label[lo : lo + m]
+                        low = mine.min()  # labels of a trie are places in it
+                        joined = _labels(m + int(lo - low), np.concatenate([a[u] - low, np.arange(lo, lo + m) - low]), np.concatenate([b[v] - low, mine - low]))
+                        label[lo : lo + m] = joined[lo - low :] + low
+    return label, first_at
+
+
 def candidate_edges(reps: DataFrame, n: int) -> DataFrame:
-    """(a, b): a links b's candidate group, within one prefix of one tree."""
-    keys = reps.select("doc", F.explode("keys").alias("key"))
+    """(a, b): a links b's candidate group, within one trie. reps: node, sig."""
+    floor = stop_depth()
+    tree = F.col("tree")
+    paths = reps.where(F.col("sig").isNotNull()).select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    key = F.xxhash64("tree", F.col("sig").substr(LABEL * DEPTH * tree + 1, F.lit(LABEL * floor)))
+    keys = paths.select("node", "tree", key.alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = keys.join(shared, "key").join(reps.select("doc", "sig"), "doc")
-    dealt = _in_blocks(members, "key", PART).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "doc")
+    members = keys.join(shared, "key").join(reps.select("node", "sig"), "node")
+    members = members.withColumn("path", F.col("sig").substr(LABEL * DEPTH * tree + 1, F.lit(LABEL * DEPTH)))
+    dealt = _in_blocks(members, "key", PART).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "path", "node")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, cut in _grouped(batches, ["key", "i", "j"]):
-            doc = t.column("doc").to_numpy()
-            width = len(FACTORS)
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, width)
-            size = np.diff(cut)
-            left, right = [], []
-            small = size <= 64
-            for m in np.unique(size[small]):  # all groups of a size at once
-                if m < 2:
-                    continue
-                i, j = np.triu_indices(int(m), 1)
-                at = cut[:-1][size == m]
-                step = max(1, (1 << 20) // len(i))
-                for s in range(0, len(at), step):
-                    a, b = (at[s : s + step, None] + i).ravel(), (at[s : s + step, None] + j).ravel()
-                    ok = (sig[a] == sig[b]).mean(axis=1) >= SEEMS
-                    left.append(a[ok])
-                    right.append(b[ok])
-            for g in np.flatnonzero(~small):
-                lo, hi = int(cut[g]), int(cut[g + 1])
-                label = np.arange(hi - lo)
-                for x in range(lo, hi, 256):
-                    for y in range(x, hi, 256):
-                        like = (sig[x : min(x + 256, hi), None] == sig[None, y : min(y + 256, hi)]).mean(axis=2) >= SEEMS
-                        a, b = np.nonzero(like)
-                        label = _labels(hi - lo, np.concatenate([a + x - lo, np.arange(hi - lo)]), np.concatenate([b + y - lo, label]))
-                left.append(np.arange(lo, hi))
-                right.append(label + lo)
-            if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                label = _labels(len(doc), a, b)
-                far = np.flatnonzero(label != np.arange(len(doc)))
-                pairs = np.unique(np.stack([doc[label[far]], doc[far]]), axis=1)
+        labels = lambda t, c: K.text_bytes(t.column(c))[0].view(">u2").astype(np.uint16).reshape(t.num_rows, -1)
+        for t, cut in K.grouped(batches, ["key", "i", "j"]):
+            node = t.column("node").to_numpy()
+            label, _ = walk(labels(t, "path"), cut, labels(t, "sig"), floor)
+            far = np.flatnonzero(label != np.arange(len(node)))
+            if len(far):
+                pairs = np.unique(np.stack([node[label[far]], node[far]]), axis=1)
                 yield pa.record_batch([pairs[0], pairs[1]], names=["a", "b"])
 
-    return dealt.select("key", "i", "j", "doc", "sig").mapInArrow(scan, "a long, b long")
+    return dealt.select("key", "i", "j", "path", "node", "sig").mapInArrow(scan, "a long, b long")
 
 
 def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -231,17 +238,17 @@ def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def exact_links(groups: DataFrame, n: int) -> DataFrame:
-    """(doc, links, to): a member's linked documents in this pair of blocks, and the least one that it is connected with there.
+    """(node, links, to): a member's linked documents in this pair of blocks, and the least one that it is connected with there.
 
-    groups: doc, copies (documents of its class), text, group, n (members)."""
-    dealt = _in_blocks(groups, "group", PART).repartition(n, "group", "i", "j").sortWithinPartitions("group", "i", "j", "doc")
+    groups: node, copies (documents of its class), text, group, n (members)."""
+    dealt = _in_blocks(groups, "group", PART).repartition(n, "group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, cut in _grouped(batches, ["group", "i", "j"]):
-            doc, copies, block = (t.column(c).to_numpy() for c in ("doc", "copies", "block"))
+        for t, cut in K.grouped(batches, ["group", "i", "j"]):
+            node, copies, block = (t.column(c).to_numpy() for c in ("node", "copies", "block"))
             two = (t.column("i").to_numpy() != t.column("j").to_numpy())[cut[:-1]]
-            x, at, _, _ = shingles(t.column("text"))
-            links, to = np.zeros(len(doc), np.int64), doc.copy()
+            x, at = shingles(t.column("text"))
+            links, to = np.zeros(len(node), np.int64), node.copy()
             for g in range(len(cut) - 1):
                 lo, hi = int(cut[g]), int(cut[g + 1])
                 if hi - lo < 2:
@@ -252,43 +259,50 @@ def exact_links(groups: DataFrame, n: int) -> DataFrame:
                 like = both * 5 >= (size[:, None] + size[None] - both) * 4
                 np.fill_diagonal(like, False)
                 a, b = np.nonzero(like)
-                to[lo:hi] = doc[lo + _labels(hi - lo, a, b)]
+                to[lo:hi] = node[lo + _labels(hi - lo, a, b)]
                 counted = like & (block[lo:hi, None] != block[None, lo:hi]) if two[g] else like
                 links[lo:hi] = counted @ copies[lo:hi]
-            yield pa.record_batch([doc, links, to], names=["doc", "links", "to"])
+            yield pa.record_batch([node, links, to], names=["node", "links", "to"])
+
+    return dealt.select("group", "i", "j", "block", "node", "copies", "text").mapInArrow(scan, "node long, links long, to long")
+
 
-    return dealt.select("group", "i", "j", "block", "doc", "copies", "text").mapInArrow(scan, "doc long, links long, to long")
+def _first(doc: str, tie: str, *more: str) -> Column:
+    """Compares as documents do: by doc_id, a null one last, then by the text's hash."""
+    return F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("doc"), F.col(tie).alias("tie"), *more)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (least doc_id of the connected texts), copy_of (least doc_id of the texts with the same words), n_links (documents linked, copies included)."""
+    """A row for each row of docs: doc_id, text_hash, class_id (least doc_id of the connected texts), copy_of (least doc_id of the texts with the
+    same words), n_links (other rows linked, copies included), first (whether doc_id and text are those of the class's first row)."""
     n = partitions(docs)
-    signed = table(signed_docs(docs.select("doc_id", "text")), "signatures")
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"))
     # a text that a third of all documents have is one class: its documents are dealt by class and salt
-    salted = signed.select("doc", "c1", "c2", F.pmod(F.xxhash64("doc"), F.lit(n)).alias("salt"))
-    salts = salted.groupBy("c1", "c2", "salt").agg(F.min("doc").alias("m"), F.count(F.lit(1)).alias("k"))
-    least = salts.groupBy("c1", "c2").agg(F.min("m").alias("rep"), F.sum("k").alias("copies"))
-    own = signed.withColumnsRenamed({"c1": "o1", "c2": "o2"}).dropDuplicates(["doc", "o1", "o2"])
-    reps = table(least.join(own, (F.col("rep") == F.col("doc")) & (F.col("c1") == F.col("o1")) & (F.col("c2") == F.col("o2"))).select("doc", "copies", "c1", "c2", "keys", "sig"), "classes")
-    groups = components(candidate_edges(reps, n))
+    salted = table(signed_docs(docs, n), "signatures")
+    salts = salted.groupBy("c1", "c2", "salt").agg(F.min(_first("doc", "tie", "sig")).alias("rep"), F.count(F.lit(1)).alias("k"))
+    classes = salts.groupBy("c1", "c2").agg(F.min("rep").alias("rep"), F.sum("k").alias("copies"))
+    reps = table(classes.select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "rep.doc", "rep.tie", "rep.sig", "copies"), "classes")
+    groups = components(candidate_edges(reps.select("node", "sig"), n))
     sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    inside = groups.join(sizes, "label").join(reps.select("doc", "copies"), F.col("node") == F.col("doc")).select("doc", "copies", F.col("label").alias("group"), "n")
-    linked = table(exact_links(inside.join(texts, F.col("doc") == F.col("id")).select("doc", "copies", "text", "group", "n"), n), "links")
-    counted = linked.groupBy("doc").agg(F.sum("links").alias("links"), F.min("to").alias("to"), F.count_distinct("to").alias("ways"))
+    inside = groups.join(sizes, "label").join(reps.select("node", "doc", "tie", "copies"), "node").select("node", F.col("doc").alias("of"), F.col("tie").alias("as"), "copies", F.col("label").alias("group"), "n")
+    texts = inside.join(docs.dropDuplicates(["doc", "tie"]), F.col("of").eqNullSafe(F.col("doc")) & (F.col("as") == F.col("tie")))
+    linked = table(exact_links(texts.select("node", "copies", "text", "group", "n"), n), "links")
+    counted = linked.groupBy("node").agg(F.sum("links").alias("links"), F.min("to").alias("to"), F.count_distinct("to").alias("ways"))
     if counted.where("ways > 1").isEmpty():
-        label = counted.select("doc", "links", F.col("to").alias("label"))
+        label = counted.select("node", "links", F.col("to").alias("label"))
     else:  # some groups were compared in blocks: put their parts together
-        joined = components(linked.select(F.col("doc").alias("a"), F.col("to").alias("b")))
-        label = counted.join(joined, F.col("doc") == F.col("node"), "left").select("doc", "links", F.coalesce("label", "to").alias("label"))
-    rep = reps.select("c1", "c2", F.col("doc").alias("rep"), "copies")
-    known = rep.join(label.select(F.col("doc").alias("at"), "links", "label"), F.col("rep") == F.col("at"), "left").drop("at")
-    member = salted.join(salts.select("c1", "c2", "salt").join(known, ["c1", "c2"]), ["c1", "c2", "salt"], "left")
-    first = F.coalesce("rep", "doc")
-    out = member.select(F.col("doc").alias("doc_id"), F.coalesce("label", first).alias("class_id"), first.alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"))
-    lone = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(lone)
+        joined = components(linked.select(F.col("node").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "at")
+        label = counted.join(joined, F.col("node") == F.col("at"), "left").select("node", "links", F.coalesce("label", "to").alias("label"))
+    ids = reps.select("node", "c1", "c2", "doc", "tie", "copies")
+    heads = label.join(ids.select("node", "doc", "tie"), "node").groupBy("label").agg(F.min(_first("doc", "tie")).alias("head"))
+    known = ids.join(label.join(heads, "label").select("node", "links", "head"), "node", "left")
+    known = known.select("c1", "c2", F.coalesce("head", _first("doc", "tie")).alias("head"), F.col("doc").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    member = salted.drop("sig").join(salts.select("c1", "c2", "salt").join(known, ["c1", "c2"]), ["c1", "c2", "salt"])
+    first = F.col("doc").eqNullSafe(F.col("head.doc")) & (F.col("tie") == F.col("head.tie"))
+    return member.select(F.col("doc").alias("doc_id"), F.col("tie").alias("text_hash"), F.col("head.doc").alias("class_id"), "copy_of", "n_links", first.alias("first"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return near_duplicates(docs).select("doc_id", "class_id", "copy_of", "n_links")

@@ -217,7 +217,7 @@ def test_op9_in_blocks(spark, monkeypatch):
     whole = {tuple(r) for r in o9.near_duplicates(frame(spark, rows)).collect()}
     monkeypatch.setattr(o9, "PART", 7)
     assert {tuple(r) for r in o9.near_duplicates(frame(spark, rows)).collect()} == whole
-    assert {r[3] for r in whole} == {59}
+    assert {r.n_links for r in whole} == {59}
 
 
 def test_components(spark):
@@ -418,16 +418,3 @@ def test_null_doc_ids(spark):
     assert o4.remove_repeats(d).count() == o6.remove_repeated_words(d).count() == o9.near_duplicates(d).count() == o10.fingerprints(d).count() == 3
     assert o3.read_shards(o3.write_shards(d, P.path("word_bpe_49k.json"), shared_folder(spark, "t"))).count() == 3
     assert o8.score_documents(d, o8.fit(d, labels)).count() == o7.encode_documents(d, P.path("piece_bpe_32k.model")).count() == 3
-
-
-def test_pipeline(spark):
-    import corpus_pipeline as c
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    start = docs
-    for name, stage in c.STAGES[:-1]:
-        kept = stage(spark, docs, sf).cache()
-        assert kept.columns == docs.columns and 0 < kept.count() <= docs.count(), name
-        docs = kept
-    assert c.run(spark, sf).count() == docs.count() < start.count()
