@@ -17,5 +17,9 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder where the driver and all executors can write: in spark.checkpoint.dir, or a local one if none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='cardlake-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = f"file://{tempfile.mkdtemp(prefix='cardlake-')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,6 +1,8 @@
 """A pipeline over the table documents: five stages, each written as Parquet and read again by the next one.
 
-Stages but the last return the columns of documents."""
+Stages but the last return the columns of documents, whatever further columns there are. Null texts count as empty; an empty table stays
+empty. A document is a row: rows that share a doc_id, or have none, are told apart by their texts. Each stage's folder goes
+once the next stage is written."""
 
 from __future__ import annotations
 
@@ -9,32 +11,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardlake.llm import op1_decontaminate, op4_suffix_dedup, op7_sentencepiece, op8_toxicity, op9_jaccard_join
-from cardlake.llm.shared import shared_folder
+from cardlake.llm.shared import remove, shared_folder
+
+SCORE = "__toxicity"
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that score as toxic."""
+    """Rejects documents that score as toxic. Empty texts stay; without labels all do."""
     model = op8_toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return op8_toxicity.score_documents(docs, model).where(F.col("score") < op8_toxicity.THRESHOLD).select(*docs.columns)
+    return op8_toxicity.score_documents(docs, model, name=SCORE).where(F.col(SCORE) < op8_toxicity.THRESHOLD).select(docs.columns)
+
+
+def _without(docs: DataFrame, found: DataFrame, *, once: bool = False) -> DataFrame:
+    """docs without the rows whose doc_id and text found names (doc_id, text_hash); if once, each doc_id and text only once."""
+    keys = ["__id", "__hash"]
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": F.xxhash64(F.col("text").cast("string"))})
+    gone = found.select(F.col("doc_id").alias("__of"), F.col("text_hash").alias("__as")).distinct()
+    left = rows.join(gone, F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__hash") == F.col("__as")), "left_anti")
+    return (left.dropDuplicates(keys) if once else left).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of connected near duplicates the document of least doc_id stays; so do documents without one."""
-    gone = op9_jaccard_join.near_duplicates(docs).where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of connected near duplicates the document of least doc_id stays (on ties that of the least hash of its text, and of equal rows one)."""
+    return _without(docs, op9_jaccard_join.near_duplicates(docs).where(~F.col("first")), once=True)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that an earlier document, or an earlier place, has too."""
-    cut = op4_suffix_dedup.remove_repeats(docs)
-    left = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType if "n_chars" in docs.columns else "long")}
-    return cut.select(*(left[c].alias(c) if c in left else F.col(c) for c in docs.columns))
+    """Cuts passages that an earlier document, or an earlier place, has too. No document goes, even if nothing of it is left."""
+    cut = op4_suffix_dedup.remove_repeats(docs.withColumnsRenamed({c: f"__of_{c}" for c in docs.columns if c not in ("doc_id", "text")}))
+    size = F.length("kept")
+    left = {"doc_id": F.col("doc_id"), "text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        left["n_chars"] = size.cast(docs.schema["n_chars"].dataType)
+    return cut.select(*(left.get(c, F.col(f"`__of_{c}`")).alias(c) for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents with a passage of the benchmark."""
-    leaks = op1_decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, op1_decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +58,16 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("decontaminate", decontaminate), ("sentencepiece", sentencepiece)]
 
-#: The stages learn, compare by hashed shingles and tokenise: no SQL gives their rows. tests/llm holds each against brute force.
+#: The stages learn, align and tokenise: no SQL gives their rows. tests/llm holds the rows of each on a planted table against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = shared_folder(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
