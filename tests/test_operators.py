@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,12 +15,14 @@ from cardlake.session import shared_folder
 from cardlake.sources import avro
 
 
-def test_windows_with_ties_and_edges(spark):
+@pytest.mark.parametrize("frame", [0, 60, W.FRAME])
+def test_windows_with_ties_and_edges(spark, frame):
+    """All keys by changes, some, none."""
     rng = random.Random(1)
     t0 = datetime(2024, 1, 1)
-    rows = [(i, rng.randint(0, 2), t0 + timedelta(seconds=rng.choice([0, 3600, 3600 * rng.randint(0, 2000), rng.randint(0, 40) * 86400])), round(rng.random() * 100, 2), rng.random() < 0.2, rng.choice("abc")) for i in range(400)]
+    rows = [(i, rng.choice([0, 1, 1, 1, 2, 2]), t0 + timedelta(seconds=rng.choice([0, 3600, 3600 * rng.randint(0, 2000), rng.randint(0, 40) * 86400])), round(rng.random() * 100, 2), rng.random() < 0.2, rng.choice("abc")) for i in range(400)]
     df = spark.createDataFrame(rows, "id long, k int, t timestamp_ntz, amount double, bad boolean, city string")
-    got = {r.id: r for r in W.trailing(df, "k", "t", "id", "amount", F.col("bad"), "city").collect()}
+    got = {r.id: r for r in W.trailing(df, "k", "t", "id", "amount", F.col("bad"), "city", frame=frame).collect()}
     for i, k, t, *_, city in rows:
         for name, w in W.WINDOWS.items():
             past = [r for r in rows if r[1] == k and (r[2], r[0]) < (t, i) and (t - r[2]).total_seconds() <= w]
@@ -34,8 +37,11 @@ def test_windows_with_ties_and_edges(spark):
 def test_first_event_and_gap(spark):
     t0 = datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, "a", t0), (2, "a", t0 + timedelta(seconds=300)), (3, "a", t0 + timedelta(days=90))], "id long, k string, t timestamp_ntz")
-    got = [r.time_since_last_txn_s for r in W.since_last(df, "k", "t", "id").orderBy("id").collect()]
-    assert got == [W.CAP, 300.0, W.CAP]
+    for stream in (0, W.STREAM):
+        got = [r.time_since_last_txn_s for r in W.since_last(df, "k", "t", "id", stream).orderBy("id").collect()]
+        assert got == [W.CAP, 300.0, W.CAP]
+        got = [r.running_count for r in W.running_totals(df.withColumn("x", F.lit(1.0)), "k", "t", "id", "x", stream).orderBy("id").collect()]
+        assert got == [1, 2, 3]
 
 
 def test_running_over_ranges(spark):
@@ -58,10 +64,11 @@ def test_edges_of_windows(spark):
     t0 = datetime(2024, 1, 1)
     rows = [(1, None, t0, 1.0, "a"), (2, None, t0 + timedelta(hours=1), None, None), (3, None, t0 + timedelta(hours=1, microseconds=1), 2.0, "a"), (4, 7, t0, 5.0, "b")]
     df = spark.createDataFrame(rows, "id long, k int, t timestamp_ntz, amount double, city string")
-    of = lambda d: W.trailing(d, "k", "t", "id", "amount", F.lit(False), "city", {"1h": 3600})
-    got = {r.id: (r.txn_count_1h, r.amount_sum_1h, r.distinct_city_1h, r.is_new_city_1h) for r in of(df).collect()}
-    assert got == {1: (0, 0.0, 0, True), 2: (1, 1.0, 1, None), 3: (1, 0.0, 0, True), 4: (0, 0.0, 0, True)}
-    assert of(df.limit(0)).count() == 0
+    for frame in (0, W.FRAME):
+        of = lambda d: W.trailing(d, "k", "t", "id", "amount", F.lit(False), "city", {"1h": 3600}, frame=frame)  # noqa: B023, E731
+        got = {r.id: (r.txn_count_1h, r.amount_sum_1h, r.distinct_city_1h, r.is_new_city_1h) for r in of(df).collect()}
+        assert got == {1: (0, 0.0, 0, True), 2: (1, 1.0, 1, None), 3: (1, 0.0, 0, True), 4: (0, 0.0, 0, True)}
+        assert of(df.limit(0)).count() == 0
 
 
 def test_scalars(spark):
