@@ -59,15 +59,17 @@ def prefix_lengths(rows: DataFrame, group: int, depth: int = THRESHOLD) -> DataF
     return counts.join(large, "p1", "left_semi").select(*parts, length.alias("length"))
 
 
-def tree(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The internal nodes of the suffix tree of sorted suffixes (a row of words each): depth, and (first leaf, end) of each.
+def tree(words: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The internal nodes of the suffix trees of sorted suffixes (a row of words each; cut: where each group begins, and the end): depth, and (first leaf, end) of each.
 
     common[i] is what suffixes i and i + 1 share; a node of depth d is a longest range of leaves whose neighbours share d or more words, some of them d."""
     n, width = words.shape
     differ = words[1:] != words[:-1]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), width) if n > 1 else np.zeros(0, np.int64)
+    if cut is not None:
+        common[cut[1:-1] - 1] = -1
     depths, spans = [], []
-    for d in np.unique(common):
+    for d in np.unique(common[common >= 0]):
         edge = np.flatnonzero(np.concatenate([[True], common < d, [True]]))  # between leaves edge - 1 and edge
         first, end = edge[:-1], edge[1:]
         is_d = np.concatenate([[0], np.cumsum(common == d)])
@@ -93,15 +95,12 @@ def subtrees(pieces: DataFrame, n: int, group: int = GROUP, depth: int = THRESHO
             raw, _ = K.text_bytes(t.column("words"))
             words = raw.view(">u8").reshape(-1, depth)
             doc, tie, start = (t.column(c).to_numpy() for c in ("doc", "tie", "start"))
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if b - a < 2:
-                    continue
-                deep, span = tree(words[a:b])
-                span = span[deep >= depth] + a
-                leaf, head = K.ranges(span[:, 0], span[:, 1] - span[:, 0]), np.repeat(span[:, 0], span[:, 1] - span[:, 0])
-                again = leaf[(doc[leaf] != doc[head]) | (tie[leaf] != tie[head]) | (start[leaf] != start[head])]
-                if len(again):
-                    yield R.as_marks(doc[again], tie[again], start[again])
+            deep, span = tree(words, cut)
+            span = span[deep >= depth]
+            size = span[:, 1] - span[:, 0]
+            leaf, head = K.ranges(span[:, 0], size), np.repeat(span[:, 0], size)
+            again = leaf[(doc[leaf] != doc[head]) | (tie[leaf] != tie[head]) | (start[leaf] != start[head])]
+            yield R.as_marks(doc[again], tie[again], start[again])
 
     return dealt.repartition(n, "prefix").sortWithinPartitions("prefix", "words", "doc", "tie", "start").mapInArrow(scan, R.MARKS)
 

@@ -45,6 +45,9 @@ def test_tree_has_the_nodes_of_a_naive_one():
     got = {(d, a, b) for d, (a, b) in zip(deep.tolist(), span.tolist()) if d}
     assert got == naive_tree(rows)
     assert {(0, 0, 60)} == {(d, a, b) for d, (a, b) in zip(deep.tolist(), span.tolist()) if not d}
+    two = np.array([*rows, *rows[:7]], dtype=np.uint64)
+    deep, span = o6.tree(two, np.array([0, 60, 67]))
+    assert {(d, a, b) for d, (a, b) in zip(deep.tolist(), span.tolist()) if d} == got | {(d, a + 60, b + 60) for d, a, b in naive_tree(rows[:7])}
     assert len(o6.tree(np.array(rows[:1], dtype=np.uint64))[0]) == 0
 
 
