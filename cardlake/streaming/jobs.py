@@ -1,90 +1,171 @@
-"""Structured Streaming jobs over a folder or file of events. Each has a checkpoint in the shared folder, processes what is there and ends.
+"""Structured Streaming jobs over a folder of event files. Each has a checkpoint in the shared folder, processes what is there and ends.
 
-Batches may run again after a failure: sinks either are exactly-once file sinks or overwrite the partition of their batch."""
+Batches may run again after a failure: sinks either are exactly-once file sinks or overwrite the partition of their batch. An event that
+is delivered again, in the same batch or a later one, is known by its identifier."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from decimal import Decimal
+from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from cardlake.operators import windows as W
+from cardlake.operators.ordered import RANGE, in_ranges
 from cardlake.session import shared_folder
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+#: Days of history before a batch's first event that its windows may need.
+HISTORY = timedelta(seconds=max(W.WINDOWS.values())) + timedelta(days=1)
 
-def source(spark: SparkSession, path: str, time: str) -> DataFrame:
-    schema = spark.read.parquet(path).schema
-    pattern = f"{path[:-1]}[{path[-1]}]"  # a pattern may also match a single file
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(pattern).withColumn(time, F.col(time).cast("timestamp"))
 
+def replay(events: DataFrame, time: str, files: int, *, again: Column | None = None, limit: int | None = None) -> str:
+    """Writes events (the first limit of them, by time) to a folder as files in the order of time, for a stream to read one a trigger.
 
-def _run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Writes a stream to Parquet until nothing is left, and reads it back."""
+    Of the events that again picks, a copy is delivered once more, with the next file."""
+    folder = shared_folder(events.sparkSession, "replay")
+    if limit is not None:
+        events = events.orderBy(time).limit(limit)
+    us = W.micros(F.col(time))
+    cuts = events.agg(F.percentile_approx(us.cast("double"), [i / files for i in range(1, files + 1)], 10_000).alias("q")).first()["q"] or []
+    rows = in_ranges(events.withColumn("__us", us), "__us", sorted(set(cuts))).drop("__us")
+    for i in range(len(set(cuts))):
+        part = rows.where(F.col(RANGE) == i)
+        if again is not None and i:
+            part = part.unionByName(rows.where((F.col(RANGE) == i - 1) & again))
+        part.drop(RANGE).coalesce(1).write.mode("append").parquet(folder)
+    if not cuts:
+        events.limit(0).write.parquet(folder)
+    return folder
+
+
+def source(spark: SparkSession, folder: str, schema: T.StructType, time: str, files: int = 1) -> DataFrame:
+    """The folder's files, oldest first, that many a trigger."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+    return stream.withColumn(time, F.col(time).cast("timestamp"))
+
+
+def run(stream: DataFrame, name: str, mode: str = "append", out: str | None = None) -> DataFrame:
+    """Writes a stream to Parquet until nothing is left, and reads it back. With the out of an earlier run it goes on where that ended."""
     spark = stream.sparkSession
-    out = shared_folder(spark, name)
+    out = out or shared_folder(spark, name)
     q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def tumbling(spark: SparkSession, path: str, time: str, by: str, width: str, late: str) -> DataFrame:
+def foreach_batch(stream: DataFrame, out: str, batch: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def progress(query: StreamingQuery) -> list[tuple[int, str, int, str | None, str | None]]:
+    """(batch, source, rows read, last offset, latest offset known) of the recent batches: how far a query has come, and how far behind it is."""
+    return [(p["batchId"], s["description"], s["numInputRows"], s["endOffset"] and str(s["endOffset"]), s["latestOffset"] and str(s["latestOffset"])) for p in query.recentProgress for s in p["sources"]]
+
+
+def tumbling(e: DataFrame, time: str, by: str, width: str, late: str) -> DataFrame:
     """Counts of closed windows; events later than late are dropped."""
-    e = source(spark, path, time).withWatermark(time, late)
-    g = e.groupBy(F.window(time, width).alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
-    return _run(g.select(F.col("w.start").alias("start"), by, "n"), "tumbling")
+    g = e.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
+    return g.select(F.col("w.start").alias("start"), by, "n")
+
 
+def deduplicated(e: DataFrame, time: str, key: str, late: str = "40 days") -> DataFrame:
+    """Each key once, if its copies arrive within late."""
+    return e.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
-def deduplicated(spark: SparkSession, path: str, time: str, key: str, copies: int = 1) -> DataFrame:
-    """Each key once. copies delivers every event that often, as an at-least-once source may."""
-    e = source(spark, path, time).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("copy")
-    return _run(e.withWatermark(time, "40 days").dropDuplicatesWithinWatermark([key]), "deduplicated")
 
+class Store:
+    """Events by day under a folder, each batch a partition of its own that a repeated batch overwrites."""
 
-def features(spark: SparkSession, path: str) -> DataFrame:
-    """Windows of each batch's users, from the stored history of the longest window: late events find their place too."""
-    out = shared_folder(spark, "features")
-    need = max(W.WINDOWS.values()) + 86_400
-    e = source(spark, path, "ts")
-    schema = e.schema
+    def __init__(self, spark: SparkSession, out: str, schema: T.StructType, time: str, key: str):
+        self.out, self.time, self.key = f"{out}/events", time, key
+        self.schema = T.StructType([*schema, T.StructField("day", T.DateType()), T.StructField("batch", T.LongType())])
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.out}/batch=-1/day=1970-01-01")
+
+    def between(self, spark: SparkSession, lo: object, hi: object, before: int) -> DataFrame:
+        """Stored events from lo to hi of the batches before one: days outside aren't read."""
+        rows = spark.read.schema(self.schema).option("basePath", self.out).parquet(self.out)
+        rows = rows.where((F.col("batch") < before) & F.col("day").between(F.lit(lo.date()), F.lit(hi.date())))
+        return rows.where(F.col(self.time).between(F.lit(lo), F.lit(hi))).drop("day", "batch")
+
+    def add(self, rows: DataFrame, number: int) -> tuple[DataFrame, object, object]:
+        """Stores what isn't stored yet; returns it, read back, and its first and last time (None if there is nothing new)."""
+        spark = rows.sparkSession
+        lo, hi = rows.agg(F.min(self.time), F.max(self.time)).first()
+        new = rows.dropDuplicates([self.key])
+        if lo is not None:  # a copy has the time of the first delivery
+            new = new.join(self.between(spark, lo, hi, number).select(self.key), self.key, "left_anti")
+        path = f"{self.out}/batch={number}"
+        new.withColumn("day", F.to_date(self.time)).write.partitionBy("day").mode("overwrite").parquet(path)
+        stored = spark.read.schema(self.schema).option("basePath", self.out).parquet(path).drop("day", "batch")
+        return stored, lo, hi
+
+
+def features(e: DataFrame, out: str) -> StreamingQuery:
+    """Windows of each batch's new events, from the stored history of their users: late events find their place too.
+
+    Incomplete events go to out/quarantine, new ones to out/events, their features to out/features."""
+    spark, schema = e.sparkSession, e.schema
+    store = Store(spark, out, schema, "ts", "event_id")
 
     def batch(rows: DataFrame, number: int) -> None:
-        s = rows.sparkSession
         ok = F.col("event_id").isNotNull() & F.col("user_id").isNotNull() & F.col("ts").isNotNull() & F.col("value").isNotNull()
         rows.where(~ok).write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
-        rows.where(ok).dropDuplicates(["event_id"]).write.mode("overwrite").parquet(f"{out}/events/batch={number}")
-        new = s.read.schema(schema).parquet(f"{out}/events/batch={number}")
-        earliest = new.agg(F.min("ts").alias("lo"))
-        history = s.read.schema(schema).parquet(f"{out}/events").dropDuplicates(["event_id"])
-        history = history.join(F.broadcast(earliest), F.col("ts") >= F.col("lo") - F.make_dt_interval(secs=F.lit(need))).drop("lo").join(new.select("user_id"), "user_id", "left_semi")
-        done = W.trailing(history.select("event_id", "user_id", "ts", "event_type", "value"), "user_id", "ts", "event_id", "value", F.col("event_type") == "error", "event_type", distinct=False)
+        new, lo, hi = store.add(rows.where(ok), number)
+        history = new if lo is None else store.between(rows.sparkSession, lo - HISTORY, hi, number).join(new.select("user_id").distinct(), "user_id", "left_semi").unionByName(new)
+        history = history.select("event_id", "user_id", "ts", "event_type", "value")
+        done = W.trailing(history, "user_id", "ts", "event_id", "value", F.col("event_type") == "error", "event_type", distinct=False)
         done.join(new.select("event_id"), "event_id", "left_semi").write.mode("overwrite").parquet(f"{out}/features/batch={number}")
 
-    e.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/features")
+    return foreach_batch(e, out, batch)
+
+
+def scoring(e: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: float, out: str) -> StreamingQuery:
+    """Scores each event once: score adds fraud_probability. All go to out/scored, and those at threshold or above to out/alerts as open alerts."""
+    store = Store(e.sparkSession, out, e.schema, "ts", "event_id")
+
+    def batch(rows: DataFrame, number: int) -> None:
+        new, _, _ = store.add(rows.where(F.col("event_id").isNotNull()), number)
+        scored = score(new).withColumn("decision", F.when(F.col("fraud_probability") >= threshold, "review").otherwise("approve"))
+        scored.write.mode("overwrite").parquet(f"{out}/scored/batch={number}")
+        done = rows.sparkSession.read.schema(scored.schema).parquet(f"{out}/scored/batch={number}")
+        alert = done.where(F.col("decision") == "review").select("event_id", "user_id", "fraud_probability", F.col("value").alias("amount"), F.col("ts").alias("created_at"), F.lit("open").alias("status"), F.lit(None).cast("timestamp").alias("reviewed_at"))
+        alert.write.mode("overwrite").parquet(f"{out}/alerts/batch={number}")
+
+    return foreach_batch(e, out, batch)
 
 
 class RunningTotals(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sums = handle.getValueState("sums", "n bigint, cents decimal(38,2)")
+        self.sums = handle.getValueState("sums", "n bigint, cents bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        n, total = self.sums.get() if self.sums.exists() else (0, Decimal(0))
+        n, cents = self.sums.get() if self.sums.exists() else (0, 0)
         for x in rows:
-            n, total = n + len(x), total + sum(x["amount"], Decimal(0))
-        self.sums.update((n, total))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [float(total)]})
+            n, cents = n + len(x), cents + int(x["cents"].sum())
+        self.sums.update((n, cents))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "cents": [cents]})
 
     def close(self) -> None:
         pass
 
 
-def running_totals(spark: SparkSession, path: str) -> DataFrame:
+def running_totals(e: DataFrame, out: str | None = None) -> DataFrame:
     """Each user's count and total so far, from keyed state."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    e = source(spark, path, "ts").select("user_id", F.col("value").cast("decimal(18,2)").alias("amount"))
-    s = e.groupBy("user_id").transformWithStateInPandas(RunningTotals(), "user_id bigint, n bigint, total double", "append", "none")
-    return _run(s, "totals").groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
+    spark = e.sparkSession
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        rows = e.select("user_id", (F.col("value").cast("decimal(18,2)") * 100).cast("bigint").alias("cents"))
+        s = rows.groupBy("user_id").transformWithStateInPandas(RunningTotals(), "user_id bigint, n bigint, cents bigint", "append", "none")
+        done = run(s, "totals", out=out)
+    finally:
+        spark.conf.set(STORE, before)
+    return done.groupBy("user_id").agg(F.max("n").alias("n"), (F.max_by("cents", "n").cast("double") / 100).alias("total"))
