@@ -42,6 +42,16 @@ def event_time(year: Column, month: Column, day: Column, hhmm: Column) -> Column
     return F.try_make_timestamp_ntz(year.try_cast("int"), month.try_cast("int"), day.try_cast("int"), hour, minute, F.lit(0))
 
 
+def iso(time: Column, *, millis: bool = False) -> Column:
+    """ISO 8601 in UTC with Z. The session's time zone is UTC (see ``session``)."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'" if millis else "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def parse_iso(text: Column) -> Column:
+    """A timestamp from ISO 8601 with Z or an offset; null if it is none."""
+    return text.try_cast("timestamp")
+
+
 def lookup(values: dict[str, str], key: Column, default: str) -> Column:
     pairs = F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
     return F.coalesce(F.try_element_at(pairs, key), F.lit(default))

@@ -34,6 +34,14 @@ def reason(columns: list[str]) -> Column:
     return F.try_element_at(violations(columns), F.lit(1))
 
 
+def complete() -> Column:
+    """Whether all required fields but the schema's version are there."""
+    out = F.lit(True)
+    for n in REQUIRED[1:]:
+        out = out & F.col(n).isNotNull()
+    return out
+
+
 AVRO = {"string": "string", "double": "double", "int": "int", "bigint": "long", "boolean": "boolean"}
 
 

@@ -10,10 +10,26 @@ from cardlake.operators.ordered import in_ranges, running
 EPSILON = 1e-4
 
 
+def quantiles(df: DataFrame, column: str, shares: list[float], keys: list[str] | None = None) -> DataFrame:
+    """keys, share and value: exact quantiles, linear between neighbours. No task holds a column, or a key's values: distinct values are
+    counted, and a value is at a place if the counts by ranges before it say so."""
+    keys = keys or []
+    at = F.col(column).cast("double")
+    points = df.where(at.isNotNull()).groupBy(*keys, at.alias("__at")).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = running(in_ranges(points, "__at"), keys, [F.asc("__at")], {"__n": "__before"})
+    ranked = ranked.withColumn("__before", F.coalesce("__before", F.lit(0)))
+    sizes = points.groupBy(*keys).agg(F.sum("__n").alias("__all"))
+    whole = ranked.join(sizes, keys) if keys else ranked.join(F.broadcast(sizes))  # one row without keys
+    whole = whole.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("__place", F.col("share") * (F.col("__all") - 1))
+    holds = lambda place: (F.col("__before") <= place) & (place < F.col("__before") + F.col("__n"))
+    lo, hi = F.floor("__place"), F.ceil("__place")
+    near = whole.where(holds(lo) | holds(hi)).groupBy(*keys, "share", "__place").agg(F.max(F.when(holds(lo), F.col("__at"))).alias("lo"), F.max(F.when(holds(hi), F.col("__at"))).alias("hi"))
+    return near.select(*keys, "share", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("__place") - F.floor("__place"))).alias("value"))
+
+
 def quantile_edges(df: DataFrame, column: str, bins: int = 10) -> list[float]:
-    """Inner edges (bins + 1 at most values): exact quantiles without repeats; none for an empty column."""
-    found = df.agg(F.percentile(column, [i / bins for i in range(bins + 1)]).alias("q")).first()["q"]
-    return sorted(set(found or []))
+    """Ascending exact quantiles without repeats (bins + 1 at most); none for an empty column."""
+    return sorted({r.value for r in quantiles(df, column, [i / bins for i in range(bins + 1)]).collect()})
 
 
 def numeric_bins(df: DataFrame, column: str, edges: list[float], as_: str) -> DataFrame:
@@ -70,11 +86,12 @@ def best_threshold(points: DataFrame) -> DataFrame:
     return points.select(F.col("score").alias("threshold"), f1.alias("f1")).orderBy(F.desc("f1"), F.desc("threshold")).limit(1)
 
 
-def precision_at(df: DataFrame, order: list[Column], label: str, share: float) -> DataFrame:
-    """Precision among the k = max(1, round(n * share)) first."""
-    n = df.count()
-    k = max(1, round(n * share))
-    return df.orderBy(*order).limit(k).agg(F.count(F.lit(1)).alias("k"), F.avg(F.col(label).cast("double")).alias("precision"))
+def precision_at(df: DataFrame, score: str, ties: list[Column], label: str, share: float) -> DataFrame:
+    """Precision among the k = max(1, round(n * share)) of highest score. Places come from counts by ranges, so k may be large."""
+    k = max(1, round(df.count() * share))
+    ranked = running(in_ranges(df.withColumn("__one", F.lit(1).cast("long")), score), [], [F.desc(score), *ties], {"__one": "__before"}, downward=True)
+    first = ranked.where(F.coalesce("__before", F.lit(0)) < k)
+    return first.agg(F.count(F.lit(1)).alias("k"), F.avg(F.col(label).cast("double")).alias("precision"))
 
 
 def histogram_quantile(buckets: DataFrame, q: float) -> DataFrame:
@@ -84,3 +101,26 @@ def histogram_quantile(buckets: DataFrame, q: float) -> DataFrame:
     inside = b.where(F.col("cnt") >= q * F.col("all")).orderBy("le").limit(1)
     value = F.when(F.col("le") == float("inf"), F.col("lo")).otherwise(F.col("lo") + (F.col("le") - F.col("lo")) * F.coalesce(F.try_divide(q * F.col("all") - F.col("before"), F.col("cnt") - F.col("before")), F.lit(0.0)))
     return inside.select(F.lit(q).alias("q"), value.alias("value"))
+
+
+def counter_rates(samples: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
+    """samples with rise (since the sample before; from 0 where a counter began anew) and rate (a second); null for a first one."""
+    was = F.lag(value).over(Window.partitionBy(*keys).orderBy(time))
+    then = F.lag(time).over(Window.partitionBy(*keys).orderBy(time))
+    rise = F.when(was.isNotNull(), F.when(F.col(value) < was, F.col(value)).otherwise(F.col(value) - was))
+    seconds = (F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 1e6
+    return samples.withColumns({"rise": rise, "rate": rise / seconds})
+
+
+def drift_table(reference: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str], warn: float = 0.1, alarm: float = 0.2) -> DataFrame:
+    """feature, psi and verdict (stable, moderate, drifted) of each column."""
+    out = None
+    for name in [*numeric, *categorical]:
+        if name in numeric:
+            edges = quantile_edges(reference, name)
+            a, b = numeric_bins(reference, name, edges, "ref"), numeric_bins(current, name, edges, "cur")
+        else:
+            a, b = categories(reference, name, "ref"), categories(current, name, "cur")
+        row = psi(a, b).select(F.lit(name).alias("feature"), "psi")
+        out = row if out is None else out.unionByName(row)
+    return out.withColumn("verdict", F.when(F.col("psi") > alarm, "drifted").when(F.col("psi") >= warn, "moderate").otherwise("stable"))

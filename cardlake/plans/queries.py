@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cardlake.functions import cdc as CDC
+from cardlake.functions import events as E
 from cardlake.functions import expr as X
 from cardlake.functions import schema as S
+from cardlake.operators import dimensions as D
 from cardlake.operators import metrics as M
 from cardlake.operators import windows as W
 from cardlake.session import shared_folder
@@ -133,43 +136,102 @@ def prefix_sums(spark, sf):
 
 # ---- mapping, validation, enrichment
 
-_RAW = """SELECT event_id, CAST(user_id AS VARCHAR) AS "user", CAST(event_id % 3 AS VARCHAR) AS card, CAST(year(ts) AS VARCHAR) AS y, CAST(month(ts) AS VARCHAR) AS m, CAST(day(ts) AS VARCHAR) AS d, strftime(ts, '%H:%M') AS hm, '$' || CAST({v} AS VARCHAR) AS amt, CASE event_type WHEN 'click' THEN 'Chip Transaction' WHEN 'view' THEN 'Swipe Transaction' ELSE 'Online Transaction' END AS chip, CASE event_id % 5 WHEN 0 THEN 'AZ' WHEN 1 THEN 'Italy' WHEN 2 THEN 'Atlantis' WHEN 3 THEN '' ELSE ' ca' END AS st, CASE event_id % 4 WHEN 0 THEN '85719.0' WHEN 1 THEN '' WHEN 2 THEN 'nan' ELSE 'K1A' END AS zip, CASE event_type WHEN 'error' THEN 'Bad PIN,' ELSE '' END AS err, CASE event_id % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' ELSE '' END AS fraud FROM events""".format(v=dec("value"))
+_RAW = f"""SELECT event_id AS row, CAST(user_id AS VARCHAR) AS "User", CAST(event_id % 3 AS VARCHAR) AS "Card",
+CAST(year(ts) AS VARCHAR) AS "Year", CAST(month(ts) AS VARCHAR) AS "Month",
+CASE WHEN event_id % 17 = 3 THEN '31' ELSE CAST(day(ts) AS VARCHAR) END AS "Day",
+CASE WHEN event_id % 19 = 4 THEN '25:99' ELSE strftime(ts, '%H:%M') END AS "Time",
+CASE WHEN event_id % 23 = 5 THEN 'abc' ELSE '$' || CAST({dec("value")} AS VARCHAR) END AS "Amount",
+CASE event_type WHEN 'click' THEN 'Chip Transaction' WHEN 'view' THEN 'Swipe Transaction' ELSE 'Online Transaction' END AS "Use Chip",
+CAST(-event_id * 7 AS VARCHAR) AS "Merchant Name", ' City ' || (event_id % 9) AS "Merchant City",
+CASE event_id % 5 WHEN 0 THEN 'AZ' WHEN 1 THEN 'Italy' WHEN 2 THEN 'Atlantis' WHEN 3 THEN '' ELSE ' ca' END AS "Merchant State",
+CASE event_id % 4 WHEN 0 THEN '85719.0' WHEN 1 THEN '' WHEN 2 THEN 'nan' ELSE 'K1A' END AS "Zip",
+CASE WHEN event_id % 29 = 6 THEN '' ELSE CAST(2950 + event_id % 100 AS VARCHAR) END AS "MCC",
+CASE event_type WHEN 'error' THEN 'Bad PIN,' ELSE '' END AS "Errors?",
+CASE event_id % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' ELSE '' END AS "Is Fraud?" FROM events"""
 
 
 def raw_rows(spark, sf) -> DataFrame:
-    """events as rows of a raw file: all text."""
-    e = t(spark, sf, "events")
-    pick = lambda k, values: F.element_at(F.array(*map(F.lit, values)), (c("event_id") % k + 1).cast("int"))
-    return e.select("event_id", c("user_id").cast("string").alias("user"), (c("event_id") % 3).cast("string").alias("card"), F.year("ts").cast("string").alias("y"), F.month("ts").cast("string").alias("m"), F.dayofmonth("ts").cast("string").alias("d"), F.date_format("ts", "HH:mm").alias("hm"), F.concat(F.lit("$"), c("value").cast("decimal(18,2)").cast("string")).alias("amt"), F.when(c("event_type") == "click", "Chip Transaction").when(c("event_type") == "view", "Swipe Transaction").otherwise("Online Transaction").alias("chip"), pick(5, ["AZ", "Italy", "Atlantis", "", " ca"]).alias("st"), pick(4, ["85719.0", "", "nan", "K1A"]).alias("zip"), F.when(c("event_type") == "error", "Bad PIN,").otherwise("").alias("err"), pick(3, ["Yes", "No", ""]).alias("fraud"))
-
-
-def to_events(raw: DataFrame) -> DataFrame:
-    channel = X.lookup(X.CHANNELS, F.trim("chip"), "online")
-    s = F.trim("st")
-    err = F.rtrim(F.trim("err"), F.lit(","))
-    return raw.select("event_id", X.token("salt", c("user"), c("card")).alias("card_token"), X.event_time(c("y"), c("m"), c("d"), c("hm")).alias("event_time"), X.money(c("amt")).alias("amount"), channel.alias("channel"), F.when(channel == "online", "ONLINE").when(s == "", "XX").otherwise(s).alias("merchant_state"), X.country(channel, c("st")).alias("merchant_country"), X.zip_code(c("zip")).alias("zip"), F.when(err == "", None).otherwise(err).alias("errors"), X.yes_no(c("fraud")).alias("is_fraud"))
+    """events as rows of a raw file: all text, some of it broken."""
+    e, k = t(spark, sf, "events"), c("event_id")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    return e.select(
+        k.alias("row"),
+        c("user_id").cast("string").alias("User"),
+        (k % 3).cast("string").alias("Card"),
+        F.year("ts").cast("string").alias("Year"),
+        F.month("ts").cast("string").alias("Month"),
+        F.when(k % 17 == 3, "31").otherwise(F.dayofmonth("ts").cast("string")).alias("Day"),
+        F.when(k % 19 == 4, "25:99").otherwise(F.date_format("ts", "HH:mm")).alias("Time"),
+        F.when(k % 23 == 5, "abc").otherwise(F.concat(F.lit("$"), c("value").cast("decimal(18,2)").cast("string"))).alias("Amount"),
+        F.when(c("event_type") == "click", "Chip Transaction").when(c("event_type") == "view", "Swipe Transaction").otherwise("Online Transaction").alias("Use Chip"),
+        (-k * 7).cast("string").alias("Merchant Name"),
+        F.concat(F.lit(" City "), k % 9).alias("Merchant City"),
+        pick(["AZ", "Italy", "Atlantis", "", " ca"]).alias("Merchant State"),
+        pick(["85719.0", "", "nan", "K1A"]).alias("Zip"),
+        F.when(k % 29 == 6, "").otherwise((2950 + k % 100).cast("string")).alias("MCC"),
+        F.when(c("event_type") == "error", "Bad PIN,").otherwise("").alias("Errors?"),
+        pick(["Yes", "No", ""]).alias("Is Fraud?"),
+    )
 
 
 _CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.COUNTRIES.items())
 _STATES = ", ".join(f"'{x}'" for x in X.US_STATES)
-_MAPPED = f"""WITH raw AS ({_RAW}), ch AS (SELECT *, CASE chip WHEN 'Chip Transaction' THEN 'chip' WHEN 'Swipe Transaction' THEN 'swipe' ELSE 'online' END AS channel FROM raw)
-SELECT event_id, sha256('salt:' || "user" || ':' || card) AS card_token, make_timestamp(CAST(y AS INT), CAST(m AS INT), CAST(d AS INT), CAST(split_part(hm, ':', 1) AS INT), CAST(split_part(hm, ':', 2) AS INT), 0) AS event_time, CAST(replace(amt, '$', '') AS DOUBLE) AS amount, channel,
-CASE WHEN channel = 'online' THEN 'ONLINE' WHEN trim(st) = '' THEN 'XX' ELSE trim(st) END AS merchant_state, CASE WHEN channel = 'online' OR trim(st) = '' THEN 'XX' WHEN upper(trim(st)) IN ({_STATES}) THEN 'US' ELSE CASE trim(st) {_CASE} ELSE 'XX' END END AS merchant_country,
-CASE WHEN lower(zip) IN ('', 'nan') THEN NULL ELSE coalesce(CAST(CAST(TRY_CAST(zip AS DOUBLE) AS BIGINT) AS VARCHAR), zip) END AS zip, nullif(rtrim(err, ','), '') AS errors, CASE lower(fraud) WHEN 'yes' THEN true WHEN 'no' THEN false END AS is_fraud FROM ch"""
-
-
-@query(_MAPPED)
+_DIGEST = "md5(concat_ws(chr(31), " + ", ".join(f'"{n}"' for n in E.RAW_COLUMNS) + "))"
+_UUID = " || '-' || ".join(f"substr({_DIGEST}, {i}, {n})" for i, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+_MAPPED = f"""WITH raw AS ({_RAW}),
+p AS (SELECT *, CASE "Use Chip" WHEN 'Chip Transaction' THEN 'chip' WHEN 'Swipe Transaction' THEN 'swipe' ELSE 'online' END AS channel, trim("Merchant State") AS st, {_UUID} AS id,
+TRY_CAST("Year" || '-' || "Month" || '-' || "Day" || ' ' || "Time" || ':00' AS TIMESTAMP) AS tm, TRY_CAST(replace("Amount", '$', '') AS DOUBLE) AS amt, TRY_CAST("MCC" AS INT) AS code FROM raw),
+mapped AS (SELECT row, '1.0.0' AS schema_version, id AS event_id, strftime(tm, '%Y-%m-%dT%H:%M:%SZ') AS event_time, sha256('salt:' || "User" || ':' || "Card") AS card_token, "User" AS user_id, amt AS amount, 'USD' AS currency, channel,
+"Merchant Name" AS merchant_name, trim("Merchant City") AS merchant_city, CASE WHEN channel = 'online' THEN 'ONLINE' WHEN st = '' THEN 'XX' ELSE st END AS merchant_state,
+CASE WHEN channel = 'online' OR st = '' THEN 'XX' WHEN upper(st) IN ({_STATES}) THEN 'US' ELSE CASE st {_CASE} ELSE 'XX' END END AS merchant_country, code AS mcc,
+CASE WHEN lower("Zip") IN ('', 'nan') THEN NULL ELSE coalesce(CAST(CAST(TRY_CAST("Zip" AS DOUBLE) AS BIGINT) AS VARCHAR), "Zip") END AS zip, nullif(rtrim("Errors?", ','), '') AS errors,
+CASE lower("Is Fraud?") WHEN 'yes' THEN true WHEN 'no' THEN false END AS is_fraud,
+CASE WHEN tm IS NULL THEN 'Time: is no time' WHEN amt IS NULL THEN 'Amount: is no number' WHEN code IS NULL THEN 'MCC: is no integer' END AS reason FROM p)"""
+
+
+@query(f"{_MAPPED} SELECT * FROM mapped")
 def ingest_mapping(spark, sf):
-    return to_events(raw_rows(spark, sf))
+    """All sixteen fields of the contract, and why a row can't be an event."""
+    return E.to_events(raw_rows(spark, sf), "salt")
 
 
-def _candidates(spark, sf) -> DataFrame:
-    e = t(spark, sf, "events")
-    bad = c("event_id") % 10
-    return e.select("event_id", F.when(bad == 1, "2.0").otherwise("1.0.0").alias("schema_version"), F.sha2(c("user_id").cast("string"), 256).alias("card_token"), F.when(bad == 2, "").otherwise(c("user_id").cast("string")).alias("user_id"), F.when(bad == 3, None).otherwise(c("value")).alias("amount"), F.when(bad == 4, "usd").otherwise("USD").alias("currency"), F.when(bad == 5, "mail").otherwise("chip").alias("channel"), F.when(bad.isin(6, 2), -1).otherwise((c("user_id") % 9999).cast("int")).alias("mcc"))
+@query(f"{_MAPPED} SELECT reason AS error, count(*) AS n, min(row) AS first_row, max(raw.\"Amount\") AS most FROM mapped JOIN raw USING (row) WHERE reason IS NOT NULL GROUP BY 1")
+def dead_letters(spark, sf):
+    """Rows that can't be mapped, written as JSON letters and read back."""
+    raw, path = raw_rows(spark, sf), shared_folder(spark, "letters")
+    mapped = E.to_events(raw, "salt").select("row", "reason").withColumnRenamed("row", "of")
+    E.dead_letters(raw.join(mapped, c("row") == c("of")), c("reason"), ["row", *E.RAW_COLUMNS]).write.text(path)
+    back = spark.read.schema("raw struct<row bigint, Amount string>, error string").json(path)
+    return back.groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.min("raw.row").alias("first_row"), F.max("raw.Amount").alias("most"))
 
 
-_REASON = "SELECT event_id, CASE event_id % 10 WHEN 1 THEN 'schema_version: must be 1.0.0' WHEN 2 THEN 'mcc: must be from 0 to 9999' WHEN 3 THEN 'amount: is required' WHEN 4 THEN 'currency: must be three capitals' WHEN 5 THEN 'channel: is no channel' WHEN 6 THEN 'mcc: must be from 0 to 9999' END AS reason FROM events"
+def _candidates(spark, sf) -> DataFrame:
+    """Events with all required fields, each broken in some."""
+    e, bad = t(spark, sf, "events"), c("event_id") % 16
+    at = lambda i, value, usual: F.when(bad == i, value).otherwise(usual)
+    return e.select(
+        c("event_id").cast("string").alias("event_id"),
+        at(1, "2.0", F.lit("1.0.0")).alias("schema_version"),
+        at(2, None, F.lit("2024-01-01T00:00:00Z")).alias("event_time"),
+        at(3, "xyz", F.sha2(c("user_id").cast("string"), 256)).alias("card_token"),
+        at(4, "", c("user_id").cast("string")).alias("user_id"),
+        at(5, None, c("value")).alias("amount"),
+        at(6, "usd", F.lit("USD")).alias("currency"),
+        at(7, "mail", F.lit("chip")).alias("channel"),
+        at(8, "", F.lit("shop")).alias("merchant_name"),
+        at(9, None, F.lit("town")).alias("merchant_city"),
+        at(10, None, F.lit("AZ")).alias("merchant_state"),
+        at(11, "usa", F.lit("US")).alias("merchant_country"),
+        F.when(bad.isin(12, 4), -1).when(bad == 13, None).otherwise((c("user_id") % 9999).cast("int")).alias("mcc"),
+    )
+
+
+_BROKEN = {
+    1: "schema_version: must be 1.0.0", 2: "event_time: is required", 3: "card_token: must be 64 hex digits", 4: "mcc: must be from 0 to 9999", 5: "amount: is required",
+    6: "currency: must be three capitals", 7: "channel: is no channel", 8: "merchant_name: is too short", 9: "merchant_city: is required", 10: "merchant_state: is required",
+    11: "merchant_country: must be two capitals", 12: "mcc: must be from 0 to 9999", 13: "mcc: is required",
+}
+_REASON = "SELECT CAST(event_id AS VARCHAR) AS event_id, CASE event_id % 16 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _BROKEN.items()) + " END AS reason FROM events"
 
 
 @query(_REASON)
@@ -178,7 +240,14 @@ def validate_reason(spark, sf):
     return x.select("event_id", S.reason(x.columns).alias("reason"))
 
 
-@query(f"SELECT coalesce(reason, 'valid') AS outcome, count(*) AS n, min(CASE WHEN reason IS NULL THEN NULL ELSE '{{\"raw\":{{\"event_id\":' || event_id || '}},\"error\":\"' || reason || '\"}}' END) AS sample FROM ({_REASON}) GROUP BY 1")
+@query("SELECT count(*) FILTER (WHERE event_id % 16 IN (2, 5, 9, 10, 13)) AS quarantined, count(*) FILTER (WHERE event_id % 16 NOT IN (2, 5, 9, 10, 13)) AS passed FROM events")
+def not_null_split(spark, sf):
+    """The weaker check of a stream: the twelve fields that must be there, without their rules."""
+    x = _candidates(spark, sf)
+    return x.agg(F.count_if(~S.complete()).alias("quarantined"), F.count_if(S.complete()).alias("passed"))
+
+
+@query(f"SELECT coalesce(reason, 'valid') AS outcome, count(*) AS n, min(CASE WHEN reason IS NULL THEN NULL ELSE '{{\"raw\":{{\"event_id\":\"' || event_id || '\"}},\"error\":\"' || reason || '\"}}' END) AS sample FROM ({_REASON}) GROUP BY 1")
 def dlq_split(spark, sf):
     x = _candidates(spark, sf)
     x = x.withColumn("reason", S.reason([k for k in x.columns]))
@@ -190,11 +259,39 @@ _MCC = "2950 + CAST(json_extract_string(props, '$.k') AS INT)"
 _GROUP = "CASE " + " ".join(f"WHEN {{m}} IN ({', '.join(map(str, v))}) THEN '{k}'" for k, v in X.MCC_GROUPS.items()) + " WHEN {m} BETWEEN 3000 AND 3999 THEN 'travel' ELSE 'other' END"
 
 
-@query(f"WITH x AS (SELECT *, {_MCC} AS mcc FROM events) SELECT event_id, mcc, {_GROUP.format(m='mcc')} AS mcc_group, CASE {_GROUP.format(m='mcc')} WHEN 'travel' THEN 0 WHEN 'grocery' THEN 1 WHEN 'cash' THEN 2 WHEN 'online_retail' THEN 3 ELSE 4 END AS mcc_group_id, round(ln(1 + abs(value)), 6) AS amount_log, event_type = 'purchase' AS is_cnp, event_type NOT IN ('click', 'view') AS is_cross_border, event_type = 'error' AS has_error, CAST(hour(ts) AS INT) AS hour_of_day, CAST(isodow(ts) - 1 AS INT) AS day_of_week FROM x")
+_ENRICHED = f"""channel = 'online' AS is_cnp, channel = 'chip' AS is_chip, channel = 'swipe' AS is_swipe, merchant_country NOT IN ('US', 'XX') AS is_cross_border, mcc,
+{_GROUP.format(m="mcc")} AS mcc_group, CASE {_GROUP.format(m="mcc")} WHEN 'travel' THEN 0 WHEN 'grocery' THEN 1 WHEN 'cash' THEN 2 WHEN 'online_retail' THEN 3 ELSE 4 END AS mcc_group_id,
+errors IS NOT NULL AS has_error, round(ln(1 + abs(amount)), 6) AS amount_log"""
+
+
+@query(f"{_MAPPED} SELECT row, {_ENRICHED}, CAST(hour(CAST(replace(event_time, 'Z', '') AS TIMESTAMP)) AS INT) AS hour_of_day, CAST(isodow(CAST(replace(event_time, 'Z', '') AS TIMESTAMP)) - 1 AS INT) AS day_of_week FROM mapped WHERE reason IS NULL")
 def enrich_events(spark, sf):
-    mcc = (2950 + F.get_json_object("props", "$.k").cast("int")).cast("int")
-    e = t(spark, sf, "events").withColumn("mcc", mcc)
-    return e.select("event_id", "mcc", X.mcc_group(c("mcc")).alias("mcc_group"), X.mcc_group_id(c("mcc")).alias("mcc_group_id"), F.round(F.log1p(F.abs("value")), 6).alias("amount_log"), (c("event_type") == "purchase").alias("is_cnp"), (~c("event_type").isin("click", "view")).alias("is_cross_border"), (c("event_type") == "error").alias("has_error"), F.hour("ts").alias("hour_of_day"), F.weekday("ts").alias("day_of_week"))
+    e = E.enriched(E.to_events(raw_rows(spark, sf), "salt").where("reason IS NULL")).withColumn("amount_log", F.round("amount_log", 6))
+    return e.select("row", *(x for x in E.EVENT_FEATURES if x != "amount"), "mcc_group")
+
+
+_PLAIN = f"SELECT *, CASE event_type WHEN 'click' THEN 'chip' WHEN 'view' THEN 'swipe' ELSE 'online' END AS channel, CASE WHEN user_id % 3 = 0 THEN 'IT' ELSE 'US' END AS merchant_country, value AS amount, {_MCC} AS mcc, CASE WHEN event_type = 'error' THEN 'Bad PIN' END AS errors FROM events"
+
+
+def _feature_sql() -> str:
+    w = _pit(*_EV, ["count", "sum", "mean", "rate", "distinct"])
+    ints = ", ".join(f"CAST({x} AS INT) AS {x}" for x in ("is_cnp", "is_chip", "is_swipe", "is_cross_border", "has_error"))
+    names = [f"txn_count_{x}" for x in W.WINDOWS] + [f"distinct_city_{x} AS distinct_merchant_city_{x}" for x in W.WINDOWS] + [f"round({m}_{x}, 6) AS {m}_{x}" for m in ("amount_sum", "amount_mean", "decline_rate") for x in W.WINDOWS]
+    since = SQL["time_since_last"]
+    return f"""WITH w AS ({w}), l AS ({since}), x AS ({_PLAIN}), e AS (SELECT event_id, ts, amount, {_ENRICHED} FROM x)
+SELECT event_id, amount, amount_log, {ints}, mcc, mcc_group_id, CAST(hour(ts) AS INT) AS hour_of_day, CAST(isodow(ts) - 1 AS INT) AS day_of_week, time_since_last_txn_s, CAST(is_new_city_30d AS INT) AS is_new_city_30d,
+round(amount / CASE WHEN amount_mean_30d = 0 THEN 1.0 ELSE amount_mean_30d END, 6) AS amount_over_mean_30d, {', '.join(names)} FROM e JOIN w USING (event_id) JOIN l USING (event_id)"""
+
+
+@query(_feature_sql())
+def feature_rows(spark, sf):
+    """The whole row that a model reads: 34 columns of each event."""
+    kind, mcc = c("event_type"), (2950 + F.get_json_object("props", "$.k").cast("int")).cast("int")
+    channel = F.when(kind == "click", "chip").when(kind == "view", "swipe").otherwise("online")
+    more = {"channel": channel, "merchant_country": F.when(c("user_id") % 3 == 0, "IT").otherwise("US"), "merchant_city": kind, "mcc": mcc, "errors": F.when(kind == "error", "Bad PIN"), "amount": c("value")}
+    rows = E.feature_rows(t(spark, sf, "events").withColumns(more), "user_id", "ts", "event_id", ["event_id"])
+    whole = [x for x in E.FEATURES if x.startswith(("amount_", "decline"))]
+    return rows.withColumns({x: F.round(x, 6) for x in whole})
 
 
 @query("SELECT event_id, '…' || right(sha256('salt:' || user_id), 6) AS masked FROM events")
@@ -234,8 +331,9 @@ def channel_mix(spark, sf):
 
 
 def _recent(spark, sf, hours: int) -> DataFrame:
+    """A scalar subquery, so that the scan can leave out row groups."""
     e = t(spark, sf, "events")
-    return e.join(F.broadcast(e.agg(F.max("ts").alias("now"))), c("ts") >= c("now") - F.expr(f"INTERVAL {hours} HOURS"))
+    return e.where(c("ts") >= e.agg((F.max("ts") - F.expr(f"INTERVAL {hours} HOURS")).alias("since")).scalar())
 
 
 @query("SELECT date_trunc('minute', ts) AS minute, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOURS GROUP BY 1")
@@ -357,7 +455,7 @@ def pr_threshold(spark, sf):
 
 @query(f"{_SC}, z AS (SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r, greatest(1, round_even((SELECT count(*) FROM x) * 0.05, 0)) AS k FROM x) SELECT count(*) AS k, avg(CAST(toxic AS DOUBLE)) AS precision FROM z WHERE r <= k")
 def precision_at_k(spark, sf):
-    return M.precision_at(_scored(spark, sf), [F.desc("n_chars"), c("doc_id")], "toxic", 0.05)
+    return M.precision_at(_scored(spark, sf), "n_chars", [F.asc("doc_id")], "toxic", 0.05)
 
 
 _LE = [1, 2.5, 5, 10, 20, 30, 50, 75, 100, 250, 500, 1000]
@@ -377,7 +475,10 @@ def hist_quantile(spark, sf):
 
 @query("SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1")
 def exact_percentiles(spark, sf):
-    return t(spark, sf, "events").groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"))
+    e = t(spark, sf, "events")
+    q = M.quantiles(e, "value", [0.5, 0.95], ["event_type"]).groupBy("event_type").agg(*(F.max(F.when(c("share") == x, c("value"))).alias(name) for x, name in ((0.5, "p50"), (0.95, "p95"))))
+    rest = e.groupBy(c("event_type").alias("of")).agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"))
+    return q.join(rest, c("event_type") == c("of")).select("event_type", "p50", "p95", "mean", "std")
 
 
 # ---- counters, lag, alerts
@@ -387,9 +488,17 @@ def exact_percentiles(spark, sf):
 def counter_rate(spark, sf):
     s = t(spark, sf, "events").groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h")).agg(F.count(F.lit(1)).alias("n"))
     k = s.withColumn("counter", F.sum("n").over(Window.partitionBy("event_type", F.to_date("h")).orderBy("h")))
-    d = k.withColumn("was", F.lag("counter").over(Window.partitionBy("event_type").orderBy("h")))
-    rise = F.when(c("counter") < c("was"), c("counter")).otherwise(c("counter") - c("was"))
-    return d.select("event_type", "h", (F.when(c("was").isNotNull(), rise) / F.lit(3600.0)).alias("rate"))
+    return M.counter_rates(k, ["event_type"], "h", "counter").select("event_type", "h", (c("rise") / F.lit(3600.0)).alias("rate"))
+
+
+@query("WITH s AS (SELECT event_type, date_trunc('minute', ts) AS m, count(*) AS n FROM events GROUP BY 1, 2), k AS (SELECT *, CAST(sum(n) OVER (PARTITION BY event_type ORDER BY m) AS BIGINT) AS counter FROM s) SELECT event_type, m, (counter - min(counter) OVER (PARTITION BY event_type ORDER BY m RANGE BETWEEN INTERVAL 5 MINUTES PRECEDING AND CURRENT ROW)) / 5.0::DOUBLE AS per_minute FROM k")
+def counter_delta(spark, sf):
+    """What a counter has gained in the last five minutes, a minute."""
+    s = t(spark, sf, "events").groupBy("event_type", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("event_type").orderBy("m")
+    k = s.withColumn("counter", F.sum("n").over(by)).withColumn("__us", W.micros(c("m")))
+    five = Window.partitionBy("event_type").orderBy("__us").rangeBetween(-300_000_000, 0)
+    return k.select("event_type", "m", ((c("counter") - F.min("counter").over(five)) / F.lit(5.0)).alias("per_minute"))
 
 
 @query("SELECT event_type AS grp, CAST(sum(greatest(high - CASE WHEN committed >= 0 THEN committed ELSE low END, 0)) AS BIGINT) AS lag FROM (SELECT event_type, user_id % 8 AS part, max(event_id) AS high, min(event_id) AS low, CASE WHEN user_id % 8 = 0 THEN -1001 ELSE max(event_id) - count(*) END AS committed FROM events GROUP BY 1, 2, user_id % 8) GROUP BY 1")
@@ -408,26 +517,64 @@ def alert_hold(spark, sf):
 
 # ---- change data capture
 
-_OPS = ("CASE o_orderkey % 5 WHEN 0 THEN 'c' WHEN 1 THEN 'u' WHEN 2 THEN 'd' WHEN 3 THEN 'r' ELSE 'x' END",)
+_CDC = """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 IN (0, 5, 7, 9) THEN 2 WHEN o_orderkey % 10 = 1 THEN 4 WHEN o_orderkey % 10 = 2 THEN 1 WHEN o_orderkey % 10 = 3 THEN 3 ELSE 2 END AS op,
+CASE o_orderkey % 20 WHEN 0 THEN true WHEN 5 THEN false END AS fraud, * FROM orders"""
 
 
-@query(f"SELECT o_orderkey AS order_key, o_totalprice AS amount, CAST(o_orderdate AS TIMESTAMP) AS event_time, CASE WHEN op = 'x' THEN 'unknown op: x' END AS reason FROM (SELECT *, {_OPS[0]} AS op FROM orders) WHERE op IN ('c', 'r') UNION ALL SELECT -1, NULL, NULL, 'unknown op: x' FROM orders WHERE o_orderkey % 5 = 4")
+@query(f"""WITH x AS ({_CDC}) SELECT lower(printf('%020x', k)) AS lsn, CAST(k AS VARCHAR) AS event_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(CAST(epoch_ms(o_orderdate) % 1000 AS BIGINT) AS VARCHAR), 3, '0') || 'Z' AS event_time, sha256('salt:' || o_custkey) AS card_token, o_totalprice AS amount,
+'US' AS merchant_country, CAST(k % 10000 AS INT) AS mcc, fraud AS is_fraud FROM x WHERE op = 2""")
 def cdc_envelope_roundtrip(spark, sf):
-    o = t(spark, sf, "orders")
-    k = c("o_orderkey") % 5
-    op = F.when(k == 0, "c").when(k == 1, "u").when(k == 2, "d").when(k == 3, "r").otherwise("x")
-    after = F.struct(c("o_orderkey").alias("order_key"), c("o_totalprice").alias("amount"), F.unix_millis(c("o_orderdate").cast("timestamp")).alias("event_time"))
-    wire = o.select(F.to_json(F.struct(F.when(op != "d", after).alias("after"), op.alias("op"), F.struct(F.lower(F.hex("o_orderkey")).alias("lsn")).alias("source"))).alias("value"))
-    got = wire.select(F.from_json("value", "after struct<order_key bigint, amount double, event_time bigint>, op string, source struct<lsn string>").alias("v")).select("v.*")
-    got = got.where(c("op").isNull() | ~c("op").isin("u", "d"))
-    ok = c("op").isin("c", "r") & c("after").isNotNull()
-    return got.select(F.when(ok, c("after.order_key")).otherwise(F.lit(-1)).cast("bigint").alias("order_key"), F.when(ok, c("after.amount")).alias("amount"), F.when(ok, F.timestamp_millis("after.event_time").cast("timestamp_ntz")).alias("event_time"), F.when(~ok, F.concat(F.lit("unknown op: "), c("op"))).alias("reason"))
+    """Rows of a change table as envelopes in JSON, and the events that are read from them: inserts only."""
+    k = c("o_orderkey")
+    op = F.when((k % 10).isin(0, 5, 7, 9), 2).when(k % 10 == 1, 4).when(k % 10 == 2, 1).when(k % 10 == 3, 3).otherwise(2)
+    table = t(spark, sf, "orders").select(
+        F.unhex(F.lpad(F.hex(k), 20, "0")).alias("__$start_lsn"),
+        op.alias("__$operation"),
+        F.lit("1.0.0").alias("schema_version"),
+        k.cast("string").alias("event_id"),
+        c("o_orderdate").alias("event_time"),
+        F.rpad(X.token("salt", c("o_custkey")), 66, " ").alias("card_token"),
+        c("o_custkey").cast("string").alias("user_id"),
+        c("o_totalprice").cast("decimal(18,2)").alias("amount"),
+        F.lit("USD ").alias("currency"),
+        F.lit("chip").alias("channel"),
+        F.lit("US ").alias("merchant_country"),
+        (k % 10000).cast("int").alias("mcc"),
+        F.when(k % 20 == 0, True).when(k % 20 == 5, False).alias("is_fraud"),
+    )
+    wire = CDC.envelopes(table, F.timestamp_seconds(F.lit(0)))
+    wire = wire.withColumn("lsn", F.get_json_object("value", "$.source.lsn"))
+    got = CDC.to_events(wire).where("reason IS NULL")
+    return got.select("lsn", "event_id", "event_time", "card_token", "amount", "merchant_country", "mcc", "is_fraud")
+
+
+@query("SELECT CASE n_nationkey % 8 WHEN 0 THEN 'unsupported op: x' WHEN 1 THEN 'missing ''after'' payload' WHEN 2 THEN 'mapping error: amount' WHEN 3 THEN 'unexpected is_fraud value: 2' WHEN 4 THEN 'mapping error: card_token' ELSE 'unsupported op: null' END AS reason, count(*) AS n FROM nation WHERE n_nationkey % 8 < 6 GROUP BY 1")
+def cdc_rejects(spark, sf):
+    """Envelopes that can't be events, with the reason; updates, deletes and tombstones aren't among them."""
+    k = c("n_nationkey") % 8
+    good = '{"op":"c","after":{"schema_version":"1.0.0","event_id":"1","event_time":0,"card_token":"t","user_id":"u","amount":1.5,"currency":"USD","channel":"chip","mcc":5,"is_fraud":1}}'
+    broken = {0: '{"op":"x"}', 1: '{"op":"c","after":null}', 2: good.replace("1.5", '"much"'), 3: good.replace('"is_fraud":1', '"is_fraud":2'), 4: good.replace('"card_token":"t",', ""), 5: "no json", 6: '{"op":"d"}'}
+    value = F.lit(None).cast("string")
+    for i, text in broken.items():
+        value = F.when(k == i, text).otherwise(value)
+    return CDC.to_events(t(spark, sf, "nation").select(value.alias("value"))).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, lower(printf('%020x', o_orderkey)) AS lsn, row_number() OVER (ORDER BY o_orderkey // 8, o_custkey, o_orderkey) AS place FROM orders WHERE o_orderkey // 8 > 12 AND o_orderkey // 8 <= 625")
+def cdc_range_scan(spark, sf):
+    """Changes of a range of versions, in the order of (version, sequence)."""
+    key = lambda x: F.unhex(F.lpad(F.hex(x), 20, "0"))
+    table = t(spark, sf, "orders").select("o_orderkey", key(F.expr("o_orderkey div 8")).alias("__$start_lsn"), F.struct("o_custkey", "o_orderkey").alias("__$seqval"))
+    got = CDC.changes(table, (12).to_bytes(10, "big"), (625).to_bytes(10, "big"))
+    place = F.row_number().over(Window.orderBy("`__$start_lsn`", "`__$seqval`"))  # one range of versions
+    return got.select("o_orderkey", F.lower(F.hex(key(c("o_orderkey")))).alias("lsn"), place.cast("bigint").alias("place"))
 
 
-@query("SELECT o_orderkey, lower(printf('%x', o_orderkey)) AS lsn, lower(printf('%x', o_orderkey + 1)) AS next_lsn FROM orders WHERE o_orderkey > 100 AND o_orderkey <= 5000")
-def cdc_range_scan(spark, sf):
-    o = t(spark, sf, "orders").where("o_orderkey > 100 AND o_orderkey <= 5000").orderBy("o_orderkey")
-    return o.select("o_orderkey", F.lower(F.hex("o_orderkey")).alias("lsn"), F.lower(F.hex(c("o_orderkey") + 1)).alias("next_lsn"))
+@query("SELECT o_orderkey, lower(printf('%020x', (o_orderkey + 1) * 256)) AS next_lsn FROM orders")
+def lsn_increment(spark, sf):
+    """The next version of a ten-byte number, with a carry."""
+    before = F.unhex(F.lpad(F.hex((c("o_orderkey") + 1) * 256 - 1), 20, "0"))
+    return t(spark, sf, "orders").select("o_orderkey", F.lower(F.hex(CDC.next_lsn(before))).alias("next_lsn"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 7 = 0 THEN 'confirmed_fraud' ELSE o_orderstatus END AS status FROM orders")
@@ -435,10 +582,35 @@ def alert_status_update(spark, sf):
     return t(spark, sf, "orders").select("o_orderkey", F.when((c("o_orderstatus") == "O") & (c("o_orderkey") % 7 == 0), "confirmed_fraud").otherwise(c("o_orderstatus")).alias("status"))
 
 
-@query("SELECT 'acct-' || user_id AS account_id, user_id, CAST(1000 * (1 + user_id % 20) AS DOUBLE) AS credit_limit, ['credit', 'debit', 'prepaid'][CAST(user_id % 3 AS INT) + 1] AS card_type, CAST(DATE '2010-01-01' + CAST(user_id AS INT) AS TIMESTAMP) AS issued_at FROM (SELECT DISTINCT user_id FROM events)")
+_PAIRS = "SELECT DISTINCT CAST(user_id AS VARCHAR) AS u, CAST(event_id % 7 AS VARCHAR) AS card FROM events"
+_CARDS = f"""SELECT 'card' AS dim, sha256('salt:' || u || ':' || card) AS id, 'acct-' || u AS parent, ['credit', 'debit', 'prepaid'][CAST(card AS INT) % 3 + 1] AS detail, CAST(NULL AS DOUBLE) AS amount,
+CAST(DATE '2010-01-01' + CAST(card AS INT) AS TIMESTAMP) AS since, CAST(row_number() OVER (ORDER BY length(u), u, length(card), card) AS BIGINT) AS place FROM ({_PAIRS})"""
+
+
+@query(f"""WITH u AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS u FROM events), p AS (SELECT u, CAST(row_number() OVER (ORDER BY length(u), u) AS BIGINT) AS place FROM u)
+SELECT 'customer' AS dim, u AS id, NULL AS parent, 'standard' AS detail, CAST(NULL AS DOUBLE) AS amount, TIMESTAMP '2010-01-01' AS since, place FROM p
+UNION ALL SELECT 'account', 'acct-' || u, u, 'active', CAST(1000 * (1 + CAST(u AS BIGINT) % 20) AS DOUBLE), TIMESTAMP '2010-01-01', place FROM p UNION ALL {_CARDS}""")
 def derive_dims(spark, sf):
-    u = t(spark, sf, "events").select("user_id").distinct()
-    return u.select(F.concat(F.lit("acct-"), c("user_id")).alias("account_id"), "user_id", (1000 * (1 + c("user_id") % 20)).cast("double").alias("credit_limit"), F.element_at(F.array(*map(F.lit, ("credit", "debit", "prepaid"))), (c("user_id") % 3 + 1).cast("int")).alias("card_type"), F.date_add(F.lit("2010-01-01").cast("date"), c("user_id").cast("int")).cast("timestamp_ntz").alias("issued_at"))
+    """Customers, accounts and cards from the users and cards of a file, each written after what it refers to, and read back."""
+    pairs = t(spark, sf, "events").select(c("user_id").cast("string").alias("User"), (c("event_id") % 7).cast("string").alias("Card"))
+    out = None
+    for name, rows in D.dimensions(pairs, "salt").items():
+        path = shared_folder(spark, name)
+        rows.write.mode("overwrite").parquet(path)
+        back = spark.read.parquet(path).select(F.lit(name).alias("dim"), "id", "parent", "detail", "amount", "since", "place")
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query("SELECT 'orphan_account' AS check, count(*) AS violations FROM events WHERE user_id IS NULL UNION ALL SELECT 'orphan_card', 0 UNION ALL SELECT 'unknown_token', 0")
+def dim_parity(spark, sf):
+    """Every account has its customer, every card its account, every event's card is known."""
+    pairs = t(spark, sf, "events").select(c("user_id").cast("string").alias("User"), (c("event_id") % 7).cast("string").alias("Card"))
+    dims = D.dimensions(pairs, "salt")
+    tokens = pairs.select(X.token("salt", c("User"), c("Card")).alias("id"))
+    lost = lambda name, a, on, b: a.join(b.select(c("id").alias(on)), on, "left_anti").agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check"), "violations")
+    parts = [lost("orphan_account", dims["account"], "parent", dims["customer"]), lost("orphan_card", dims["card"], "parent", dims["account"]), lost("unknown_token", tokens, "id", dims["card"])]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 _LEVEL = "SELECT b // 1000 AS b, sha256(string_agg(b || ':' || h, chr(10) ORDER BY b)) AS h FROM {} GROUP BY 1"
@@ -519,14 +691,15 @@ def partial_final(spark, sf):
 # ---- files, sampling, models
 
 
-@query(_MAPPED)
+@query(f"{_MAPPED} SELECT * FROM mapped WHERE reason IS NULL")
 def csv_roundtrip(spark, sf):
     """Written as CSV, read with a declared schema, filtered by year before anything is parsed."""
     path = shared_folder(spark, "csv")
     raw = raw_rows(spark, sf)
-    raw.write.option("header", True).csv(path)
+    raw.write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     back = spark.read.schema(raw.schema).option("header", True).option("nullValue", "\\N").option("emptyValue", "").csv(path)
-    return to_events(back.where(c("y").try_cast("int").between(2013, 2030)).fillna("", ["st", "zip", "err", "fraud"]))
+    back = back.where(c("Year").try_cast("int").between(2013, 2030)).fillna("", E.RAW_COLUMNS)
+    return E.to_events(back, "salt").where("reason IS NULL")
 
 
 @query("WITH u AS (SELECT user_id, max(CASE WHEN event_type = 'error' AND value > 100 THEN 1 ELSE 0 END) AS bad FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY bad ORDER BY md5('42:' || user_id), user_id) AS r FROM u) SELECT user_id, bad FROM r WHERE r <= CASE WHEN bad = 1 THEN 60 ELSE 40 END")
@@ -536,18 +709,27 @@ def seeded_sample(spark, sf):
     return pick(1, 60).unionByName(pick(0, 40))
 
 
-@query()
-def gbt_scores(spark, sf):
-    """Boosted trees on point-in-time features: fitted on the first 64 %, scored on the last 20 %."""
-    from cardlake.operators.model import fit, scored
-
+def _split_rows(spark, sf) -> DataFrame:
+    """Features and split of each event: the first 64 % train, up to 80 % validate, the others test."""
     e = t(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value")
     x = W.trailing(e, "user_id", "ts", "event_id", "value", c("event_type") == "error", "event_type", {"1d": 86_400, "7d": 604_800}, distinct=False)
     n = e.count()
-    x = W.positions(x, "ts", "event_id").withColumn("label", (c("event_type") == "error").cast("double"))
-    features = ["value", *(f"{m}_{w}" for w in ("1d", "7d") for m in ("txn_count", "amount_sum", "amount_mean", "decline_rate"))]
-    model = fit(x.where(c("__pos") <= int(n * 0.64)), features)
-    return scored(model, x.where(c("__pos") > int(n * 0.8))).select("event_id", "probability")
+    split = F.when(c("__pos") <= int(int(n * 0.8) * 0.8), "train").when(c("__pos") <= int(n * 0.8), "validation").otherwise("test")
+    return W.positions(x, "ts", "event_id").withColumns({"label": (c("event_type") == "error").cast("double"), "split": split})
+
+
+_MODEL_FEATURES = ["value", *(f"{m}_{w}" for w in ("1d", "7d") for m in ("txn_count", "amount_sum", "amount_mean", "decline_rate"))]
+
+
+@query("WITH p AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS pos, count(*) OVER () AS n FROM events) SELECT event_id, true AS is_probability FROM p WHERE pos > floor(n * 0.8)")
+def gbt_scores(spark, sf):
+    """Boosted trees on point-in-time features, with early stop on validation rows; which rows are scored, and that each score is a probability."""
+    from cardlake.operators import model as B
+
+    x = _split_rows(spark, sf)
+    known = x.where("split <> 'test'").withColumn("held", c("split") == "validation")
+    model = B.fit(known, _MODEL_FEATURES, validation="held", maxIter=5, maxDepth=4)
+    return B.scored(model, x.where("split = 'test'")).select("event_id", c("probability").between(0, 1).alias("is_probability"))
 
 
 # ---- streams: the events come in several files, one a trigger, and some of them twice

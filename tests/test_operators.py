@@ -1,12 +1,16 @@
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cardlake.functions import cdc as CDC
+from cardlake.functions import events as E
 from cardlake.functions import expr as X
 from cardlake.functions import schema as S
+from cardlake.operators import dimensions as D
 from cardlake.operators import metrics as M
 from cardlake.operators import model
 from cardlake.operators import ordered as O
@@ -109,10 +113,100 @@ def test_psi(spark):
 
 def test_model_versions(spark):
     df = spark.createDataFrame([(float(i % 7), float(i % 7 > 4)) for i in range(70)], "x double, label double")
-    m = model.fit(df, ["x"], trees=2)
+    m = model.fit(df, ["x"], maxIter=2)
     folder = shared_folder(spark, "models")
+    with pytest.raises(FileNotFoundError):
+        model.load_current(spark, folder)
     model.save(m, folder, "v1", rows=70)
     loaded, told = model.load_current(spark, folder)
-    assert told == {"version": "v1", "rows": 70}
+    assert told == {"version": "v1", "rows": 70, "features": ["x"]}
     p = {r.x: r.probability for r in model.scored(loaded, df).collect()}
     assert p[6.0] > 0.5 > p[0.0]
+    more = model.scored(loaded, spark.createDataFrame([(None, None)], "x double, other double")).first()
+    assert more.other is None and more.x is None and more.probability == p[0.0]
+    model._write_json(spark, f"{folder}/current", {"version": "gone"})
+    assert model.load_current(spark, folder, "v1")[1]["version"] == "v1"
+    assert model.run_id(datetime(2026, 7, 19, 18, 15, 30, tzinfo=timezone.utc), "abc") == "20260719T181530Z-abc"
+
+
+def test_model_choice(spark):
+    rng = random.Random(3)
+    rows = [(x := rng.random(), float(x + rng.random() * 0.2 > 0.7), ["train", "train", "validation", "test"][i % 4]) for i in range(400)]
+    df = spark.createDataFrame(rows, "x double, label double, split string")
+    m, test, tried = model.choose(df, ["x"], "label", "split", [{"maxIter": 1, "maxDepth": 1}, {"maxIter": 2}])
+    assert len(tried) == 1 and test["pr_auc"] > 0.7 and test["tp"] + test["fn"] + test["fp"] + test["tn"] == 100
+    want = {(r.label, r.probability >= tried[0]["validation"]["threshold"]) for r in model.scored(m, df.where("split = 'test'")).collect()}
+    assert test["tp"] > 0 and (1.0, True) in want
+
+
+def test_mapping_reasons(spark):
+    raw = dict.fromkeys(E.RAW_COLUMNS, "") | {"User": "19", "Card": "4", "Year": "2019", "Month": "2", "Day": "13", "Time": "14:06", "Amount": "$-80.00", "Use Chip": "Swipe Transaction", "MCC": "4829", "Merchant State": "Atlantis", "Errors?": "Bad PIN,"}
+    rows = [raw, raw | {"Time": "x"}, raw | {"Amount": "x"}, raw | {"MCC": None}, raw | {"Day": "30"}, dict.fromkeys(E.RAW_COLUMNS)]
+    got = E.to_events(spark.createDataFrame(rows, E.RAW_SCHEMA), "s").collect()
+    assert [r.reason for r in got] == [None, "Time: is no time", "Amount: is no number", "MCC: is no integer", "Time: is no time", "Time: is no time"]
+    first = got[0].asDict()
+    assert (first["event_time"], first["amount"], first["channel"], first["merchant_country"], first["errors"], first["is_fraud"], first["zip"]) == ("2019-02-13T14:06:00Z", -80.0, "swipe", "XX", "Bad PIN", None, None)
+    again = E.to_events(spark.createDataFrame(rows[:1], E.RAW_SCHEMA), "s").first()
+    assert again.event_id == first["event_id"] and len(again.event_id) == 36
+    valid = E.to_events(spark.createDataFrame([raw | {"Merchant Name": "x"}], E.RAW_SCHEMA), "s")
+    assert valid.select(S.reason(S.CONTRACT.names)).first()[0] is None
+
+
+def test_one_hots_and_feature_row(spark):
+    base = {"k": 1, "amount": 10.0, "merchant_city": "Rome", "mcc": 3000, "errors": ""}
+    t0 = datetime(2024, 1, 1)
+    rows = [base | {"id": i, "t": t0 + timedelta(hours=i), "channel": ch, "merchant_country": co} for i, (ch, co) in enumerate([("chip", "US"), ("swipe", "XX"), ("online", "IT")])]
+    df = spark.createDataFrame(rows, "k int, amount double, merchant_city string, mcc int, errors string, id int, t timestamp_ntz, channel string, merchant_country string")
+    got = {r.id: r for r in E.feature_rows(df, "k", "t", "id", ["id"]).collect()}
+    assert len(E.FEATURES) == 34 and list(got[0].asDict()) == ["id", *E.FEATURES]
+    assert [(got[i].is_cnp, got[i].is_chip, got[i].is_swipe, got[i].is_cross_border, got[i].has_error) for i in range(3)] == [(0, 1, 0, 0, 0), (0, 0, 1, 0, 0), (1, 0, 0, 1, 0)]
+    assert (got[0].is_new_city_30d, got[1].is_new_city_30d, got[0].amount_over_mean_30d, got[2].amount_over_mean_30d) == (1, 0, 10.0, 1.0)
+    cold = E.online_row(spark.createDataFrame([(1, 5.0)], "id int, amount double")).first()
+    assert cold.amount == 5.0 and cold.txn_count_30d == 0.0
+
+
+def test_next_lsn(spark):
+    cases = {b"\x00" * 10: 1, b"\x00\xff": 256, b"\x7f\xff\xff": 1 << 23, (2**64 - 1).to_bytes(10, "big"): 2**64, b"\x09": 10}
+    got = [bytes(r[0]) for r in spark.createDataFrame([(k,) for k in cases], "b binary").select(CDC.next_lsn(F.col("b"))).collect()]
+    assert got == [v.to_bytes(len(k), "big") for k, v in cases.items()]
+    assert spark.createDataFrame([(b"\xff\xff",)], "b binary").select(CDC.next_lsn(F.col("b"))).first()[0] is None
+
+
+def test_json_is_parsed_once(spark):
+    plan = CDC.to_events(spark.createDataFrame([("{}",)], "value string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
+def test_exact_quantiles_and_places(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.choice([None, 1.5, rng.random()])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {(r.k, r.share): r.value for r in M.quantiles(df, "v", [0.0, 0.3, 1.0], ["k"]).collect()}
+    for k in "ab":
+        for share in (0.0, 0.3, 1.0):
+            assert abs(got[k, share] - float(np.quantile([v for x, v in rows if x == k and v is not None], share))) < 1e-12
+    assert M.quantile_edges(df.limit(0), "v") == []
+    scored = spark.createDataFrame([(i, float(i % 50), i % 3 == 0) for i in range(200)], "id int, s double, y boolean")
+    best = sorted(((-float(i % 50), i, i % 3 == 0) for i in range(200)))[:20]
+    assert tuple(M.precision_at(scored.withColumn("y", F.col("y").cast("int")), "s", [F.asc("id")], "y", 0.1).first()) == (20, sum(b[2] for b in best) / 20)
+
+
+def test_drift_table(spark):
+    a = spark.createDataFrame([(float(i), "x") for i in range(100)], "v double, c string")
+    b = spark.createDataFrame([(float(i) * 3, "xy"[i % 2]) for i in range(100)], "v double, c string")
+    assert {r.feature: r.verdict for r in M.drift_table(a, b, ["v"], ["c"]).collect()} == {"v": "drifted", "c": "drifted"}
+    assert {r.verdict for r in M.drift_table(a, a, ["v"], ["c"]).collect()} == {"stable"}
+
+
+def test_counters_begin_anew(spark):
+    t0 = datetime(2024, 1, 1)
+    df = spark.createDataFrame([("a", t0 + timedelta(seconds=10 * i), v) for i, v in enumerate([5, 9, 2, 2])], "k string, t timestamp_ntz, v long")
+    got = [(r.rise, r.rate) for r in M.counter_rates(df, ["k"], "t", "v").orderBy("t").collect()]
+    assert got == [(None, None), (4, 0.4), (2, 0.2), (0, 0.0)]
+
+
+def test_dimensions_order(spark):
+    pairs = spark.createDataFrame([(u, c) for u in ("10", "9", "100", "x", "9 ") for c in ("2", "10", "2")], "User string, Card string")
+    d = {k: sorted((r.place, r.id, r.parent) for r in v.collect()) for k, v in D.dimensions(pairs, "s").items()}
+    assert [i for _, i, _ in d["customer"]] == ["9", "x", "10", "100"] and [p for _, _, p in d["account"]] == ["9", "x", "10", "100"]
+    assert [p for _, _, p in d["card"]] == ["acct-9", "acct-9", "acct-x", "acct-x", "acct-10", "acct-10", "acct-100", "acct-100"]
