@@ -85,19 +85,21 @@ def stream_records(uri: str) -> Iterator[bytes]:
     with where.open_input_stream(path, compression=None) as f:
         while data := f.read(CHUNK):
             while data:
-                held += inflate.decompress(data)
-                data = inflate.unused_data
-                if inflate.eof and data:
-                    inflate = zlib.decompressobj(31)
-            while len(held) >= max(need, 1):
-                if not need:
-                    if (end := held.find(b"\r\n\r\n")) < 0:
-                        break
-                    need = end + 4 + int(headers(bytes(held[: end + 4]))[0]["content-length"]) + 4
-                if len(held) >= need:
-                    yield bytes(held[:need])
-                    del held[:need]
-                    need = 0
+                held += inflate.decompress(data, CHUNK)  # a chunk may inflate to a thousand times its size
+                data = inflate.unconsumed_tail
+                if inflate.eof:
+                    data = inflate.unused_data
+                    if data:
+                        inflate = zlib.decompressobj(31)
+                while len(held) >= max(need, 1):
+                    if not need:
+                        if (end := held.find(b"\r\n\r\n")) < 0:
+                            break
+                        need = end + 4 + int(headers(bytes(held[: end + 4]))[0]["content-length"]) + 4
+                    if len(held) >= need:
+                        yield bytes(held[:need])
+                        del held[:need]
+                        need = 0
     if held:
         raise ValueError(f"{uri} ends within a record")
 
