@@ -52,6 +52,13 @@ def parse_iso(text: Column) -> Column:
     return text.try_cast("timestamp")
 
 
+def filled(text: Column, values: dict[str, str]) -> Column:
+    """Text with ${NAME} replaced by its value; names without one stay."""
+    for name, value in values.items():
+        text = F.replace(text, F.lit("${" + name + "}"), F.lit(value))
+    return text
+
+
 def lookup(values: dict[str, str], key: Column, default: str) -> Column:
     pairs = F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
     return F.coalesce(F.try_element_at(pairs, key), F.lit(default))

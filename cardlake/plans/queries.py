@@ -16,7 +16,7 @@ from cardlake.operators import dimensions as D
 from cardlake.operators import metrics as M
 from cardlake.operators import windows as W
 from cardlake.session import shared_folder
-from cardlake.sources import avro
+from cardlake.sources import avro, tables
 from cardlake.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,8 +116,7 @@ def stable_row_id(spark, sf):
 
 @query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 5")
 def tail_n_per_key(spark, sf):
-    by = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return t(spark, sf, "events").withColumn("r", F.row_number().over(by)).where("r <= 5").select("event_id", "user_id")
+    return tables.first_rows(t(spark, sf, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], 5).select("event_id", "user_id")
 
 
 @query("WITH p AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS pos, count(*) OVER () AS n FROM events), s AS (SELECT *, CASE WHEN pos <= floor(floor(n * 0.8) * 0.8) THEN 'train' WHEN pos <= floor(n * 0.8) THEN 'validation' ELSE 'test' END AS split FROM p) SELECT split, count(*) AS n_rows, count(*) FILTER (WHERE event_type = 'error') AS n_pos, min(ts) AS first_ts, max(ts) AS last_ts, CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN count(*) FILTER (WHERE event_type <> 'error') / CAST(count(*) FILTER (WHERE event_type = 'error') AS DOUBLE) ELSE 1.0 END AS scale_pos_weight FROM s GROUP BY 1")
@@ -579,7 +578,8 @@ def lsn_increment(spark, sf):
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 7 = 0 THEN 'confirmed_fraud' ELSE o_orderstatus END AS status FROM orders")
 def alert_status_update(spark, sf):
-    return t(spark, sf, "orders").select("o_orderkey", F.when((c("o_orderstatus") == "O") & (c("o_orderkey") % 7 == 0), "confirmed_fraud").otherwise(c("o_orderstatus")).alias("status"))
+    alerts = t(spark, sf, "orders").select("o_orderkey", c("o_orderstatus").alias("status"))
+    return tables.updated(alerts, "status", "confirmed_fraud", (c("status") == "O") & (c("o_orderkey") % 7 == 0))
 
 
 _PAIRS = "SELECT DISTINCT CAST(user_id AS VARCHAR) AS u, CAST(event_id % 7 AS VARCHAR) AS card FROM events"
@@ -629,18 +629,10 @@ def fingerprint(spark, sf):
 @query("SELECT 'event_id_null' AS check, count(*) FILTER (WHERE event_id IS NULL) AS violations FROM events UNION ALL SELECT 'event_id_unique', count(*) FROM (SELECT event_id FROM events GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'event_type_accepted', count(*) FILTER (WHERE event_type NOT IN ('click', 'view', 'purchase', 'signup')) FROM events UNION ALL SELECT 'orphan_custkey', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'rate_range', count(*) FROM lineitem WHERE l_discount IS NULL OR l_discount < 0 OR l_discount > 0.05")
 def dq_report(spark, sf):
     e, li = t(spark, sf, "events"), t(spark, sf, "lineitem")
-    say = lambda name, d: d.select(F.lit(name).alias("check"), c("violations"))
-    parts = [
-        say("event_id_null", e.agg(F.count_if(c("event_id").isNull()).alias("violations"))),
-        say("event_id_unique", e.groupBy("event_id").count().where("count > 1").agg(F.count(F.lit(1)).alias("violations"))),
-        say("event_type_accepted", e.agg(F.count_if(~c("event_type").isin("click", "view", "purchase", "signup")).alias("violations"))),
-        say("orphan_custkey", t(spark, sf, "orders").join(t(spark, sf, "customer"), c("o_custkey") == c("c_custkey"), "left_anti").agg(F.count(F.lit(1)).alias("violations"))),
-        say("rate_range", li.agg(F.count_if(c("l_discount").isNull() | ~c("l_discount").between(0, 0.05)).alias("violations"))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    accepted = {"event_type": ["click", "view", "purchase", "signup"]}
+    orphans = tables.violations(t(spark, sf, "orders"), parents={"o_custkey": t(spark, sf, "customer").select("c_custkey")}).withColumn("check", F.lit("orphan_custkey"))
+    rate = li.agg(F.count_if(c("l_discount").isNull() | ~c("l_discount").between(0, 0.05)).alias("violations")).select(F.lit("rate_range").alias("check"), "violations")
+    return tables.violations(e, required=["event_id"], unique=["event_id"], accepted=accepted).unionByName(orphans).unionByName(rate)
 
 
 @query("SELECT n_nationkey, split_part(x, ':', 1) AS grp, split_part(x, ':', 2) AS topic FROM (SELECT n_nationkey, unnest(string_split('a:' || n_name || ',b:t' || n_nationkey, ',')) AS x FROM nation)")
@@ -657,14 +649,61 @@ def avro_roundtrip(spark, sf):
     e = t(spark, sf, "events").withColumn("props", F.when(c("event_id") % 3 == 0, None).otherwise(c("props")))
     framed = e.select(avro.encode(schema, 7, *(c(f.name) for f in schema)).alias("v"), "event_id")
     damaged = framed.select(F.when(c("event_id") % 11 == 5, F.substring("v", 1, 9)).otherwise(c("v")).alias("v"))
-    return damaged.select(avro.decode(schema, c("v")).alias("r")).where("r.ok").select("r.event_id", "r.event_type", "r.value", "r.props")
+    return damaged.select(avro.decode(schema, c("v"), 7).alias("r")).where("r.ok").select("r.event_id", "r.event_type", "r.value", "r.props")
 
 
-@query("SELECT 'http_requests_total' AS metric, event_type AS label, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY 2")
+@query("SELECT 'requests_total' AS metric, event_type AS type, CAST(count(*) AS DOUBLE) AS total FROM events GROUP BY 2 UNION ALL SELECT 'latency_bucket', NULL, CAST(count(*) + count(*) FILTER (WHERE value <= 10) AS DOUBLE) FROM events")
 def prom_parse(spark, sf):
-    lines = t(spark, sf, "events").groupBy("event_type").count().select(F.concat(F.lit('http_requests_total{type="'), c("event_type"), F.lit('"} '), c("count").cast("string")).alias("value"))
-    part = lambda i: F.regexp_extract("value", r'^(\w+)\{type="([^"]*)"\} (\S+)$', i)
-    return lines.select(part(1).alias("metric"), part(2).alias("label"), part(3).cast("double").alias("value"))
+    """Counters written as a text exposition, read back, and summed by metric and label."""
+    path, e = shared_folder(spark, "metrics"), t(spark, sf, "events")
+    line = lambda name, labels, n: F.concat(F.lit(f"{name}{{"), *labels, F.lit("} "), n.cast("string")).alias("value")
+    total = e.groupBy("event_type", "user_id").count()
+    lines = total.select(line("requests_total", [F.lit('type="'), c("event_type"), F.lit('",user="'), c("user_id").cast("string"), F.lit('"')], c("count")))
+    buckets = e.agg(F.count_if(c("value") <= 10).alias("low"), F.count(F.lit(1)).alias("all"))
+    for le, n in (("10", "low"), ("+Inf", "all")):
+        lines = lines.unionByName(buckets.select(line("latency_bucket", [F.lit(f'le="{le}"')], c(n))))
+    lines.unionByName(spark.createDataFrame([("# TYPE requests_total counter",), ("no sample",)], "value string")).write.text(path)
+    got = tables.samples(spark.read.text(path))
+    return got.groupBy("metric", F.try_element_at("labels", F.lit("type")).alias("type")).agg(F.sum("value").alias("total"))
+
+
+@query("SELECT o_custkey, max(o_orderkey) AS o_orderkey, CAST(count(*) AS BIGINT) AS versions FROM orders GROUP BY 1")
+def keyed_upsert(spark, sf):
+    """Latest rows by key, upserted in three snapshots, each written to a place of its own."""
+    o = t(spark, sf, "orders").select("o_custkey", "o_orderkey", F.lit(1).cast("bigint").alias("versions"))
+    stored = o.limit(0)
+    for i in range(3):
+        part, path = o.where(c("o_orderkey") % 3 == i), shared_folder(spark, "snapshot")
+        # of a batch's rows of a key the last counts, and says how many there were
+        part = part.groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"), F.sum("versions").alias("versions"))
+        was = stored.select(c("o_custkey").alias("k"), c("versions").alias("was"))
+        seen = part.join(was, c("o_custkey") == c("k"), "left").select("o_custkey", "o_orderkey", (c("versions") + F.coalesce("was", F.lit(0))).alias("versions"))
+        low = stored.select(c("o_custkey").alias("k"), c("o_orderkey").alias("least"))
+        seen = seen.join(low, c("o_custkey") == c("k"), "left").select("o_custkey", F.greatest("o_orderkey", "least").alias("o_orderkey"), "versions")
+        tables.upserted(stored, seen, "o_custkey", "versions").write.parquet(path)
+        stored = spark.read.parquet(path)
+    return stored
+
+
+@query("SELECT event_id, value FROM events")
+def append_new_rows(spark, sf):
+    """Three overlapping deliveries, appended without copies."""
+    e, path = t(spark, sf, "events").select("event_id", "value"), shared_folder(spark, "appended")
+    for i in range(3):
+        tables.append_new(e.where((c("event_id") % 3 == i) | (c("event_id") % 5 == 0)), path, "event_id")
+    return spark.read.parquet(path)
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (WHERE event_id % 11 = 5) AS poison, count(*) FILTER (WHERE event_id % 11 <> 5) AS decoded FROM events")
+def poison_counts(spark, sf):
+    """How many framed records couldn't be decoded, counted while the others are written."""
+    schema = T.StructType([T.StructField("event_id", T.LongType(), False), T.StructField("value", T.DoubleType(), False)])
+    framed = t(spark, sf, "events").select(avro.encode(schema, 7, c("event_id"), c("value")).alias("v"), "event_id")
+    damaged = framed.select(F.when(c("event_id") % 11 == 5, F.substring("v", 1, 9)).otherwise(c("v")).alias("v"))
+    rows, seen = tables.counted(damaged.select(avro.decode(schema, c("v"), 7).alias("r")), poison=c("r").isNull() | ~c("r.ok"))
+    rows.where("r.ok").select("r.event_id", "r.value").write.parquet(shared_folder(spark, "decoded"))
+    n = seen.get
+    return spark.createDataFrame([(n["rows"], n["poison"], n["rows"] - n["poison"])], "rows bigint, poison bigint, decoded bigint")
 
 
 @query(f"WITH s AS (SELECT user_id, count(*) AS n, CAST(sum({dec('value')}) AS DOUBLE) AS total FROM events WHERE ts < TIMESTAMP '{_CUT}' GROUP BY 1), p AS (SELECT event_id, s.user_id IS NULL AS cold_card, least(1.0, greatest(0.0, round(0.002 * value + 0.1 * coalesce(value / nullif(total / n, 0), 0), 9))) AS p FROM events e LEFT JOIN s ON e.user_id = s.user_id WHERE ts >= TIMESTAMP '{_CUT}') SELECT event_id, cold_card, p AS fraud_probability, CASE WHEN p >= 0.25 THEN 'review' ELSE 'approve' END AS decision FROM p")

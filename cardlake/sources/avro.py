@@ -62,13 +62,13 @@ def encode(schema: T.StructType, id_: int, *columns: Column) -> Column:
     return run(*columns)
 
 
-def decode(schema: T.StructType, framed: Column) -> Column:
-    """Records as structs; null for what isn't a whole record."""
+def decode(schema: T.StructType, framed: Column, id_: int | None = None) -> Column:
+    """Records as structs; not ok for what isn't a whole record, or (if id_ is given) of another schema."""
     kinds = [(f.name, f.dataType.simpleString(), f.nullable) for f in schema]
 
     def one(data: bytes | None) -> dict | None:
         try:
-            if data is None or data[0] != 0:
+            if data is None or data[0] != 0 or (id_ is not None and data[1:5] != struct.pack(">I", id_)):
                 return None
             at, out = 5, {}
             for name, kind, nullable in kinds:

@@ -16,7 +16,7 @@ from cardlake.operators import model
 from cardlake.operators import ordered as O
 from cardlake.operators import windows as W
 from cardlake.session import shared_folder
-from cardlake.sources import avro
+from cardlake.sources import avro, tables
 
 
 @pytest.mark.parametrize("frame", [0, 60, W.FRAME])
@@ -104,6 +104,44 @@ def test_avro_damage(spark):
     assert not [r for r in cut.select(avro.decode(schema, F.col("v")).alias("r")).collect() if r.r.ok]
 
 
+def test_tables(spark, tmp_path):
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())])
+    path = f"file://{tmp_path}/t"
+    assert tables.read_or_empty(spark, path, schema).count() == 0
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], schema)
+    tables.append_new(rows, path, "k")
+    tables.append_new(rows.unionByName(spark.createDataFrame([(3, "d")], schema)), path, "k")
+    stored = tables.read_or_empty(spark, path, schema)
+    assert sorted(r.k for r in stored.collect()) == [1, 2, 3]
+    new = tables.upserted(spark.createDataFrame([(1, "a"), (2, "z")], schema), spark.createDataFrame([(2, "y"), (3, "x"), (1, "b")], schema), "k", "v")
+    assert sorted(map(tuple, new.collect())) == [(1, "b"), (2, "z"), (3, "x")]
+    assert tuple(tables.updated(stored.where("k = 3"), "v", "new", F.col("v") == "d").first()) == (3, "new")
+    bad = tables.violations(rows, unique=["k"], required=["v"], accepted={"v": ["a", "b"]}, parents={"k": spark.createDataFrame([(1,)], "id long")})
+    assert {r.check: r.violations for r in bad.collect()} == {"v_null": 0, "k_unique": 1, "v_accepted": 1, "orphan_k": 1}
+    seen_rows, seen = tables.counted(rows, big=F.col("k") > 1)
+    assert seen_rows.count() == 3 and seen.get == {"rows": 3, "big": 1}
+
+
+def test_tables_are_made_once(spark, tmp_path):
+    schema = T.StructType([T.StructField("k", T.LongType())])
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS made LOCATION 'file://{tmp_path}/made'")
+    assert tables.create_missing(spark, {"a": schema, "b": schema}, "made") == ["a", "b"]
+    assert tables.create_missing(spark, {"a": schema, "c": schema}, "made") == ["c"]
+    assert spark.table("made.a").schema == schema
+    spark.sql("DROP DATABASE made CASCADE")
+
+
+def test_metric_lines(spark):
+    lines = ['m{le="0.5",path="/a b"} 3', "plain 4.5", '# HELP m x', "broken", 'm{le="+Inf"} +Inf', "bad x"]
+    got = [(r.metric, r.labels, r.value) for r in tables.samples(spark.createDataFrame([(x,) for x in lines], "value string")).collect()]
+    assert got == [("m", {"le": "0.5", "path": "/a b"}, 3.0), ("plain", {}, 4.5), ("m", {"le": "+Inf"}, float("inf"))]
+
+
+def test_placeholders(spark):
+    row = spark.createDataFrame([("jdbc:${HOST}:${PORT}/${NONE}",)], "t string").select(X.filled(F.col("t"), {"HOST": "db", "PORT": "1$"})).first()
+    assert row[0] == "jdbc:db:1$/${NONE}"
+
+
 def test_psi(spark):
     a = spark.createDataFrame([("x", 90), ("y", 10)], "bin string, ref long")
     b = spark.createDataFrame([("x", 10), ("y", 90)], "bin string, cur long")
