@@ -20,7 +20,11 @@ def next_lsn(lsn: Column) -> Column:
     digits = F.lower(F.hex(lsn))
     full = F.length(F.regexp_extract(digits, "f*$", 0))
     head = F.substr(digits, F.lit(1), F.length(digits) - full)
-    up = F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.translate(F.right(head, F.lit(1)), "0123456789abcde", "123456789abcdef"), F.repeat(F.lit("0"), full))
+    up = F.concat(
+        F.substr(head, F.lit(1), F.length(head) - 1),
+        F.translate(F.right(head, F.lit(1)), "0123456789abcde", "123456789abcdef"),
+        F.repeat(F.lit("0"), full),
+    )
     return F.when(F.length(head) > 0, F.unhex(up))
 
 
@@ -38,7 +42,13 @@ def envelopes(table: DataFrame, at: Column) -> DataFrame:
     after = F.struct(*(json(c).alias(c) for c in table.columns if c not in META))
     rows = table.withColumn("__op", op).where(F.col("__op").isNotNull())
     source = F.struct(F.lower(F.hex("`__$start_lsn`")).alias("lsn"))
-    value = F.struct(F.lit(None).cast("string").alias("before"), F.when(F.col("__op") != "d", after).alias("after"), F.col("__op").alias("op"), F.unix_millis(at).alias("ts_ms"), source.alias("source"))
+    value = F.struct(
+        F.lit(None).cast("string").alias("before"),
+        F.when(F.col("__op") != "d", after).alias("after"),
+        F.col("__op").alias("op"),
+        F.unix_millis(at).alias("ts_ms"),
+        source.alias("source"),
+    )
     return rows.select(F.to_json(value, {"ignoreNullFields": "false"}).alias("value"))
 
 
@@ -52,13 +62,17 @@ def to_events(wire: DataFrame) -> DataFrame:
 
     The JSON is parsed once: a generator keeps the parsed value from being copied into each column."""
     own = [c for c in wire.columns if c != "value"]
-    parsed = wire.where(F.col("value").isNotNull()).select(*own, F.explode(F.array(F.from_json("value", ENVELOPE))).alias("v")).select(*own, "v.op", "v.after")
+    parsed = wire.where(F.col("value").isNotNull()).select(
+        *own, F.explode(F.array(F.from_json("value", ENVELOPE))).alias("v")
+    ).select(*own, "v.op", "v.after")
     parsed = parsed.where(F.col("op").isNull() | ~F.col("op").isin("u", "d"))
     a = lambda f: F.col(f"after.{f}")
     time, amount, fraud = a("event_time").try_cast("bigint"), a("amount").try_cast("double"), truth(a("is_fraud"))
     mcc = a("mcc").try_cast("int")
     known = ("schema_version", "event_id", "user_id", "channel", "card_token", "currency")
-    reason = F.when(~F.coalesce(F.col("op").isin("c", "r"), F.lit(False)), F.concat(F.lit("unsupported op: "), F.coalesce("op", F.lit("null"))))
+    reason = F.when(
+        ~F.coalesce(F.col("op").isin("c", "r"), F.lit(False)), F.concat(F.lit("unsupported op: "), F.coalesce("op", F.lit("null")))
+    )
     reason = reason.when(F.col("after").isNull(), "missing 'after' payload")
     for f in known:
         reason = reason.when(a(f).isNull(), f"mapping error: {f}")

@@ -10,7 +10,23 @@ from cardlake.functions import expr as X
 from cardlake.operators import windows as W
 
 # Fixed names of the raw file's columns.
-RAW_COLUMNS = ["User", "Card", "Year", "Month", "Day", "Time", "Amount", "Use Chip", "Merchant Name", "Merchant City", "Merchant State", "Zip", "MCC", "Errors?", "Is Fraud?"]
+RAW_COLUMNS = [
+    "User",
+    "Card",
+    "Year",
+    "Month",
+    "Day",
+    "Time",
+    "Amount",
+    "Use Chip",
+    "Merchant Name",
+    "Merchant City",
+    "Merchant State",
+    "Zip",
+    "MCC",
+    "Errors?",
+    "Is Fraud?",
+]
 RAW_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in RAW_COLUMNS])
 
 
@@ -59,7 +75,9 @@ def to_events(raw: DataFrame, salt: str) -> DataFrame:
 def dead_letters(raw: DataFrame, reason: Column, columns: list[str]) -> DataFrame:
     """A line of JSON {raw, error} for each row with a reason."""
     rows = raw.withColumn("__reason", reason).where(F.col("__reason").isNotNull())
-    return rows.select(F.to_json(F.struct(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("raw"), F.col("__reason").alias("error"))).alias("value"))
+    return rows.select(
+        F.to_json(F.struct(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("raw"), F.col("__reason").alias("error"))).alias("value")
+    )
 
 
 def enriched(events: DataFrame, time: str = "event_time") -> DataFrame:
@@ -87,7 +105,19 @@ def channel_of(cnp: Column, chip: Column) -> Column:
     return F.when(cnp, "online").when(chip, "chip").otherwise("swipe")
 
 
-EVENT_FEATURES = ["amount", "amount_log", "is_cnp", "is_chip", "is_swipe", "is_cross_border", "mcc_group_id", "mcc", "has_error", "hour_of_day", "day_of_week"]
+EVENT_FEATURES = [
+    "amount",
+    "amount_log",
+    "is_cnp",
+    "is_chip",
+    "is_swipe",
+    "is_cross_border",
+    "mcc_group_id",
+    "mcc",
+    "has_error",
+    "hour_of_day",
+    "day_of_week",
+]
 HISTORY_FEATURES = ["time_since_last_txn_s", "is_new_city_30d", "amount_over_mean_30d"]
 WINDOW_FEATURES = ["txn_count", "amount_sum", "amount_mean", "distinct_merchant_city", "decline_rate"]
 #: The columns that a model reads, in order.
@@ -112,4 +142,7 @@ def feature_rows(events: DataFrame, key: str, time: str, seq: str, keep: list[st
 def online_row(stored: DataFrame) -> DataFrame:
     """FEATURES as doubles with 0 for windows that are not known, as for a card without a history."""
     have = set(stored.columns)
-    return stored.select(*(c for c in stored.columns if c not in FEATURES), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in have else F.lit(0.0).alias(c) for c in FEATURES))
+    return stored.select(
+        *(c for c in stored.columns if c not in FEATURES),
+        *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in have else F.lit(0.0).alias(c) for c in FEATURES),
+    )

@@ -66,7 +66,9 @@ def lookup(values: dict[str, str], key: Column, default: str) -> Column:
 
 def country(channel: Column, state: Column) -> Column:
     s = F.trim(state)
-    return F.when((channel == "online") | s.isNull() | (s == ""), "XX").when(F.upper(s).isin(US_STATES), "US").otherwise(lookup(COUNTRIES, s, "XX"))
+    return F.when(
+        (channel == "online") | s.isNull() | (s == ""), "XX"
+    ).when(F.upper(s).isin(US_STATES), "US").otherwise(lookup(COUNTRIES, s, "XX"))
 
 
 def zip_code(text: Column) -> Column:

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 REQUIRED = "schema_version event_id event_time card_token user_id amount currency channel merchant_name merchant_city merchant_state merchant_country mcc".split()
-CONTRACT = T.StructType([T.StructField(n, {"amount": T.DoubleType(), "mcc": T.IntegerType()}.get(n, T.StringType()), False) for n in REQUIRED] + [T.StructField("zip", T.StringType()), T.StructField("errors", T.StringType()), T.StructField("is_fraud", T.BooleanType())])
+CONTRACT = T.StructType(
+    [T.StructField(n, {"amount": T.DoubleType(), "mcc": T.IntegerType()}.get(n, T.StringType()), False) for n in REQUIRED] + [
+        T.StructField("zip", T.StringType()), T.StructField("errors", T.StringType()), T.StructField("is_fraud", T.BooleanType())
+    ]
+)
 
 
 def violations(columns: list[str]) -> Column:
@@ -26,7 +30,9 @@ def violations(columns: list[str]) -> Column:
         ("merchant_country", ~c("merchant_country").rlike("^[A-Z]{2}$"), "must be two capitals"),
         ("mcc", ~c("mcc").between(0, 9999), "must be from 0 to 9999"),
     ]
-    return F.array_sort(F.array_compact(F.array(*(F.when(broken, F.lit(f"{path}: {said}")) for path, broken, said in rules if path in columns))))
+    return F.array_sort(
+        F.array_compact(F.array(*(F.when(broken, F.lit(f"{path}: {said}")) for path, broken, said in rules if path in columns)))
+    )
 
 
 def reason(columns: list[str]) -> Column:
@@ -46,7 +52,11 @@ AVRO = {"string": "string", "double": "double", "int": "int", "bigint": "long",
 
 
 def avro_schema(schema: T.StructType, name: str = "Transaction", namespace: str = "payments") -> str:
-    fields = [{"name": f.name, "type": ["null", AVRO[f.dataType.simpleString()]], "default": None} if f.nullable else {"name": f.name, "type": AVRO[f.dataType.simpleString()]} for f in schema]
+    fields = [
+        {
+            "name": f.name, "type": ["null", AVRO[f.dataType.simpleString()]], "default": None
+        } if f.nullable else {"name": f.name, "type": AVRO[f.dataType.simpleString()]} for f in schema
+    ]
     return json.dumps({"type": "record", "name": name, "namespace": namespace, "fields": fields}, indent=2) + "\n"
 
 

@@ -23,7 +23,9 @@ def quantiles(df: DataFrame, column: str, shares: list[float], keys: list[str] |
     whole = whole.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("__place", F.col("share") * (F.col("__all") - 1))
     holds = lambda place: (F.col("__before") <= place) & (place < F.col("__before") + F.col("__n"))
     lo, hi = F.floor("__place"), F.ceil("__place")
-    near = whole.where(holds(lo) | holds(hi)).groupBy(*keys, "share", "__place").agg(F.max(F.when(holds(lo), F.col("__at"))).alias("lo"), F.max(F.when(holds(hi), F.col("__at"))).alias("hi"))
+    near = whole.where(holds(lo) | holds(hi)).groupBy(*keys, "share", "__place").agg(
+        F.max(F.when(holds(lo), F.col("__at"))).alias("lo"), F.max(F.when(holds(hi), F.col("__at"))).alias("hi")
+    )
     return near.select(*keys, "share", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("__place") - F.floor("__place"))).alias("value"))
 
 
@@ -38,7 +40,9 @@ def numeric_bins(df: DataFrame, column: str, edges: list[float], as_: str) -> Da
     if len(edges) == 1:
         edges = [edges[0] - 0.5, edges[0] + 0.5]
     inner = F.array(*(F.lit(float(e)) for e in edges[1:-1])).cast("array<double>")
-    return df.where(F.col(column).isNotNull()).groupBy(F.size(F.filter(inner, lambda e: e <= F.col(column))).cast("string").alias("bin")).agg(F.count(F.lit(1)).alias(as_))
+    return df.where(F.col(column).isNotNull()).groupBy(
+        F.size(F.filter(inner, lambda e: e <= F.col(column))).cast("string").alias("bin")
+    ).agg(F.count(F.lit(1)).alias(as_))
 
 
 def categories(df: DataFrame, column: str, as_: str) -> DataFrame:
@@ -55,7 +59,9 @@ def psi(reference: DataFrame, current: DataFrame) -> DataFrame:
 
 def confusion(df: DataFrame, score: str, label: str, threshold: float) -> DataFrame:
     p, y = F.col(score) >= threshold, F.col(label) == 1
-    n = df.agg(F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"), F.count_if(~p & ~y).alias("tn"))
+    n = df.agg(
+        F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"), F.count_if(~p & ~y).alias("tn")
+    )
     safe = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     n = n.withColumns({"precision": safe(F.col("tp"), F.col("tp") + F.col("fp")), "recall": safe(F.col("tp"), F.col("tp") + F.col("fn"))})
     return n.withColumn("f1", safe(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
@@ -77,7 +83,11 @@ def average_precision(points: DataFrame) -> DataFrame:
 def roc_auc(points: DataFrame) -> DataFrame:
     """Null with one class only."""
     c = F.col
-    return points.agg(F.try_divide(F.sum((c("n") - c("tp")) * ((c("ctp") - c("tp")) + c("tp") / 2)), F.max(c("pos") * (c("all") - c("pos")))).alias("roc_auc"))
+    return points.agg(
+        F.try_divide(
+            F.sum((c("n") - c("tp")) * ((c("ctp") - c("tp")) + c("tp") / 2)), F.max(c("pos") * (c("all") - c("pos")))
+        ).alias("roc_auc")
+    )
 
 
 def best_threshold(points: DataFrame) -> DataFrame:
@@ -89,7 +99,9 @@ def best_threshold(points: DataFrame) -> DataFrame:
 def precision_at(df: DataFrame, score: str, ties: list[Column], label: str, share: float) -> DataFrame:
     """Precision among the k = max(1, round(n * share)) of highest score. Places come from counts by ranges, so k may be large."""
     k = max(1, round(df.count() * share))
-    ranked = running(in_ranges(df.withColumn("__one", F.lit(1).cast("long")), score), [], [F.desc(score), *ties], {"__one": "__before"}, downward=True)
+    ranked = running(
+        in_ranges(df.withColumn("__one", F.lit(1).cast("long")), score), [], [F.desc(score), *ties], {"__one": "__before"}, downward=True
+    )
     first = ranked.where(F.coalesce("__before", F.lit(0)) < k)
     return first.agg(F.count(F.lit(1)).alias("k"), F.avg(F.col(label).cast("double")).alias("precision"))
 
@@ -97,9 +109,19 @@ def precision_at(df: DataFrame, score: str, ties: list[Column], label: str, shar
 def histogram_quantile(buckets: DataFrame, q: float) -> DataFrame:
     """From cumulative (le, cnt), le ascending with infinity last: linear within a bucket, the last finite bound beyond."""
     by = Window.orderBy("le")  # a row for each bucket
-    b = buckets.select("le", "cnt", F.coalesce(F.lag("le").over(by), F.lit(0.0)).alias("lo"), F.coalesce(F.lag("cnt").over(by), F.lit(0)).alias("before"), F.max("cnt").over(Window.orderBy("le").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
+    b = buckets.select(
+        "le",
+        "cnt",
+        F.coalesce(F.lag("le").over(by), F.lit(0.0)).alias("lo"),
+        F.coalesce(F.lag("cnt").over(by), F.lit(0)).alias("before"),
+        F.max("cnt").over(Window.orderBy("le").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"),
+    )
     inside = b.where(F.col("cnt") >= q * F.col("all")).orderBy("le").limit(1)
-    value = F.when(F.col("le") == float("inf"), F.col("lo")).otherwise(F.col("lo") + (F.col("le") - F.col("lo")) * F.coalesce(F.try_divide(q * F.col("all") - F.col("before"), F.col("cnt") - F.col("before")), F.lit(0.0)))
+    value = F.when(F.col("le") == float("inf"), F.col("lo")).otherwise(
+        F.col("lo") + (F.col("le") - F.col("lo")) * F.coalesce(
+            F.try_divide(q * F.col("all") - F.col("before"), F.col("cnt") - F.col("before")), F.lit(0.0)
+        )
+    )
     return inside.select(F.lit(q).alias("q"), value.alias("value"))
 
 

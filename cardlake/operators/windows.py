@@ -85,7 +85,9 @@ def _by_frames(rows: DataFrame, own: list[str], key: str, seq: str, city: str, w
     rows = rows.repartition(key)  # both kinds of window are dealt by key then
     instant = Window.partitionBy(key, "__us").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     sums = {"n": F.count(F.lit(1)), "s": F.sum("__cents"), "e": F.sum("__error")}
-    rows = rows.withColumns({f"__p{x}": F.coalesce(f.over(instant), zero) for x, f in sums.items()} | ({"__pd": F.collect_set(city).over(instant)} if distinct else {}))
+    rows = rows.withColumns(
+        {f"__p{x}": F.coalesce(f.over(instant), zero) for x, f in sums.items()} | ({"__pd": F.collect_set(city).over(instant)} if distinct else {})
+    )
     found: dict[str, Column] = {}
     for name, w in windows.items():
         before = Window.partitionBy(key).orderBy("__us").rangeBetween(-w * 1_000_000, -1)
@@ -136,7 +138,9 @@ def _by_changes(rows: DataFrame, own: list[str], key: str, seq: str, city: str,
     kept = [*own, "__us", *(["__was"] if distinct else [])]
     event = F.when(c("__ends") == 0, F.struct(*kept)).alias("__event")  # only events need their columns
     sent = sent.withColumns(steps).select(c(key).alias("__k"), "__at", "__ends", c(seq).alias("__seq"), event, *steps)
-    out = running(in_ranges(sent, "__at", cuts), ["__k"], [c("__at"), c("__ends"), c("__seq")], {s: f"__r{s}" for s in steps}).where("__ends = 0")
+    out = running(
+        in_ranges(sent, "__at", cuts), ["__k"], [c("__at"), c("__ends"), c("__seq")], {s: f"__r{s}" for s in steps}
+    ).where("__ends = 0")
     more: dict[str, Column] = {}
     for name in windows:
         more |= _features(name, *(F.coalesce(c(f"__r__{x}_{name}"), zero) for x in "nse"))
@@ -155,21 +159,31 @@ def since_last(events: DataFrame, key: str, time: str, seq: str, stream: int = S
     order = Window.partitionBy(key).orderBy("__us", seq)
     out = small.withColumn("last_event_ts", F.lag(time).over(order))
     if large is not None:
-        out = out.unionByName(running(in_ranges(large, "__us"), [key], [F.col("__us"), F.col(seq)], {time: "last_event_ts"}, F.max).drop("__range"))
+        out = out.unionByName(
+            running(in_ranges(large, "__us"), [key], [F.col("__us"), F.col(seq)], {time: "last_event_ts"}, F.max).drop("__range")
+        )
     gap = (F.col("__us") - micros(F.col("last_event_ts"))) / 1e6
-    return out.withColumn("time_since_last_txn_s", F.when(gap.isNull(), float(CAP)).otherwise(F.least(F.greatest(gap, F.lit(0.0)), F.lit(float(CAP))))).drop("__us")
+    return out.withColumn(
+        "time_since_last_txn_s", F.when(gap.isNull(), float(CAP)).otherwise(F.least(F.greatest(gap, F.lit(0.0)), F.lit(float(CAP))))
+    ).drop("__us")
 
 
 def running_totals(events: DataFrame, key: str, time: str, seq: str, amount: str, stream: int = STREAM) -> DataFrame:
     """running_sum and running_count of each key's events so far, the event itself included."""
-    rows = events.withColumns({"__us": micros(F.col(time)), "__amount": F.col(amount).cast("decimal(18,2)"), "__one": F.lit(1).cast("long")})
+    rows = events.withColumns(
+        {"__us": micros(F.col(time)), "__amount": F.col(amount).cast("decimal(18,2)"), "__one": F.lit(1).cast("long")}
+    )
     small, large = by_size(rows, key, stream)
     before = Window.partitionBy(key).orderBy("__us", seq).rowsBetween(Window.unboundedPreceding, -1)
     out = small.withColumns({"__sum": F.sum("__amount").over(before), "__count": F.sum("__one").over(before)})
     if large is not None:
-        out = out.unionByName(running(in_ranges(large, "__us"), [key], [F.col("__us"), F.col(seq)], {"__amount": "__sum", "__one": "__count"}).drop("__range"))
+        out = out.unionByName(
+            running(in_ranges(large, "__us"), [key], [F.col("__us"), F.col(seq)], {"__amount": "__sum", "__one": "__count"}).drop("__range")
+        )
     both = lambda a, b: F.coalesce(F.col(a), F.lit(0)) + F.coalesce(F.col(b), F.lit(0))
-    return out.withColumns({"running_sum": both("__sum", "__amount").cast("double"), "running_count": both("__count", "__one").cast("long")}).drop("__us", "__amount", "__one", "__sum", "__count")
+    return out.withColumns(
+        {"running_sum": both("__sum", "__amount").cast("double"), "running_count": both("__count", "__one").cast("long")}
+    ).drop("__us", "__amount", "__one", "__sum", "__count")
 
 
 def latest_state(events: DataFrame, key: str, time: str, amount: str, windows: dict[str, int] = WINDOWS) -> DataFrame:
@@ -180,7 +194,10 @@ def latest_state(events: DataFrame, key: str, time: str, amount: str, windows: d
     aggs = []
     for name, w in windows.items():
         inside = age <= w * 1_000_000
-        aggs += [F.count_if(inside).alias(f"txn_count_{name}"), F.coalesce(F.sum(F.when(inside, F.col(amount).cast("decimal(18,2)"))).cast("double"), F.lit(0.0)).alias(f"amount_sum_{name}")]
+        aggs += [
+            F.count_if(inside).alias(f"txn_count_{name}"),
+            F.coalesce(F.sum(F.when(inside, F.col(amount).cast("decimal(18,2)"))).cast("double"), F.lit(0.0)).alias(f"amount_sum_{name}"),
+        ]
     return rows.groupBy(key, "last_event_ts").agg(*aggs)
 
 

@@ -89,17 +89,36 @@ def pit_window_distinct(spark, sf):
 def pit_window_ties(spark, sf):
     o = t(spark, sf, "orders")
     out = W.trailing(o, "o_custkey", "o_orderdate", "o_orderkey", "o_totalprice", c("o_orderstatus") == "F", "o_orderpriority")
-    return out.select("o_orderkey", *(f"{m}_{w}" for w in W.WINDOWS for m in ("txn_count", "amount_sum", "decline_rate", "distinct_city")), "is_new_city_30d")
+    return out.select(
+        "o_orderkey",
+        *(f"{m}_{w}" for w in W.WINDOWS for m in ("txn_count", "amount_sum", "decline_rate", "distinct_city")),
+        "is_new_city_30d",
+    )
 
 
-@query(f"SELECT event_id, lag(ts) OVER w AS last_event_ts, CASE WHEN lag(ts) OVER w IS NULL THEN {W.CAP}.0::DOUBLE ELSE least(greatest((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6::DOUBLE, 0.0::DOUBLE), {W.CAP}.0::DOUBLE) END AS time_since_last_txn_s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+@query(f"""SELECT event_id, lag(ts) OVER w AS last_event_ts, CASE WHEN lag(ts) OVER w IS NULL THEN {W.CAP}.0::DOUBLE ELSE least(greatest((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6::DOUBLE,
+0.0::DOUBLE), {W.CAP}.0::DOUBLE) END AS time_since_last_txn_s
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def time_since_last(spark, sf):
     return W.since_last(t(spark, sf, "events"), "user_id", "ts", "event_id").select("event_id", "last_event_ts", "time_since_last_txn_s")
 
 
-@query(f"{_K.format(t='ts', f='events', k='user_id', s='event_id')}, m AS (SELECT event_id, value, count(*) OVER w AS n, coalesce(CAST(sum({dec('value')}) OVER w AS DOUBLE), 0) AS s FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ok RANGE BETWEEN {2_592_000 * 1_000_000 * 4096 + 2048} PRECEDING AND 1 PRECEDING)) SELECT event_id, round(value / CASE WHEN n = 0 OR s = 0 THEN 1.0 ELSE s / n END, 6) AS amount_over_mean_30d FROM m")
+@query(f"""{_K.format(t='ts', f='events', k='user_id', s='event_id')}, m AS (SELECT event_id, value, count(*) OVER w AS n, coalesce(CAST(sum({dec('value')}) OVER w AS DOUBLE),
+0) AS s FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ok RANGE BETWEEN {2_592_000 * 1_000_000 * 4096 + 2048} PRECEDING AND 1 PRECEDING)) SELECT event_id,
+round(value / CASE WHEN n = 0 OR s = 0 THEN 1.0 ELSE s / n END, 6) AS amount_over_mean_30d
+FROM m""")
 def amount_over_mean(spark, sf):
-    e = W.trailing(t(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value"), "user_id", "ts", "event_id", "value", F.lit(False), "event_type", {"30d": 2_592_000}, distinct=False)
+    e = W.trailing(
+        t(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value"),
+        "user_id",
+        "ts",
+        "event_id",
+        "value",
+        F.lit(False),
+        "event_type",
+        {"30d": 2_592_000},
+        distinct=False,
+    )
     mean = c("amount_mean_30d")
     return e.select("event_id", F.round(c("value") / F.when(mean == 0, 1.0).otherwise(mean), 6).alias("amount_over_mean_30d"))
 
@@ -114,21 +133,34 @@ def stable_row_id(spark, sf):
     return W.positions(t(spark, sf, "events"), "ts", "event_id").select("event_id", c("__pos").cast("bigint").alias("row_id"))
 
 
-@query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 5")
+@query("""SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 5""")
 def tail_n_per_key(spark, sf):
     return tables.first_rows(t(spark, sf, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], 5).select("event_id", "user_id")
 
 
-@query("WITH p AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS pos, count(*) OVER () AS n FROM events), s AS (SELECT *, CASE WHEN pos <= floor(floor(n * 0.8) * 0.8) THEN 'train' WHEN pos <= floor(n * 0.8) THEN 'validation' ELSE 'test' END AS split FROM p) SELECT split, count(*) AS n_rows, count(*) FILTER (WHERE event_type = 'error') AS n_pos, min(ts) AS first_ts, max(ts) AS last_ts, CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN count(*) FILTER (WHERE event_type <> 'error') / CAST(count(*) FILTER (WHERE event_type = 'error') AS DOUBLE) ELSE 1.0 END AS scale_pos_weight FROM s GROUP BY 1")
+@query("""WITH p AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS pos, count(*) OVER () AS n
+FROM events),
+s AS (SELECT *, CASE WHEN pos <= floor(floor(n * 0.8) * 0.8) THEN 'train' WHEN pos <= floor(n * 0.8) THEN 'validation' ELSE 'test' END AS split
+FROM p) SELECT split, count(*) AS n_rows, count(*) FILTER (WHERE event_type = 'error') AS n_pos, min(ts) AS first_ts,
+max(ts) AS last_ts, CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN count(*) FILTER (WHERE event_type <> 'error') / CAST(count(*) FILTER (WHERE event_type = 'error') AS DOUBLE) ELSE 1.0 END AS scale_pos_weight
+FROM s GROUP BY 1""")
 def time_split_counts(spark, sf):
     e = t(spark, sf, "events")
     pos, n = W.positions(e, "ts", "event_id"), e.count()
     split = F.when(c("__pos") <= int(int(n * 0.8) * 0.8), "train").when(c("__pos") <= int(n * 0.8), "validation").otherwise("test")
     err = c("event_type") == "error"
-    return pos.groupBy(split.alias("split")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(err).alias("n_pos"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.coalesce(F.try_divide(F.count_if(~err).cast("double"), F.count_if(err)), F.lit(1.0)).alias("scale_pos_weight"))
+    return pos.groupBy(split.alias("split")).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(err).alias("n_pos"),
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+        F.coalesce(F.try_divide(F.count_if(~err).cast("double"), F.count_if(err)), F.lit(1.0)).alias("scale_pos_weight"),
+    )
 
 
-@query(f"SELECT event_id, CAST(sum({dec('value')}) OVER w AS DOUBLE) AS running_sum, count(*) OVER w AS running_count FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+@query(f"""SELECT event_id, CAST(sum({dec('value')}) OVER w AS DOUBLE) AS running_sum, count(*) OVER w AS running_count
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def prefix_sums(spark, sf):
     return W.running_totals(t(spark, sf, "events"), "user_id", "ts", "event_id", "value").select("event_id", "running_sum", "running_count")
 
@@ -194,7 +226,9 @@ def ingest_mapping(spark, sf):
     return E.to_events(raw_rows(spark, sf), "salt")
 
 
-@query(f"{_MAPPED} SELECT reason AS error, count(*) AS n, min(row) AS first_row, max(raw.\"Amount\") AS most FROM mapped JOIN raw USING (row) WHERE reason IS NOT NULL GROUP BY 1")
+@query(f"""{_MAPPED} SELECT reason AS error, count(*) AS n, min(row) AS first_row, max(raw.\"Amount\") AS most
+FROM mapped JOIN raw USING (row) WHERE reason IS NOT NULL
+GROUP BY 1""")
 def dead_letters(spark, sf):
     """Rows that can't be mapped, written as JSON letters and read back."""
     raw, path = raw_rows(spark, sf), shared_folder(spark, "letters")
@@ -239,14 +273,16 @@ def validate_reason(spark, sf):
     return x.select("event_id", S.reason(x.columns).alias("reason"))
 
 
-@query("SELECT count(*) FILTER (WHERE event_id % 16 IN (2, 5, 9, 10, 13)) AS quarantined, count(*) FILTER (WHERE event_id % 16 NOT IN (2, 5, 9, 10, 13)) AS passed FROM events")
+@query("""SELECT count(*) FILTER (WHERE event_id % 16 IN (2, 5, 9, 10, 13)) AS quarantined, count(*) FILTER (WHERE event_id % 16 NOT IN (2,
+5, 9, 10, 13)) AS passed FROM events""")
 def not_null_split(spark, sf):
     """The weaker check of a stream: the twelve fields that must be there, without their rules."""
     x = _candidates(spark, sf)
     return x.agg(F.count_if(~S.complete()).alias("quarantined"), F.count_if(S.complete()).alias("passed"))
 
 
-@query(f"SELECT coalesce(reason, 'valid') AS outcome, count(*) AS n, min(CASE WHEN reason IS NULL THEN NULL ELSE '{{\"raw\":{{\"event_id\":\"' || event_id || '\"}},\"error\":\"' || reason || '\"}}' END) AS sample FROM ({_REASON}) GROUP BY 1")
+@query(f"""SELECT coalesce(reason, 'valid') AS outcome, count(*) AS n, min(CASE WHEN reason IS NULL THEN NULL ELSE '{{\"raw\":{{\"event_id\":\"' || event_id || '\"}},\"error\":\"' || reason || '\"}}' END) AS sample
+FROM ({_REASON}) GROUP BY 1""")
 def dlq_split(spark, sf):
     x = _candidates(spark, sf)
     x = x.withColumn("reason", S.reason([k for k in x.columns]))
@@ -263,7 +299,9 @@ _ENRICHED = f"""channel = 'online' AS is_cnp, channel = 'chip' AS is_chip, chann
 errors IS NOT NULL AS has_error, round(ln(1 + abs(amount)), 6) AS amount_log"""
 
 
-@query(f"{_MAPPED} SELECT row, {_ENRICHED}, CAST(hour(CAST(replace(event_time, 'Z', '') AS TIMESTAMP)) AS INT) AS hour_of_day, CAST(isodow(CAST(replace(event_time, 'Z', '') AS TIMESTAMP)) - 1 AS INT) AS day_of_week FROM mapped WHERE reason IS NULL")
+@query(f"""{_MAPPED} SELECT row, {_ENRICHED}, CAST(hour(CAST(replace(event_time, 'Z', '') AS TIMESTAMP)) AS INT) AS hour_of_day,
+CAST(isodow(CAST(replace(event_time, 'Z', '') AS TIMESTAMP)) - 1 AS INT) AS day_of_week
+FROM mapped WHERE reason IS NULL""")
 def enrich_events(spark, sf):
     e = E.enriched(E.to_events(raw_rows(spark, sf), "salt").where("reason IS NULL")).withColumn("amount_log", F.round("amount_log", 6))
     return e.select("row", *(x for x in E.EVENT_FEATURES if x != "amount"), "mcc_group")
@@ -275,7 +313,9 @@ _PLAIN = f"SELECT *, CASE event_type WHEN 'click' THEN 'chip' WHEN 'view' THEN '
 def _feature_sql() -> str:
     w = _pit(*_EV, ["count", "sum", "mean", "rate", "distinct"])
     ints = ", ".join(f"CAST({x} AS INT) AS {x}" for x in ("is_cnp", "is_chip", "is_swipe", "is_cross_border", "has_error"))
-    names = [f"txn_count_{x}" for x in W.WINDOWS] + [f"distinct_city_{x} AS distinct_merchant_city_{x}" for x in W.WINDOWS] + [f"round({m}_{x}, 6) AS {m}_{x}" for m in ("amount_sum", "amount_mean", "decline_rate") for x in W.WINDOWS]
+    names = [f"txn_count_{x}" for x in W.WINDOWS] + [f"distinct_city_{x} AS distinct_merchant_city_{x}" for x in W.WINDOWS] + [
+        f"round({m}_{x}, 6) AS {m}_{x}" for m in ("amount_sum", "amount_mean", "decline_rate") for x in W.WINDOWS
+    ]
     since = SQL["time_since_last"]
     return f"""WITH w AS ({w}), l AS ({since}), x AS ({_PLAIN}), e AS (SELECT event_id, ts, amount, {_ENRICHED} FROM x)
 SELECT event_id, amount, amount_log, {ints}, mcc, mcc_group_id, CAST(hour(ts) AS INT) AS hour_of_day, CAST(isodow(ts) - 1 AS INT) AS day_of_week, time_since_last_txn_s, CAST(is_new_city_30d AS INT) AS is_new_city_30d,
@@ -287,7 +327,14 @@ def feature_rows(spark, sf):
     """The whole row that a model reads: 34 columns of each event."""
     kind, mcc = c("event_type"), (2950 + F.get_json_object("props", "$.k").cast("int")).cast("int")
     channel = F.when(kind == "click", "chip").when(kind == "view", "swipe").otherwise("online")
-    more = {"channel": channel, "merchant_country": F.when(c("user_id") % 3 == 0, "IT").otherwise("US"), "merchant_city": kind, "mcc": mcc, "errors": F.when(kind == "error", "Bad PIN"), "amount": c("value")}
+    more = {
+        "channel": channel,
+        "merchant_country": F.when(c("user_id") % 3 == 0, "IT").otherwise("US"),
+        "merchant_city": kind,
+        "mcc": mcc,
+        "errors": F.when(kind == "error", "Bad PIN"),
+        "amount": c("value"),
+    }
     rows = E.feature_rows(t(spark, sf, "events").withColumns(more), "user_id", "ts", "event_id", ["event_id"])
     whole = [x for x in E.FEATURES if x.startswith(("amount_", "decline"))]
     return rows.withColumns({x: F.round(x, 6) for x in whole})
@@ -298,35 +345,66 @@ def mask_token(spark, sf):
     return t(spark, sf, "events").select("event_id", X.mask_token(X.token("salt", c("user_id"))).alias("masked"))
 
 
-@query("SELECT n_nationkey, CASE r_name WHEN 'EUROPE' THEN 'EU' WHEN 'ASIA' THEN 'AS' ELSE 'XX' END AS code, CASE WHEN n_nationkey % 3 = 0 THEN 'online' WHEN n_nationkey % 3 = 1 THEN 'chip' ELSE 'swipe' END AS channel FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("""SELECT n_nationkey, CASE r_name WHEN 'EUROPE' THEN 'EU' WHEN 'ASIA' THEN 'AS' ELSE 'XX' END AS code, CASE WHEN n_nationkey % 3 = 0 THEN 'online' WHEN n_nationkey % 3 = 1 THEN 'chip' ELSE 'swipe' END AS channel
+FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def map_lookups(spark, sf):
     n = t(spark, sf, "nation").join(F.broadcast(t(spark, sf, "region")), c("n_regionkey") == c("r_regionkey"))
     k = c("n_nationkey") % 3
     hot = n.withColumns({"is_cnp": k == 0, "is_chip": k == 1})
-    return hot.select("n_nationkey", X.lookup({"EUROPE": "EU", "ASIA": "AS"}, c("r_name"), "XX").alias("code"), F.when(c("is_cnp"), "online").when(c("is_chip"), "chip").otherwise("swipe").alias("channel"))
+    return hot.select(
+        "n_nationkey",
+        X.lookup({"EUROPE": "EU", "ASIA": "AS"}, c("r_name"), "XX").alias("code"),
+        F.when(c("is_cnp"), "online").when(c("is_chip"), "chip").otherwise("swipe").alias("channel"),
+    )
 
 
 # ---- marts and operations
 
 
-@query(f"SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS txn_date, count(*) AS txn_count, count(*) FILTER (WHERE event_type = 'error') AS fraud_count, CAST(coalesce(sum({dec('value')}) FILTER (WHERE value > 0), 0) AS DOUBLE) AS amount, count(*) FILTER (WHERE event_type = 'error') / CAST(count(*) AS DOUBLE) AS fraud_rate FROM events GROUP BY 1 ORDER BY 1")
+@query(f"""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS txn_date, count(*) AS txn_count, count(*) FILTER (WHERE event_type = 'error') AS fraud_count,
+CAST(coalesce(sum({dec('value')}) FILTER (WHERE value > 0), 0) AS DOUBLE) AS amount, count(*) FILTER (WHERE event_type = 'error') / CAST(count(*) AS DOUBLE) AS fraud_rate
+FROM events GROUP BY 1 ORDER BY 1""")
 def daily_rate(spark, sf):
     bad = F.count_if(c("event_type") == "error")
-    return t(spark, sf, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("txn_date")).agg(F.count(F.lit(1)).alias("txn_count"), bad.alias("fraud_count"), F.coalesce(F.sum(F.when(c("value") > 0, c("value").cast("decimal(18,2)"))), F.lit(0)).cast("double").alias("amount"), X.ratio(bad, F.count(F.lit(1))).alias("fraud_rate")).orderBy("txn_date")
+    return t(spark, sf, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("txn_date")).agg(
+        F.count(F.lit(1)).alias("txn_count"),
+        bad.alias("fraud_count"),
+        F.coalesce(F.sum(F.when(c("value") > 0, c("value").cast("decimal(18,2)"))), F.lit(0)).cast("double").alias("amount"),
+        X.ratio(bad, F.count(F.lit(1))).alias("fraud_rate"),
+    ).orderBy("txn_date")
 
 
-@query(f"SELECT p_type, n_name, count(*) AS txn_count, count(*) FILTER (WHERE l_returnflag = 'R') AS fraud_count, CAST(sum({dec('l_extendedprice')}) AS DOUBLE) / count(*) AS avg_amount FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2")
+@query(f"""SELECT p_type, n_name, count(*) AS txn_count, count(*) FILTER (WHERE l_returnflag = 'R') AS fraud_count, CAST(sum({dec('l_extendedprice')}) AS DOUBLE) / count(*) AS avg_amount
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2""")
 def merchant_risk(spark, sf):
     place = t(spark, sf, "supplier").join(t(spark, sf, "nation"), c("s_nationkey") == c("n_nationkey")).select("s_suppkey", "n_name")
     x = t(spark, sf, "lineitem").join(t(spark, sf, "part"), c("l_partkey") == c("p_partkey")).join(place, c("l_suppkey") == c("s_suppkey"))
-    return x.groupBy("p_type", "n_name").agg(F.count(F.lit(1)).alias("txn_count"), F.count_if(c("l_returnflag") == "R").alias("fraud_count"), (F.sum(c("l_extendedprice").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("avg_amount"))
+    return x.groupBy("p_type", "n_name").agg(
+        F.count(F.lit(1)).alias("txn_count"),
+        F.count_if(c("l_returnflag") == "R").alias("fraud_count"),
+        (F.sum(c("l_extendedprice").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("avg_amount"),
+    )
 
 
-@query("SELECT event_type AS channel, count(*) AS txn_count, count(*) FILTER (WHERE value > 50) AS n_high, count(*) FILTER (WHERE user_id NOT IN (1, 2)) AS n_other, count(*) FILTER (WHERE value > 50) / CAST(count(*) AS DOUBLE) AS share_high, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM events GROUP BY 1")
+@query("""SELECT event_type AS channel, count(*) AS txn_count, count(*) FILTER (WHERE value > 50) AS n_high, count(*) FILTER (WHERE user_id NOT IN (1,
+2)) AS n_other, count(*) FILTER (WHERE value > 50) / CAST(count(*) AS DOUBLE) AS share_high, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share
+FROM events GROUP BY 1""")
 def channel_mix(spark, sf):
-    g = t(spark, sf, "events").groupBy(c("event_type").alias("channel")).agg(F.count(F.lit(1)).alias("txn_count"), F.count_if(c("value") > 50).alias("n_high"), F.count_if(~c("user_id").isin(1, 2)).alias("n_other"))
+    g = t(spark, sf, "events").groupBy(c("event_type").alias("channel")).agg(
+        F.count(F.lit(1)).alias("txn_count"),
+        F.count_if(c("value") > 50).alias("n_high"),
+        F.count_if(~c("user_id").isin(1, 2)).alias("n_other"),
+    )
     total = g.agg(F.sum("txn_count").alias("all"))
-    return g.join(F.broadcast(total)).select("channel", "txn_count", "n_high", "n_other", X.ratio(c("n_high"), c("txn_count")).alias("share_high"), X.ratio(c("txn_count"), c("all")).alias("share"))
+    return g.join(F.broadcast(total)).select(
+        "channel",
+        "txn_count",
+        "n_high",
+        "n_other",
+        X.ratio(c("n_high"), c("txn_count")).alias("share_high"),
+        X.ratio(c("txn_count"), c("all")).alias("share"),
+    )
 
 
 def _recent(spark, sf, hours: int) -> DataFrame:
@@ -335,21 +413,35 @@ def _recent(spark, sf, hours: int) -> DataFrame:
     return e.where(c("ts") >= e.agg((F.max("ts") - F.expr(f"INTERVAL {hours} HOURS")).alias("since")).scalar())
 
 
-@query("SELECT date_trunc('minute', ts) AS minute, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOURS GROUP BY 1")
+@query("""SELECT date_trunc('minute', ts) AS minute, count(*) AS n
+FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOURS
+GROUP BY 1""")
 def minute_throughput(spark, sf):
-    return _recent(spark, sf, 24).groupBy(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute")).agg(F.count(F.lit(1)).alias("n"))
+    return _recent(spark, sf, 24).groupBy(
+        F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute")
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT date_trunc('minute', ts) AS minute, 100 * count(*) FILTER (WHERE event_type = 'signup') / CAST(nullif(count(*), 0) AS DOUBLE) AS cold_pct FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOURS GROUP BY 1")
+@query("""SELECT date_trunc('minute', ts) AS minute, 100 * count(*) FILTER (WHERE event_type = 'signup') / CAST(nullif(count(*),
+0) AS DOUBLE) AS cold_pct FROM events WHERE ts >= (SELECT max(ts)
+FROM events) - INTERVAL 24 HOURS GROUP BY 1""")
 def cold_share(spark, sf):
-    return _recent(spark, sf, 24).groupBy(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute")).agg((100 * F.count_if(c("event_type") == "signup") / F.count(F.lit(1)).cast("double")).alias("cold_pct"))
+    return _recent(spark, sf, 24).groupBy(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute")).agg(
+        (100 * F.count_if(c("event_type") == "signup") / F.count(F.lit(1)).cast("double")).alias("cold_pct")
+    )
 
 
-@query("SELECT (SELECT count(*) FROM events WHERE ts >= m.now - INTERVAL 60 MINUTES) AS scored_last_hour, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS open_alerts, (SELECT count(*) FROM events WHERE ts >= m.now - INTERVAL 1 MINUTES) AS last_minute, (SELECT date_diff('second', max(o_orderdate), m.now) FROM orders) AS staleness_s FROM (SELECT max(ts) AS now FROM events) m")
+@query("""SELECT (SELECT count(*) FROM events WHERE ts >= m.now - INTERVAL 60 MINUTES) AS scored_last_hour, (SELECT count(*)
+FROM orders WHERE o_orderstatus = 'O') AS open_alerts, (SELECT count(*)
+FROM events WHERE ts >= m.now - INTERVAL 1 MINUTES) AS last_minute, (SELECT date_diff('second', max(o_orderdate),
+m.now) FROM orders) AS staleness_s FROM (SELECT max(ts) AS now
+FROM events) m""")
 def ops_stats(spark, sf):
     t(spark, sf, "events").createOrReplaceTempView("_events")
     t(spark, sf, "orders").createOrReplaceTempView("_orders")
-    return spark.sql("WITH m AS (SELECT max(ts) AS now FROM _events) SELECT (SELECT count(*) FROM _events, m WHERE ts >= now - INTERVAL 60 MINUTES) AS scored_last_hour, (SELECT count(*) FROM _orders WHERE o_orderstatus = 'O') AS open_alerts, (SELECT count(*) FROM _events, m WHERE ts >= now - INTERVAL 1 MINUTES) AS last_minute, (SELECT timestampdiff(SECOND, (SELECT max(o_orderdate) FROM _orders), now) FROM m) AS staleness_s")
+    return spark.sql(
+        "WITH m AS (SELECT max(ts) AS now FROM _events) SELECT (SELECT count(*) FROM _events, m WHERE ts >= now - INTERVAL 60 MINUTES) AS scored_last_hour, (SELECT count(*) FROM _orders WHERE o_orderstatus = 'O') AS open_alerts, (SELECT count(*) FROM _events, m WHERE ts >= now - INTERVAL 1 MINUTES) AS last_minute, (SELECT timestampdiff(SECOND, (SELECT max(o_orderdate) FROM _orders), now) FROM m) AS staleness_s"
+    )
 
 
 @query("SELECT event_id, ts, user_id, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
@@ -357,32 +449,50 @@ def live_feed(spark, sf):
     return t(spark, sf, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "ts", "user_id", "value")
 
 
-@query("SELECT o_orderkey, o_orderdate, c_name, n_name, r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
+@query("""SELECT o_orderkey, o_orderdate, c_name, n_name, r_name
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
+WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100""")
 def open_alerts(spark, sf):
     top = t(spark, sf, "orders").where("o_orderstatus = 'O'").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(100)
-    x = top.join(t(spark, sf, "customer"), c("o_custkey") == c("c_custkey"), "left").join(t(spark, sf, "nation"), c("c_nationkey") == c("n_nationkey"), "left").join(t(spark, sf, "region"), c("n_regionkey") == c("r_regionkey"), "left")
+    x = top.join(t(spark, sf, "customer"), c("o_custkey") == c("c_custkey"), "left").join(
+        t(spark, sf, "nation"), c("c_nationkey") == c("n_nationkey"), "left"
+    ).join(t(spark, sf, "region"), c("n_regionkey") == c("r_regionkey"), "left")
     return x.select("o_orderkey", "o_orderdate", "c_name", "n_name", "r_name")
 
 
-@query("SELECT coalesce(nullif(o_orderstatus, 'P'), 'unknown') AS channel, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+@query("""SELECT coalesce(nullif(o_orderstatus, 'P'), 'unknown') AS channel, count(*) AS n
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+GROUP BY 1""")
 def alert_mix(spark, sf):
-    x = t(spark, sf, "lineitem").select("l_orderkey").join(t(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), c("l_orderkey") == c("o_orderkey"))
+    x = t(spark, sf, "lineitem").select("l_orderkey").join(
+        t(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), c("l_orderkey") == c("o_orderkey")
+    )
     return x.groupBy(F.coalesce(F.nullif("o_orderstatus", F.lit("P")), F.lit("unknown")).alias("channel")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH r AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT CAST(least(floor((value - lo) / ((hi - lo) / 30)), 29) AS BIGINT) AS bin, count(*) AS n FROM events, r GROUP BY 1")
+@query("""WITH r AS (SELECT min(value) AS lo, max(value) AS hi
+FROM events) SELECT CAST(least(floor((value - lo) / ((hi - lo) / 30)), 29) AS BIGINT) AS bin, count(*) AS n
+FROM events, r GROUP BY 1""")
 def score_histogram(spark, sf):
     e = t(spark, sf, "events").select("value")
     r = e.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return e.join(F.broadcast(r)).groupBy(F.least(F.floor((c("value") - c("lo")) / ((c("hi") - c("lo")) / 30)), F.lit(29)).cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return e.join(F.broadcast(r)).groupBy(
+        F.least(F.floor((c("value") - c("lo")) / ((c("hi") - c("lo")) / 30)), F.lit(29)).cast("bigint").alias("bin")
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH b AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-29 00:00:00' AND event_type = 'purchase'), m AS (SELECT min(ts) AS lo FROM b) SELECT event_id FROM events, m WHERE ts >= lo - INTERVAL 5 DAYS AND ts < lo AND user_id IN (SELECT user_id FROM b)")
+@query("""WITH b AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-29 00:00:00' AND event_type = 'purchase'),
+m AS (SELECT min(ts) AS lo FROM b) SELECT event_id FROM events, m
+WHERE ts >= lo - INTERVAL 5 DAYS AND ts < lo AND user_id IN (SELECT user_id
+FROM b)""")
 def semi_history(spark, sf):
     e = t(spark, sf, "events")
     b = e.where("ts >= TIMESTAMP_NTZ '2024-01-29 00:00:00' AND event_type = 'purchase'")
     m = b.agg(F.min("ts").alias("lo"))
-    return e.join(F.broadcast(m), (c("ts") >= c("lo") - F.expr("INTERVAL 5 DAYS")) & (c("ts") < c("lo"))).join(b.select("user_id"), "user_id", "left_semi").select("event_id")
+    return e.join(
+        F.broadcast(m), (c("ts") >= c("lo") - F.expr("INTERVAL 5 DAYS")) & (c("ts") < c("lo"))
+    ).join(b.select("user_id"), "user_id", "left_semi").select("event_id")
 
 
 @query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
@@ -391,7 +501,11 @@ def anti_dedupe(spark, sf):
     return t(spark, sf, "lineitem").select("l_orderkey").dropDuplicates(["l_orderkey"]).join(have, "l_orderkey", "left_anti")
 
 
-@query("WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup') SELECT 'except' AS op, user_id FROM (SELECT user_id FROM a EXCEPT SELECT user_id FROM b) UNION ALL SELECT 'union', user_id FROM (SELECT user_id FROM a UNION SELECT user_id FROM b)")
+@query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error'),
+b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup') SELECT 'except' AS op, user_id
+FROM (SELECT user_id FROM a EXCEPT SELECT user_id FROM b)
+UNION ALL SELECT 'union', user_id FROM (SELECT user_id
+FROM a UNION SELECT user_id FROM b)""")
 def set_union_except(spark, sf):
     e = t(spark, sf, "events")
     a, b = (e.where(c("event_type") == k).select("user_id") for k in ("error", "signup"))
@@ -412,13 +526,23 @@ def _halves(spark, sf):
 _PSI = "SELECT round(coalesce(sum((c - r) * ln(c / r)), 0), 9) AS psi FROM (SELECT greatest(coalesce(ref, 0) / (SELECT sum(ref) FROM r0), 1e-4) AS r, greatest(coalesce(cur, 0) / (SELECT sum(cur) FROM c0), 1e-4) AS c FROM r0 FULL JOIN c0 USING (bin))"
 
 
-@query(f"WITH r0 AS (SELECT event_type AS bin, count(*) AS ref FROM events WHERE ts < TIMESTAMP '{_CUT}' GROUP BY 1), c0 AS (SELECT event_type AS bin, count(*) AS cur FROM events WHERE ts >= TIMESTAMP '{_CUT}' GROUP BY 1) {_PSI}")
+@query(f"""WITH r0 AS (SELECT event_type AS bin, count(*) AS ref
+FROM events WHERE ts < TIMESTAMP '{_CUT}' GROUP BY 1),
+c0 AS (SELECT event_type AS bin, count(*) AS cur FROM events
+WHERE ts >= TIMESTAMP '{_CUT}' GROUP BY 1) {_PSI}""")
 def psi_categorical(spark, sf):
     a, b = _halves(spark, sf)
     return M.psi(M.categories(a, "event_type", "ref"), M.categories(b, "event_type", "cur")).select(F.round("psi", 9).alias("psi"))
 
 
-@query(f"WITH q AS (SELECT list_sort(list_distinct(quantile_cont(value, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]))) AS e FROM events WHERE ts < TIMESTAMP '{_CUT}'), b AS (SELECT ts, (SELECT len(list_filter(e[2:-2], lambda x: x <= value)) FROM q) AS bin FROM events), r0 AS (SELECT bin, count(*) AS ref FROM b WHERE ts < TIMESTAMP '{_CUT}' GROUP BY 1), c0 AS (SELECT bin, count(*) AS cur FROM b WHERE ts >= TIMESTAMP '{_CUT}' GROUP BY 1) {_PSI}")
+@query(f"""WITH q AS (SELECT list_sort(list_distinct(quantile_cont(value, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]))) AS e
+FROM events WHERE ts < TIMESTAMP '{_CUT}'),
+b AS (SELECT ts, (SELECT len(list_filter(e[2:-2], lambda x: x <= value))
+FROM q) AS bin FROM events),
+r0 AS (SELECT bin, count(*) AS ref FROM b WHERE ts < TIMESTAMP '{_CUT}'
+GROUP BY 1),
+c0 AS (SELECT bin, count(*) AS cur FROM b WHERE ts >= TIMESTAMP '{_CUT}'
+GROUP BY 1) {_PSI}""")
 def psi_numeric(spark, sf):
     a, b = _halves(spark, sf)
     edges = M.quantile_edges(a, "value")
@@ -432,14 +556,21 @@ def _scored(spark, sf) -> DataFrame:
 _SC = "WITH x AS (SELECT l.doc_id, n_chars, toxic FROM labels l JOIN documents d ON l.doc_id = d.doc_id), p AS (SELECT n_chars AS score, sum(toxic) AS tp, count(*) AS n FROM x GROUP BY 1), k AS (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn, sum(tp) OVER () AS pos, sum(n) OVER () AS tot FROM p WINDOW w AS (ORDER BY score DESC))"
 
 
-@query(f"{_SC}, m AS (SELECT count(*) FILTER (WHERE n_chars >= 2000 AND toxic = 1) AS tp, count(*) FILTER (WHERE n_chars >= 2000 AND toxic = 0) AS fp, count(*) FILTER (WHERE n_chars < 2000 AND toxic = 1) AS fn, count(*) FILTER (WHERE n_chars < 2000 AND toxic = 0) AS tn FROM x), r AS (SELECT *, coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0) AS precision, coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0) AS recall FROM m) SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM r")
+@query(f"""{_SC}, m AS (SELECT count(*) FILTER (WHERE n_chars >= 2000 AND toxic = 1) AS tp, count(*) FILTER (WHERE n_chars >= 2000 AND toxic = 0) AS fp,
+count(*) FILTER (WHERE n_chars < 2000 AND toxic = 1) AS fn, count(*) FILTER (WHERE n_chars < 2000 AND toxic = 0) AS tn
+FROM x),
+r AS (SELECT *, coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0) AS precision, coalesce(tp / nullif(CAST(tp + fn AS DOUBLE),
+0), 0) AS recall FROM m) SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1
+FROM r""")
 def confusion(spark, sf):
     return M.confusion(_scored(spark, sf), "n_chars", "toxic", 2000)
 
 
 @query(f"{_SC} SELECT round(sum(tp / CAST(pos AS DOUBLE) * ctp / cn), 9) AS average_precision FROM k")
 def avg_precision(spark, sf):
-    return M.average_precision(M.curve(_scored(spark, sf), "n_chars", "toxic")).select(F.round("average_precision", 9).alias("average_precision"))
+    return M.average_precision(M.curve(_scored(spark, sf), "n_chars", "toxic")).select(
+        F.round("average_precision", 9).alias("average_precision")
+    )
 
 
 @query(f"{_SC} SELECT round(sum((n - tp) * ((ctp - tp) + tp / 2.0)) / max(CAST(pos AS DOUBLE) * (tot - pos)), 9) AS roc_auc FROM k")
@@ -452,7 +583,9 @@ def pr_threshold(spark, sf):
     return M.best_threshold(M.curve(_scored(spark, sf), "n_chars", "toxic"))
 
 
-@query(f"{_SC}, z AS (SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r, greatest(1, round_even((SELECT count(*) FROM x) * 0.05, 0)) AS k FROM x) SELECT count(*) AS k, avg(CAST(toxic AS DOUBLE)) AS precision FROM z WHERE r <= k")
+@query(f"""{_SC}, z AS (SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r, greatest(1, round_even((SELECT count(*)
+FROM x) * 0.05, 0)) AS k FROM x) SELECT count(*) AS k, avg(CAST(toxic AS DOUBLE)) AS precision
+FROM z WHERE r <= k""")
 def precision_at_k(spark, sf):
     return M.precision_at(_scored(spark, sf), "n_chars", [F.asc("doc_id")], "toxic", 0.05)
 
@@ -464,7 +597,12 @@ _LE = [1, 2.5, 5, 10, 20, 30, 50, 75, 100, 250, 500, 1000]
 def hist_quantile(spark, sf):
     e = t(spark, sf, "events")
     counts = e.agg(*(F.count_if(c("value") <= x).alias(f"b{i}") for i, x in enumerate(_LE)), F.count(F.lit(1)).alias("b_all"))
-    rows = F.explode(F.array(*(F.struct(F.lit(float(x)).alias("le"), c(f"b{i}").alias("cnt")) for i, x in enumerate(_LE)), F.struct(F.lit(float("inf")).alias("le"), c("b_all").alias("cnt"))))
+    rows = F.explode(
+        F.array(
+            *(F.struct(F.lit(float(x)).alias("le"), c(f"b{i}").alias("cnt")) for i, x in enumerate(_LE)),
+            F.struct(F.lit(float("inf")).alias("le"), c("b_all").alias("cnt")),
+        )
+    )
     b = counts.select(rows.alias("x")).select("x.le", "x.cnt")
     out = M.histogram_quantile(b, 0.5)
     for q in (0.95, 0.99):
@@ -472,46 +610,78 @@ def hist_quantile(spark, sf):
     return out.select("q", F.round("value", 6).alias("value"))
 
 
-@query("SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1")
+@query("""SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, round(avg(value), 6) AS mean,
+round(stddev_pop(value), 6) AS std FROM events GROUP BY 1""")
 def exact_percentiles(spark, sf):
     e = t(spark, sf, "events")
-    q = M.quantiles(e, "value", [0.5, 0.95], ["event_type"]).groupBy("event_type").agg(*(F.max(F.when(c("share") == x, c("value"))).alias(name) for x, name in ((0.5, "p50"), (0.95, "p95"))))
-    rest = e.groupBy(c("event_type").alias("of")).agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"))
+    q = M.quantiles(e, "value", [0.5, 0.95], ["event_type"]).groupBy("event_type").agg(
+        *(F.max(F.when(c("share") == x, c("value"))).alias(name) for x, name in ((0.5, "p50"), (0.95, "p95")))
+    )
+    rest = e.groupBy(c("event_type").alias("of")).agg(
+        F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std")
+    )
     return q.join(rest, c("event_type") == c("of")).select("event_type", "p50", "p95", "mean", "std")
 
 
 # ---- counters, lag, alerts
 
 
-@query("WITH s AS (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1, 2), k AS (SELECT *, CAST(sum(n) OVER (PARTITION BY event_type, CAST(h AS DATE) ORDER BY h) AS BIGINT) AS counter FROM s), d AS (SELECT *, lag(counter) OVER (PARTITION BY event_type ORDER BY h) AS was FROM k) SELECT event_type, h, CASE WHEN was IS NULL THEN NULL WHEN counter < was THEN counter ELSE counter - was END / 3600.0::DOUBLE AS rate FROM d")
+@query("""WITH s AS (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n
+FROM events GROUP BY 1, 2),
+k AS (SELECT *, CAST(sum(n) OVER (PARTITION BY event_type, CAST(h AS DATE)
+ORDER BY h) AS BIGINT) AS counter FROM s),
+d AS (SELECT *, lag(counter) OVER (PARTITION BY event_type
+ORDER BY h) AS was FROM k) SELECT event_type, h, CASE WHEN was IS NULL THEN NULL WHEN counter < was THEN counter ELSE counter - was END / 3600.0::DOUBLE AS rate
+FROM d""")
 def counter_rate(spark, sf):
-    s = t(spark, sf, "events").groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    s = t(spark, sf, "events").groupBy(
+        "event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h")
+    ).agg(F.count(F.lit(1)).alias("n"))
     k = s.withColumn("counter", F.sum("n").over(Window.partitionBy("event_type", F.to_date("h")).orderBy("h")))
     return M.counter_rates(k, ["event_type"], "h", "counter").select("event_type", "h", (c("rise") / F.lit(3600.0)).alias("rate"))
 
 
-@query("WITH s AS (SELECT event_type, date_trunc('minute', ts) AS m, count(*) AS n FROM events GROUP BY 1, 2), k AS (SELECT *, CAST(sum(n) OVER (PARTITION BY event_type ORDER BY m) AS BIGINT) AS counter FROM s) SELECT event_type, m, (counter - min(counter) OVER (PARTITION BY event_type ORDER BY m RANGE BETWEEN INTERVAL 5 MINUTES PRECEDING AND CURRENT ROW)) / 5.0::DOUBLE AS per_minute FROM k")
+@query("""WITH s AS (SELECT event_type, date_trunc('minute', ts) AS m, count(*) AS n
+FROM events GROUP BY 1, 2),
+k AS (SELECT *, CAST(sum(n) OVER (PARTITION BY event_type
+ORDER BY m) AS BIGINT) AS counter FROM s) SELECT event_type, m, (counter - min(counter) OVER (PARTITION BY event_type
+ORDER BY m RANGE BETWEEN INTERVAL 5 MINUTES PRECEDING AND CURRENT ROW)) / 5.0::DOUBLE AS per_minute
+FROM k""")
 def counter_delta(spark, sf):
     """What a counter has gained in the last five minutes, a minute."""
-    s = t(spark, sf, "events").groupBy("event_type", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    s = t(spark, sf, "events").groupBy(
+        "event_type", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("m")
+    ).agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("event_type").orderBy("m")
     k = s.withColumn("counter", F.sum("n").over(by)).withColumn("__us", W.micros(c("m")))
     five = Window.partitionBy("event_type").orderBy("__us").rangeBetween(-300_000_000, 0)
     return k.select("event_type", "m", ((c("counter") - F.min("counter").over(five)) / F.lit(5.0)).alias("per_minute"))
 
 
-@query("SELECT event_type AS grp, CAST(sum(greatest(high - CASE WHEN committed >= 0 THEN committed ELSE low END, 0)) AS BIGINT) AS lag FROM (SELECT event_type, user_id % 8 AS part, max(event_id) AS high, min(event_id) AS low, CASE WHEN user_id % 8 = 0 THEN -1001 ELSE max(event_id) - count(*) END AS committed FROM events GROUP BY 1, 2, user_id % 8) GROUP BY 1")
+@query("""SELECT event_type AS grp, CAST(sum(greatest(high - CASE WHEN committed >= 0 THEN committed ELSE low END, 0)) AS BIGINT) AS lag
+FROM (SELECT event_type, user_id % 8 AS part, max(event_id) AS high, min(event_id) AS low, CASE WHEN user_id % 8 = 0 THEN -1001 ELSE max(event_id) - count(*) END AS committed
+FROM events GROUP BY 1, 2, user_id % 8) GROUP BY 1""")
 def lag_by_group(spark, sf):
-    p = t(spark, sf, "events").groupBy("event_type", (c("user_id") % 8).alias("part")).agg(F.max("event_id").alias("high"), F.min("event_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    p = t(spark, sf, "events").groupBy("event_type", (c("user_id") % 8).alias("part")).agg(
+        F.max("event_id").alias("high"), F.min("event_id").alias("low"), F.count(F.lit(1)).alias("n")
+    )
     p = p.withColumn("committed", F.when(c("part") == 0, F.lit(-1001)).otherwise(c("high") - c("n")))
-    return p.groupBy(c("event_type").alias("grp")).agg(F.sum(F.greatest(c("high") - F.when(c("committed") >= 0, c("committed")).otherwise(c("low")), F.lit(0))).alias("lag"))
+    return p.groupBy(c("event_type").alias("grp")).agg(
+        F.sum(F.greatest(c("high") - F.when(c("committed") >= 0, c("committed")).otherwise(c("low")), F.lit(0))).alias("lag")
+    )
 
 
-@query("WITH h AS (SELECT date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1), g AS (SELECT *, row_number() OVER (ORDER BY h) - row_number() OVER (PARTITION BY n > 14 ORDER BY h) AS island FROM h) SELECT min(h) AS since, max(h) AS until, count(*) AS n_hours FROM g WHERE n > 14 GROUP BY island HAVING count(*) >= 2")
+@query("""WITH h AS (SELECT date_trunc('hour', ts) AS h, count(*) AS n
+FROM events GROUP BY 1),
+g AS (SELECT *, row_number() OVER (ORDER BY h) - row_number() OVER (PARTITION BY n > 14
+ORDER BY h) AS island FROM h) SELECT min(h) AS since, max(h) AS until, count(*) AS n_hours
+FROM g WHERE n > 14 GROUP BY island HAVING count(*) >= 2""")
 def alert_hold(spark, sf):
     h = t(spark, sf, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h")).agg(F.count(F.lit(1)).alias("n"))  # a row for each hour
     g = h.withColumn("island", F.row_number().over(Window.orderBy("h")) - F.row_number().over(Window.partitionBy(c("n") > 14).orderBy("h")))
-    return g.where("n > 14").groupBy("island").agg(F.min("h").alias("since"), F.max("h").alias("until"), F.count(F.lit(1)).alias("n_hours")).where("n_hours >= 2").drop("island")
+    return g.where("n > 14").groupBy("island").agg(
+        F.min("h").alias("since"), F.max("h").alias("until"), F.count(F.lit(1)).alias("n_hours")
+    ).where("n_hours >= 2").drop("island")
 
 
 # ---- change data capture
@@ -547,23 +717,36 @@ def cdc_envelope_roundtrip(spark, sf):
     return got.select("lsn", "event_id", "event_time", "card_token", "amount", "merchant_country", "mcc", "is_fraud")
 
 
-@query("SELECT CASE n_nationkey % 8 WHEN 0 THEN 'unsupported op: x' WHEN 1 THEN 'missing ''after'' payload' WHEN 2 THEN 'mapping error: amount' WHEN 3 THEN 'unexpected is_fraud value: 2' WHEN 4 THEN 'mapping error: card_token' ELSE 'unsupported op: null' END AS reason, count(*) AS n FROM nation WHERE n_nationkey % 8 < 6 GROUP BY 1")
+@query("""SELECT CASE n_nationkey % 8 WHEN 0 THEN 'unsupported op: x' WHEN 1 THEN 'missing ''after'' payload' WHEN 2 THEN 'mapping error: amount' WHEN 3 THEN 'unexpected is_fraud value: 2' WHEN 4 THEN 'mapping error: card_token' ELSE 'unsupported op: null' END AS reason,
+count(*) AS n FROM nation WHERE n_nationkey % 8 < 6
+GROUP BY 1""")
 def cdc_rejects(spark, sf):
     """Envelopes that can't be events, with the reason; updates, deletes and tombstones aren't among them."""
     k = c("n_nationkey") % 8
     good = '{"op":"c","after":{"schema_version":"1.0.0","event_id":"1","event_time":0,"card_token":"t","user_id":"u","amount":1.5,"currency":"USD","channel":"chip","mcc":5,"is_fraud":1}}'
-    broken = {0: '{"op":"x"}', 1: '{"op":"c","after":null}', 2: good.replace("1.5", '"much"'), 3: good.replace('"is_fraud":1', '"is_fraud":2'), 4: good.replace('"card_token":"t",', ""), 5: "no json", 6: '{"op":"d"}'}
+    broken = {
+        0: '{"op":"x"}',
+        1: '{"op":"c","after":null}',
+        2: good.replace("1.5", '"much"'),
+        3: good.replace('"is_fraud":1', '"is_fraud":2'),
+        4: good.replace('"card_token":"t",', ""),
+        5: "no json",
+        6: '{"op":"d"}',
+    }
     value = F.lit(None).cast("string")
     for i, text in broken.items():
         value = F.when(k == i, text).otherwise(value)
     return CDC.to_events(t(spark, sf, "nation").select(value.alias("value"))).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT o_orderkey, lower(printf('%020x', o_orderkey)) AS lsn, row_number() OVER (ORDER BY o_orderkey // 8, o_custkey, o_orderkey) AS place FROM orders WHERE o_orderkey // 8 > 12 AND o_orderkey // 8 <= 625")
+@query("""SELECT o_orderkey, lower(printf('%020x', o_orderkey)) AS lsn, row_number() OVER (ORDER BY o_orderkey // 8, o_custkey,
+o_orderkey) AS place FROM orders WHERE o_orderkey // 8 > 12 AND o_orderkey // 8 <= 625""")
 def cdc_range_scan(spark, sf):
     """Changes of a range of versions, in the order of (version, sequence)."""
     key = lambda x: F.unhex(F.lpad(F.hex(x), 20, "0"))
-    table = t(spark, sf, "orders").select("o_orderkey", key(F.expr("o_orderkey div 8")).alias("__$start_lsn"), F.struct("o_custkey", "o_orderkey").alias("__$seqval"))
+    table = t(spark, sf, "orders").select(
+        "o_orderkey", key(F.expr("o_orderkey div 8")).alias("__$start_lsn"), F.struct("o_custkey", "o_orderkey").alias("__$seqval")
+    )
     got = CDC.changes(table, (12).to_bytes(10, "big"), (625).to_bytes(10, "big"))
     place = F.row_number().over(Window.orderBy("`__$start_lsn`", "`__$seqval`"))  # one range of versions
     return got.select("o_orderkey", F.lower(F.hex(key(c("o_orderkey")))).alias("lsn"), place.cast("bigint").alias("place"))
@@ -576,7 +759,8 @@ def lsn_increment(spark, sf):
     return t(spark, sf, "orders").select("o_orderkey", F.lower(F.hex(CDC.next_lsn(before))).alias("next_lsn"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 7 = 0 THEN 'confirmed_fraud' ELSE o_orderstatus END AS status FROM orders")
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 7 = 0 THEN 'confirmed_fraud' ELSE o_orderstatus END AS status
+FROM orders""")
 def alert_status_update(spark, sf):
     alerts = t(spark, sf, "orders").select("o_orderkey", c("o_orderstatus").alias("status"))
     return tables.updated(alerts, "status", "confirmed_fraud", (c("status") == "O") & (c("o_orderkey") % 7 == 0))
@@ -602,63 +786,104 @@ def derive_dims(spark, sf):
     return out
 
 
-@query("SELECT 'orphan_account' AS check, count(*) AS violations FROM events WHERE user_id IS NULL UNION ALL SELECT 'orphan_card', 0 UNION ALL SELECT 'unknown_token', 0")
+@query("""SELECT 'orphan_account' AS check, count(*) AS violations
+FROM events WHERE user_id IS NULL UNION ALL SELECT 'orphan_card', 0
+UNION ALL SELECT 'unknown_token', 0""")
 def dim_parity(spark, sf):
     """Every account has its customer, every card its account, every event's card is known."""
     pairs = t(spark, sf, "events").select(c("user_id").cast("string").alias("User"), (c("event_id") % 7).cast("string").alias("Card"))
     dims = D.dimensions(pairs, "salt")
     tokens = pairs.select(X.token("salt", c("User"), c("Card")).alias("id"))
     lost = lambda name, a, on, b: a.join(b.select(c("id").alias(on)), on, "left_anti").agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check"), "violations")
-    parts = [lost("orphan_account", dims["account"], "parent", dims["customer"]), lost("orphan_card", dims["card"], "parent", dims["account"]), lost("unknown_token", tokens, "id", dims["card"])]
+    parts = [
+        lost("orphan_account", dims["account"], "parent", dims["customer"]),
+        lost("orphan_card", dims["card"], "parent", dims["account"]),
+        lost("unknown_token", tokens, "id", dims["card"]),
+    ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 _LEVEL = "SELECT b // 1000 AS b, sha256(string_agg(b || ':' || h, chr(10) ORDER BY b)) AS h FROM {} GROUP BY 1"
 
 
-@query(f"WITH l0 AS (SELECT c_custkey // 1000 AS b, sha256(string_agg(c_custkey || ':' || c_name, chr(10) ORDER BY c_custkey)) AS h FROM customer GROUP BY 1), l1 AS ({_LEVEL.format('l0')}), l2 AS ({_LEVEL.format('l1')}) SELECT sha256(string_agg(b || ':' || h, chr(10) ORDER BY b)) AS fingerprint FROM l2")
+@query(f"""WITH l0 AS (SELECT c_custkey // 1000 AS b, sha256(string_agg(c_custkey || ':' || c_name, chr(10)
+ORDER BY c_custkey)) AS h FROM customer GROUP BY 1),
+l1 AS ({_LEVEL.format('l0')}),
+l2 AS ({_LEVEL.format('l1')}) SELECT sha256(string_agg(b || ':' || h, chr(10)
+ORDER BY b)) AS fingerprint FROM l2""")
 def fingerprint(spark, sf):
     """A tree of digests over ranges of the key: no group holds more than a thousand lines, up to 10**12 keys."""
     g = t(spark, sf, "customer").select(c("c_custkey").alias("b"), c("c_name").alias("h"))
-    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda r: F.concat_ws(":", r["b"], r["h"])), "\n"), 256)
+    digest = F.sha2(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda r: F.concat_ws(":", r["b"], r["h"])), "\n"), 256
+    )
     for _ in range(3):
         g = g.groupBy(F.expr("b div 1000").alias("__up")).agg(digest.alias("h")).withColumnRenamed("__up", "b")
     return g.agg(digest.alias("fingerprint"))
 
 
-@query("SELECT 'event_id_null' AS check, count(*) FILTER (WHERE event_id IS NULL) AS violations FROM events UNION ALL SELECT 'event_id_unique', count(*) FROM (SELECT event_id FROM events GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'event_type_accepted', count(*) FILTER (WHERE event_type NOT IN ('click', 'view', 'purchase', 'signup')) FROM events UNION ALL SELECT 'orphan_custkey', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'rate_range', count(*) FROM lineitem WHERE l_discount IS NULL OR l_discount < 0 OR l_discount > 0.05")
+@query("""SELECT 'event_id_null' AS check, count(*) FILTER (WHERE event_id IS NULL) AS violations
+FROM events UNION ALL SELECT 'event_id_unique', count(*)
+FROM (SELECT event_id FROM events GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'event_type_accepted', count(*) FILTER (WHERE event_type NOT IN ('click', 'view', 'purchase', 'signup'))
+FROM events UNION ALL SELECT 'orphan_custkey', count(*)
+FROM orders WHERE o_custkey NOT IN (SELECT c_custkey
+FROM customer) UNION ALL SELECT 'rate_range', count(*)
+FROM lineitem WHERE l_discount IS NULL OR l_discount < 0 OR l_discount > 0.05""")
 def dq_report(spark, sf):
     e, li = t(spark, sf, "events"), t(spark, sf, "lineitem")
     accepted = {"event_type": ["click", "view", "purchase", "signup"]}
-    orphans = tables.violations(t(spark, sf, "orders"), parents={"o_custkey": t(spark, sf, "customer").select("c_custkey")}).withColumn("check", F.lit("orphan_custkey"))
-    rate = li.agg(F.count_if(c("l_discount").isNull() | ~c("l_discount").between(0, 0.05)).alias("violations")).select(F.lit("rate_range").alias("check"), "violations")
+    orphans = tables.violations(
+        t(spark, sf, "orders"), parents={"o_custkey": t(spark, sf, "customer").select("c_custkey")}
+    ).withColumn("check", F.lit("orphan_custkey"))
+    rate = li.agg(
+        F.count_if(c("l_discount").isNull() | ~c("l_discount").between(0, 0.05)).alias("violations")
+    ).select(F.lit("rate_range").alias("check"), "violations")
     return tables.violations(e, required=["event_id"], unique=["event_id"], accepted=accepted).unionByName(orphans).unionByName(rate)
 
 
-@query("SELECT n_nationkey, split_part(x, ':', 1) AS grp, split_part(x, ':', 2) AS topic FROM (SELECT n_nationkey, unnest(string_split('a:' || n_name || ',b:t' || n_nationkey, ',')) AS x FROM nation)")
+@query("""SELECT n_nationkey, split_part(x, ':', 1) AS grp, split_part(x, ':', 2) AS topic
+FROM (SELECT n_nationkey, unnest(string_split('a:' || n_name || ',b:t' || n_nationkey, ',')) AS x
+FROM nation)""")
 def spec_explode(spark, sf):
     spec = F.concat(F.lit("a:"), c("n_name"), F.lit(",b:t"), c("n_nationkey"))
     x = t(spark, sf, "nation").select("n_nationkey", F.explode(F.split(spec, ",")).alias("x"))
-    return x.select("n_nationkey", F.split_part("x", F.lit(":"), F.lit(1)).alias("grp"), F.split_part("x", F.lit(":"), F.lit(2)).alias("topic"))
+    return x.select(
+        "n_nationkey", F.split_part("x", F.lit(":"), F.lit(1)).alias("grp"), F.split_part("x", F.lit(":"), F.lit(2)).alias("topic")
+    )
 
 
-@query("SELECT event_id, event_type, value, CASE WHEN event_id % 3 = 0 THEN NULL ELSE props END AS props FROM events WHERE event_id % 11 <> 5")
+@query("""SELECT event_id, event_type, value, CASE WHEN event_id % 3 = 0 THEN NULL ELSE props END AS props
+FROM events WHERE event_id % 11 <> 5""")
 def avro_roundtrip(spark, sf):
     """Encode, frame, damage some, decode: damaged ones are dropped."""
-    schema = T.StructType([T.StructField("event_id", T.LongType(), False), T.StructField("event_type", T.StringType(), False), T.StructField("value", T.DoubleType(), False), T.StructField("props", T.StringType())])
+    schema = T.StructType(
+        [
+            T.StructField("event_id", T.LongType(), False),
+            T.StructField("event_type", T.StringType(), False),
+            T.StructField("value", T.DoubleType(), False),
+            T.StructField("props", T.StringType()),
+        ]
+    )
     e = t(spark, sf, "events").withColumn("props", F.when(c("event_id") % 3 == 0, None).otherwise(c("props")))
     framed = e.select(avro.encode(schema, 7, *(c(f.name) for f in schema)).alias("v"), "event_id")
     damaged = framed.select(F.when(c("event_id") % 11 == 5, F.substring("v", 1, 9)).otherwise(c("v")).alias("v"))
-    return damaged.select(avro.decode(schema, c("v"), 7).alias("r")).where("r.ok").select("r.event_id", "r.event_type", "r.value", "r.props")
+    return damaged.select(avro.decode(schema, c("v"), 7).alias("r")).where("r.ok").select(
+        "r.event_id", "r.event_type", "r.value", "r.props"
+    )
 
 
-@query("SELECT 'requests_total' AS metric, event_type AS type, CAST(count(*) AS DOUBLE) AS total FROM events GROUP BY 2 UNION ALL SELECT 'latency_bucket', NULL, CAST(count(*) + count(*) FILTER (WHERE value <= 10) AS DOUBLE) FROM events")
+@query("""SELECT 'requests_total' AS metric, event_type AS type, CAST(count(*) AS DOUBLE) AS total
+FROM events GROUP BY 2 UNION ALL SELECT 'latency_bucket', NULL, CAST(count(*) + count(*) FILTER (WHERE value <= 10) AS DOUBLE)
+FROM events""")
 def prom_parse(spark, sf):
     """Counters written as a text exposition, read back, and summed by metric and label."""
     path, e = shared_folder(spark, "metrics"), t(spark, sf, "events")
     line = lambda name, labels, n: F.concat(F.lit(f"{name}{{"), *labels, F.lit("} "), n.cast("string")).alias("value")
     total = e.groupBy("event_type", "user_id").count()
-    lines = total.select(line("requests_total", [F.lit('type="'), c("event_type"), F.lit('",user="'), c("user_id").cast("string"), F.lit('"')], c("count")))
+    lines = total.select(
+        line("requests_total", [F.lit('type="'), c("event_type"), F.lit('",user="'), c("user_id").cast("string"), F.lit('"')], c("count"))
+    )
     buckets = e.agg(F.count_if(c("value") <= 10).alias("low"), F.count(F.lit(1)).alias("all"))
     for le, n in (("10", "low"), ("+Inf", "all")):
         lines = lines.unionByName(buckets.select(line("latency_bucket", [F.lit(f'le="{le}"')], c(n))))
@@ -677,9 +902,13 @@ def keyed_upsert(spark, sf):
         # of a batch's rows of a key the last counts, and says how many there were
         part = part.groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"), F.sum("versions").alias("versions"))
         was = stored.select(c("o_custkey").alias("k"), c("versions").alias("was"))
-        seen = part.join(was, c("o_custkey") == c("k"), "left").select("o_custkey", "o_orderkey", (c("versions") + F.coalesce("was", F.lit(0))).alias("versions"))
+        seen = part.join(was, c("o_custkey") == c("k"), "left").select(
+            "o_custkey", "o_orderkey", (c("versions") + F.coalesce("was", F.lit(0))).alias("versions")
+        )
         low = stored.select(c("o_custkey").alias("k"), c("o_orderkey").alias("least"))
-        seen = seen.join(low, c("o_custkey") == c("k"), "left").select("o_custkey", F.greatest("o_orderkey", "least").alias("o_orderkey"), "versions")
+        seen = seen.join(low, c("o_custkey") == c("k"), "left").select(
+            "o_custkey", F.greatest("o_orderkey", "least").alias("o_orderkey"), "versions"
+        )
         tables.upserted(stored, seen, "o_custkey", "versions").write.parquet(path)
         stored = spark.read.parquet(path)
     return stored
@@ -694,7 +923,8 @@ def append_new_rows(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("SELECT count(*) AS rows, count(*) FILTER (WHERE event_id % 11 = 5) AS poison, count(*) FILTER (WHERE event_id % 11 <> 5) AS decoded FROM events")
+@query("""SELECT count(*) AS rows, count(*) FILTER (WHERE event_id % 11 = 5) AS poison, count(*) FILTER (WHERE event_id % 11 <> 5) AS decoded
+FROM events""")
 def poison_counts(spark, sf):
     """How many framed records couldn't be decoded, counted while the others are written."""
     schema = T.StructType([T.StructField("event_id", T.LongType(), False), T.StructField("value", T.DoubleType(), False)])
@@ -706,25 +936,45 @@ def poison_counts(spark, sf):
     return spark.createDataFrame([(n["rows"], n["poison"], n["rows"] - n["poison"])], "rows bigint, poison bigint, decoded bigint")
 
 
-@query(f"WITH s AS (SELECT user_id, count(*) AS n, CAST(sum({dec('value')}) AS DOUBLE) AS total FROM events WHERE ts < TIMESTAMP '{_CUT}' GROUP BY 1), p AS (SELECT event_id, s.user_id IS NULL AS cold_card, least(1.0, greatest(0.0, round(0.002 * value + 0.1 * coalesce(value / nullif(total / n, 0), 0), 9))) AS p FROM events e LEFT JOIN s ON e.user_id = s.user_id WHERE ts >= TIMESTAMP '{_CUT}') SELECT event_id, cold_card, p AS fraud_probability, CASE WHEN p >= 0.25 THEN 'review' ELSE 'approve' END AS decision FROM p")
+@query(f"""WITH s AS (SELECT user_id, count(*) AS n, CAST(sum({dec('value')}) AS DOUBLE) AS total
+FROM events WHERE ts < TIMESTAMP '{_CUT}' GROUP BY 1),
+p AS (SELECT event_id, s.user_id IS NULL AS cold_card, least(1.0, greatest(0.0, round(0.002 * value + 0.1 * coalesce(value / nullif(total / n,
+0), 0), 9))) AS p FROM events e LEFT JOIN s ON e.user_id = s.user_id
+WHERE ts >= TIMESTAMP '{_CUT}') SELECT event_id, cold_card, p AS fraud_probability, CASE WHEN p >= 0.25 THEN 'review' ELSE 'approve' END AS decision
+FROM p""")
 def score_join(spark, sf):
     past, now = _halves(spark, sf)
     state = past.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(c("value").cast("decimal(18,2)")).cast("double").alias("total"))
     x = now.join(state, "user_id", "left")
-    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(0.002 * c("value") + 0.1 * F.coalesce(F.try_divide(c("value"), c("total") / c("n")), F.lit(0.0)), 9)))
+    p = F.least(
+        F.lit(1.0),
+        F.greatest(F.lit(0.0), F.round(0.002 * c("value") + 0.1 * F.coalesce(F.try_divide(c("value"), c("total") / c("n")), F.lit(0.0)), 9)),
+    )
     x = x.select("event_id", c("n").isNull().alias("cold_card"), p.alias("fraud_probability"))
-    return x.withColumn("decision", F.when(c("fraud_probability") >= F.coalesce(F.lit(None).cast("double"), F.lit(0.25), F.lit(1.0)), "review").otherwise("approve"))
+    return x.withColumn(
+        "decision",
+        F.when(c("fraud_probability") >= F.coalesce(F.lit(None).cast("double"), F.lit(0.25), F.lit(1.0)), "review").otherwise("approve"),
+    )
 
 
-@query("SELECT event_id, ts, user_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup') ORDER BY ts DESC, event_id DESC LIMIT 5000")
+@query("""SELECT event_id, ts, user_id FROM events WHERE user_id IN (SELECT user_id
+FROM events WHERE event_type = 'signup') ORDER BY ts DESC, event_id DESC LIMIT 5000""")
 def recent_sample(spark, sf):
     e = t(spark, sf, "events")
-    return e.join(e.where("event_type = 'signup'").select("user_id"), "user_id", "left_semi").orderBy(F.desc("ts"), F.desc("event_id")).limit(5000).select("event_id", "ts", "user_id")
+    return e.join(
+        e.where("event_type = 'signup'").select("user_id"), "user_id", "left_semi"
+    ).orderBy(F.desc("ts"), F.desc("event_id")).limit(5000).select("event_id", "ts", "user_id")
 
 
-@query("SELECT user_id, count(*) AS n_rows, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS is_fraud, max(ts) AS last_ts, min(ts) AS first_ts FROM events GROUP BY 1")
+@query("""SELECT user_id, count(*) AS n_rows, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS is_fraud, max(ts) AS last_ts,
+min(ts) AS first_ts FROM events GROUP BY 1""")
 def partial_final(spark, sf):
-    return t(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.when(c("event_type") == "error", 1).otherwise(0)).alias("is_fraud"), F.max("ts").alias("last_ts"), F.min("ts").alias("first_ts"))
+    return t(spark, sf, "events").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.max(F.when(c("event_type") == "error", 1).otherwise(0)).alias("is_fraud"),
+        F.max("ts").alias("last_ts"),
+        F.min("ts").alias("first_ts"),
+    )
 
 
 # ---- files, sampling, models
@@ -741,9 +991,15 @@ def csv_roundtrip(spark, sf):
     return E.to_events(back, "salt").where("reason IS NULL")
 
 
-@query("WITH u AS (SELECT user_id, max(CASE WHEN event_type = 'error' AND value > 100 THEN 1 ELSE 0 END) AS bad FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY bad ORDER BY md5('42:' || user_id), user_id) AS r FROM u) SELECT user_id, bad FROM r WHERE r <= CASE WHEN bad = 1 THEN 60 ELSE 40 END")
+@query("""WITH u AS (SELECT user_id, max(CASE WHEN event_type = 'error' AND value > 100 THEN 1 ELSE 0 END) AS bad
+FROM events GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY bad
+ORDER BY md5('42:' || user_id), user_id) AS r FROM u) SELECT user_id, bad
+FROM r WHERE r <= CASE WHEN bad = 1 THEN 60 ELSE 40 END""")
 def seeded_sample(spark, sf):
-    u = t(spark, sf, "events").groupBy("user_id").agg(F.max(F.when((c("event_type") == "error") & (c("value") > 100), 1).otherwise(0)).alias("bad"))
+    u = t(spark, sf, "events").groupBy("user_id").agg(
+        F.max(F.when((c("event_type") == "error") & (c("value") > 100), 1).otherwise(0)).alias("bad")
+    )
     pick = lambda bad, n: u.where(c("bad") == bad).orderBy(F.md5(F.concat(F.lit("42:"), c("user_id")).cast("binary")), "user_id").limit(n)
     return pick(1, 60).unionByName(pick(0, 40))
 
@@ -751,7 +1007,9 @@ def seeded_sample(spark, sf):
 def _split_rows(spark, sf) -> DataFrame:
     """Features and split of each event: the first 64 % train, up to 80 % validate, the others test."""
     e = t(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value")
-    x = W.trailing(e, "user_id", "ts", "event_id", "value", c("event_type") == "error", "event_type", {"1d": 86_400, "7d": 604_800}, distinct=False)
+    x = W.trailing(
+        e, "user_id", "ts", "event_id", "value", c("event_type") == "error", "event_type", {"1d": 86_400, "7d": 604_800}, distinct=False
+    )
     n = e.count()
     split = F.when(c("__pos") <= int(int(n * 0.8) * 0.8), "train").when(c("__pos") <= int(n * 0.8), "validation").otherwise("test")
     return W.positions(x, "ts", "event_id").withColumns({"label": (c("event_type") == "error").cast("double"), "split": split})
@@ -760,7 +1018,9 @@ def _split_rows(spark, sf) -> DataFrame:
 _MODEL_FEATURES = ["value", *(f"{m}_{w}" for w in ("1d", "7d") for m in ("txn_count", "amount_sum", "amount_mean", "decline_rate"))]
 
 
-@query("WITH p AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS pos, count(*) OVER () AS n FROM events) SELECT event_id, true AS is_probability FROM p WHERE pos > floor(n * 0.8)")
+@query("""WITH p AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS pos, count(*) OVER () AS n
+FROM events) SELECT event_id, true AS is_probability
+FROM p WHERE pos > floor(n * 0.8)""")
 def gbt_scores(spark, sf):
     """Boosted trees on point-in-time features, with early stop on validation rows; which rows are scored, and that each score is a probability."""
     from cardlake.operators import model as B
@@ -781,7 +1041,9 @@ def _stream(spark, sf):
     return jobs.source(spark, jobs.replay(e, "ts", _FILES, again=c("event_id") % 7 == 0), e.schema, "ts")
 
 
-@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES GROUP BY 1, 2")
+@query("""SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n
+FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts)
+FROM events) - INTERVAL 10 MINUTES GROUP BY 1, 2""")
 def stream_tumbling(spark, sf):
     e = t(spark, sf, "events")
     stream = jobs.source(spark, jobs.replay(e, "ts", _FILES), e.schema, "ts")
@@ -801,7 +1063,8 @@ def stream_features(spark, sf):
     return spark.read.parquet(f"{out}/features").select("event_id", *(f"{m}_{w}" for w in W.WINDOWS for m in ("txn_count", "amount_sum")))
 
 
-@query("SELECT event_id, user_id, round(least(1.0, 0.004 * value), 9) AS fraud_probability, CAST(value AS DOUBLE) AS amount, 'open' AS status FROM events WHERE round(least(1.0, 0.004 * value), 9) >= 0.3")
+@query("""SELECT event_id, user_id, round(least(1.0, 0.004 * value), 9) AS fraud_probability, CAST(value AS DOUBLE) AS amount,
+'open' AS status FROM events WHERE round(least(1.0, 0.004 * value), 9) >= 0.3""")
 def stream_alerts(spark, sf):
     out = shared_folder(spark, "scoring")
     score = lambda rows: rows.withColumn("fraud_probability", F.round(F.least(F.lit(1.0), 0.004 * c("value")), 9))

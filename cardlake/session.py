@@ -11,7 +11,12 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     b = SparkSession.builder.appName("cardlake")
     if master:
         b = b.master(master)
-    base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
+    base = {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+    }
     return b.config(map=base | conf).getOrCreate()
 
 

@@ -66,13 +66,19 @@ def counted(rows: DataFrame, **conditions: Column) -> tuple[DataFrame, Observati
 
 def first_rows(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     """The n first rows of each key."""
-    return rows.withColumn("__place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__place") <= n).drop("__place")
+    return rows.withColumn(
+        "__place", F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    ).where(F.col("__place") <= n).drop("__place")
 
 
 def samples(lines: DataFrame) -> DataFrame:
     """metric, labels (a map) and value of lines in the Prometheus text format; comments and what isn't a sample are left out. +Inf counts as infinity."""
     part = lambda i: F.regexp_extract("value", r'^([A-Za-z_:][\w:]*)(?:\{(.*)\})?\s+(\S+)', i)
     pairs = F.regexp_extract_all(part(2), F.lit(r'(\w+)="([^"]*)"'), F.lit(0))
-    labels = F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r'^(\w+)=', 1), F.regexp_extract(p, r'"(.*)"$', 1))))
+    labels = F.map_from_entries(
+        F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r'^(\w+)=', 1), F.regexp_extract(p, r'"(.*)"$', 1)))
+    )
     number = F.when(part(3) == "+Inf", float("inf")).otherwise(part(3).try_cast("double"))
-    return lines.where(~F.col("value").startswith("#")).select(part(1).alias("metric"), labels.alias("labels"), number.alias("value")).where((F.col("metric") != "") & F.col("value").isNotNull())
+    return lines.where(~F.col("value").startswith("#")).select(
+        part(1).alias("metric"), labels.alias("labels"), number.alias("value")
+    ).where((F.col("metric") != "") & F.col("value").isNotNull())

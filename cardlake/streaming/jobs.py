@@ -32,7 +32,9 @@ def replay(events: DataFrame, time: str, files: int, *, again: Column | None = N
     if limit is not None:
         events = events.orderBy(time).limit(limit)
     us = W.micros(F.col(time))
-    cuts = events.agg(F.percentile_approx(us.cast("double"), [i / files for i in range(1, files + 1)], 10_000).alias("q")).first()["q"] or []
+    cuts = events.agg(
+        F.percentile_approx(us.cast("double"), [i / files for i in range(1, files + 1)], 10_000).alias("q")
+    ).first()["q"] or []
     rows = in_ranges(events.withColumn("__us", us), "__us", sorted(set(cuts))).drop("__us")
     for i in range(len(set(cuts))):
         part = rows.where(F.col(RANGE) == i)
@@ -67,7 +69,15 @@ def foreach_batch(stream: DataFrame, out: str, batch: Callable[[DataFrame, int],
 
 def progress(query: StreamingQuery) -> list[tuple[int, str, int, str | None, str | None]]:
     """(batch, source, rows read, last offset, latest offset known) of the recent batches: how far a query has come, and how far behind it is."""
-    return [(p["batchId"], s["description"], s["numInputRows"], s["endOffset"] and str(s["endOffset"]), s["latestOffset"] and str(s["latestOffset"])) for p in query.recentProgress for s in p["sources"]]
+    return [
+        (
+            p["batchId"],
+            s["description"],
+            s["numInputRows"],
+            s["endOffset"] and str(s["endOffset"]),
+            s["latestOffset"] and str(s["latestOffset"]),
+        ) for p in query.recentProgress for s in p["sources"]
+    ]
 
 
 def tumbling(e: DataFrame, time: str, by: str, width: str, late: str) -> DataFrame:
@@ -119,7 +129,9 @@ def features(e: DataFrame, out: str) -> StreamingQuery:
         ok = F.col("event_id").isNotNull() & F.col("user_id").isNotNull() & F.col("ts").isNotNull() & F.col("value").isNotNull()
         rows.where(~ok).write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
         new, lo, hi = store.add(rows.where(ok), number)
-        history = new if lo is None else store.between(rows.sparkSession, lo - HISTORY, hi, number).join(new.select("user_id").distinct(), "user_id", "left_semi").unionByName(new)
+        history = new if lo is None else store.between(rows.sparkSession, lo - HISTORY, hi, number).join(
+            new.select("user_id").distinct(), "user_id", "left_semi"
+        ).unionByName(new)
         history = history.select("event_id", "user_id", "ts", "event_type", "value")
         done = W.trailing(history, "user_id", "ts", "event_id", "value", F.col("event_type") == "error", "event_type", distinct=False)
         done.join(new.select("event_id"), "event_id", "left_semi").write.mode("overwrite").parquet(f"{out}/features/batch={number}")
@@ -136,7 +148,15 @@ def scoring(e: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: fl
         scored = score(new).withColumn("decision", F.when(F.col("fraud_probability") >= threshold, "review").otherwise("approve"))
         scored.write.mode("overwrite").parquet(f"{out}/scored/batch={number}")
         done = rows.sparkSession.read.schema(scored.schema).parquet(f"{out}/scored/batch={number}")
-        alert = done.where(F.col("decision") == "review").select("event_id", "user_id", "fraud_probability", F.col("value").alias("amount"), F.col("ts").alias("created_at"), F.lit("open").alias("status"), F.lit(None).cast("timestamp").alias("reviewed_at"))
+        alert = done.where(F.col("decision") == "review").select(
+            "event_id",
+            "user_id",
+            "fraud_probability",
+            F.col("value").alias("amount"),
+            F.col("ts").alias("created_at"),
+            F.lit("open").alias("status"),
+            F.lit(None).cast("timestamp").alias("reviewed_at"),
+        )
         alert.write.mode("overwrite").parquet(f"{out}/alerts/batch={number}")
 
     return foreach_batch(e, out, batch)
