@@ -14,7 +14,12 @@ from .shared import table
 def components(edges: DataFrame, *, rounds: int = 64) -> DataFrame:
     """(node, label): for each node of edges (a, b) the least node that it is connected with."""
     a, b = F.col("a"), F.col("b")
-    both = table(edges.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct().select(F.explode(F.array(F.struct("a", "b"), F.struct(b.alias("a"), a.alias("b")))).alias("e")).select("e.a", "e.b"), "edges")
+    both = table(
+        edges.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct().select(
+            F.explode(F.array(F.struct("a", "b"), F.struct(b.alias("a"), a.alias("b")))).alias("e")
+        ).select("e.a", "e.b"),
+        "edges",
+    )
     labels = table(both.groupBy("a").agg(F.min("b").alias("m")).select(a.alias("node"), F.least("a", "m").alias("label")), "labels")
     for _ in range(rounds):
         seen = both.join(labels, a == F.col("node")).groupBy("b").agg(F.min("label").alias("m"))

@@ -91,7 +91,9 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
         column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) else "")
     large = pa.types.is_large_string(column.type)
     _, offsets, data = column.buffers()
-    offs = np.frombuffer(offsets, dtype=np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    offs = np.frombuffer(offsets, dtype=np.int64 if large else np.int32)[
+        column.offset : column.offset + len(column) + 1
+    ].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     return raw[offs[0] : offs[-1]], offs - offs[0]
 

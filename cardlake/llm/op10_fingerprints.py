@@ -72,7 +72,9 @@ def check(x: np.ndarray) -> np.ndarray:
 def places(x: np.ndarray, cells: int) -> np.ndarray:
     """The three cells of each digest, one in each third."""
     third = np.uint64(cells // TIMES)
-    return np.stack([(K.mix(x ^ np.uint64(cells * 7919 + i)) % third + np.uint64(i) * third).astype(np.int64) for i in range(TIMES)], axis=1)
+    return np.stack(
+        [(K.mix(x ^ np.uint64(cells * 7919 + i)) % third + np.uint64(i) * third).astype(np.int64) for i in range(TIMES)], axis=1
+    )
 
 
 class Sketches:
@@ -196,7 +198,9 @@ def in_buckets(rows: DataFrame, bounds: list[int]) -> DataFrame:
     if not cuts:
         return rows.select(F.lit(0).alias("bucket"), "id", "text")
     find = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="__id", outputCol="__bucket")
-    return find.transform(rows.withColumn("__id", F.col("id").cast("double"))).select(F.col("__bucket").cast("int").alias("bucket"), "id", "text")
+    return find.transform(rows.withColumn("__id", F.col("id").cast("double"))).select(
+        F.col("__bucket").cast("int").alias("bucket"), "id", "text"
+    )
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -205,16 +209,23 @@ def with_next(docs: DataFrame) -> DataFrame:
     Buckets are ranges of ids; each ends with an extra row, the first of the next bucket."""
     tasks = partitions(docs)
     n = 4 * tasks  # so that tasks get about as many
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias("id"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
     bounds = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
     rows = in_buckets(rows, bounds or [])
     heads = rows.groupBy("bucket").agg(F.max("id").alias("head"))  # a row for each bucket
-    texts = rows.join(F.broadcast(heads.select(F.col("bucket").alias("of"), "head")), (F.col("id") == F.col("head")) & (F.col("bucket") == F.col("of"))).groupBy("bucket", "id").agg(F.max("text").alias("text"))
+    texts = rows.join(
+        F.broadcast(heads.select(F.col("bucket").alias("of"), "head")), (F.col("id") == F.col("head")) & (F.col("bucket") == F.col("of"))
+    ).groupBy("bucket", "id").agg(F.max("text").alias("text"))
     order = Window.orderBy("bucket")
     above = F.coalesce(F.lead("bucket").over(order), F.min("bucket").over(order))
     ends = texts.select(above.alias("bucket"), "id", "text", F.lit(1).alias("extra"))
     every = rows.select("bucket", "id", "text", F.lit(0).alias("extra")).unionByName(ends)
-    return every.repartition(tasks, "bucket").sortWithinPartitions("bucket", "extra", F.desc("id"), F.desc("text")).select("bucket", "id", "text", "extra")
+    return every.repartition(tasks, "bucket").sortWithinPartitions(
+        "bucket", "extra", F.desc("id"), F.desc("text")
+    ).select("bucket", "id", "text", "extra")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

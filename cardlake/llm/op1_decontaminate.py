@@ -124,7 +124,9 @@ def _leaks(hits: list[tuple[int, int, int]], doc_tokens, item_tokens, doc_id, it
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-    return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in LEAKS.split(", ")])
+    return pa.record_batch(
+        [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in LEAKS.split(", ")]
+    )
 
 
 def _small_benchmark(docs: DataFrame, items: list) -> DataFrame:
@@ -154,7 +156,13 @@ def _small_benchmark(docs: DataFrame, items: list) -> DataFrame:
                 ok = place + len(MASKS[m]) <= at[row + 1]
                 found.append(np.stack([row[ok], rows[seed[ok]], place[ok] - at[row[ok]] - places[seed[ok]]], axis=1))
             hits = np.unique(np.concatenate(found), axis=0).tolist()
-            out = _leaks(hits, lambda d: doc[at[d] : at[d + 1]], lambda i: x[first[i] : first[i + 1]], lambda d: (ids_[d].as_py(), ties[d].as_py()), lambda i: ids[i])
+            out = _leaks(
+                hits,
+                lambda d: doc[at[d] : at[d + 1]],
+                lambda i: x[first[i] : first[i + 1]],
+                lambda d: (ids_[d].as_py(), ties[d].as_py()),
+                lambda i: ids[i],
+            )
             if out:
                 yield _batch(out)
 
@@ -164,7 +172,9 @@ def _small_benchmark(docs: DataFrame, items: list) -> DataFrame:
 def seed_bitmap(seeds: DataFrame) -> np.ndarray:
     """Which values the first BITS bits of seeds have; 2 ** BITS bits, however many seeds there are."""
     top = F.shiftrightunsigned("seed", 64 - BITS)
-    parts = seeds.groupBy(F.shiftright(top, 15).alias("part")).agg(F.bitmap_construct_agg(top.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    parts = seeds.groupBy(F.shiftright(top, 15).alias("part")).agg(
+        F.bitmap_construct_agg(top.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits")
+    )
     out = np.zeros((1 << (BITS - 15), 1 << 12), dtype=np.uint8)
     for r in parts.collect():  # 4096 rows of 4 kB at most
         out[r.part] = np.frombuffer(r.bits, dtype=np.uint8)
@@ -176,14 +186,20 @@ def _large_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([pa.array(sorted({m for k in np.diff(tokens(b.column(1))[1]).tolist() for m in item_masks(k)}), pa.int32())], names=["mask"])
+            yield pa.record_batch(
+                [pa.array(sorted({m for k in np.diff(tokens(b.column(1))[1]).tolist() for m in item_masks(k)}), pa.int32())],
+                names=["mask"],
+            )
 
     masks = sorted(r.mask for r in items.mapInArrow(used, "mask int").distinct().collect())
 
     def emit_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, row, place = item_seeds(*tokens(b.column(1)))
-            yield pa.record_batch([K.signed(h), b.column(0).take(pa.array(row)), b.column(2).take(pa.array(row)), place.astype(np.int32)], names=["seed", "item_id", "item_hash", "of"])
+            yield pa.record_batch(
+                [K.signed(h), b.column(0).take(pa.array(row)), b.column(2).take(pa.array(row)), place.astype(np.int32)],
+                names=["seed", "item_id", "item_hash", "of"],
+            )
 
     right = items.mapInArrow(emit_items, "seed long, item_id long, item_hash long, of int")
     known = seed_bitmap(right)
@@ -198,7 +214,15 @@ def _large_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
                 row = np.searchsorted(at, place, side="right") - 1
                 ok = place + len(MASKS[m]) <= at[row + 1]
                 place, row = place[ok], row[ok]
-                yield pa.record_batch([K.signed(h[place]), b.column(0).take(pa.array(row)), b.column(2).take(pa.array(row)), (place - at[row]).astype(np.int32)], names=["seed", "doc_id", "text_hash", "at"])
+                yield pa.record_batch(
+                    [
+                        K.signed(h[place]),
+                        b.column(0).take(pa.array(row)),
+                        b.column(2).take(pa.array(row)),
+                        (place - at[row]).astype(np.int32),
+                    ],
+                    names=["seed", "doc_id", "text_hash", "at"],
+                )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,8 +244,14 @@ def _large_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A row for each document and the benchmark item that it holds a passage of. text_hash tells documents of one doc_id, or none, apart."""
-    items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), "text", F.xxhash64("text").alias("item_hash"))
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(
+        F.col("item_id").cast("long"), "text", F.xxhash64("text").alias("item_hash")
+    )
+    docs = docs.select(
+        F.col("doc_id").cast("long"),
+        F.col("text").cast("string").alias("text"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
+    )
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     if size <= broadcast_bytes:
         return _small_benchmark(docs, items.collect())

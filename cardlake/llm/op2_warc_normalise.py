@@ -45,7 +45,14 @@ def record(page_id: int | None, url: str | None, payload: bytes, first: int | No
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if first is not None else http + payload
     target = re.sub(r"[\s\x00-\x1f\x7f]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest(payload)}"]
+    head = [
+        "WARC/1.1",
+        f"WARC-Type: {'response' if first is None else 'revisit'}",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Date: {DATE}",
+        f"WARC-Target-URI: {target}",
+        f"WARC-Payload-Digest: sha1:{digest(payload)}",
+    ]
     if first is not None:
         head += [f"WARC-Refers-To: <urn:page:{first}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -117,7 +124,11 @@ def normalise(uri: str, to: str, *, keep: bool = False) -> None:
         head, _ = headers(r)
         pack = zlib.compressobj(6, zlib.DEFLATED, 31)
         member = pack.compress(r) + pack.flush()
-        index.write(json.dumps({"id": head["warc-record-id"], "type": head["warc-type"], "offset": out.size, "length": len(member)}).encode() + b"\n")
+        index.write(
+            json.dumps(
+                {"id": head["warc-record-id"], "type": head["warc-type"], "offset": out.size, "length": len(member)}
+            ).encode() + b"\n"
+        )
         out.write(member)
     out.close()
     index.close()
@@ -127,9 +138,17 @@ def normalise(uri: str, to: str, *, keep: bool = False) -> None:
 
 def write_archives(pages: DataFrame, folder: str, archive: int = ARCHIVE) -> DataFrame:
     """Monolithic archives of all pages; a row (uri) for each."""
-    payload = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload")).withColumn("sha1", F.sha1(F.col("payload").cast("binary")))
-    copies = payload.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha1", "first")
-    later = payload.select("page_id", "sha1").distinct().join(copies, "sha1").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("id"), F.col("sha1").alias("of"), "first")
+    payload = pages.select(
+        F.col("page_id").cast("long"),
+        F.col("url").cast("string").alias("url"),
+        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"),
+    ).withColumn("sha1", F.sha1(F.col("payload").cast("binary")))
+    copies = payload.groupBy("sha1").agg(
+        F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")
+    ).where("n > 1").select("sha1", "first")
+    later = payload.select("page_id", "sha1").distinct().join(copies, "sha1").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(
+        F.col("page_id").alias("id"), F.col("sha1").alias("of"), "first"
+    )
     rows = payload.join(later, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha1") == F.col("of")), "left")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +220,10 @@ def read_members(archives: DataFrame) -> DataFrame:
         for b in batches:
             for uri in b.column(0).to_pylist():
                 if rows := list(read(uri)):
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in ROWS.split(", ")])
+                    yield pa.record_batch(
+                        [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                        names=[c.split()[0] for c in ROWS.split(", ")],
+                    )
 
     return archives.mapInArrow(scan, ROWS)
 

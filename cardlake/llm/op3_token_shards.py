@@ -73,7 +73,9 @@ class WaveletMatrix:
         """All ids, in order."""
         x = np.zeros(self.n, dtype=np.uint32 if self.levels > 16 else np.uint16)
         for level in range(self.levels - 1, -1, -1):
-            plane, zeros = np.concatenate([self.block(level, b) for b in range(self.blocks())]) if self.n else np.zeros(0, np.uint8), self.zeros[level]
+            plane, zeros = np.concatenate(
+                [self.block(level, b) for b in range(self.blocks())]
+            ) if self.n else np.zeros(0, np.uint8), self.zeros[level]
             one = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             back = np.empty_like(x)
             back[~one] = x[:zeros]
@@ -143,7 +145,9 @@ def write_shard(uri: str, ids: np.ndarray, bits: int, docs: np.ndarray, sizes: n
     ones = np.diff(np.array(m.sums), axis=1).astype("<u2")
     directory = pack(ones.tobytes() + np.array([len(x) for x in blocks], dtype="<u2").tobytes())
     tail = [pack(docs.astype("<i8").tobytes()), pack(sizes.astype("<i8").tobytes())]
-    head = json.dumps({"n": len(ids), "bits": bits, "step": STEP, "docs": len(docs), "blocks": sum(map(len, blocks)), "tail": [len(x) for x in tail]}).encode()
+    head = json.dumps(
+        {"n": len(ids), "bits": bits, "step": STEP, "docs": len(docs), "blocks": sum(map(len, blocks)), "tail": [len(x) for x in tail]}
+    ).encode()
     where, path = opened(uri)
     where.create_dir(path.rpartition("/")[0], recursive=True)
     context = TaskContext.get()
@@ -263,7 +267,16 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shard: int = SHAR
             uri = f"{folder}/part-{part:05d}-{seq:05d}.wm"
             ids, keys, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
             write_shard(uri, ids, bits, keys, sizes)
-            out = pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([uri]), pa.array([before], pa.int64()), pa.array([size], pa.int64())], names=["part", "seq", "uri", "before", "n_ids"])
+            out = pa.record_batch(
+                [
+                    pa.array([part], pa.int32()),
+                    pa.array([seq], pa.int32()),
+                    pa.array([uri]),
+                    pa.array([before], pa.int64()),
+                    pa.array([size], pa.int64()),
+                ],
+                names=["part", "seq", "uri", "before", "n_ids"],
+            )
             held, size, seq, before = [], 0, seq + 1, before + size
             return out
 
@@ -311,7 +324,10 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 cut = np.concatenate([[0], np.cumsum(sizes)])
                 at = (cut * 4).tolist()
                 crc = [zlib.crc32(ids[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
-                yield pa.record_batch([pa.array(docs, mask=docs == NULL), pa.array(start + cut[:-1]), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.record_batch(
+                    [pa.array(docs, mask=docs == NULL), pa.array(start + cut[:-1]), pa.array(sizes), pa.array(crc, pa.int64())],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                )
 
     n = partitions(shards)
     placed = shards.join(base, "part").select("uri", (F.col("base") + F.col("before")).alias("start"))

@@ -67,7 +67,14 @@ def radix_sort(pieces: DataFrame, n: int, depth: int = THRESHOLD, limit: int = G
     whole = F.array(F.struct(F.lit(0).alias("i"), F.col("n").alias("n")))
     cut = every.withColumn("p", F.explode(F.when(F.col("__large"), alone).otherwise(whole)))
     content = F.col("content").substr(F.col("p.i") + 1, F.col("p.n") - 1 + depth)
-    cut = cut.select(F.when(F.col("__large"), F.xxhash64(content)).otherwise(F.col("core")).alias("core"), content.alias("content"), "doc", "tie", (F.col("start") + F.col("p.i")).alias("start"), F.col("p.n").alias("n"))
+    cut = cut.select(
+        F.when(F.col("__large"), F.xxhash64(content)).otherwise(F.col("core")).alias("core"),
+        content.alias("content"),
+        "doc",
+        "tie",
+        (F.col("start") + F.col("p.i")).alias("start"),
+        F.col("p.n").alias("n"),
+    )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in K.grouped(batches, ["core"], 1 << 16):
@@ -107,8 +114,20 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
             left = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[offs]
             kept = data[keep].tobytes()
             parts = [kept[i:j] for i, j in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)]
-            cols = [np.diff(offs), total(gone), total(edge), [hashlib.sha256(x).hexdigest() for x in parts], [x.decode("utf-8", "ignore") if texts else None for x in parts]]
-            yield pa.record_batch([*(b.column(f"__own_{i}") for i in range(len(own))), *(pa.array(c, kind) for c, kind in zip(cols, [pa.int64()] * 3 + [pa.string()] * 2, strict=True))], names=[*(f"__own_{i}" for i in range(len(own))), *fields])
+            cols = [
+                np.diff(offs),
+                total(gone),
+                total(edge),
+                [hashlib.sha256(x).hexdigest() for x in parts],
+                [x.decode("utf-8", "ignore") if texts else None for x in parts],
+            ]
+            yield pa.record_batch(
+                [
+                    *(b.column(f"__own_{i}") for i in range(len(own))),
+                    *(pa.array(c, kind) for c, kind in zip(cols, [pa.int64()] * 3 + [pa.string()] * 2, strict=True)),
+                ],
+                names=[*(f"__own_{i}" for i in range(len(own))), *fields],
+            )
 
     named = rows.select("text", *R.PASSES, *(f"__own_{i}" for i in range(len(own))))
     schema = named.select(*(f"__own_{i}" for i in range(len(own)))).schema
@@ -116,7 +135,10 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM
         schema = schema.add(name, kind)
     out = named.mapInArrow(scan, schema)
     new = {"n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"}
-    return out.select(*(F.col(f"__own_{i}").alias(c) for i, c in enumerate(own) if c not in new), *(F.col(f).alias(f[2:]) for f in fields if texts or f != "__kept"))
+    return out.select(
+        *(F.col(f"__own_{i}").alias(c) for i, c in enumerate(own) if c not in new),
+        *(F.col(f).alias(f[2:]) for f in fields if texts or f != "__kept"),
+    )
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,9 @@ class Pieces:
 
     def __init__(self, path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        names = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+        names = {
+            sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))
+        }
         names = sorted(p for p in names if p.strip(MARK))
         by_size: dict[int, list[str]] = {}
         for p in names:
@@ -211,9 +213,14 @@ def fit(docs: DataFrame, path: str, sample: int = SAMPLE) -> Model:
                     if x := clean(w):
                         parts[x] += k
                 if parts:
-                    yield pa.record_batch([pa.array([lang] * len(parts)), pa.array(list(parts)), pa.array(list(parts.values()), pa.int64())], names=["lang", "word", "n"])
-
-    counts = picked.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+                    yield pa.record_batch(
+                        [pa.array([lang] * len(parts)), pa.array(list(parts)), pa.array(list(parts.values()), pa.int64())],
+                        names=["lang", "word", "n"],
+                    )
+
+    counts = picked.select("lang", "text").mapInArrow(
+        count, "lang string, word string, n long"
+    ).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     rows = counts.orderBy("lang", "word").toPandas()  # the words of at most sample documents a language
     languages = sorted(rows.lang.unique())
     if not languages:
@@ -248,11 +255,20 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     i = int(z.argmax())
                     pred.append(model.languages[i])
                     score.append(float(1 / np.exp(z - z[i]).sum()))
-            yield pa.record_batch([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), b.column(2)], names=["doc_id", "lang_pred", "score", "letters"])
+            yield pa.record_batch(
+                [b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), b.column(2)],
+                names=["doc_id", "lang_pred", "score", "letters"],
+            )
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
-    out = docs.select(F.col("doc_id").cast("long"), "text", letters).mapInArrow(scan, "doc_id long, lang_pred string, score double, letters boolean")
-    return out.select("doc_id", F.when(F.col("letters"), F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score"))
+    out = docs.select(F.col("doc_id").cast("long"), "text", letters).mapInArrow(
+        scan, "doc_id long, lang_pred string, score double, letters boolean"
+    )
+    return out.select(
+        "doc_id",
+        F.when(F.col("letters"), F.col("lang_pred")).otherwise("und").alias("lang_pred"),
+        F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score"),
+    )
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

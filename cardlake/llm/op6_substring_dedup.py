@@ -41,7 +41,12 @@ def suffixes(pieces: DataFrame, depth: int = THRESHOLD) -> DataFrame:
     """Each window of the open pieces as the suffix that begins there: its words' hashes (8 bytes each), and where it is."""
     i = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")
     rows = pieces.select("content", "doc", "tie", "start", i)
-    return rows.select(F.col("content").substr(8 * F.col("i") + 1, F.lit(8 * depth)).alias("words"), "doc", "tie", (F.col("start") + F.col("i")).alias("start"))
+    return rows.select(
+        F.col("content").substr(8 * F.col("i") + 1, F.lit(8 * depth)).alias("words"),
+        "doc",
+        "tie",
+        (F.col("start") + F.col("i")).alias("start"),
+    )
 
 
 def prefix(level: int, depth: int = THRESHOLD) -> Column:
@@ -125,8 +130,16 @@ def remove_repeated_words(docs: DataFrame, threshold: int = THRESHOLD, gram: int
             whole = text.tobytes()
             parts = [whole[i : max(i, j - 1)] for i, j in zip(cut[:-1], cut[1:], strict=True)]
             words = np.diff(first)
-            cols = [(words, pa.int64()), (words - np.diff(count), pa.int64()), ([hashlib.sha256(x).hexdigest() for x in parts], pa.string()), ([x.decode() for x in parts], pa.string())]
-            yield pa.record_batch([*(b.column(f"__own_{i}") for i in range(len(own))), *(pa.array(c, kind) for c, kind in cols)], names=[*(f"__own_{i}" for i in range(len(own))), *(f"__{c}" for c in new)])
+            cols = [
+                (words, pa.int64()),
+                (words - np.diff(count), pa.int64()),
+                ([hashlib.sha256(x).hexdigest() for x in parts], pa.string()),
+                ([x.decode() for x in parts], pa.string()),
+            ]
+            yield pa.record_batch(
+                [*(b.column(f"__own_{i}") for i in range(len(own))), *(pa.array(c, kind) for c, kind in cols)],
+                names=[*(f"__own_{i}" for i in range(len(own))), *(f"__{c}" for c in new)],
+            )
 
     named = rows.select("text", *R.PASSES, *(f"__own_{i}" for i in range(len(own))))
     schema = named.select(*(f"__own_{i}" for i in range(len(own)))).schema

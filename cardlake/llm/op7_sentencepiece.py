@@ -192,8 +192,16 @@ def encode_documents(docs: DataFrame, path: str, *, ids: bool = False) -> DataFr
                     decoded.append(hashlib.sha256(c.decode(code)).hexdigest())
                     if ids:
                         codes.append(np.frombuffer(code, dtype="<u4").astype(np.int32).tolist())
-            cols = [pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string()), *([pa.array(codes, pa.list_(pa.int32()))] if ids else [])]
-            yield pa.record_batch([*(b.column(f"__own_{i}") for i in range(len(own))), *cols], names=[*(f"__own_{i}" for i in range(len(own))), *(f"__{x}" for x in new)])
+            cols = [
+                pa.array(sizes, pa.int64()),
+                pa.array(hashes, pa.string()),
+                pa.array(decoded, pa.string()),
+                *([pa.array(codes, pa.list_(pa.int32()))] if ids else []),
+            ]
+            yield pa.record_batch(
+                [*(b.column(f"__own_{i}") for i in range(len(own))), *cols],
+                names=[*(f"__own_{i}" for i in range(len(own))), *(f"__{x}" for x in new)],
+            )
         c.memory.forget()
         give_back()
 
@@ -201,7 +209,9 @@ def encode_documents(docs: DataFrame, path: str, *, ids: bool = False) -> DataFr
     schema = named.drop("text").schema
     for name, kind in zip(new, ["long", "string", "string", T.ArrayType(T.IntegerType())], strict=False):
         schema = schema.add(f"__{name}", kind)
-    return named.mapInArrow(scan, schema).select(*(F.col(f"__own_{i}").alias(x) for i, x in enumerate(own)), *(F.col(f"__{x}").alias(x) for x in new))
+    return named.mapInArrow(scan, schema).select(
+        *(F.col(f"__own_{i}").alias(x) for i, x in enumerate(own)), *(F.col(f"__{x}").alias(x) for x in new)
+    )
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,15 +97,21 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
     """docs: doc_id, text. labels: doc_id, toxic; those held out are not read."""
     none = Model(np.zeros(0, np.uint64), np.zeros(0))
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = labels.where(
+        F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()
+    ).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
     chosen = picked[0].unionByName(picked[1])
     # at most 2 * sample rows, so small enough for every task
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
-    counts = rows.mapInArrow(_counts, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = rows.mapInArrow(_counts, "feature long, toxic long, clean long").groupBy("feature").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
+    )
     # how far the classes' shares differ, in their standard errors
     odds = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5))
-    best = counts.where("toxic + clean >= 3").select("feature", (odds * F.sqrt(F.greatest("toxic", "clean"))).alias("gain")).where("gain > 0").orderBy(F.desc("gain"), "feature").limit(features)
+    best = counts.where("toxic + clean >= 3").select(
+        "feature", (odds * F.sqrt(F.greatest("toxic", "clean"))).alias("gain")
+    ).where("gain > 0").orderBy(F.desc("gain"), "feature").limit(features)
     found = np.sort(np.array([r.feature for r in best.collect()], dtype=np.int64).view(np.uint64))
     if not len(found):
         return none
@@ -123,7 +129,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
             row = np.concatenate([cells[0], lone])
             pad = np.full(len(lone), -1)
             ids, y = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "toxic"))
-            yield pa.record_batch([ids[row].astype(np.int64), y[row].astype(np.int32), np.concatenate([cells[1], pad]).astype(np.int32), np.concatenate([cells[2], pad]).astype(np.int32)], names=["doc", "toxic", "sentence", "which"])
+            yield pa.record_batch(
+                [
+                    ids[row].astype(np.int64),
+                    y[row].astype(np.int32),
+                    np.concatenate([cells[1], pad]).astype(np.int32),
+                    np.concatenate([cells[2], pad]).astype(np.int32),
+                ],
+                names=["doc", "toxic", "sentence", "which"],
+            )
 
     cells = rows.mapInArrow(places, "doc long, toxic int, sentence int, which int").toPandas()
     if cells.toxic.nunique() < 2:
@@ -178,8 +192,16 @@ def score_documents(docs: DataFrame, model: Model, *, locate: bool = False, name
             if locate:
                 high = p >= 0.5
                 size = np.bincount(row[high], minlength=b.num_rows)
-                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array((s - base[row])[high].astype(np.int32))))
-            yield pa.record_batch([*(b.column(f"__own_{k}") for k in range(len(own))), b.column("text"), *cols], names=[*(f"__own_{k}" for k in range(len(own))), "text", *(f"__new_{k}" for k in range(len(new)))])
+                cols.append(
+                    pa.ListArray.from_arrays(
+                        pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)),
+                        pa.array((s - base[row])[high].astype(np.int32)),
+                    )
+                )
+            yield pa.record_batch(
+                [*(b.column(f"__own_{k}") for k in range(len(own))), b.column("text"), *cols],
+                names=[*(f"__own_{k}" for k in range(len(own))), "text", *(f"__new_{k}" for k in range(len(new)))],
+            )
 
     named = docs.select(*(F.col(f"`{c}`").alias(f"__own_{k}") for k, c in enumerate(own)), "text")
     schema = named.select("*").schema.add("__new_0", "double")

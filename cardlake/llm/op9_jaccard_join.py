@@ -109,7 +109,17 @@ def signed_docs(docs: DataFrame, salts: int) -> DataFrame:
             n, has = LABEL * len(FACTORS), (np.diff(cut) > 0).tolist()
             digests = np.frombuffer(b"".join(map(word_digest, b.column("text").to_pylist())), dtype=np.int64).reshape(-1, 2)
             labels = pa.array([sig[i * n : (i + 1) * n] if x else None for i, x in enumerate(has)], pa.binary())
-            yield pa.record_batch([b.column("doc"), b.column("tie"), np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1]), labels, ((seen + np.arange(b.num_rows)) % salts).astype(np.int32)], names=[c.split()[0] for c in SIGNED.split(", ")])
+            yield pa.record_batch(
+                [
+                    b.column("doc"),
+                    b.column("tie"),
+                    np.ascontiguousarray(digests[:, 0]),
+                    np.ascontiguousarray(digests[:, 1]),
+                    labels,
+                    ((seen + np.arange(b.num_rows)) % salts).astype(np.int32),
+                ],
+                names=[c.split()[0] for c in SIGNED.split(", ")],
+            )
             seen += b.num_rows
 
     return docs.mapInArrow(scan, SIGNED)
@@ -184,7 +194,11 @@ def walk(path: np.ndarray, cut: np.ndarray, sig: np.ndarray, floor: int) -> tupl
                         u, v = np.nonzero(new & like(a[:, None], b[None]))
                         mine = label[lo : lo + m]
                         low = mine.min()  # labels of a trie are places in it
-                        joined = _labels(m + int(lo - low), np.concatenate([a[u] - low, np.arange(lo, lo + m) - low]), np.concatenate([b[v] - low, mine - low]))
+                        joined = _labels(
+                            m + int(lo - low),
+                            np.concatenate([a[u] - low, np.arange(lo, lo + m) - low]),
+                            np.concatenate([b[v] - low, mine - low]),
+                        )
                         label[lo : lo + m] = joined[lo - low :] + low
     return label, first_at
 
@@ -282,10 +296,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     salted = table(signed_docs(docs, n), "signatures")
     salts = salted.groupBy("c1", "c2", "salt").agg(F.min(_first("doc", "tie", "sig")).alias("rep"), F.count(F.lit(1)).alias("k"))
     classes = salts.groupBy("c1", "c2").agg(F.min("rep").alias("rep"), F.sum("k").alias("copies"))
-    reps = table(classes.select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "rep.doc", "rep.tie", "rep.sig", "copies"), "classes")
+    reps = table(
+        classes.select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "rep.doc", "rep.tie", "rep.sig", "copies"), "classes"
+    )
     groups = components(candidate_edges(reps.select("node", "sig"), n))
     sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    inside = groups.join(sizes, "label").join(reps.select("node", "doc", "tie", "copies"), "node").select("node", F.col("doc").alias("of"), F.col("tie").alias("as"), "copies", F.col("label").alias("group"), "n")
+    inside = groups.join(sizes, "label").join(reps.select("node", "doc", "tie", "copies"), "node").select(
+        "node", F.col("doc").alias("of"), F.col("tie").alias("as"), "copies", F.col("label").alias("group"), "n"
+    )
     texts = inside.join(docs.dropDuplicates(["doc", "tie"]), F.col("of").eqNullSafe(F.col("doc")) & (F.col("as") == F.col("tie")))
     linked = table(exact_links(texts.select("node", "copies", "text", "group", "n"), n), "links")
     counted = linked.groupBy("node").agg(F.sum("links").alias("links"), F.min("to").alias("to"), F.count_distinct("to").alias("ways"))
@@ -297,10 +315,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = reps.select("node", "c1", "c2", "doc", "tie", "copies")
     heads = label.join(ids.select("node", "doc", "tie"), "node").groupBy("label").agg(F.min(_first("doc", "tie")).alias("head"))
     known = ids.join(label.join(heads, "label").select("node", "links", "head"), "node", "left")
-    known = known.select("c1", "c2", F.coalesce("head", _first("doc", "tie")).alias("head"), F.col("doc").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = known.select(
+        "c1",
+        "c2",
+        F.coalesce("head", _first("doc", "tie")).alias("head"),
+        F.col("doc").alias("copy_of"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+    )
     member = salted.drop("sig").join(salts.select("c1", "c2", "salt").join(known, ["c1", "c2"]), ["c1", "c2", "salt"])
     first = F.col("doc").eqNullSafe(F.col("head.doc")) & (F.col("tie") == F.col("head.tie"))
-    return member.select(F.col("doc").alias("doc_id"), F.col("tie").alias("text_hash"), F.col("head.doc").alias("class_id"), "copy_of", "n_links", first.alias("first"))
+    return member.select(
+        F.col("doc").alias("doc_id"),
+        F.col("tie").alias("text_hash"),
+        F.col("head.doc").alias("class_id"),
+        "copy_of",
+        "n_links",
+        first.alias("first"),
+    )
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

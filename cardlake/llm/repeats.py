@@ -74,7 +74,9 @@ def window_runs(elements: np.ndarray, offs: np.ndarray, t: int, k: int) -> tuple
         end = np.append(start[1:], m)
         start, end = start[ok[start]], end[ok[start]]
         p = owner[start]
-        content = K.mix(h.spans(start, end - 1 + t) + (p - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (end - start).astype(np.uint64))
+        content = K.mix(
+            h.spans(start, end - 1 + t) + (p - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (end - start).astype(np.uint64)
+        )
         out.append((start + a, end - start, gram[p], content, p - start))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -109,7 +111,10 @@ def runs(docs: DataFrame, elements: Elements, t: int, k: int) -> DataFrame:
             doc, tie, place = ids[row], ties[row], start - offs[row]
             settled = _later([gram, content], doc, tie, place)
             gram[settled] = content[settled] = 0  # nothing is compared with them any more
-            yield pa.record_batch([K.signed(gram), K.signed(content), doc, tie, place, size.astype(np.int32), off.astype(np.int32), settled], schema=_schema(RUNS))
+            yield pa.record_batch(
+                [K.signed(gram), K.signed(content), doc, tie, place, size.astype(np.int32), off.astype(np.int32), settled],
+                schema=_schema(RUNS),
+            )
 
     return docs.select(KEY, TIE, "text").mapInArrow(scan, RUNS)
 
@@ -177,7 +182,17 @@ def settle_runs(dealt: DataFrame, n: int) -> DataFrame:
             mine = later | x["settled"]
             mine[:extra] = False
             pick = np.flatnonzero(mine | opened)
-            return pa.record_batch([x["doc"][pick], x["tie"][pick], x["start"][pick], x["size"][pick].astype(np.int32), x["off"][pick].astype(np.int32), opened[pick]], schema=_schema(MARKS))
+            return pa.record_batch(
+                [
+                    x["doc"][pick],
+                    x["tie"][pick],
+                    x["start"][pick],
+                    x["size"][pick].astype(np.int32),
+                    x["off"][pick].astype(np.int32),
+                    opened[pick],
+                ],
+                schema=_schema(MARKS),
+            )
 
         yield from _sorted_groups(batches, ["gram", "content"], settle)
 
@@ -235,7 +250,10 @@ def open_blocks(docs: DataFrame, marks: DataFrame, elements: Elements, t: int, b
             doc, tie = ids[row][of], ties[row][of]
             settled = _later([core, content], doc, tie, first)
             core[settled] = content[settled] = 0
-            yield pa.record_batch([K.signed(core), K.signed(content), doc, tie, first, n.astype(np.int32), (p - at).astype(np.int32), settled], schema=_schema(RUNS))
+            yield pa.record_batch(
+                [K.signed(core), K.signed(content), doc, tie, first, n.astype(np.int32), (p - at).astype(np.int32), settled],
+                schema=_schema(RUNS),
+            )
 
     return _with(docs, marks, "marks").mapInArrow(scan, RUNS)
 
@@ -254,7 +272,9 @@ def open_pieces(docs: DataFrame, marks: DataFrame, elements: Elements, t: int, b
             core = K.signed(_spans(x, at + off, at + off - block + 1 + t))
             raw, wide = x.astype(x.dtype.newbyteorder(">")).tobytes(), x.dtype.itemsize
             content = [raw[i * wide : (i + m - 1 + t) * wide] for i, m in zip(at.tolist(), n.tolist(), strict=True)]
-            yield pa.record_batch([core, pa.array(content, pa.binary()), ids[row], ties[row], first, n.astype(np.int32)], schema=_schema(OPEN))
+            yield pa.record_batch(
+                [core, pa.array(content, pa.binary()), ids[row], ties[row], first, n.astype(np.int32)], schema=_schema(OPEN)
+            )
 
     return _with(docs, marks, "marks").mapInArrow(scan, OPEN)
 
@@ -316,4 +336,9 @@ def marked(docs: DataFrame, elements: Elements, t: int, k: int, block: int, orde
 def keyed(docs: DataFrame) -> DataFrame:
     """KEY, TIE, text, and the other columns under names that nothing clashes with (see ``own_columns``)."""
     own = [F.col(f"`{c}`").alias(f"__own_{i}") for i, c in enumerate(x for x in docs.columns if x != "text")]
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias(KEY), F.xxhash64("text").alias(TIE), F.col("text").cast("string").alias("text"), *own)
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias(KEY),
+        F.xxhash64("text").alias(TIE),
+        F.col("text").cast("string").alias("text"),
+        *own,
+    )

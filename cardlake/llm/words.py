@@ -92,7 +92,9 @@ class IdMemory:
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.n + len(h) > len(self.starts):
-            self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+            self.starts, self.sizes = np.concatenate(
+                [self.starts, np.zeros_like(self.starts)]
+            ), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
         self.ids[self.used : self.used + len(flat)] = flat
         self.starts[self.n : self.n + len(h)] = self.used + np.cumsum(sizes) - sizes
         self.sizes[self.n : self.n + len(h)] = sizes
@@ -111,7 +113,9 @@ class IdMemory:
         while self.letters + len(raw) > len(self.text):
             self.text = np.concatenate([self.text, np.zeros_like(self.text)])
         while self.n + len(words) > len(self.text_at):
-            self.text_at, self.text_size = np.concatenate([self.text_at, np.zeros_like(self.text_at)]), np.concatenate([self.text_size, np.zeros_like(self.text_size)])
+            self.text_at, self.text_size = np.concatenate([self.text_at, np.zeros_like(self.text_at)]), np.concatenate(
+                [self.text_size, np.zeros_like(self.text_size)]
+            )
         self.text[self.letters : self.letters + len(raw)] = raw
         self.text_at[self.n : self.n + len(words)] = self.letters + np.cumsum(sizes) - sizes
         self.text_size[self.n : self.n + len(words)] = sizes
