@@ -56,7 +56,13 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return op7_sentencepiece.encode_documents(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("decontaminate", decontaminate), ("sentencepiece", sentencepiece)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("decontaminate", decontaminate),
+    ("sentencepiece", sentencepiece),
+]
 
 #: The stages learn, align and tokenise: no SQL gives their rows. tests/llm holds the rows of each on a planted table against brute force.
 ORACLE_SQL = None
