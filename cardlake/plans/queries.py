@@ -549,6 +549,16 @@ def psi_numeric(spark, sf):
     return M.psi(M.numeric_bins(a, "value", edges, "ref"), M.numeric_bins(b, "value", edges, "cur")).select(F.round("psi", 9).alias("psi"))
 
 
+_VERDICT = "CASE WHEN psi > 0.2 THEN 'drifted' WHEN psi >= 0.1 THEN 'moderate' ELSE 'stable' END AS verdict"
+
+
+@query(f"SELECT 'value' AS feature, psi, {_VERDICT} FROM ({SQL['psi_numeric']}) UNION ALL SELECT 'event_type', psi, {_VERDICT} FROM ({SQL['psi_categorical']})")
+def drift_report(spark, sf):
+    """What a periodic check says of each column."""
+    a, b = _halves(spark, sf)
+    return M.drift_table(a, b, ["value"], ["event_type"]).select("feature", F.round("psi", 9).alias("psi"), "verdict")
+
+
 def _scored(spark, sf) -> DataFrame:
     return t(spark, sf, "labels").join(t(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id").select("doc_id", "n_chars", "toxic")
 
@@ -690,10 +700,13 @@ _CDC = """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 IN (0, 5, 7, 9) THEN
 CASE o_orderkey % 20 WHEN 0 THEN true WHEN 5 THEN false END AS fraud, * FROM orders"""
 
 
-@query(f"""WITH x AS ({_CDC}) SELECT lower(printf('%020x', k)) AS lsn, CAST(k AS VARCHAR) AS event_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(CAST(epoch_ms(o_orderdate) % 1000 AS BIGINT) AS VARCHAR), 3, '0') || 'Z' AS event_time, sha256('salt:' || o_custkey) AS card_token, o_totalprice AS amount,
-'US' AS merchant_country, CAST(k % 10000 AS INT) AS mcc, fraud AS is_fraud FROM x WHERE op = 2""")
-def cdc_envelope_roundtrip(spark, sf):
-    """Rows of a change table as envelopes in JSON, and the events that are read from them: inserts only."""
+_CDC_EVENTS = f"""WITH x AS ({_CDC}) SELECT lower(printf('%020x', k)) AS lsn, CAST(k AS VARCHAR) AS event_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(CAST(epoch_ms(o_orderdate) % 1000 AS BIGINT) AS VARCHAR), 3, '0') || 'Z' AS event_time, sha256('salt:' || o_custkey) AS card_token, o_totalprice AS amount,
+'US' AS merchant_country, CAST(k % 10000 AS INT) AS mcc, fraud AS is_fraud FROM x WHERE op = 2"""
+_CDC_FIELDS = ["event_id", "event_time", "card_token", "amount", "merchant_country", "mcc", "is_fraud"]
+
+
+def _wire(spark, sf) -> DataFrame:
+    """orders as the envelopes of a change table."""
     k = c("o_orderkey")
     op = F.when((k % 10).isin(0, 5, 7, 9), 2).when(k % 10 == 1, 4).when(k % 10 == 2, 1).when(k % 10 == 3, 3).otherwise(2)
     table = t(spark, sf, "orders").select(
@@ -711,10 +724,24 @@ def cdc_envelope_roundtrip(spark, sf):
         (k % 10000).cast("int").alias("mcc"),
         F.when(k % 20 == 0, True).when(k % 20 == 5, False).alias("is_fraud"),
     )
-    wire = CDC.envelopes(table, F.timestamp_seconds(F.lit(0)))
-    wire = wire.withColumn("lsn", F.get_json_object("value", "$.source.lsn"))
-    got = CDC.to_events(wire).where("reason IS NULL")
-    return got.select("lsn", "event_id", "event_time", "card_token", "amount", "merchant_country", "mcc", "is_fraud")
+    return CDC.envelopes(table, F.timestamp_seconds(F.lit(0)))
+
+
+@query(_CDC_EVENTS)
+def cdc_envelope_roundtrip(spark, sf):
+    """Rows of a change table as envelopes in JSON, and the events that are read from them: inserts only."""
+    wire = _wire(spark, sf).withColumn("lsn", F.get_json_object("value", "$.source.lsn"))
+    return CDC.to_events(wire).where("reason IS NULL").select("lsn", *_CDC_FIELDS)
+
+
+@query(f"SELECT {', '.join(_CDC_FIELDS)} FROM ({_CDC_EVENTS})")
+def stream_cdc(spark, sf):
+    """The same from a stream that tails a folder of envelopes, a file a trigger."""
+    path = shared_folder(spark, "changes")
+    for i in range(3):
+        _wire(spark, sf).where(F.pmod(F.xxhash64("value"), F.lit(3)) == i).coalesce(2).write.mode("append").text(path)
+    done = jobs.run(CDC.to_events(jobs.lines(spark, path)).where("reason IS NULL"), "changed")
+    return done.select(*_CDC_FIELDS)
 
 
 @query("""SELECT CASE n_nationkey % 8 WHEN 0 THEN 'unsupported op: x' WHEN 1 THEN 'missing ''after'' payload' WHEN 2 THEN 'mapping error: amount' WHEN 3 THEN 'unexpected is_fraud value: 2' WHEN 4 THEN 'mapping error: card_token' ELSE 'unsupported op: null' END AS reason,

@@ -52,6 +52,11 @@ def source(spark: SparkSession, folder: str, schema: T.StructType, time: str, fi
     return stream.withColumn(time, F.col(time).cast("timestamp"))
 
 
+def lines(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
+    """The lines of the folder's text files, oldest first, that many files a trigger."""
+    return spark.readStream.option("maxFilesPerTrigger", files).text(folder)
+
+
 def run(stream: DataFrame, name: str, mode: str = "append", out: str | None = None) -> DataFrame:
     """Writes a stream to Parquet until nothing is left, and reads it back. With the out of an earlier run it goes on where that ended."""
     spark = stream.sparkSession
