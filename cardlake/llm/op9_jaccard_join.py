@@ -304,7 +304,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     inside = groups.join(sizes, "label").join(reps.select("node", "doc", "tie", "copies"), "node").select(
         "node", F.col("doc").alias("of"), F.col("tie").alias("as"), "copies", F.col("label").alias("group"), "n"
     )
-    texts = inside.join(docs.dropDuplicates(["doc", "tie"]), F.col("of").eqNullSafe(F.col("doc")) & (F.col("as") == F.col("tie")))
+    same = F.col("of").eqNullSafe(F.col("doc")) & (F.col("as") == F.col("tie"))
+    texts = inside.join(docs, same).dropDuplicates(["node"])  # rows that repeat a doc_id and its text
     linked = table(exact_links(texts.select("node", "copies", "text", "group", "n"), n), "links")
     counted = linked.groupBy("node").agg(F.sum("links").alias("links"), F.min("to").alias("to"), F.count_distinct("to").alias("ways"))
     if counted.where("ways > 1").isEmpty():
