@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardlake.llm import op1_decontaminate, op4_suffix_dedup, op7_sentencepiece, op8_toxicity, op9_jaccard_join
-from cardlake.llm.shared import remove, shared_folder
+from cardlake.llm.shared import remove, shared_folder, table
 
 SCORE = "__toxicity"
 
@@ -22,18 +22,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op8_toxicity.score_documents(docs, model, name=SCORE).where(F.col(SCORE) < op8_toxicity.THRESHOLD).select(docs.columns)
 
 
-def _without(docs: DataFrame, found: DataFrame, *, once: bool = False) -> DataFrame:
-    """docs without the rows whose doc_id and text found names (doc_id, text_hash); if once, each doc_id and text only once."""
-    keys = ["__id", "__hash"]
-    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": F.xxhash64(F.col("text").cast("string"))})
-    gone = found.select(F.col("doc_id").alias("__of"), F.col("text_hash").alias("__as")).distinct()
-    left = rows.join(gone, F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__hash") == F.col("__as")), "left_anti")
-    return (left.dropDuplicates(keys) if once else left).select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": F.xxhash64(F.col("text").cast("string"))})
+
+
+def _join(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Keyed docs that are, or aren't, among found (doc_id, text_hash), by how."""
+    names = found.select(F.col("doc_id").alias("__of"), F.col("text_hash").alias("__as")).distinct()
+    return docs.join(names, F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__hash") == F.col("__as")), how)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of connected near duplicates the document of least doc_id stays (on ties that of the least hash of its text, and of equal rows one)."""
-    return _without(docs, op9_jaccard_join.near_duplicates(docs).where(~F.col("first")), once=True)
+    near = table(op9_jaccard_join.near_duplicates(docs).select("doc_id", "text_hash", "first"), "near")
+    left = _join(_keyed(docs), near.where(~F.col("first")), "left_anti")
+    # rows that repeat both doc_id and text are few: only they are dealt again
+    again = near.where("first").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    once = _join(left, again, "left_semi").dropDuplicates(["__id", "__hash"])
+    return _join(left, again, "left_anti").unionByName(once).select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +54,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents with a passage of the benchmark."""
-    return _without(docs, op1_decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    found = op1_decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _join(_keyed(docs), found, "left_anti").select(docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
