@@ -60,6 +60,11 @@ def avro_schema(schema: T.StructType, name: str = "Transaction", namespace: str
     return json.dumps({"type": "record", "name": name, "namespace": namespace, "fields": fields}, indent=2) + "\n"
 
 
+def is_current(text: str, schema: T.StructType, name: str = "Transaction", namespace: str = "payments") -> bool:
+    """Whether a stored Avro schema is, byte by byte, what the contract gives now."""
+    return text == avro_schema(schema, name, namespace)
+
+
 WIDENS = {("int", "bigint"), ("int", "double"), ("bigint", "double"), ("float", "double"), ("int", "float"), ("bigint", "float")}
 
 

@@ -62,6 +62,15 @@ def encode(schema: T.StructType, id_: int, *columns: Column) -> Column:
     return run(*columns)
 
 
+def unwritable(schema: T.StructType, *columns: Column) -> Column:
+    """Why a record can't be encoded: the first required field without a value; null if it can."""
+    out = F.lit(None).cast("string")
+    for f, c in reversed(list(zip(schema, columns, strict=True))):
+        if not f.nullable:
+            out = F.when(c.isNull(), f"{f.name}: is required").otherwise(out)
+    return out
+
+
 def decode(schema: T.StructType, framed: Column, id_: int | None = None) -> Column:
     """Records as structs; not ok for what isn't a whole record, or (if id_ is given) of another schema."""
     kinds = [(f.name, f.dataType.simpleString(), f.nullable) for f in schema]

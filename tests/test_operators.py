@@ -92,7 +92,28 @@ def test_contract(spark):
     more = T.StructType([*S.CONTRACT, T.StructField("note", T.StringType())])
     need = T.StructType([*S.CONTRACT, T.StructField("note", T.StringType(), False)])
     assert not S.reads_old_data(S.CONTRACT, more) and S.reads_old_data(S.CONTRACT, need)
-    assert S.avro_schema(S.CONTRACT) == S.avro_schema(S.CONTRACT)
+    small = T.StructType([T.StructField("n", T.LongType(), False), T.StructField("s", T.StringType())])
+    text = """{
+  "type": "record",
+  "name": "R",
+  "namespace": "x",
+  "fields": [
+    {
+      "name": "n",
+      "type": "long"
+    },
+    {
+      "name": "s",
+      "type": [
+        "null",
+        "string"
+      ],
+      "default": null
+    }
+  ]
+}
+"""
+    assert S.is_current(text, small, "R", "x") and not S.is_current(text, small, "R", "y")
 
 
 def test_avro_damage(spark):
@@ -100,6 +121,11 @@ def test_avro_damage(spark):
     df = spark.createDataFrame([(-5, "é", True), (1 << 40, None, False)], schema)
     v = df.select(avro.encode(schema, 3, *map(F.col, schema.names)).alias("v"))
     assert sorted(tuple(r.r)[1:] for r in v.select(avro.decode(schema, F.col("v")).alias("r")).collect()) == [(-5, "é", True), (1 << 40, None, False)]
+    other = v.select(avro.decode(schema, F.col("v"), 4).alias("r")).collect()
+    assert not any(r.r.ok for r in other)
+    lost = spark.createDataFrame([(None, None, None), (1, None, None), (1, None, True)], T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
+    both = lost.select(avro.unwritable(schema, *map(F.col, schema.names)), avro.encode(schema, 3, *map(F.col, schema.names)).isNull()).collect()
+    assert [tuple(r) for r in both] == [("n: is required", True), ("b: is required", True), (None, False)]
     cut = v.select(F.expr("substring(v, 1, length(v) - 1)").alias("v"))
     assert not [r for r in cut.select(avro.decode(schema, F.col("v")).alias("r")).collect() if r.r.ok]
 
