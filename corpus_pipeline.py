@@ -1,8 +1,8 @@
 """A pipeline over the table documents: five stages, each written as Parquet and read again by the next one.
 
 Stages but the last return the columns of documents, whatever further columns there are. Null texts count as empty; an empty table stays
-empty. A document is a row: rows that share a doc_id, or have none, are told apart by their texts. Each stage's folder goes
-once the next stage is written."""
+empty. A document is a row: rows that share a doc_id, or have none, are told apart by their texts. What a stage writes on its way goes when it is
+done, and its own folder once the next stage is written."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardlake.llm import op1_decontaminate, op4_suffix_dedup, op7_sentencepiece, op8_toxicity, op9_jaccard_join
-from cardlake.llm.shared import remove, shared_folder, table
+from cardlake.llm.shared import remove, scratch, shared_folder, table
 
 SCORE = "__toxicity"
 
@@ -79,7 +79,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = shared_folder(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         if before:
             remove(spark, before)
         docs, before = spark.read.parquet(path), path
