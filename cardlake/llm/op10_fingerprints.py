@@ -30,6 +30,8 @@ CELLS = 30
 TIMES = 3
 #: Beyond this many times the digests, sets are compared directly (peeling gets there by bad luck alone).
 PATIENCE = 64
+#: Bytes of text at a time (a longer text is alone): its words, copies and digests take many times as much.
+TEXT_BYTES = 2 << 20
 NULL = -(2**63)
 ROWS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 STOPS = np.zeros(256, dtype=bool)
@@ -264,15 +266,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], []]
-        for b in batches:
+        for b in K.small(batches, "text", TEXT_BYTES):
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
                 held = [[*h, *part.column(c).to_pylist()] for c, h in enumerate(held)]
                 if len(held[0]) > 1:
-                    out = rows(*held)
+                    if not all(held[3][:-1]):
+                        yield rows(*held)
                     held = [h[-1:] for h in held]
-                    if out.num_rows:
-                        yield out
 
     return with_next(docs).mapInArrow(scan, ROWS)
 

@@ -5,11 +5,13 @@ the positions of a window of tokens and ignores the others, so a substitution at
 seed intact; every stretch that the limits below allow holds a seed whole. Seeds of the benchmark and of the documents are joined by hash; around each hit the two token
 sequences are compared place by place on the hit's diagonal. A stretch of it with at least 12 matches and 80 % matches
 is a leak, and so is a whole item of fewer than 15 tokens with 80 % matches. Reported is the stretch that scores best (a match
-counts 1, a mismatch -2) if it is a leak, else the leak with the most matches.
+counts 1, a mismatch -2) if it is a leak, else the leak with the most matches. Of several places in a document that with the most
+matches is reported, on ties the first, then the shorter one.
 
 The benchmark's seeds go to all tasks while its text has at most BROADCAST_BYTES, which is checked (its arrays take some twenty
 times that); beyond, seeds are joined by a shuffle, with the same result. Of the documents' seeds only those go there that a bitmap of the
-benchmark's seeds has, whose size is fixed. Items of fewer than MIN_ITEM tokens are ignored (too common to tell). Null and
+benchmark's seeds has, whose size is fixed. Items of up to WHOLE tokens are found whole and unchanged, by a hash of all their tokens, at their
+first place in a document; a caller for whom such short ones are too common to tell gives a greater min_item. Null and
 empty texts, on either side, match nothing. Repeated documents are each reported, and so are documents without a doc_id. Items without
 an item_id are ignored, repeated items are each reported. Other columns are ignored.
 """
@@ -28,11 +30,11 @@ from . import kernels as K
 from .shared import partitions
 
 #: Positions that count. Any stretch of 12 or more matches of which 80 % match, of whatever length, holds one of the first four; any item
-#: of 5 to SEEDED - 1 tokens, whole and with 80 % matches, one of the LIGHT ones (tests show both for all patterns).
-MASKS = ("111111", "11101011", "101001111", "1100010111", "111", "11011")
-LIGHT = 2
+#: of 5 to SEEDED - 1 tokens, whole and with 80 % matches, one of the LIGHT ones (tests show both for all patterns). Of fewer tokens all must match:
+#: the last masks take items of 1 to WHOLE tokens whole.
+MASKS = ("111111", "11101011", "101001111", "1100010111", "111", "11011", "1", "11", "111", "1111")
+HEAVY, LIGHT, WHOLE = 4, 2, 4
 SEEDED = 14
-MIN_ITEM = 5
 MIN_MATCHES = 12
 SHARE = 0.8
 BROADCAST_BYTES = 2 << 20
@@ -62,18 +64,31 @@ def seeds(x: np.ndarray, mask: int) -> np.ndarray:
     return K.mix(h)
 
 
-def item_masks(n: int) -> range:
+def item_masks(n: int, least: int = 1) -> range:
     """The masks that seed an item of n tokens."""
-    heavy = len(MASKS) - LIGHT
-    return range(0) if n < MIN_ITEM else range(heavy, len(MASKS)) if n < SEEDED else range(heavy)
+    if n < max(least, 1):
+        return range(0)
+    if n <= WHOLE:
+        return range(HEAVY + LIGHT + n - 1, HEAVY + LIGHT + n)
+    return range(HEAVY, HEAVY + LIGHT) if n < SEEDED else range(HEAVY)
 
 
-def item_seeds(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def first_places(mask: int, row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the seeds, in the order of rows and places, say something new: of a whole item only its first place in a row."""
+    if mask < HEAVY + LIGHT:
+        return np.arange(len(h))
+    order = np.lexsort((np.arange(len(h)), h, row))
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
+    return np.sort(order[new])
+
+
+def item_seeds(x: np.ndarray, first: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, row and place of the seeds of all rows."""
     out = []
     for r in range(len(first) - 1):
         one = x[first[r] : first[r + 1]]
-        for m in item_masks(len(one)):
+        for m in item_masks(len(one), least):
             h = seeds(one, m)
             out.append((h, np.full(len(h), r), np.arange(len(h))))
     if not out:
@@ -111,13 +126,14 @@ def stretch(item: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, int, in
 
 
 def _leaks(hits: list[tuple[int, int, int]], doc_tokens, item_tokens, doc_id, item_id) -> list[tuple]:
-    """The best leak of each (document, item) among hits (document, item, shift)."""
+    """The best leak of each (document, item) among hits (document, item, shift), in whatever order they come."""
+    rank = lambda row: (-row[5], row[3], row[4])
     best: dict[tuple[int, int], tuple] = {}
     for d, i, shift in hits:
         item = item_tokens(i)
         if found := stretch(item, doc_tokens(d), shift):
             row = (*doc_id(d), item_id(i), *found, found[2] / len(item))
-            if (d, i) not in best or row[5] > best[d, i][5]:
+            if (d, i) not in best or rank(row) < rank(best[d, i]):
                 best[d, i] = row
     return list(best.values())
 
@@ -129,13 +145,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _small_benchmark(docs: DataFrame, items: list) -> DataFrame:
+def _small_benchmark(docs: DataFrame, items: list, least: int) -> DataFrame:
     x, first = tokens(pa.array([r.text for r in items], pa.string()))
     ids = [r.item_id for r in items]
-    hashes, rows, places = item_seeds(x, first)
+    hashes, rows, places = item_seeds(x, first, least)
     order = np.argsort(hashes, kind="stable")
     hashes, rows, places = hashes[order], rows[order], places[order]
-    masks = sorted({m for n in np.diff(first).tolist() for m in item_masks(n)})
+    masks = sorted({m for n in np.diff(first).tolist() for m in item_masks(n, least)})
     bits = 20
     near = np.zeros(1 << bits, dtype=bool)
     near[hashes >> np.uint64(64 - bits)] = True
@@ -148,13 +164,14 @@ def _small_benchmark(docs: DataFrame, items: list) -> DataFrame:
             for m in masks:
                 h = seeds(doc, m)
                 place = np.flatnonzero(near[h >> np.uint64(64 - bits)])
-                h = h[place]
-                lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-                n = hi - lo
-                seed, place = K.ranges(lo, n), np.repeat(place, n)
                 row = np.searchsorted(at, place, side="right") - 1
                 ok = place + len(MASKS[m]) <= at[row + 1]
-                found.append(np.stack([row[ok], rows[seed[ok]], place[ok] - at[row[ok]] - places[seed[ok]]], axis=1))
+                place, row = place[ok], row[ok]
+                one = first_places(m, row, h[place])
+                place, row = place[one], row[one]
+                lo, hi = np.searchsorted(hashes, h[place], "left"), np.searchsorted(hashes, h[place], "right")
+                seed, shift, row = K.ranges(lo, hi - lo), np.repeat(place - at[row], hi - lo), np.repeat(row, hi - lo)
+                found.append(np.stack([row, rows[seed], shift - places[seed]], axis=1))
             hits = np.unique(np.concatenate(found), axis=0).tolist()
             out = _leaks(
                 hits,
@@ -181,13 +198,13 @@ def seed_bitmap(seeds: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _large_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _large_benchmark(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
     n = partitions(docs)
 
     def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.record_batch(
-                [pa.array(sorted({m for k in np.diff(tokens(b.column(1))[1]).tolist() for m in item_masks(k)}), pa.int32())],
+                [pa.array(sorted({m for k in np.diff(tokens(b.column(1))[1]).tolist() for m in item_masks(k, least)}), pa.int32())],
                 names=["mask"],
             )
 
@@ -195,7 +212,7 @@ def _large_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     def emit_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, row, place = item_seeds(*tokens(b.column(1)))
+            h, row, place = item_seeds(*tokens(b.column(1)), least)
             yield pa.record_batch(
                 [K.signed(h), b.column(0).take(pa.array(row)), b.column(2).take(pa.array(row)), place.astype(np.int32)],
                 names=["seed", "item_id", "item_hash", "of"],
@@ -214,6 +231,8 @@ def _large_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
                 row = np.searchsorted(at, place, side="right") - 1
                 ok = place + len(MASKS[m]) <= at[row + 1]
                 place, row = place[ok], row[ok]
+                one = first_places(m, row, h[place])
+                place, row = place[one], row[one]
                 yield pa.record_batch(
                     [
                         K.signed(h[place]),
@@ -242,8 +261,8 @@ def _large_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
     return whole.select("doc_id", "text_hash", "item_id", "shifts", "text", "item").mapInArrow(verify, LEAKS)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """A row for each document and the benchmark item that it holds a passage of. text_hash tells documents of one doc_id, or none, apart."""
+def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, min_item: int = 1) -> DataFrame:
+    """Items of fewer than min_item tokens aren't looked for. A row for each document and the benchmark item that it holds a passage of. text_hash tells documents of one doc_id, or none, apart."""
     items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(
         F.col("item_id").cast("long"), "text", F.xxhash64("text").alias("item_hash")
     )
@@ -254,8 +273,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAS
     )
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     if size <= broadcast_bytes:
-        return _small_benchmark(docs, items.collect())
-    return _large_benchmark(docs, items)
+        return _small_benchmark(docs, items.collect(), min_item)
+    return _large_benchmark(docs, items, min_item)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

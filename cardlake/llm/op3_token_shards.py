@@ -10,7 +10,7 @@ compressed bytes of each block of each plane), then zstd frames: the blocks, pla
 wherever they are in a file of any size.
 
 Documents are in ascending doc_id order: ranges of doc_id are dealt to tasks, which sort them. Null and empty texts
-have the end id only. A null doc_id comes first, and rows that repeat a doc_id follow one another. Other columns are
+have the end id only. A null doc_id comes first, and rows that repeat a doc_id follow one another, in the order of a hash of their texts. Other columns are
 ignored. An empty table writes no shards and gives an empty table. A task that runs again writes the same names; a file
 appears under its name only when it is whole.
 """
@@ -303,7 +303,10 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shard: int = SHAR
         if held:
             yield close()
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    # rows of one doc_id have an order too, so that a task that runs again writes the same files, and are dealt by it if they are many
+    order = ["doc_id", "__hash", "text"]
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("__hash", F.xxhash64("text"))
+    rows = rows.repartitionByRange(n, "doc_id", "__hash").sortWithinPartitions(*order).select("doc_id", "text")
     return table(rows.mapInArrow(scan, SUMMARY), "shards")
 
 

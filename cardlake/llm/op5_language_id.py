@@ -7,7 +7,7 @@ words, and its language the likeliest. The probabilities are fitted by expectati
 Words are lower case, split at spaces and line feeds, without what is no letter at either end; they may be of any length, and all pieces of
 the vocabulary take part. Characters without a piece count as unlikely pieces of their own.
 
-Fitted on at most SAMPLE documents of each language (those of the least hashes of doc_id) and all their words; whole texts are read
+Fitted on at most SAMPLE documents of each language (those of the least hashes of doc_id and text) and all their words; whole texts are read
 in tasks, and counts of words come to the driver. Texts that are null or have no letter get ``und`` and 0;
 so do all if nothing could be learned. Null languages and held-out rows teach nothing. Rows that repeat a doc_id are each judged. A null doc_id
 is not held out. Other columns are ignored. An empty table gives an empty table.
@@ -30,7 +30,7 @@ from . import kernels as K
 from .words import Memory, pieces
 
 SAMPLE = 600
-#: Words of more characters go through the forward pass one by one.
+#: Words of more characters go through the passes one by one.
 USUAL = 40
 MARK = "▁"
 UNSEEN = 1e-7
@@ -136,13 +136,29 @@ def long_word(vocabulary: Pieces, word: str, p: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(alpha[-1], 1e-300)) + scale
 
 
+def long_counts(vocabulary: Pieces, word: str, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces and how often each is expected in one word of any length, over all its segmentations: forward and backward passes in logarithms."""
+    chars = np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    n, spans = len(chars), vocabulary.spans(chars)
+    with np.errstate(divide="ignore"):
+        logs = [np.log(p[x]) for x in spans]  # logs[k - 1][a]: of the piece from a to a + k; -inf for none
+    alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    alpha[0] = beta[n] = 0
+    for b in range(1, n + 1):
+        alpha[b] = np.logaddexp.reduce([alpha[b - k] + logs[k - 1][b - k] for k in range(1, min(len(logs), b) + 1)])
+    for a in range(n - 1, -1, -1):
+        beta[a] = np.logaddexp.reduce([beta[a + k] + logs[k - 1][a] for k in range(1, min(len(logs), n - a) + 1)])
+    expected = [np.exp(alpha[: n + 1 - k] + x + beta[k:] - alpha[n]) for k, x in enumerate(logs, 1)]
+    which, often = np.concatenate(spans), np.concatenate(expected)
+    return which[which >= 0], often[which >= 0]
+
+
 def fit_pieces(vocabulary: Pieces, words: list[str], counts: np.ndarray, steps: int = 4) -> np.ndarray:
     """Probabilities of the pieces (and last of unknown characters) that make the words likely."""
     p = np.full((vocabulary.n + 2, 1), 1 / vocabulary.n)
     p[-2], p[-1] = UNSEEN, 0
-    usual = [i for i, w in enumerate(words) if len(w) <= USUAL]  # a longer word is rare, and its sums underflow here
-    words, counts = [words[i] for i in usual], counts[usual]
-    lattices = [(at, chars.shape[1], vocabulary.lattice(chars)) for at, chars in _by_length(words)]
+    long = [i for i, w in enumerate(words) if len(w) > USUAL]  # they are rare, and their sums would underflow: one by one, in logarithms
+    lattices = [(at, chars.shape[1], vocabulary.lattice(chars)) for at, chars in _by_length([w if len(w) <= USUAL else "" for w in words])]
     for _ in range(steps):
         seen = np.zeros(vocabulary.n + 2)
         for at, size, lattice in lattices:
@@ -154,6 +170,9 @@ def fit_pieces(vocabulary: Pieces, words: list[str], counts: np.ndarray, steps:
             whole = counts[at] / np.maximum(alpha[size], 1e-300)
             for a, b, which in lattice:
                 seen += np.bincount(which % (vocabulary.n + 2), alpha[a] * p[which, 0] * beta[b] * whole, vocabulary.n + 2)
+        for i in long:
+            which, often = long_counts(vocabulary, words[i], p[:, 0])
+            np.add.at(seen, which, often * counts[i])
         p[: vocabulary.n, 0] = (seen[: vocabulary.n] + SMOOTH) / (seen[: vocabulary.n].sum() + SMOOTH * vocabulary.n)
     return p[:, 0]
 
@@ -198,8 +217,9 @@ def fit(docs: DataFrame, path: str, sample: int = SAMPLE) -> Model:
     """docs: doc_id, text, lang; rows held out and null languages are not read."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row for each language
-    few = known.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(2e6 * sample) / F.col("n"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    name = F.xxhash64("doc_id", "text")  # rows without a doc_id, or sharing one, are told apart
+    few = known.join(F.broadcast(sizes), "lang").where(F.pmod(name, F.lit(1_000_000)) < F.lit(2e6 * sample) / F.col("n"))
+    order = Window.partitionBy("lang").orderBy(name, "doc_id", "text")
     picked = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +263,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             _memories[key] = Memory(model.word_scores)
         memory = _memories[key]
         n = len(model.languages)
-        for b in batches:
+        for b in K.small(batches, "text", 16 << 20):
             pred, score = [], []
             for texts in pieces([t or "" for t in b.column(1).to_pylist()]):
                 for code in memory.join([split(t) for t in texts]) if n else texts:
