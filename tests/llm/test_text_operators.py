@@ -234,7 +234,7 @@ def test_op1(spark, docs, limit):
     changed[7], changed[25] = "other", "words"
     rows = [*ROWS, (900, "Before " + " ".join(item).upper() + " after"), (901, " ".join(changed)), (902, " ".join(item[:8])), (903, "one two THREE four five six")]
     bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, ""), (4, "a b"), (5, "one two three, four five six")], "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r for r in o1.leaks(frame(spark, rows), bench, limit).collect()}
+    got = {(r.doc_id, r.item_id): r for r in o1.leaks(frame(spark, rows), bench, limit, min_item=5).collect()}
     assert set(got) == {(900, 1), (901, 1), (903, 5)}
     assert got[900, 1].share == 1.0 and got[901, 1].n_matched == 38
 
