@@ -99,11 +99,19 @@ def save(model: PipelineModel, folder: str, version: str, **facts: object) -> No
     _write_json(spark, f"{folder}/{CURRENT}", {"version": version})
 
 
+def load(spark: SparkSession, folder: str, version: str) -> tuple[PipelineModel, dict[str, object]]:
+    """A version's model and its manifest."""
+    manifest = _read_json(spark, f"{folder}/{version}/manifest")
+    if not manifest:
+        raise FileNotFoundError(f"{folder} has no version {version}")
+    return PipelineModel.load(f"{folder}/{version}/model"), manifest
+
+
 def load_current(spark: SparkSession, folder: str, fallback: str | None = None) -> tuple[PipelineModel, dict[str, object]]:
     """The current model and its manifest. Without a pointer, or with one to a version that isn't there, the fallback version."""
     told = _read_json(spark, f"{folder}/{CURRENT}")
     for version in (told and told.get("version"), fallback):
         manifest = version and _read_json(spark, f"{folder}/{version}/manifest")
         if manifest:
-            return PipelineModel.load(f"{folder}/{version}/model"), manifest
+            return load(spark, folder, version)
     raise FileNotFoundError(f"{folder} has no current model")

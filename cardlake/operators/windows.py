@@ -168,6 +168,20 @@ def since_last(events: DataFrame, key: str, time: str, seq: str, stream: int = S
     ).drop("__us")
 
 
+def last_marked(events: DataFrame, key: str, time: str, seq: str, mark: Column, stream: int = STREAM) -> DataFrame:
+    """Adds last_marked_us: the time, in microseconds, of the key's last earlier event for which mark holds."""
+    rows = events.withColumn("__us", micros(F.col(time)))
+    rows = rows.withColumn("__marked", F.when(mark, F.col("__us")))
+    small, large = by_size(rows, key, stream)
+    before = Window.partitionBy(key).orderBy("__us", seq).rowsBetween(Window.unboundedPreceding, -1)
+    out = small.withColumn("last_marked_us", F.max("__marked").over(before))
+    if large is not None:
+        out = out.unionByName(
+            running(in_ranges(large, "__us"), [key], [F.col("__us"), F.col(seq)], {"__marked": "last_marked_us"}, F.max).drop("__range")
+        )
+    return out.drop("__us", "__marked")
+
+
 def running_totals(events: DataFrame, key: str, time: str, seq: str, amount: str, stream: int = STREAM) -> DataFrame:
     """running_sum and running_count of each key's events so far, the event itself included."""
     rows = events.withColumns(

@@ -16,8 +16,8 @@ from cardlake.operators import dimensions as D
 from cardlake.operators import metrics as M
 from cardlake.operators import windows as W
 from cardlake.session import shared_folder
-from cardlake.sources import avro, tables
-from cardlake.streaming import jobs
+from cardlake.sources import avro, changes, keyed, tables
+from cardlake.streaming import alerts, jobs, metrics, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -705,11 +705,11 @@ _CDC_EVENTS = f"""WITH x AS ({_CDC}) SELECT lower(printf('%020x', k)) AS lsn, CA
 _CDC_FIELDS = ["event_id", "event_time", "card_token", "amount", "merchant_country", "mcc", "is_fraud"]
 
 
-def _wire(spark, sf) -> DataFrame:
-    """orders as the envelopes of a change table."""
+def _change_table(spark, sf) -> DataFrame:
+    """orders as a change table."""
     k = c("o_orderkey")
     op = F.when((k % 10).isin(0, 5, 7, 9), 2).when(k % 10 == 1, 4).when(k % 10 == 2, 1).when(k % 10 == 3, 3).otherwise(2)
-    table = t(spark, sf, "orders").select(
+    return t(spark, sf, "orders").select(
         F.unhex(F.lpad(F.hex(k), 20, "0")).alias("__$start_lsn"),
         op.alias("__$operation"),
         F.lit("1.0.0").alias("schema_version"),
@@ -724,46 +724,59 @@ def _wire(spark, sf) -> DataFrame:
         (k % 10000).cast("int").alias("mcc"),
         F.when(k % 20 == 0, True).when(k % 20 == 5, False).alias("is_fraud"),
     )
+
+
+def _wire(table: DataFrame) -> DataFrame:
+    """The envelopes of a change table."""
     return CDC.envelopes(table, F.timestamp_seconds(F.lit(0)))
 
 
 @query(_CDC_EVENTS)
 def cdc_envelope_roundtrip(spark, sf):
     """Rows of a change table as envelopes in JSON, and the events that are read from them: inserts only."""
-    wire = _wire(spark, sf).withColumn("lsn", F.get_json_object("value", "$.source.lsn"))
-    return CDC.to_events(wire).where("reason IS NULL").select("lsn", *_CDC_FIELDS)
+    return CDC.to_events(_wire(_change_table(spark, sf))).where("reason IS NULL").select("lsn", *_CDC_FIELDS)
 
 
-@query(f"SELECT {', '.join(_CDC_FIELDS)} FROM ({_CDC_EVENTS})")
+@query(_CDC_EVENTS)
 def stream_cdc(spark, sf):
-    """The same from a stream that tails a folder of envelopes, a file a trigger."""
-    path = shared_folder(spark, "changes")
+    """The same from a stream that tails the change table by version: it grows twice, and the query is stopped and goes on each time."""
+    table, path, out = _change_table(spark, sf), shared_folder(spark, "changes"), shared_folder(spark, "changed")
+    version = F.conv(F.hex("`__$start_lsn`"), 16, 10).cast("bigint")
+    top = table.agg(F.max(version)).first()[0] or 0
     for i in range(3):
-        _wire(spark, sf).where(F.pmod(F.xxhash64("value"), F.lit(3)) == i).coalesce(2).write.mode("append").text(path)
-    done = jobs.run(CDC.to_events(jobs.lines(spark, path)).where("reason IS NULL"), "changed")
-    return done.select(*_CDC_FIELDS)
+        changes.write_changes(table.where((version > (top * i // 3 if i else -1)) & (version <= top * (i + 1) // 3)), path)
+        rows = changes.tail(spark, path, table.schema)
+        done = jobs.run(CDC.to_events(_wire(rows)).where("reason IS NULL"), "changed", out=out)
+    return done.select("lsn", *_CDC_FIELDS)
 
 
-@query("""SELECT CASE n_nationkey % 8 WHEN 0 THEN 'unsupported op: x' WHEN 1 THEN 'missing ''after'' payload' WHEN 2 THEN 'mapping error: amount' WHEN 3 THEN 'unexpected is_fraud value: 2' WHEN 4 THEN 'mapping error: card_token' ELSE 'unsupported op: null' END AS reason,
-count(*) AS n FROM nation WHERE n_nationkey % 8 < 6
-GROUP BY 1""")
+_BROKEN = """CASE o_orderkey % 16 WHEN 0 THEN 'unsupported op: x' WHEN 1 THEN 'missing ''after'' payload' WHEN 2 THEN 'mapping error: amount' WHEN 3 THEN 'unexpected is_fraud value: 2'
+WHEN 4 THEN 'mapping error: card_token' WHEN 5 THEN 'unsupported op: null' WHEN 6 THEN 'mapping error: event_time' END"""
+
+
+@query(f"""WITH x AS (SELECT {_BROKEN} AS reason, o_custkey FROM orders WHERE o_orderkey % 10 NOT IN (1, 2, 3))
+SELECT reason, count(*) AS n, count(DISTINCT o_custkey) AS users FROM x WHERE reason IS NOT NULL GROUP BY 1""")
 def cdc_rejects(spark, sf):
-    """Envelopes that can't be events, with the reason; updates, deletes and tombstones aren't among them."""
-    k = c("n_nationkey") % 8
-    good = '{"op":"c","after":{"schema_version":"1.0.0","event_id":"1","event_time":0,"card_token":"t","user_id":"u","amount":1.5,"currency":"USD","channel":"chip","mcc":5,"is_fraud":1}}'
-    broken = {
-        0: '{"op":"x"}',
-        1: '{"op":"c","after":null}',
-        2: good.replace("1.5", '"much"'),
-        3: good.replace('"is_fraud":1', '"is_fraud":2'),
-        4: good.replace('"card_token":"t",', ""),
-        5: "no json",
-        6: '{"op":"d"}',
+    """Envelopes of orders that were damaged on their way, with the reason that each is refused for; updates, deletes and other operations aren't among them."""
+    k = c("event_id").cast("bigint")
+    inserts = _change_table(spark, sf).where("`__$operation` = 2")
+    wire = _wire(inserts)
+    wire = wire.withColumns({"event_id": F.get_json_object("value", "$.after.event_id"), "user": F.get_json_object("value", "$.after.user_id")})
+    swap = lambda pattern, to: F.regexp_replace("value", pattern, to)
+    damage = {
+        0: swap('"op":"c"', '"op":"x"'),
+        1: swap(r'"after":\{[^}]*\}', '"after":null'),
+        2: swap(r'"amount":[0-9.E]+', '"amount":"much"'),
+        3: swap(r'"is_fraud":[a-z]+', '"is_fraud":2'),
+        4: swap(r'"card_token":"[^"]*",', ""),
+        5: F.substring("value", 1, 40),
+        6: swap(r'"event_time":-?[0-9]+', '"event_time":"noon"'),
     }
-    value = F.lit(None).cast("string")
-    for i, text in broken.items():
-        value = F.when(k == i, text).otherwise(value)
-    return CDC.to_events(t(spark, sf, "nation").select(value.alias("value"))).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    value = c("value")
+    for i, text in damage.items():
+        value = F.when(k % 16 == i, text).otherwise(value)
+    seen = CDC.to_events(wire.select(value.alias("value"), "user")).where("reason IS NOT NULL")
+    return seen.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user").alias("users"))
 
 
 @query("""SELECT o_orderkey, lower(printf('%020x', o_orderkey)) AS lsn, row_number() OVER (ORDER BY o_orderkey // 8, o_custkey,
@@ -1063,9 +1076,17 @@ def gbt_scores(spark, sf):
 _FILES = 5
 
 
-def _stream(spark, sf):
+def _stream(spark, sf, **how):
     e = t(spark, sf, "events")
-    return jobs.source(spark, jobs.replay(e, "ts", _FILES, again=c("event_id") % 7 == 0), e.schema, "ts")
+    return jobs.source(spark, jobs.replay(e, "ts", _FILES, again=c("event_id") % 7 == 0, **how), e.schema, "ts")
+
+
+def _deliveries(spark, sf, n: int = 4, rows: DataFrame | None = None) -> tuple[str, DataFrame]:
+    """A folder of n files of events, by the remainder of event_id, and its stream: a file a trigger."""
+    e, folder = t(spark, sf, "events") if rows is None else rows, shared_folder(spark, "deliveries")
+    for i in range(n):
+        e.where(c("event_id") % n == i).coalesce(1).write.mode("append").parquet(folder)
+    return folder, jobs.source(spark, folder, e.schema, "ts")
 
 
 @query("""SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n
@@ -1085,18 +1106,21 @@ def stream_dedupe(spark, sf):
 
 @query(_pit(*_EV, ["count", "sum"]))
 def stream_features(spark, sf):
+    """Some events come twice, the second time with another time of their own, and some late: what was written before them is corrected."""
     out = shared_folder(spark, "features")
-    jobs.features(_stream(spark, sf), out)
-    return spark.read.parquet(f"{out}/features").select("event_id", *(f"{m}_{w}" for w in W.WINDOWS for m in ("txn_count", "amount_sum")))
+    jobs.features(_stream(spark, sf, again_at=c("ts") + F.expr("INTERVAL 3 DAYS"), late=c("event_id") % 11 == 3), out)
+    return jobs.current_features(spark, out).select("event_id", *(f"{m}_{w}" for w in W.WINDOWS for m in ("txn_count", "amount_sum")))
 
 
 @query("""SELECT event_id, user_id, round(least(1.0, 0.004 * value), 9) AS fraud_probability, CAST(value AS DOUBLE) AS amount,
-'open' AS status FROM events WHERE round(least(1.0, 0.004 * value), 9) >= 0.3""")
+'open' AS status, ts AS created_at FROM events WHERE round(least(1.0, 0.004 * value), 9) >= 0.3""")
 def stream_alerts(spark, sf):
+    """One alert for each event, though some come twice, the second time a day later by their own time."""
     out = shared_folder(spark, "scoring")
     score = lambda rows: rows.withColumn("fraud_probability", F.round(F.least(F.lit(1.0), 0.004 * c("value")), 9))
-    jobs.scoring(_stream(spark, sf), score, 0.3, out)
-    return spark.read.parquet(f"{out}/alerts").select("event_id", "user_id", "fraud_probability", "amount", "status")
+    jobs.scoring(_stream(spark, sf, again_at=c("ts") + F.expr("INTERVAL 1 DAY")), score, 0.3, out)
+    done = spark.read.parquet(f"{out}/alerts").withColumn("created_at", c("created_at").cast("timestamp_ntz"))
+    return done.select("event_id", "user_id", "fraud_probability", "amount", "status", "created_at")
 
 
 @query(f"SELECT user_id, count(*) AS n, CAST(sum({dec('value')}) AS DOUBLE) AS total FROM events GROUP BY 1")
@@ -1104,3 +1128,129 @@ def stream_state(spark, sf):
     e = t(spark, sf, "events")
     stream = jobs.source(spark, jobs.replay(e, "ts", _FILES), e.schema, "ts")
     return jobs.running_totals(stream).select("user_id", "n", "total")
+
+
+@query(SQL["alert_hold"])
+def stream_alert_hold(spark, sf):
+    """Alerts of hours with many events, two or more on end, from samples in three deliveries; the query is stopped and goes on between them."""
+    h = t(spark, sf, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    folder, out = shared_folder(spark, "samples"), shared_folder(spark, "held")
+    with jobs.rocks(spark):
+        for part in jobs.parts(h, "h", 3):
+            part.coalesce(1).write.mode("append").parquet(folder)
+            told = alerts.held(jobs.source(spark, folder, h.schema, "h"), "h", F.lit("busy"), c("n") > 14, "1 hour", "0 seconds")
+            done = jobs.run(told, "held", out=out)
+    found = alerts.alerts(done)
+    return found.select(*(c(x).cast("timestamp_ntz").alias(x) for x in ("since", "until")), c("n").alias("n_hours"))
+
+
+_BEFORE = "OVER (PARTITION BY user_id ORDER BY event_id % 4 RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_STATE = f"SELECT *, CAST(event_id % 4 AS INT) AS batch, count(*) {_BEFORE} AS n, CAST(sum({dec('value')}) {_BEFORE} AS DOUBLE) AS total FROM events"
+
+
+def _growing_state(spark, sf) -> tuple[DataFrame, state.Snapshots, Callable[[int], None]]:
+    """The stream of four deliveries, the users' state, and what adds a delivery's events to it."""
+    folder, stream = _deliveries(spark, sf)
+    known = state.Snapshots(shared_folder(spark, "state"), "user_id long, n long, total decimal(28,2)")
+
+    def add(number: int) -> None:
+        seen = t(spark, sf, "events").where(c("event_id") % 4 == number).groupBy("user_id").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(c("value").cast("decimal(18,2)")).alias("total")
+        )
+        _, was = known.newest(spark)
+        both = was.unionByName(seen).groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("total").cast("decimal(28,2)").alias("total"))
+        known.add(both, number)
+
+    return stream, known, add
+
+
+@query(f"""WITH s AS ({_STATE}), p AS (SELECT event_id, batch, n = 0 AS cold_card, least(1.0, round(0.002 * value + 0.1 * coalesce(value / nullif(total / n, 0), 0), 9)) AS fraud_probability FROM s)
+SELECT *, CASE WHEN fraud_probability >= 0.25 THEN 'review' ELSE 'approve' END AS decision FROM p""")
+def stream_state_lookup(spark, sf):
+    """Scores with the state of the user as it is when the batch begins; it changes between batches."""
+    stream, known, add = _growing_state(spark, sf)
+    ratio = F.coalesce(F.try_divide(c("value"), F.try_divide(c("total").cast("double"), c("n"))), F.lit(0.0))
+    score = lambda x: x.withColumn("fraud_probability", F.least(F.lit(1.0), F.round(0.002 * c("value") + 0.1 * ratio, 9)))
+    out = shared_folder(spark, "looked-up")
+    state.state_scoring(stream, known, "user_id", score, 0.25, out, after=add)
+    return spark.read.parquet(f"{out}/scored").select("event_id", c("batch").cast("int").alias("batch"), "cold_card", "fraud_probability", "decision")
+
+
+@query(f"""WITH s AS ({_STATE}) SELECT event_id, batch, n = 0 AS cold_card, CASE WHEN batch < 2 THEN 'v1' ELSE 'v2' END AS model_version, CAST(0.5 AS DOUBLE) AS threshold,
+CASE WHEN CASE WHEN batch < 2 THEN event_type = 'purchase' ELSE n = 0 END THEN 'review' ELSE 'approve' END AS decision FROM s""")
+def stream_model(spark, sf):
+    """Decisions by the model that is current when a batch begins: the first learned to review purchases, the second, which comes after two of four
+    batches, events of users without a state. Both are boosted trees over the same two inputs."""
+    from cardlake.operators import model as B
+
+    stream, known, add = _growing_state(spark, sf)
+    kind, new = (c("event_type") == "purchase").cast("double"), c("cold_card").cast("double")
+    inputs = lambda x: x.withColumns({"is_purchase": kind, "is_new": new})
+    past = inputs(t(spark, sf, "events").where(c("event_id") % 4 == 3).withColumn("cold_card", c("event_id") % 8 == 3))
+    folder, out = shared_folder(spark, "models"), shared_folder(spark, "decided")
+    learned = lambda label: B.fit(past.withColumn("label", c(label)), ["is_purchase", "is_new"], maxIter=2, maxDepth=2)
+    B.save(learned("is_purchase"), folder, "v1", threshold=0.5)
+
+    def after(number: int) -> None:
+        add(number)
+        if number == 1:
+            B.save(learned("is_new"), folder, "v2", threshold=0.5)
+
+    state.model_scoring(stream, folder, known, "user_id", inputs, out, after=after)
+    return spark.read.parquet(f"{out}/scored").select("event_id", c("batch").cast("int").alias("batch"), "cold_card", "model_version", "threshold", "decision")
+
+
+_RECORD = T.StructType(
+    [
+        T.StructField("event_id", T.LongType(), False),
+        T.StructField("event_type", T.StringType(), False),
+        T.StructField("value", T.DoubleType(), False),
+        T.StructField("props", T.StringType()),
+    ]
+)
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS key, CASE WHEN event_id % 13 = 4 THEN 'value: is required' WHEN event_id % 13 = 6 THEN 'event_type: is required' WHEN user_id % 50 = 7 THEN 'key: is required' END AS reason,
+count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE NOT (event_id % 13 IN (4, 6) OR user_id % 50 = 7) GROUP BY 1, 2
+UNION ALL SELECT NULL, CASE WHEN event_id % 13 = 4 THEN 'value: is required' WHEN event_id % 13 = 6 THEN 'event_type: is required' ELSE 'key: is required' END, count(*), CAST(sum(event_id) AS BIGINT)
+FROM events WHERE event_id % 13 IN (4, 6) OR user_id % 50 = 7 GROUP BY 1, 2""")
+def stream_keyed_sink(spark, sf):
+    """Framed records by key through the sink, and read back; rows that can't be encoded are beside them with the reason, and counted by the manifests."""
+    _, stream = _deliveries(spark, sf)
+    rows = stream.withColumns({
+        "value": F.when(c("event_id") % 13 != 4, c("value")),
+        "event_type": F.when(c("event_id") % 13 != 6, c("event_type")),
+        "user_id": F.when(c("user_id") % 50 != 7, c("user_id")),
+    }).drop("ts")
+    columns = [c(f.name) for f in _RECORD]
+    out, at = shared_folder(spark, "records"), shared_folder(spark, "records-state")
+    keyed.write(keyed.keyed(rows, c("user_id"), avro.encode(_RECORD, 7, *columns), avro.unwritable(_RECORD, *columns)), out, at)
+    good = keyed.records(spark, out).select("key", avro.decode(_RECORD, c("value"), 7).alias("r"))
+    good = good.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("r.event_id").alias("ids"))
+    bad = keyed.rejects(spark, out).groupBy("reason").agg(F.sum(F.get_json_object("raw", "$.event_id").cast("bigint")).alias("ids"))
+    counts = keyed.manifests(spark, out).select(F.explode("reasons").alias("r")).groupBy("r.reason").agg(F.sum("r.n").alias("n"))
+    text = F.lit(None).cast("string")
+    return good.select("key", text.alias("reason"), "n", "ids").unionByName(bad.join(counts, "reason").select(text.alias("key"), "reason", "n", "ids"))
+
+
+@query("""WITH b AS (SELECT event_id % 4 AS batch, count(*) AS n, count(*) FILTER (WHERE event_id % 11 = 5) AS poison FROM events GROUP BY 1)
+SELECT CAST(batch AS BIGINT) AS batch, unnest(['input_rows', 'poison', 'scored', 'behind']) AS metric,
+CAST(unnest([n, poison, n - poison, sum(n) OVER () - sum(n) OVER (ORDER BY batch)]) AS DOUBLE) AS value FROM b""")
+def stream_metrics(spark, sf):
+    """What a stream over framed records tells of each batch: rows read, records that couldn't be decoded, rows scored, and rows still to be read."""
+    schema = T.StructType([T.StructField("event_id", T.LongType(), False), T.StructField("value", T.DoubleType(), False)])
+    e = t(spark, sf, "events").withColumn("v", avro.encode(schema, 7, c("event_id"), c("value")))
+    framed = e.select("event_id", "ts", F.when(c("event_id") % 11 == 5, F.substring("v", 1, 9)).otherwise(c("v")).alias("v"))
+    folder, stream = _deliveries(spark, sf, rows=framed)
+    read = stream.select(avro.decode(schema, c("v"), 7).alias("r")).observe(
+        "records", F.count_if(~F.coalesce(c("r.ok"), F.lit(False))).alias("poison"), F.count_if("r.ok").alias("scored")
+    )
+    told = shared_folder(spark, "told")
+    with metrics.recorded(spark, told):
+        jobs.run(read.where("r.ok").select("r.event_id", F.least(F.lit(1.0), 0.004 * c("r.value")).alias("score")), "scored")
+    rows = spark.read.parquet(told).where(c("metric").isin("input_rows", "poison", "scored"))
+    rows = rows.groupBy("batch", "metric").agg(F.sum("value").alias("value"))
+    there = spark.read.parquet(folder).count()
+    so_far = F.sum("value").over(Window.orderBy("batch"))  # a row for each batch
+    behind = rows.where("metric = 'input_rows'").select("batch", F.lit("behind").alias("metric"), (F.lit(float(there)) - so_far).alias("value"))
+    return rows.unionByName(behind)

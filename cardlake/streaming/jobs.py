@@ -1,11 +1,12 @@
 """Structured Streaming jobs over a folder of event files. Each has a checkpoint in the shared folder, processes what is there and ends.
 
 Batches may run again after a failure: sinks either are exactly-once file sinks or overwrite the partition of their batch. An event that
-is delivered again, in the same batch or a later one, is known by its identifier."""
+is delivered again, in the same batch or a later one and with the same time or another, is known by its identifier."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import timedelta
 
 import pandas as pd
@@ -24,24 +25,48 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 HISTORY = timedelta(seconds=max(W.WINDOWS.values())) + timedelta(days=1)
 
 
-def replay(events: DataFrame, time: str, files: int, *, again: Column | None = None, limit: int | None = None) -> str:
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB, of which a batch writes the changes to its checkpoint."""
+    settings = {STORE: ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def parts(rows: DataFrame, time: str, files: int) -> list[DataFrame]:
+    """rows in parts of about as many, one after the other in time."""
+    us = W.micros(F.col(time))
+    cuts = rows.agg(F.percentile_approx(us.cast("double"), [i / files for i in range(1, files + 1)], 10_000).alias("q")).first()["q"] or []
+    ranged = in_ranges(rows.withColumn("__us", us), "__us", sorted(set(cuts))).drop("__us")
+    return [ranged.where(F.col(RANGE) == i).drop(RANGE) for i in range(len(set(cuts)))]
+
+
+def replay(events: DataFrame, time: str, files: int, *, again: Column | None = None, again_at: Column | None = None, late: Column | None = None, limit: int | None = None) -> str:
     """Writes events (the first limit of them, by time) to a folder as files in the order of time, for a stream to read one a trigger.
 
-    Of the events that again picks, a copy is delivered once more, with the next file."""
+    Of the events that again picks, a copy is delivered once more, with the next file, at another time if again_at gives one. Those that
+    late picks come with the next file instead of their own."""
     folder = shared_folder(events.sparkSession, "replay")
     if limit is not None:
         events = events.orderBy(time).limit(limit)
-    us = W.micros(F.col(time))
-    cuts = events.agg(
-        F.percentile_approx(us.cast("double"), [i / files for i in range(1, files + 1)], 10_000).alias("q")
-    ).first()["q"] or []
-    rows = in_ranges(events.withColumn("__us", us), "__us", sorted(set(cuts))).drop("__us")
-    for i in range(len(set(cuts))):
-        part = rows.where(F.col(RANGE) == i)
-        if again is not None and i:
-            part = part.unionByName(rows.where((F.col(RANGE) == i - 1) & again))
-        part.drop(RANGE).coalesce(1).write.mode("append").parquet(folder)
-    if not cuts:
+    own = parts(events, time, files)
+    held = F.coalesce(late, F.lit(False)) if late is not None else F.lit(False)
+    for i, part in enumerate(own):
+        out = part if i == len(own) - 1 else part.where(~held)
+        if i:
+            if late is not None:
+                out = out.unionByName(own[i - 1].where(held))
+            if again is not None:
+                copy = own[i - 1].where(again & ~held)
+                out = out.unionByName(copy if again_at is None else copy.withColumn(time, again_at.cast(events.schema[time].dataType)))
+        out.coalesce(1).write.mode("append").parquet(folder)
+    if not own:
         events.limit(0).write.parquet(folder)
     return folder
 
@@ -96,61 +121,92 @@ def deduplicated(e: DataFrame, time: str, key: str, late: str = "40 days") -> Da
     return e.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
+def first_deliveries(e: DataFrame, key: str, ok: Column) -> DataFrame:
+    """Of rows for which ok holds each key once, whatever the time of its copies; rows for which it doesn't hold are left as they are.
+
+    Keys are kept in the query's state, by hash: RocksDB looks up those of a batch only (its own Bloom filters spare most reads), so nothing that
+    was stored is read again. Of copies in one batch one is taken. Needs ``rocks``."""
+    ok = F.coalesce(ok & F.col(key).isNotNull(), F.lit(False))
+    rows = e.withColumn("ok", ok)
+    return rows.where("ok").dropDuplicates([key]).unionByName(rows.where("NOT ok"))
+
+
 class Store:
-    """Events by day under a folder, each batch a partition of its own that a repeated batch overwrites."""
+    """Events by day under a folder, each batch a partition of its own that a repeated batch overwrites. Rows have ok: only those that are have days."""
 
-    def __init__(self, spark: SparkSession, out: str, schema: T.StructType, time: str, key: str):
-        self.out, self.time, self.key = f"{out}/events", time, key
-        self.schema = T.StructType([*schema, T.StructField("day", T.DateType()), T.StructField("batch", T.LongType())])
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.out}/batch=-1/day=1970-01-01")
+    def __init__(self, spark: SparkSession, out: str, schema: T.StructType, time: str):
+        self.out, self.time = f"{out}/events", time
+        own = [f for f in schema if f.name != "ok"]
+        self.schema = T.StructType([*own, *(T.StructField(n, k) for n, k in (("ok", T.BooleanType()), ("day", T.DateType()), ("batch", T.LongType())))])
+        spark.createDataFrame([], T.StructType(own)).write.mode("ignore").parquet(f"{self.out}/batch=-1/ok=true/day=1970-01-01")
+
+    def _read(self, spark: SparkSession, path: str) -> DataFrame:
+        return spark.read.schema(self.schema).option("basePath", self.out).parquet(path)
 
     def between(self, spark: SparkSession, lo: object, hi: object, before: int) -> DataFrame:
         """Stored events from lo to hi of the batches before one: days outside aren't read."""
-        rows = spark.read.schema(self.schema).option("basePath", self.out).parquet(self.out)
-        rows = rows.where((F.col("batch") < before) & F.col("day").between(F.lit(lo.date()), F.lit(hi.date())))
-        return rows.where(F.col(self.time).between(F.lit(lo), F.lit(hi))).drop("day", "batch")
-
-    def add(self, rows: DataFrame, number: int) -> tuple[DataFrame, object, object]:
-        """Stores what isn't stored yet; returns it, read back, and its first and last time (None if there is nothing new)."""
-        spark = rows.sparkSession
-        lo, hi = rows.agg(F.min(self.time), F.max(self.time)).first()
-        new = rows.dropDuplicates([self.key])
-        if lo is not None:  # a copy has the time of the first delivery
-            new = new.join(self.between(spark, lo, hi, number).select(self.key), self.key, "left_anti")
+        rows = self._read(spark, self.out).where((F.col("batch") < before) & F.col("ok"))
+        rows = rows.where(F.col("day").between(F.lit(lo.date()), F.lit(hi.date())))
+        return rows.where(F.col(self.time).between(F.lit(lo), F.lit(hi))).drop("ok", "day", "batch")
+
+    def add(self, rows: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+        """Stores a batch, in the one pass that reads it; returns its rows that are ok and the others, read back."""
         path = f"{self.out}/batch={number}"
-        new.withColumn("day", F.to_date(self.time)).write.partitionBy("day").mode("overwrite").parquet(path)
-        stored = spark.read.schema(self.schema).option("basePath", self.out).parquet(path).drop("day", "batch")
-        return stored, lo, hi
+        rows.withColumn("day", F.when(F.col("ok"), F.to_date(self.time))).write.partitionBy("ok", "day").mode("overwrite").parquet(path)
+        stored = self._read(rows.sparkSession, path)
+        return tuple(stored.where(c).drop("ok", "day", "batch") for c in ("ok", "NOT ok"))
+
+
+#: How long after an event others may count it.
+REACH = timedelta(seconds=max(W.WINDOWS.values()))
 
 
 def features(e: DataFrame, out: str) -> StreamingQuery:
     """Windows of each batch's new events, from the stored history of their users: late events find their place too.
 
-    Incomplete events go to out/quarantine, new ones to out/events, their features to out/features."""
-    spark, schema = e.sparkSession, e.schema
-    store = Store(spark, out, schema, "ts", "event_id")
+    A late event changes the windows of events of its user that are stored already and lie up to REACH after it: they are computed anew, and
+    written with the batch. ``current_features`` gives each event's last version. New events go to out/events, incomplete ones to
+    out/quarantine, features to out/features."""
+    spark = e.sparkSession
+    complete = F.col("user_id").isNotNull() & F.col("ts").isNotNull() & F.col("value").isNotNull()
+    rows = first_deliveries(e, "event_id", complete)
+    store = Store(spark, out, rows.schema, "ts")
 
     def batch(rows: DataFrame, number: int) -> None:
-        ok = F.col("event_id").isNotNull() & F.col("user_id").isNotNull() & F.col("ts").isNotNull() & F.col("value").isNotNull()
-        rows.where(~ok).write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
-        new, lo, hi = store.add(rows.where(ok), number)
-        history = new if lo is None else store.between(rows.sparkSession, lo - HISTORY, hi, number).join(
-            new.select("user_id").distinct(), "user_id", "left_semi"
-        ).unionByName(new)
-        history = history.select("event_id", "user_id", "ts", "event_type", "value")
-        done = W.trailing(history, "user_id", "ts", "event_id", "value", F.col("event_type") == "error", "event_type", distinct=False)
-        done.join(new.select("event_id"), "event_id", "left_semi").write.mode("overwrite").parquet(f"{out}/features/batch={number}")
-
-    return foreach_batch(e, out, batch)
+        new, broken = store.add(rows, number)
+        broken.write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
+        lo, hi = new.agg(F.min("ts"), F.max("ts")).first()
+        known = new.withColumn("__new", F.lit(True))
+        if lo is not None:
+            users = new.select("user_id").distinct()
+            past = store.between(rows.sparkSession, lo - HISTORY, hi + REACH, number).join(users, "user_id", "left_semi")
+            known = known.unionByName(past.withColumn("__new", F.lit(False)))
+        known = known.select("event_id", "user_id", "ts", "event_type", "value", "__new")
+        known = W.last_marked(known, "user_id", "ts", "event_id", F.col("__new"))
+        done = W.trailing(known, "user_id", "ts", "event_id", "value", F.col("event_type") == "error", "event_type", distinct=False)
+        age = W.micros(F.col("ts")) - F.col("last_marked_us")
+        changed = F.col("__new") | F.coalesce(age <= int(REACH.total_seconds()) * 1_000_000, F.lit(False))
+        done.where(changed).drop("__new", "last_marked_us").write.mode("overwrite").parquet(f"{out}/features/batch={number}")
+
+    with rocks(spark):
+        return foreach_batch(rows, out, batch)
+
+
+def current_features(spark: SparkSession, out: str) -> DataFrame:
+    """The last version of each event's features."""
+    rows = spark.read.parquet(f"{out}/features")
+    last = rows.groupBy("event_id").agg(F.max_by(F.struct(*rows.columns), "batch").alias("last"))
+    return last.select("last.*").drop("batch")
 
 
 def scoring(e: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: float, out: str) -> StreamingQuery:
-    """Scores each event once: score adds fraud_probability. All go to out/scored, and those at threshold or above to out/alerts as open alerts."""
-    store = Store(e.sparkSession, out, e.schema, "ts", "event_id")
+    """Scores each event once, whenever its copies come and whatever time they have: score adds fraud_probability.
+
+    All go to out/scored, and those at threshold or above to out/alerts as open alerts. Rows without an event_id are left out."""
+    rows = first_deliveries(e.where(F.col("event_id").isNotNull()), "event_id", F.lit(True)).drop("ok")
 
     def batch(rows: DataFrame, number: int) -> None:
-        new, _, _ = store.add(rows.where(F.col("event_id").isNotNull()), number)
-        scored = score(new).withColumn("decision", F.when(F.col("fraud_probability") >= threshold, "review").otherwise("approve"))
+        scored = score(rows).withColumn("decision", F.when(F.col("fraud_probability") >= threshold, "review").otherwise("approve"))
         scored.write.mode("overwrite").parquet(f"{out}/scored/batch={number}")
         done = rows.sparkSession.read.schema(scored.schema).parquet(f"{out}/scored/batch={number}")
         alert = done.where(F.col("decision") == "review").select(
@@ -164,7 +220,8 @@ def scoring(e: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: fl
         )
         alert.write.mode("overwrite").parquet(f"{out}/alerts/batch={number}")
 
-    return foreach_batch(e, out, batch)
+    with rocks(e.sparkSession):
+        return foreach_batch(rows, out, batch)
 
 
 class RunningTotals(StatefulProcessor):
@@ -184,13 +241,8 @@ class RunningTotals(StatefulProcessor):
 
 def running_totals(e: DataFrame, out: str | None = None) -> DataFrame:
     """Each user's count and total so far, from keyed state."""
-    spark = e.sparkSession
-    before = spark.conf.get(STORE)
-    spark.conf.set(STORE, ROCKS)
-    try:
+    with rocks(e.sparkSession):
         rows = e.select("user_id", (F.col("value").cast("decimal(18,2)") * 100).cast("bigint").alias("cents"))
         s = rows.groupBy("user_id").transformWithStateInPandas(RunningTotals(), "user_id bigint, n bigint, cents bigint", "append", "none")
         done = run(s, "totals", out=out)
-    finally:
-        spark.conf.set(STORE, before)
     return done.groupBy("user_id").agg(F.max("n").alias("n"), (F.max_by("cents", "n").cast("double") / 100).alias("total"))
