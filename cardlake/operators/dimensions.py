@@ -21,12 +21,12 @@ def _number(text: Column) -> Column:
 def placed(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows and place, from 1, in the order of each column's length and then its text: 9 comes before 10. By ranges of the first column's number and length, without one task for all."""
     by = [x for c in columns for x in (F.length(c), F.col(c))]
-    first = F.length(columns[0]).cast("double") * 1e6 + F.coalesce(
-        F.conv(F.hex(F.substring(F.col(columns[0]).cast("binary"), 1, 2)), 16, 10).cast("double"), F.lit(0.0)
-    )
-    ranged = in_ranges(rows.withColumns({"__first": first, "__one": F.lit(1).cast("long")}), "__first")
+    raw = F.rpad(F.hex(F.col(columns[0]).cast("binary")), 16, "0")  # 8 bytes, as two numbers
+    number = lambda at, size: F.coalesce(F.conv(F.substring(raw, at, size), 16, 10).cast("double"), F.lit(0.0))
+    first = F.length(columns[0]).cast("double") * 1e6 + number(1, 4)
+    ranged = in_ranges(rows.withColumns({"__first": first, "__next": number(5, 12), "__one": F.lit(1).cast("long")}), "__first", tie=F.col("__next"))
     out = running(ranged, [], by, {"__one": "__before"})
-    return out.withColumn("place", F.coalesce("__before", F.lit(0)) + 1).drop("__first", "__one", "__before", "__range")
+    return out.withColumn("place", F.coalesce("__before", F.lit(0)) + 1).drop("__first", "__next", "__one", "__before", "__range")
 
 
 def dimensions(pairs: DataFrame, salt: str) -> dict[str, DataFrame]:

@@ -96,11 +96,16 @@ def best_threshold(points: DataFrame) -> DataFrame:
     return points.select(F.col("score").alias("threshold"), f1.alias("f1")).orderBy(F.desc("f1"), F.desc("threshold")).limit(1)
 
 
-def precision_at(df: DataFrame, score: str, ties: list[Column], label: str, share: float) -> DataFrame:
-    """Precision among the k = max(1, round(n * share)) of highest score. Places come from counts by ranges, so k may be large."""
+def precision_at(df: DataFrame, score: str, tie: str, label: str, share: float) -> DataFrame:
+    """Precision among the k = max(1, round(n * share)) of highest score, of equal ones those of least tie, a number. Places come from counts by
+    ranges, so k may be large, and so may the number of equal scores."""
     k = max(1, round(df.count() * share))
     ranked = running(
-        in_ranges(df.withColumn("__one", F.lit(1).cast("long")), score), [], [F.desc(score), *ties], {"__one": "__before"}, downward=True
+        in_ranges(df.withColumn("__one", F.lit(1).cast("long")), score, tie=F.col(tie), tie_descends=True),
+        [],
+        [F.desc(score), F.asc(tie)],
+        {"__one": "__before"},
+        downward=True,
     )
     first = ranked.where(F.coalesce("__before", F.lit(0)) < k)
     return first.agg(F.count(F.lit(1)).alias("k"), F.avg(F.col(label).cast("double")).alias("precision"))

@@ -5,6 +5,8 @@ on as a leading row of the later ranges, they make each (key, range) a task's wo
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.ml.feature import Bucketizer
@@ -22,14 +24,48 @@ def bounds(rows: DataFrame, value: str) -> list[float]:
     return sorted({*found["q"][:-1], found["top"]}) if found["q"] else []
 
 
-def in_ranges(rows: DataFrame, value: str, cuts: list[float] | None = None) -> DataFrame:
-    """Adds RANGE, ascending with the number in value; nulls are in the first one, equal values in the same. cuts are bounds, here those of rows."""
-    cuts = (bounds(rows, value) if cuts is None else cuts)[:-1]
-    if not cuts:
-        return rows.withColumn(RANGE, F.lit(0))
+def _bucket(rows: DataFrame, splits: list[float], name: str) -> DataFrame:
+    """name: which of the ascending splits a row's __value has reached, by binary search."""
+    if not splits:
+        return rows.withColumn(name, F.lit(0))
+    cut = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="__value", outputCol="__bucket")
+    return cut.transform(rows).withColumn(name, F.col("__bucket").cast("int")).drop("__bucket")
+
+
+def in_ranges(rows: DataFrame, value: str, cuts: list[float] | None = None, *, tie: Column | None = None, tie_descends: bool = False) -> DataFrame:
+    """Adds RANGE, ascending with the number in value; nulls are in the first one. cuts are bounds, here those of rows.
+
+    Equal values share a range, unless tie is given, a number that orders them: a value that fills more than a range is then divided by its
+    ties, ascending or, if tie_descends, descending with RANGE. Which values do that, and where their ties are cut, takes two more passes over
+    the values, and a table that grows with the number of ranges only is sent to tasks."""
     rows = rows.withColumn("__value", F.coalesce(F.col(value).cast("double"), F.lit(float("-inf"))))
-    cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="__value", outputCol="__bucket")
-    return cut.transform(rows).withColumn(RANGE, F.col("__bucket").cast("int")).drop("__value", "__bucket")
+    if tie is None:
+        return _bucket(rows, (bounds(rows, value) if cuts is None else cuts)[:-1], RANGE).drop("__value")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    found = rows.agg(F.percentile_approx("__value", [i / n for i in range(1, n + 1)], 10_000)).first()[0] or []
+    often = {v: k for v, k in Counter(found).items() if k > 1}
+    alone = {x for v in often for x in (v, math.nextafter(v, math.inf))}  # a frequent value has a bucket of its own
+    splits = sorted({*found[:-1], *alone} - {float("-inf"), float("inf")})
+    if not often:
+        return _bucket(rows, splits, RANGE).drop("__value")
+    table: list[tuple[float, list[list[float]]]] = []
+    rows = rows.withColumn("__tie", tie.cast("double"))
+    for size in sorted({1 << (k - 1).bit_length() for k in often.values()}):  # values of about as many ranges at a time
+        mine = [v for v, k in often.items() if 1 << (k - 1).bit_length() == size]
+        ties = F.percentile_approx("__tie", [i / size for i in range(1, size)], 10_000).alias("ties")
+        for r in rows.where(F.col("__value").isin(mine)).groupBy("__value").agg(ties).collect():  # size numbers of n / size values
+            at = sorted(set(r.ties or []))
+            wide = max(1, math.isqrt(len(at)))
+            table.append((r["__value"], [at[i : i + wide] for i in range(0, len(at), wide)]))
+    known = rows.sparkSession.createDataFrame(table, "__of double, __cuts array<array<double>>")
+    rows = _bucket(rows, splits, "__whole").join(F.broadcast(known), F.col("__value") == F.col("__of"), "left")  # at most 2 n log n numbers
+    passed = lambda x: F.size(F.filter(x, lambda y: y <= F.coalesce("__tie", F.lit(float("-inf")))))
+    block = passed(F.transform("__cuts", lambda x: x[0]))
+    inside = F.when(block > 0, (block - 1) * F.size(F.col("__cuts")[0]) + passed(F.get("__cuts", block - 1))).otherwise(0)
+    sub = F.coalesce(F.when(F.size("__cuts") > 0, inside), F.lit(0))
+    step = 2 * n + 2
+    rows = rows.withColumn(RANGE, F.col("__whole") * step + (step - 1 - sub if tie_descends else sub))
+    return rows.drop("__value", "__tie", "__of", "__cuts", "__whole")
 
 
 def running(rows: DataFrame, key: list[str], order: list[Column], values: dict[str, str], how: Callable[[Column], Column] = F.sum, *, downward: bool = False) -> DataFrame:

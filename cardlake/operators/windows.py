@@ -27,15 +27,18 @@ def micros(time: Column) -> Column:
     return F.unix_micros(time.cast("timestamp"))
 
 
-#: Events of a key beyond which its windows are running sums of changes.
-FRAME = 2000
+#: Events of a key beyond which its windows are running sums of changes; with distinct values, whose sets make a frame dearer.
+FRAME, FRAME_DISTINCT = 2000, 1000
 #: Events of a key beyond which it is divided by ranges of time where each event costs one step.
 STREAM = 1_000_000
 
 
-def by_size(events: DataFrame, key: str, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Events of keys with up to limit events, and those of the others if there are any."""
-    large = events.groupBy(F.col(key).alias("__large")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("__large")
+def by_size(events: DataFrame, key: str, limit: int, large: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Events of keys with up to limit events, and those of the others if there are any.
+
+    Unless large, a table (__large) of the keys with more, is given, this counts all events while the plan is built: a job over the keys."""
+    if large is None:
+        large = events.groupBy(F.col(key).alias("__large")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("__large")
     if large.isEmpty():
         return events, None
     same = F.col(key).eqNullSafe(F.col("__large"))
@@ -53,15 +56,17 @@ def trailing(
     windows: dict[str, int] = WINDOWS,
     *,
     distinct: bool = True,
-    frame: int = FRAME,
+    frame: int | None = None,
+    large: DataFrame | None = None,
 ) -> DataFrame:
     """events with txn_count, amount_sum, amount_mean, decline_rate (and distinct_city, is_new_city) of each window.
 
-    Events without a time have no history and are none. Null amounts and cities count as events only."""
+    Events without a time have no history and are none. Null amounts and cities count as events only. Keys of more than frame events (FRAME, or
+    FRAME_DISTINCT with distinct values) are those of large (__large), if that is given, else they are counted first (see ``by_size``)."""
     own = events.columns
     cents = F.coalesce((F.col(amount).cast("decimal(18,2)") * 100).cast("long"), F.lit(0))
     rows = events.withColumns({"__us": micros(F.col(time)), "__cents": cents, "__error": F.coalesce(error.cast("long"), F.lit(0))})
-    small, large = by_size(rows, key, frame)
+    small, large = by_size(rows, key, (FRAME_DISTINCT if distinct else FRAME) if frame is None else frame, large)
     out = _by_frames(small, own, key, seq, city, windows, distinct)
     return out if large is None else out.unionByName(_by_changes(large, own, key, seq, city, windows, distinct))
 
@@ -82,7 +87,8 @@ def _by_frames(rows: DataFrame, own: list[str], key: str, seq: str, city: str, w
     longest = max(windows, key=windows.get)
     zero, none = F.lit(0).cast("long"), F.array().cast(rows.select(F.array(city)).schema[0].dataType)
     timed = c("__us").isNotNull()
-    rows = rows.repartition(key)  # both kinds of window are dealt by key then
+    # both kinds of window are dealt by key then. Numbered, as few bytes of many-eventful keys are much work: adaptive execution would give them to few tasks
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), key)
     instant = Window.partitionBy(key, "__us").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     sums = {"n": F.count(F.lit(1)), "s": F.sum("__cents"), "e": F.sum("__error")}
     rows = rows.withColumns(
@@ -216,7 +222,7 @@ def latest_state(events: DataFrame, key: str, time: str, amount: str, windows: d
 
 
 def positions(df: DataFrame, time: str, seq: str) -> DataFrame:
-    """Adds __pos, the row's place from 1 in the order of (time, seq)."""
-    rows = in_ranges(df.withColumns({"__us": micros(F.col(time)), "__one": F.lit(1).cast("long")}), "__us")
+    """Adds __pos, the row's place from 1 in the order of (time, seq). seq is a number, by which events of one instant are divided if they are many."""
+    rows = in_ranges(df.withColumns({"__us": micros(F.col(time)), "__one": F.lit(1).cast("long")}), "__us", tie=F.col(seq))
     out = running(rows, [], [F.col("__us"), F.col(seq)], {"__one": "__before"})
     return out.withColumn("__pos", F.coalesce("__before", F.lit(0)) + 1).drop("__us", "__one", "__before", "__range")

@@ -597,7 +597,7 @@ def pr_threshold(spark, sf):
 FROM x) * 0.05, 0)) AS k FROM x) SELECT count(*) AS k, avg(CAST(toxic AS DOUBLE)) AS precision
 FROM z WHERE r <= k""")
 def precision_at_k(spark, sf):
-    return M.precision_at(_scored(spark, sf), "n_chars", [F.asc("doc_id")], "toxic", 0.05)
+    return M.precision_at(_scored(spark, sf), "n_chars", "doc_id", "toxic", 0.05)
 
 
 _LE = [1, 2.5, 5, 10, 20, 30, 50, 75, 100, 250, 500, 1000]
