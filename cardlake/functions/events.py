@@ -49,6 +49,7 @@ def to_events(raw: DataFrame, salt: str) -> DataFrame:
     time = X.event_time(_text("Year"), _text("Month"), _text("Day"), _text("Time"))
     amount, mcc = X.money(_text("Amount")), _text("MCC").try_cast("int")
     reason = F.when(time.isNull(), "Time: is no time").when(amount.isNull(), "Amount: is no number").when(mcc.isNull(), "MCC: is no integer")
+    reason = reason.when(~mcc.between(0, 9999), "MCC: must be from 0 to 9999")
     own = [c for c in raw.columns if c not in RAW_COLUMNS]
     return raw.select(
         *own,

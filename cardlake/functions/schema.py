@@ -1,38 +1,20 @@
-"""The event contract as one StructType; its checks, its Avro form and compatibility of versions."""
+"""The event contract, as compiled from its file: one StructType, its checks, its Avro form and compatibility of versions."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-REQUIRED = "schema_version event_id event_time card_token user_id amount currency channel merchant_name merchant_city merchant_state merchant_country mcc".split()
-CONTRACT = T.StructType(
-    [T.StructField(n, {"amount": T.DoubleType(), "mcc": T.IntegerType()}.get(n, T.StringType()), False) for n in REQUIRED] + [
-        T.StructField("zip", T.StringType()), T.StructField("errors", T.StringType()), T.StructField("is_fraud", T.BooleanType())
-    ]
-)
+from cardlake.functions import contract
+
+_COMPILED = contract.load()
+REQUIRED, CONTRACT = _COMPILED.required, _COMPILED.struct
 
 
 def violations(columns: list[str]) -> Column:
     """All broken rules of a row, sorted by path."""
-    c = F.col
-    rules = [(n, c(n).isNull(), "is required") for n in REQUIRED if n in columns]
-    rules += [
-        ("schema_version", c("schema_version") != "1.0.0", "must be 1.0.0"),
-        ("card_token", ~c("card_token").rlike("^[a-f0-9]{64}$"), "must be 64 hex digits"),
-        ("user_id", F.length("user_id") < 1, "is too short"),
-        ("currency", ~c("currency").rlike("^[A-Z]{3}$"), "must be three capitals"),
-        ("channel", ~c("channel").isin("chip", "swipe", "online"), "is no channel"),
-        ("merchant_name", F.length("merchant_name") < 1, "is too short"),
-        ("merchant_country", ~c("merchant_country").rlike("^[A-Z]{2}$"), "must be two capitals"),
-        ("mcc", ~c("mcc").between(0, 9999), "must be from 0 to 9999"),
-    ]
-    return F.array_sort(
-        F.array_compact(F.array(*(F.when(broken, F.lit(f"{path}: {said}")) for path, broken, said in rules if path in columns)))
-    )
+    return _COMPILED.violations(columns)
 
 
 def reason(columns: list[str]) -> Column:
@@ -48,19 +30,11 @@ def complete() -> Column:
     return out
 
 
-AVRO = {"string": "string", "double": "double", "int": "int", "bigint": "long", "boolean": "boolean"}
-
-
-def avro_schema(schema: T.StructType, name: str = "Transaction", namespace: str = "payments") -> str:
-    fields = [
-        {
-            "name": f.name, "type": ["null", AVRO[f.dataType.simpleString()]], "default": None
-        } if f.nullable else {"name": f.name, "type": AVRO[f.dataType.simpleString()]} for f in schema
-    ]
-    return json.dumps({"type": "record", "name": name, "namespace": namespace, "fields": fields}, indent=2) + "\n"
+def avro_schema(schema: T.StructType, name: str = "Transaction", namespace: str = contract.NAMESPACE) -> str:
+    return contract.Contract(name, None, schema, [], []).avro(namespace)
 
 
-def is_current(text: str, schema: T.StructType, name: str = "Transaction", namespace: str = "payments") -> bool:
+def is_current(text: str, schema: T.StructType, name: str = "Transaction", namespace: str = contract.NAMESPACE) -> bool:
     """Whether a stored Avro schema is, byte by byte, what the contract gives now."""
     return text == avro_schema(schema, name, namespace)
 

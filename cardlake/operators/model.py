@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -46,6 +47,24 @@ def scored(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.withColumn("probability", vector_to_array("probability")[1]).select(*rows.columns, "probability")
 
 
+def expression(model: PipelineModel) -> str:
+    """The model's probability in SQL, read from its printed trees: what any engine computes from the columns of its features. Null features count as 0."""
+    names, trees = features_of(model), model.stages[-1]
+
+    def tree(lines: list[str]) -> str:
+        head = lines.pop(0).strip()
+        if head.startswith("Predict:"):
+            return f"CAST({head.removeprefix('Predict:').strip()} AS DOUBLE)"
+        feature, limit = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", head).groups()
+        low = tree(lines)
+        if not lines.pop(0).strip().startswith("Else"):
+            raise ValueError("a branch has no other side")
+        return f"CASE WHEN coalesce(CAST({names[int(feature)]} AS DOUBLE), 0) <= CAST({limit} AS DOUBLE) THEN {low} ELSE {tree(lines)} END"
+
+    parts = [f"CAST({w} AS DOUBLE) * ({tree(t.toDebugString.strip().splitlines()[1:])})" for t, w in zip(trees.trees, trees.treeWeights, strict=True)]
+    return f"1 / (1 + exp(-2 * ({' + '.join(parts)})))"
+
+
 def evaluated(model: PipelineModel, rows: DataFrame, label: str, threshold: float | None = None) -> dict[str, object]:
     """Average precision, ROC-AUC, and precision, recall, F1 and counts at a threshold (the one of greatest F1, if none is given)."""
     done = scored(model, rows).select("probability", F.col(label).cast("int").alias("y"))

@@ -597,7 +597,7 @@ def pr_threshold(spark, sf):
 FROM x) * 0.05, 0)) AS k FROM x) SELECT count(*) AS k, avg(CAST(toxic AS DOUBLE)) AS precision
 FROM z WHERE r <= k""")
 def precision_at_k(spark, sf):
-    return M.precision_at(_scored(spark, sf), "n_chars", "doc_id", "toxic", 0.05)
+    return M.precision_at(_scored(spark, sf), "n_chars", [F.asc("doc_id")], "toxic", 0.05, tie="doc_id")
 
 
 _LE = [1, 2.5, 5, 10, 20, 30, 50, 75, 100, 250, 500, 1000]
@@ -826,19 +826,26 @@ def derive_dims(spark, sf):
     return out
 
 
-@query("""SELECT 'orphan_account' AS check, count(*) AS violations
-FROM events WHERE user_id IS NULL UNION ALL SELECT 'orphan_card', 0
-UNION ALL SELECT 'unknown_token', 0""")
+@query("""WITH u AS (SELECT DISTINCT user_id AS u FROM events), k AS (SELECT DISTINCT user_id AS u, event_id % 7 AS card FROM events)
+SELECT 'orphan_account' AS check, (SELECT count(*) FROM u WHERE u % 17 = 3 AND u % 13 <> 5) AS violations
+UNION ALL SELECT 'orphan_card', (SELECT count(*) FROM k WHERE u % 13 = 5 AND NOT (u % 5 = 2 AND card = 4))
+UNION ALL SELECT 'unknown_token', (SELECT count(*) FROM events WHERE user_id % 5 = 2 AND event_id % 7 = 4)""")
 def dim_parity(spark, sf):
-    """Every account has its customer, every card its account, every event's card is known."""
+    """Accounts without their customer, cards without their account, and events of unknown cards, in dimensions that are stored and lack some rows."""
     pairs = t(spark, sf, "events").select(c("user_id").cast("string").alias("User"), (c("event_id") % 7).cast("string").alias("Card"))
     dims = D.dimensions(pairs, "salt")
-    tokens = pairs.select(X.token("salt", c("User"), c("Card")).alias("id"))
-    lost = lambda name, a, on, b: a.join(b.select(c("id").alias(on)), on, "left_anti").agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check"), "violations")
+    number = lambda name: c(name).cast("bigint")
+    gone = X.token("salt", c("User"), c("Card")).alias("id")
+    lost = pairs.where((number("User") % 5 == 2) & (c("Card") == "4")).select(gone).distinct()
+    stored = {
+        "customer": _kept(dims["customer"].where(number("id") % 17 != 3), "customer"),
+        "account": _kept(dims["account"].where(number("parent") % 13 != 5), "account"),
+        "card": _kept(dims["card"].join(lost, "id", "left_anti"), "card"),
+    }
     parts = [
-        lost("orphan_account", dims["account"], "parent", dims["customer"]),
-        lost("orphan_card", dims["card"], "parent", dims["account"]),
-        lost("unknown_token", tokens, "id", dims["card"]),
+        tables.violations(stored["account"], parents={"parent": stored["customer"].select("id")}).withColumn("check", F.lit("orphan_account")),
+        tables.violations(stored["card"], parents={"parent": stored["account"].select("id")}).withColumn("check", F.lit("orphan_card")),
+        tables.violations(pairs.select(X.token("salt", c("User"), c("Card")).alias("id")), parents={"id": stored["card"].select("id")}).withColumn("check", F.lit("unknown_token")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -1026,9 +1033,23 @@ def csv_roundtrip(spark, sf):
     path = shared_folder(spark, "csv")
     raw = raw_rows(spark, sf)
     raw.write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
-    back = spark.read.schema(raw.schema).option("header", True).option("nullValue", "\\N").option("emptyValue", "").csv(path)
-    back = back.where(c("Year").try_cast("int").between(2013, 2030)).fillna("", E.RAW_COLUMNS)
-    return E.to_events(back, "salt").where("reason IS NULL")
+    return tables.load_events(spark, path, raw.schema, "salt", since=2013, until=2030).where("reason IS NULL")
+
+
+@query(f"""WITH raw AS ({_RAW}), m AS (SELECT *, CASE WHEN row % 31 = 7 THEN '12345' WHEN row % 37 = 8 THEN '-1' ELSE "MCC" END AS code, CASE WHEN row % 41 = 9 THEN 'n/a' ELSE "Year" END AS yr FROM raw),
+r AS (SELECT row, CASE WHEN TRY_CAST(yr AS INT) IS NULL THEN 'Year: is no year' WHEN TRY_CAST(yr || '-' || "Month" || '-' || "Day" || ' ' || "Time" || ':00' AS TIMESTAMP) IS NULL THEN 'Time: is no time'
+WHEN TRY_CAST(replace("Amount", '$', '') AS DOUBLE) IS NULL THEN 'Amount: is no number' WHEN TRY_CAST(code AS INT) IS NULL THEN 'MCC: is no integer' WHEN TRY_CAST(code AS INT) NOT BETWEEN 0 AND 9999 THEN 'MCC: must be from 0 to 9999' END AS reason FROM m)
+SELECT reason, count(*) AS n, min(row) AS first_row FROM r GROUP BY 1""")
+def csv_skips(spark, sf):
+    """Rows of a CSV file that are events (no reason) or are skipped, by reason; a row without a year can't be told to lie within the years."""
+    path, row = shared_folder(spark, "csv"), c("row")
+    raw = raw_rows(spark, sf).withColumns({
+        "MCC": F.when(row % 31 == 7, "12345").when(row % 37 == 8, "-1").otherwise(c("MCC")),
+        "Year": F.when(row % 41 == 9, "n/a").otherwise(c("Year")),
+    })
+    raw.write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    seen = tables.load_events(spark, path, raw.schema, "salt", since=2013, until=2030)
+    return seen.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first_row"))
 
 
 @query("""WITH u AS (SELECT user_id, max(CASE WHEN event_type = 'error' AND value > 100 THEN 1 ELSE 0 END) AS bad
@@ -1058,17 +1079,51 @@ def _split_rows(spark, sf) -> DataFrame:
 _MODEL_FEATURES = ["value", *(f"{m}_{w}" for w in ("1d", "7d") for m in ("txn_count", "amount_sum", "amount_mean", "decline_rate"))]
 
 
-@query("""WITH p AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS pos, count(*) OVER () AS n
-FROM events) SELECT event_id, true AS is_probability
-FROM p WHERE pos > floor(n * 0.8)""")
+@query("""WITH p AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS pos, count(*) OVER () AS n FROM events),
+s AS (SELECT *, event_type = 'error' AS bad, CASE WHEN pos <= floor(floor(n * 0.8) * 0.8) THEN 'train' WHEN pos <= floor(n * 0.8) THEN 'validation' ELSE 'test' END AS split FROM p),
+w AS (SELECT count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'validation') AS n_validation, count(*) FILTER (WHERE split = 'test') AS n_test,
+coalesce(count(*) FILTER (WHERE split = 'train' AND NOT bad) / CAST(nullif(count(*) FILTER (WHERE split = 'train' AND bad), 0) AS DOUBLE), 1.0) AS class_weight,
+count(*) FILTER (WHERE split = 'test' AND bad) AS n_bad, count(*) FILTER (WHERE split = 'test' AND NOT bad) AS n_good FROM s)
+SELECT event_id, bad, true AS is_probability, true AS as_printed, true AS decided_by_threshold, w.* FROM s, w WHERE split = 'test'""")
 def gbt_scores(spark, sf):
-    """Boosted trees on point-in-time features, with early stop on validation rows; which rows are scored, and that each score is a probability."""
+    """Boosted trees on point-in-time features, with early stop on validation rows: sizes of the splits, the weight of a positive row, and of each test row
+    whether its score is a probability, is what the printed trees give, and falls on the side of the threshold that its cell of the confusion counts says."""
     from cardlake.operators import model as B
 
-    x = _split_rows(spark, sf)
+    x = _split_rows(spark, sf).where("ts IS NOT NULL")
+    x = _kept(x.select("event_id", "split", "label", *_MODEL_FEATURES), "rows")
     known = x.where("split <> 'test'").withColumn("held", c("split") == "validation")
     model = B.fit(known, _MODEL_FEATURES, validation="held", maxIter=5, maxDepth=4)
-    return B.scored(model, x.where("split = 'test'")).select("event_id", c("probability").between(0, 1).alias("is_probability"))
+    done = _kept(B.scored(model, x.where("split = 'test'")).withColumn("printed", F.expr(B.expression(model))), "scored")
+    points = M.curve(B.scored(model, x.where("split = 'validation'")).select("probability", c("label").cast("int").alias("y")), "probability", "y")
+    best = M.best_threshold(points).first()
+    threshold = best["threshold"] if best and best["f1"] is not None else 1.0
+    cells = M.confusion(done, "probability", "label", threshold).first()
+    part = lambda name, bad=None: F.count_if((c("split") == name) if bad is None else (c("split") == name) & (c("label") == bad))
+    sizes = x.agg(part("train").alias("n_train"), part("validation").alias("n_validation"), part("test").alias("n_test"), part("train", 0).alias("good"), part("train", 1).alias("bad_rows")).first()
+    weight = sizes["good"] / sizes["bad_rows"] if sizes["bad_rows"] else 1.0
+    review = c("probability") >= threshold
+    cell = F.when(review, F.when(c("label") == 1, "tp").otherwise("fp")).otherwise(F.when(c("label") == 1, "fn").otherwise("tn"))
+    mine = done.groupBy(cell.alias("cell")).count().collect()  # four rows
+    agrees = {r["cell"]: r["count"] for r in mine} == {k: cells[k] for k in ("tp", "fp", "fn", "tn") if cells[k]}
+    return done.select(
+        "event_id",
+        (c("label") == 1).alias("bad"),
+        c("probability").between(0, 1).alias("is_probability"),
+        (F.abs(c("probability") - c("printed")) < 1e-9).alias("as_printed"),
+        F.lit(agrees).alias("decided_by_threshold"),
+        *(F.lit(sizes[k]).cast("bigint").alias(k) for k in ("n_train", "n_validation", "n_test")),
+        F.lit(float(weight)).alias("class_weight"),
+        F.lit(cells["tp"] + cells["fn"]).cast("bigint").alias("n_bad"),
+        F.lit(cells["fp"] + cells["tn"]).cast("bigint").alias("n_good"),
+    )
+
+
+def _kept(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written once and read from there."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 # ---- streams: the events come in several files, one a trigger, and some of them twice

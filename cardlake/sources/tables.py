@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cardlake.functions import events as E
+
 
 def create_missing(spark: SparkSession, tables: dict[str, T.StructType], database: str = "default") -> list[str]:
     """Defines those tables that aren't there yet as Parquet tables; returns their names. Keys and rules are checks (see ``violations``), not part of a table."""
@@ -26,6 +28,21 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         return spark.createDataFrame([], schema)
 
 
+def load_events(spark: SparkSession, path: str, schema: T.StructType, salt: str, since: int | None = None, until: int | None = None) -> DataFrame:
+    """Contract events of a CSV file's rows of some years, and the reason of those that are skipped. Rows outside the years aren't rows of the result;
+    those without a year are skipped for that if there are limits."""
+    raw = spark.read.schema(schema).option("header", True).option("nullValue", "\\N").option("emptyValue", "").csv(path)
+    raw = raw.fillna("", E.RAW_COLUMNS)
+    if since is None and until is None:
+        return E.to_events(raw, salt)
+    year = F.trim("Year").try_cast("int")
+    inside = (year >= (since if since is not None else year)) & (year <= (until if until is not None else year))
+    rows = raw.where(year.isNull() | inside).withColumn("__no_year", year.isNull())
+    events = E.to_events(rows, salt)
+    reason = F.when(F.col("__no_year"), "Year: is no year").otherwise(F.col("reason"))
+    return events.withColumn("reason", reason).drop("__no_year")
+
+
 def append_new(rows: DataFrame, path: str, key: str) -> None:
     """Adds the rows whose key isn't stored, each once."""
     stored = read_or_empty(rows.sparkSession, path, rows.schema).select(key)

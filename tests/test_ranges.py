@@ -44,7 +44,7 @@ def test_precision_among_equal_scores(scores):
     for share in (0.001, 0.02, 0.5):
         k = max(1, round(len(rows) * share))
         best = sorted(rows, key=lambda r: (-r[0], r[1]))[:k]
-        got = M.precision_at(scores.where("score IS NOT NULL"), "score", "id", "label", share).first()
+        got = M.precision_at(scores.where("score IS NOT NULL"), "score", [F.asc("id")], "label", share, tie="id").first()
         assert got.k == k and got.precision == pytest.approx(sum(r[2] for r in best) / k)
 
 
