@@ -106,6 +106,7 @@ def channel_of(cnp: Column, chip: Column) -> Column:
     return F.when(cnp, "online").when(chip, "chip").otherwise("swipe")
 
 
+# Fixed names of what a model reads, in order: EVENT_FEATURES, HISTORY_FEATURES, and WINDOW_FEATURES of each window.
 EVENT_FEATURES = [
     "amount",
     "amount_log",
@@ -147,3 +148,35 @@ def online_row(stored: DataFrame) -> DataFrame:
         *(c for c in stored.columns if c not in FEATURES),
         *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in have else F.lit(0.0).alias(c) for c in FEATURES),
     )
+
+
+# Fixed columns of the stored tables.
+TRANSACTION_ROW = "event_id schema_version card_token user_id event_time amount currency channel merchant_name merchant_city merchant_state merchant_country zip mcc errors is_fraud".split()
+SCORED_ROW = "event_id card_token event_time amount merchant_name merchant_city merchant_state mcc channel fraud_probability decision cold_card latency_ms".split()
+ALERT_ROW = "event_id card_token fraud_probability amount merchant_name".split()
+
+
+def _stored(events: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns, null where events lack one; event_time as a timestamp."""
+    have = set(events.columns)
+    at = X.parse_iso(F.col("event_time")) if dict(events.dtypes).get("event_time") == "string" else F.col("event_time")
+    return events.select(*((at if c == "event_time" else F.col(c) if c in have else F.lit(None).cast("string")).alias(c) for c in columns))
+
+
+def transaction_rows(events: DataFrame) -> DataFrame:
+    """Contract events as rows of the table of transactions."""
+    return _stored(events, TRANSACTION_ROW)
+
+
+def scored_rows(scored: DataFrame) -> DataFrame:
+    """Events with fraud_probability and decision (and cold_card, latency_ms) as rows of the table of scores; a card isn't cold unless that is said."""
+    have = set(scored.columns)
+    cold = F.coalesce(F.col("cold_card"), F.lit(False)) if "cold_card" in have else F.lit(False)
+    latency = F.col("latency_ms").cast("double") if "latency_ms" in have else F.lit(None).cast("double")
+    return _stored(scored.withColumns({"cold_card": cold, "latency_ms": latency}), SCORED_ROW)
+
+
+def alert_rows(scored: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Rows of the table of alerts: events at or above a threshold, or the one that each was scored by (1 where there is none)."""
+    own = F.coalesce(F.col("threshold"), F.lit(1.0)) if "threshold" in scored.columns else F.lit(1.0)
+    return _stored(scored.where(F.col("fraud_probability") >= (own if threshold is None else F.lit(threshold))), ALERT_ROW)

@@ -52,10 +52,10 @@ def parse_iso(text: Column) -> Column:
     return text.try_cast("timestamp")
 
 
-def filled(text: Column, values: dict[str, str]) -> Column:
-    """Text with ${NAME} replaced by its value; names without one stay."""
+def filled(text: Column, values: dict[str, str | Column]) -> Column:
+    """Text with ${NAME} replaced by its value, a text or a column; names without one stay."""
     for name, value in values.items():
-        text = F.replace(text, F.lit("${" + name + "}"), F.lit(value))
+        text = F.replace(text, F.lit("${" + name + "}"), F.lit(value) if isinstance(value, str) else value)
     return text
 
 

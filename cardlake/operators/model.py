@@ -110,12 +110,18 @@ def _read_json(spark: SparkSession, path: str) -> dict[str, object] | None:
         return None
 
 
-def save(model: PipelineModel, folder: str, version: str, **facts: object) -> None:
-    """The model and its manifest; the pointer is written last, so a reader sees whole versions only."""
+def make_current(spark: SparkSession, folder: str, version: str) -> None:
+    """Makes a version the current one."""
+    _write_json(spark, f"{folder}/{CURRENT}", {"version": version})
+
+
+def save(model: PipelineModel, folder: str, version: str, *, point: bool = True, **facts: object) -> None:
+    """The model and its manifest; the pointer, unless it is to stay, is written last, so a reader sees whole versions only."""
     spark = SparkSession.active()
     model.write().overwrite().save(f"{folder}/{version}/model")
     _write_json(spark, f"{folder}/{version}/manifest", {"version": version, "features": features_of(model), **facts})
-    _write_json(spark, f"{folder}/{CURRENT}", {"version": version})
+    if point:
+        make_current(spark, folder, version)
 
 
 def load(spark: SparkSession, folder: str, version: str) -> tuple[PipelineModel, dict[str, object]]:

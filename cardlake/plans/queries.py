@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -1126,6 +1127,84 @@ def _kept(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+# ---- stored tables, versions of models, what is left of a template
+
+
+@query(f"""{_MAPPED}, s AS (SELECT *, round(least(1.0, 0.004 * abs(amount)), 9) AS p FROM mapped WHERE reason IS NULL)
+SELECT 'transaction' AS kind, event_id, CAST(event_time AS TIMESTAMP) AS event_time, amount, merchant_country AS detail, NULL::DOUBLE AS fraud_probability, NULL::BOOLEAN AS cold_card FROM s
+UNION ALL SELECT 'scored', event_id, CAST(event_time AS TIMESTAMP), amount, CASE WHEN p >= 0.3 THEN 'review' ELSE 'approve' END, p, CASE WHEN is_fraud IS NULL THEN false ELSE is_fraud END FROM s
+UNION ALL SELECT 'alert', event_id, NULL, amount, merchant_name, p, NULL FROM s WHERE p >= 0.3""")
+def stored_rows(spark, sf):
+    """Events as rows of the tables of transactions, scores and alerts, appended to tables that are defined if they are missing, and read back."""
+    events = E.to_events(raw_rows(spark, sf), "salt").where("reason IS NULL")
+    p = F.round(F.least(F.lit(1.0), 0.004 * F.abs("amount")), 9)
+    scored = events.withColumns({"fraud_probability": p, "threshold": F.lit(0.3), "cold_card": c("is_fraud")})
+    scored = scored.withColumn("decision", F.when(c("fraud_probability") >= c("threshold"), "review").otherwise("approve"))
+    rows = {"transactions": E.transaction_rows(events), "scores": E.scored_rows(scored), "alerts": E.alert_rows(scored)}
+    base = f"stored_{shared_folder(spark, 'x')[-32:]}"
+    spark.sql(f"CREATE DATABASE {base} LOCATION '{shared_folder(spark, base)}'")
+    shapes = {name: x.schema for name, x in rows.items()}
+    made = tables.create_missing(spark, shapes, base), tables.create_missing(spark, shapes, base)
+    if made != (list(rows), []):
+        raise ValueError(f"tables were defined twice: {made}")
+    for name, x in rows.items():
+        x.write.mode("append").format("parquet").insertInto(f"{base}.{name}")
+    read = {name: spark.table(f"{base}.{name}") for name in rows}
+    text, yes, no = "string", F.lit(None).cast("boolean"), F.lit(None)
+    time = c("event_time").cast("timestamp_ntz")
+    return (
+        read["transactions"].select(F.lit("transaction").alias("kind"), "event_id", time.alias("event_time"), "amount", c("merchant_country").alias("detail"), no.cast("double").alias("fraud_probability"), yes.alias("cold_card"))
+        .unionByName(read["scores"].select(F.lit("scored").alias("kind"), "event_id", time.alias("event_time"), "amount", c("decision").alias("detail"), "fraud_probability", "cold_card"))
+        .unionByName(read["alerts"].select(F.lit("alert").alias("kind"), "event_id", no.cast("timestamp_ntz").alias("event_time"), "amount", c("merchant_name").cast(text).alias("detail"), "fraud_probability", yes.alias("cold_card")))
+    )
+
+
+@query(f"""WITH u AS (SELECT DISTINCT user_id FROM events), s AS ({SQL["latest_card_state"]})
+SELECT user_id, {", ".join(f"CAST(coalesce(txn_count_{n}, 0) AS DOUBLE) AS txn_count_{n}, coalesce(amount_sum_{n}, 0.0) AS amount_sum_{n}" for n in W.WINDOWS)}, 0.0::DOUBLE AS decline_rate_7d, {len(E.FEATURES)} AS n_features
+FROM u LEFT JOIN (SELECT * FROM s WHERE user_id % 3 <> 1) USING (user_id)""")
+def online_rows(spark, sf):
+    """A model's inputs, in its order, from the stored state of each user: zeros for users without one, and for windows that aren't stored."""
+    e = t(spark, sf, "events")
+    known = W.latest_state(e, "user_id", "ts", "value").where(c("user_id") % 3 != 1)
+    rows = E.online_row(e.select("user_id").distinct().join(known, "user_id", "left").drop("last_event_ts"))
+    n = F.lit(len([x for x in rows.columns if x in E.FEATURES]))
+    return rows.select("user_id", *(f"{m}_{w}" for w in W.WINDOWS for m in ("txn_count", "amount_sum")), "decline_rate_7d", n.alias("n_features"))
+
+
+@query("""SELECT p.pointer, p.version, p.threshold, count(*) FILTER (WHERE event_type = p.kind) AS n_review, count(*) AS n FROM events, (VALUES ('none', 'v1', CAST(0.4 AS DOUBLE), 'purchase'), ('v2', 'v2', 0.6, 'view'), ('gone', 'v1', 0.4, 'purchase')) AS p(pointer, version, threshold, kind)
+GROUP BY 1, 2, 3""")
+def model_versions(spark, sf):
+    """Events that the current model would review: before there is a pointer the fallback's, then the version's that the pointer names, and the fallback's again when that version is gone."""
+    from cardlake.operators import model as B
+
+    e = t(spark, sf, "events")
+    kinds = {"purchase": "is_purchase", "view": "is_view"}
+    rows = e.withColumns({x: (c("event_type") == k).cast("double") for k, x in kinds.items()})
+    learned = {x: B.fit(rows.where(c("event_id") % 5 == 0).withColumn("label", c(x)), list(kinds.values()), maxIter=2, maxDepth=2) for x in kinds.values()}
+    folder, made = shared_folder(spark, "models"), None
+    B.save(learned["is_purchase"], folder, "v1", threshold=0.4, point=False)
+    for pointer in ("none", "v2", "gone"):
+        if pointer == "v2":
+            B.save(learned["is_view"], folder, "v2", threshold=0.6)
+        if pointer == "gone":
+            B.make_current(spark, folder, "v3")
+        model, told = B.load_current(spark, folder, fallback="v1")
+        review = F.count_if(c("probability") >= told["threshold"])
+        row = B.scored(model, rows).agg(review.alias("n_review"), F.count(F.lit(1)).alias("n")).select(
+            F.lit(pointer).alias("pointer"), F.lit(told["version"]).alias("version"), F.lit(told["threshold"]).alias("threshold"), "n_review", "n"
+        )
+        made = row if made is None else made.unionByName(row)
+    return made
+
+
+@query("""SELECT s_suppkey, 'https://' || lower(replace(s_name, '#', '')) || '.example/' || CAST(s_nationkey AS VARCHAR) || '?key=${KEY}' AS url FROM supplier""")
+def filled_templates(spark, sf):
+    """Placeholders of a template that have a value for the row are filled; others stay."""
+    s = t(spark, sf, "supplier").withColumn("url", F.lit("https://${HOST}.example/${NATION}?key=${KEY}"))
+    values = {"HOST": F.lower(F.replace("s_name", F.lit("#"), F.lit(""))), "NATION": c("s_nationkey").cast("string"), "NOTHING": "x"}
+    return s.select("s_suppkey", X.filled(c("url"), values).alias("url"))
+
+
 # ---- streams: the events come in several files, one a trigger, and some of them twice
 
 _FILES = 5
@@ -1309,3 +1388,25 @@ def stream_metrics(spark, sf):
     so_far = F.sum("value").over(Window.orderBy("batch"))  # a row for each batch
     behind = rows.where("metric = 'input_rows'").select("batch", F.lit("behind").alias("metric"), (F.lit(float(there)) - so_far).alias("value"))
     return rows.unionByName(behind)
+
+
+@query("""WITH f AS (SELECT * FROM events ORDER BY ts, event_id LIMIT 400) SELECT event_id, event_type, value FROM f""")
+def stream_paced(spark, sf):
+    """The first 400 events, replayed in four files, of which one is read every half second."""
+    e = t(spark, sf, "events")
+    stream = jobs.source(spark, jobs.replay(e, "ts", 4, limit=400, seq="event_id"), e.schema, "ts")
+    return jobs.paced(stream, "paced", "500 milliseconds").select("event_id", "event_type", "value")
+
+
+@query("""WITH b AS (SELECT event_id % 4 AS batch, count(*) AS n FROM events GROUP BY 1)
+SELECT CAST(batch AS BIGINT) AS batch, n AS n_rows, CAST(batch AS BIGINT) AS last_offset, CAST(batch < 2 AS BOOLEAN) AS before_restart FROM b""")
+def stream_progress(spark, sf):
+    """Rows and offsets of each batch of a query that is stopped after two files and goes on with the next two."""
+    e, folder, out = t(spark, sf, "events"), shared_folder(spark, "deliveries"), shared_folder(spark, "progress")
+    told: list[tuple] = []
+    for half in ((0, 1), (2, 3)):
+        for i in half:
+            e.where(c("event_id") % 4 == i).coalesce(1).write.mode("append").parquet(folder)
+        q = jobs.foreach_batch(jobs.source(spark, folder, e.schema, "ts"), out, lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/rows/batch={n}"))
+        told += [(b, n, int(re.search(r"\d+", end)[0]), half == (0, 1)) for b, _, n, end, _ in jobs.progress(q) if n]
+    return spark.createDataFrame(told, "batch long, n_rows long, last_offset long, before_restart boolean")

@@ -43,10 +43,17 @@ def load_events(spark: SparkSession, path: str, schema: T.StructType, salt: str,
     return events.withColumn("reason", reason).drop("__no_year")
 
 
-def append_new(rows: DataFrame, path: str, key: str) -> None:
-    """Adds the rows whose key isn't stored, each once."""
-    stored = read_or_empty(rows.sparkSession, path, rows.schema).select(key)
-    rows.dropDuplicates([key]).join(stored, key, "left_anti").write.mode("append").parquet(path)
+def append_new(rows: DataFrame, path: str, key: str, by: str | None = None) -> None:
+    """Adds the rows whose key isn't stored, each once.
+
+    by names a column whose value is the same in all copies of a row, such as its day: the table is partitioned by it, and of what is stored only
+    partitions from the least to the greatest value among the rows are read."""
+    stored = read_or_empty(rows.sparkSession, path, rows.schema)
+    if by:
+        lo, hi = rows.agg(F.min(by), F.max(by)).first()
+        stored = stored.where(F.col(by).between(F.lit(lo), F.lit(hi)) | F.col(by).isNull())
+    new = rows.dropDuplicates([key]).join(stored.select(key), key, "left_anti").write.mode("append")
+    (new.partitionBy(by) if by else new).parquet(path)
 
 
 def upserted(stored: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:

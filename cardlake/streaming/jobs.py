@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import timedelta
+from time import sleep
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,14 +48,14 @@ def parts(rows: DataFrame, time: str, files: int) -> list[DataFrame]:
     return [ranged.where(F.col(RANGE) == i).drop(RANGE) for i in range(len(set(cuts)))]
 
 
-def replay(events: DataFrame, time: str, files: int, *, again: Column | None = None, again_at: Column | None = None, late: Column | None = None, limit: int | None = None) -> str:
-    """Writes events (the first limit of them, by time) to a folder as files in the order of time, for a stream to read one a trigger.
+def replay(events: DataFrame, time: str, files: int, *, again: Column | None = None, again_at: Column | None = None, late: Column | None = None, limit: int | None = None, seq: str | None = None) -> str:
+    """Writes events (the first limit of them, by time and, among those of one instant, by seq) to a folder as files in the order of time, for a stream to read one a trigger.
 
     Of the events that again picks, a copy is delivered once more, with the next file, at another time if again_at gives one. Those that
     late picks come with the next file instead of their own."""
     folder = shared_folder(events.sparkSession, "replay")
     if limit is not None:
-        events = events.orderBy(time).limit(limit)
+        events = events.orderBy(time, *([seq] if seq else [])).limit(limit)
     own = parts(events, time, files)
     held = F.coalesce(late, F.lit(False)) if late is not None else F.lit(False)
     for i, part in enumerate(own):
@@ -91,8 +92,34 @@ def run(stream: DataFrame, name: str, mode: str = "append", out: str | None = No
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def foreach_batch(stream: DataFrame, out: str, batch: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+def paced(stream: DataFrame, name: str, every: str, out: str | None = None) -> DataFrame:
+    """Like ``run``, but a batch begins no sooner than every so long after the one before: with files of some rows, one a trigger, that many rows in that time."""
+    spark = stream.sparkSession
+    out = out or shared_folder(spark, name)
+    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(processingTime=every).start(out)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def foreach_batch(
+    stream: DataFrame, out: str, batch: Callable[[DataFrame, int], None], *, attempts: int = 1, wait: float = 1.0, transient: tuple[type[Exception], ...] = (OSError,)
+) -> StreamingQuery:
+    """Calls batch for each batch. Where it calls another system, whose failures may pass (errors of a kind of transient), a batch is tried up to
+    so many times, after waits of one, two, ... times so many seconds; other errors, and the last one, end the query, which then goes on from that batch."""
+
+    def tried(rows: DataFrame, number: int) -> None:
+        for k in range(1, attempts + 1):
+            try:
+                return batch(rows, number)
+            except transient:
+                if k == attempts:
+                    raise
+                sleep(k * wait)
+
+    q = stream.writeStream.foreachBatch(tried).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from cardlake.functions import cdc as C
 from cardlake.operators import model as B
 from cardlake.session import shared_folder
-from cardlake.sources import avro, changes, keyed
+from cardlake.sources import avro, changes, keyed, tables
 from cardlake.streaming import alerts, jobs, metrics, state
 
 T0 = datetime(2024, 1, 1)
@@ -221,3 +221,47 @@ def test_queries_tell_what_they_do(spark):
     with metrics.recorded(spark) as r, pytest.raises(Exception, match="sorry"):
         jobs.run(s.select(F.raise_error(F.lit("sorry")).cast("int").alias("x")), "fails")
     assert [x.metric for x in r.table(spark).where("metric = 'failed'").collect()] == ["failed"]
+
+
+def test_batches_are_tried_again(spark):
+    folder = shared_folder(spark, "in")
+    deliver(spark, folder, events(3), events(6))
+    schema, calls = spark.createDataFrame([], EVENT).schema, []
+
+    def flaky(rows, number):
+        calls.append(number)
+        if len(calls) in (1, 2):
+            raise ConnectionError("busy")
+        rows.count()
+
+    jobs.foreach_batch(jobs.source(spark, folder, schema, "ts"), shared_folder(spark, "out"), flaky, attempts=3, wait=0.01)
+    assert calls == [0, 0, 0, 1]
+    calls.clear()
+    with pytest.raises(Exception, match="busy"):
+        jobs.foreach_batch(jobs.source(spark, folder, schema, "ts"), shared_folder(spark, "out"), flaky, attempts=2, wait=0.01)
+    assert calls == [0, 0]
+
+    def wrong(rows, number):
+        calls.append(number)
+        raise ValueError("bad row")
+
+    calls.clear()
+    with pytest.raises(Exception, match="bad row"):
+        jobs.foreach_batch(jobs.source(spark, folder, schema, "ts"), shared_folder(spark, "out"), wrong, attempts=3, wait=0.01)
+    assert calls == [0]
+
+
+def test_batches_are_paced(spark):
+    folder = shared_folder(spark, "in")
+    deliver(spark, folder, events(3), events(3), events(3))
+    begin = datetime.now()
+    assert jobs.paced(jobs.source(spark, folder, spark.createDataFrame([], EVENT).schema, "ts"), "paced", "1 second").count() == 9
+    assert datetime.now() - begin >= timedelta(seconds=2)
+
+
+def test_appends_read_the_partitions_that_they_may_meet(spark):
+    path = shared_folder(spark, "appended")
+    df = lambda ids: spark.createDataFrame([(i, i // 10, "x") for i in ids], "id long, day long, note string")
+    for ids in ([1, 2, 2, 15], [2, 3, 25], [], [15, 16, 99]):
+        tables.append_new(df(ids), path, "id", by="day")
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2, 3, 15, 16, 25, 99]
