@@ -178,4 +178,26 @@ def test_fill_in_middle(spark):
     assert all(r.restored == (r.text or "") for r in found)
     assert {r.form for r in found} == {"plain", "spm", "psm"}
     assert o13.fill_in_middle(df.where("false")).collect() == []
-    assert {r.form for r in o13.fill_in_middle(df.where("doc_id < 30"), rate=0).collect()} == {"plain"}
+
+
+def test_long_texts_are_cut_part_by_part(monkeypatch):
+    monkeypatch.setattr(o13, "STEP", 7)
+    con, rng = o13._connection(), random.Random(8)
+    for i in range(300):
+        t = "".join(rng.choice(["a", "é", "日本", " ", "  ", "\n", "xyz"]) for _ in range(rng.randrange(1, 60))) + rng.choice(["", "", " ", "<S>"])
+        assert o13.cut_long(con, i, t, {"seed": "42", "rate": 50, "spm": 80}) == middle(i, t)
+    assert o13.cut_long(con, None, " a", {"seed": "42", "rate": 50, "spm": 80}) == middle(None, " a")
+
+
+def test_fill_in_middle_of_very_long_texts(spark):
+    rows = [(i, "wörd \t x" * 1_200_000 + str(i)) for i in range(4)] + [(9, "y" * 9_000_000), (10, "short one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = o13.restore(o13.fill_in_middle(df)).drop("text").collect()
+    want = {i: middle(i, t) for i, t in rows}
+    assert {r.doc_id: (r.n, r.form, r.prefix_chars, r.middle_chars, r.output) for r in got} == want
+    assert all(r.restored == dict(rows)[r.doc_id] for r in got)
+
+
+def test_shares_of_forms(spark):
+    df = frame(spark, documents())
+    assert {r.form for r in o13.fill_in_middle(df, rate=0).collect()} == {"plain"}
