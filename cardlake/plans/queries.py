@@ -546,8 +546,7 @@ c0 AS (SELECT bin, count(*) AS cur FROM b WHERE ts >= TIMESTAMP '{_CUT}'
 GROUP BY 1) {_PSI}""")
 def psi_numeric(spark, sf):
     a, b = _halves(spark, sf)
-    edges = M.quantile_edges(a, "value")
-    return M.psi(M.numeric_bins(a, "value", edges, "ref"), M.numeric_bins(b, "value", edges, "cur")).select(F.round("psi", 9).alias("psi"))
+    return M.drift_table(a, b, ["value"], []).select(F.round("psi", 9).alias("psi"))
 
 
 _VERDICT = "CASE WHEN psi > 0.2 THEN 'drifted' WHEN psi >= 0.1 THEN 'moderate' ELSE 'stable' END AS verdict"
