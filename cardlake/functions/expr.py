@@ -27,6 +27,18 @@ def token(salt: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(salt), *(p.cast("string") for p in parts)), 256)
 
 
+#: Parts of made-up names.
+GIVEN = "Ada Bela Caro Dana Emil Finn Gita Hugo Ida Juno Kito Lena Milo Nora Odin Pia Quin Rosa Sven Tilda".split()
+FAMILY = "Adler Berg Conti Dahl Eder Fuchs Grau Holm Iversen Jansen Keller Lund Moser Nagy Olsen Peters Quist Roth Stein Toth".split()
+
+
+def made_up_name(key: Column, salt: str) -> Column:
+    """A name for a key: the same one each time, and another one for another salt. Null for null."""
+    digest = F.md5(F.concat(F.lit(f"{salt}:"), key.cast("string")))
+    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint") % len(names) + 1).cast("int"))
+    return F.when(key.isNotNull(), F.concat(pick(GIVEN, 1), F.lit(" "), pick(FAMILY, 9)))
+
+
 def mask_token(token: Column) -> Column:
     """The last six characters; a dummy for none."""
     return F.when(token.isNull() | (token == ""), "…unknown").otherwise(F.concat(F.lit("…"), F.right(token, F.lit(6))))

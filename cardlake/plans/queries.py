@@ -1196,6 +1196,15 @@ def model_versions(spark, sf):
     return made
 
 
+_PICK = "{}[CAST(CAST('0x' || substr(md5('seed:' || c_custkey), {}, 8) AS BIGINT) % {} + 1 AS INT)]"
+
+
+@query(f"SELECT c_custkey, {_PICK.format(X.GIVEN, 1, len(X.GIVEN))} || ' ' || {_PICK.format(X.FAMILY, 9, len(X.FAMILY))} AS name FROM customer")
+def made_up_names(spark, sf):
+    """Names of customers that tell nothing of them."""
+    return t(spark, sf, "customer").select("c_custkey", X.made_up_name(c("c_custkey"), "seed").alias("name"))
+
+
 @query("""SELECT s_suppkey, 'https://' || lower(replace(s_name, '#', '')) || '.example/' || CAST(s_nationkey AS VARCHAR) || '?key=${KEY}' AS url FROM supplier""")
 def filled_templates(spark, sf):
     """Placeholders of a template that have a value for the row are filled; others stay."""

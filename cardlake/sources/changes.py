@@ -8,6 +8,7 @@ query's checkpoint, so a stopped query goes on where it was. Versions that were
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -50,12 +51,17 @@ class ChangeReader(DataSourceStreamReader):
         """(row group, rows, least and greatest version) of each file; footers are read once."""
         where, path = fs.FileSystem.from_uri(self.uri)
         names = [f.path for f in where.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True)) if f.path.endswith(".parquet") and "/_" not in f.path]
-        for name in names:
-            if name not in self.footers:
-                meta = pq.read_metadata(where.open_input_file(name))
-                at = meta.schema.names.index(VERSION)
-                groups = [(i, meta.row_group(i)) for i in range(meta.num_row_groups)]
-                self.footers[name] = [(i, g.num_rows, (s := g.column(at).statistics).min, s.max) for i, g in groups if g.num_rows]
+
+        def footer(name: str) -> list[tuple[int, int, bytes, bytes]]:
+            with where.open_input_file(name) as f:
+                meta = pq.read_metadata(f)
+            at = meta.schema.names.index(VERSION)
+            groups = [(i, meta.row_group(i)) for i in range(meta.num_row_groups)]
+            return [(i, g.num_rows, (s := g.column(at).statistics).min, s.max) for i, g in groups if g.num_rows]
+
+        new = [name for name in names if name not in self.footers]
+        with ThreadPoolExecutor(16) as pool:
+            self.footers |= dict(zip(new, pool.map(footer, new), strict=True))
         return {name: self.footers[name] for name in names}
 
     def initialOffset(self) -> dict:  # noqa: N802

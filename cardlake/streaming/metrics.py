@@ -9,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQueryListener
 
+#: Rows that are held before they are written.
+FLUSH = 1000
 ROWS = "query string, run string, batch long, source string, metric string, value double"
 
 
@@ -16,9 +18,11 @@ class Recorder(StreamingQueryListener):
     """Rows of (query, run, batch, source, metric, value): input_rows of each source, behind (what the source knows of beyond what was read, where it
     tells so as a number), batch_ms, state_rows, and the observed counts of each batch.
 
-    A trigger gives a few rows, which stay in the driver until they are written."""
+    A trigger gives a few rows. They stay in the driver until there are FLUSH of them, if there is a folder to write them to; without one they all do,
+    as for a query that ends."""
 
-    def __init__(self) -> None:
+    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
+        self.spark, self.folder = spark, folder
         self.rows: list[tuple] = []
         self.running: set[str] = set()
         self.changed = threading.Condition()
@@ -41,6 +45,8 @@ class Recorder(StreamingQueryListener):
             rows += [(*own, name, k, float(v)) for k, v in seen.asDict().items() if v is not None]
         with self.changed:
             self.rows += rows
+        if self.folder and len(self.rows) >= FLUSH:
+            self.flush()
 
     def onQueryIdle(self, event: object) -> None:  # noqa: N802
         pass
@@ -52,9 +58,17 @@ class Recorder(StreamingQueryListener):
                 self.rows.append((str(event.id), str(event.runId), None, None, "failed", 1.0))
             self.changed.notify_all()
 
-    def table(self, spark: SparkSession) -> DataFrame:
+    def flush(self) -> None:
+        """Appends what is held to the folder, as Parquet."""
         with self.changed:
-            return spark.createDataFrame(list(self.rows), ROWS)
+            rows, self.rows = self.rows, []
+        if rows:
+            self.spark.createDataFrame(rows, ROWS).coalesce(1).write.mode("append").parquet(self.folder)
+
+    def table(self) -> DataFrame:
+        """What is held."""
+        with self.changed:
+            return self.spark.createDataFrame(list(self.rows), ROWS)
 
 
 def _number(text: object) -> bool:
@@ -67,8 +81,8 @@ def _number(text: object) -> bool:
 
 @contextmanager
 def recorded(spark: SparkSession, folder: str | None = None, wait: float = 60.0) -> Iterator[Recorder]:
-    """Records the queries that run inside; at the end waits until those that ended have told all, and appends the rows to folder as Parquet."""
-    recorder = Recorder()
+    """Records the queries that run inside, to folder as Parquet if that is given; at the end waits until those that ended have told all."""
+    recorder = Recorder(spark, folder)
     spark.streams.addListener(recorder)
     try:
         yield recorder
@@ -76,6 +90,6 @@ def recorded(spark: SparkSession, folder: str | None = None, wait: float = 60.0)
         with recorder.changed:
             recorder.changed.wait_for(lambda: not recorder.running - active, wait)
         if folder:
-            recorder.table(spark).coalesce(1).write.mode("append").parquet(folder)
+            recorder.flush()
     finally:
         spark.streams.removeListener(recorder)

@@ -220,7 +220,18 @@ def test_queries_tell_what_they_do(spark):
     assert (0, "batch_ms") in got
     with metrics.recorded(spark) as r, pytest.raises(Exception, match="sorry"):
         jobs.run(s.select(F.raise_error(F.lit("sorry")).cast("int").alias("x")), "fails")
-    assert [x.metric for x in r.table(spark).where("metric = 'failed'").collect()] == ["failed"]
+    assert [x.metric for x in r.table().where("metric = 'failed'").collect()] == ["failed"]
+
+
+def test_metrics_of_long_queries_are_written_on_the_way(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "FLUSH", 3)
+    folder, told = shared_folder(spark, "in"), shared_folder(spark, "told")
+    deliver(spark, folder, *(events(3) for _ in range(4)))
+    with metrics.recorded(spark, told):
+        jobs.run(jobs.source(spark, folder, spark.createDataFrame([], EVENT).schema, "ts"), "told")
+    rows = spark.read.parquet(told)
+    assert len(rows.inputFiles()) > 1
+    assert rows.where("metric = 'input_rows'").agg(F.sum("value")).first()[0] == 12
 
 
 def test_batches_are_tried_again(spark):
