@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,17 @@ def quantiles(df: DataFrame, column: str, shares: list[float], keys: list[str] |
 
 #: Shares on either side of a quantile that bracket it: more than percentile_approx, asked for 1 in 10,000, is off.
 SLACK = 2.5e-4
+#: Distinct values inside brackets that may come to the driver.
+LOCAL = 100_000
+
+
+def _counted_up(rows: list) -> Iterator[tuple[int, float, int, int]]:
+    """Of rows (of, zone, v, n) in order: of, v, the rows before it, n."""
+    at, was = 0, None
+    for r in rows:
+        at = at if r["of"] == was else 0
+        yield r["of"], r["v"], at, r["n"]
+        at, was = at + r["n"], r["of"]
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float]]:
@@ -40,7 +52,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> d
 
     Sketches of the first pass bracket each quantile. The second counts, for all columns at once, the rows between brackets as one and the values
     inside them one by one, so that places are exact. A task gets the distinct values of one bracket, a two-thousandth of a column. Should a
-    bracket miss its quantile, which the counts show, that column goes by ``quantiles``."""
+    bracket miss its quantile, which the counts show, that column goes by ``quantiles``. Up to LOCAL values inside brackets are counted up in the driver."""
     c = F.col
     number = {x: F.nanvl(c(f"`{x}`").cast("double"), F.lit(None)) for x in columns}
     around = [min(max(s + d, 0.0), 1.0) for s in shares for d in (-SLACK, SLACK)]
@@ -73,6 +85,13 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> d
         points = df.select(F.explode(F.array(*values)).alias("x")).where(c("x.v").isNotNull()).groupBy(
             c("x.of").alias("of"), c("x.zone").alias("zone"), F.when(c("x.zone") % 2 == 1, c("x.v")).alias("v")
         ).agg(F.count(F.lit(1)).alias("n"))
+        if sum(told[f"n_{i}"] for i in some) * 4 * SLACK * len(shares) <= LOCAL:  # so many values are inside brackets at most, unless they repeat
+            rows = points.limit(2 * LOCAL + 1).collect()
+            if len(rows) <= 2 * LOCAL:
+                for of, v, before, n in _counted_up(sorted(rows, key=lambda r: (r["of"], r["zone"], r["v"] or 0.0))):
+                    found[of] |= {k: v for k in ranks[of] if v is not None and before <= k < before + n}
+                some = []
+    if some:
         earlier = Window.partitionBy("of").orderBy("zone").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bracket
         zones = points.groupBy("of", "zone").agg(F.sum("n").alias("all")).withColumn("base", F.coalesce(F.sum("all").over(earlier), F.lit(0)))
         inside = Window.partitionBy("of", "zone").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)

@@ -154,7 +154,9 @@ def test_models_are_sql(spark):
     assert other < 1e-12
 
 
-def test_quantiles_of_many_columns(spark):
+@pytest.mark.parametrize("local", [100_000, 0])
+def test_quantiles_of_many_columns(spark, monkeypatch, local):
+    monkeypatch.setattr(M, "LOCAL", local)
     rng = np.random.default_rng(1)
     n = 20_000
     pdf = pd.DataFrame({"a": rng.normal(size=n), "b": rng.integers(0, 5, n).astype(float), "c": np.where(rng.random(n) < 0.97, 0.0, rng.random(n)), "d": np.round(rng.exponential(size=n), 2), "e": 3.0, "f": np.nan})
