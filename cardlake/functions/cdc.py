@@ -60,11 +60,12 @@ def truth(text: Column) -> Column:
 def to_events(wire: DataFrame) -> DataFrame:
     """wire's columns but value, lsn (the change's version), the contract's sixteen, and reason. Updates, deletes and null values (tombstones) give no row.
 
-    The JSON is parsed once: a generator keeps the parsed value from being copied into each column."""
+    The JSON is made and parsed once: a generator keeps the parsed value from being copied into each column, and what value is computed from
+    from being computed again for the tombstones."""
     own = [c for c in wire.columns if c != "value"]
-    parsed = wire.where(F.col("value").isNotNull()).select(
-        *own, F.explode(F.array(F.from_json("value", ENVELOPE))).alias("v")
-    ).select(*own, "v.op", "v.after", *([] if "lsn" in own else ["v.source.lsn"]))
+    once = F.struct(F.col("value").isNull().alias("tombstone"), F.from_json("value", ENVELOPE).alias("v"))
+    parsed = wire.select(*own, F.explode(F.array(once)).alias("__once")).where("NOT __once.tombstone")
+    parsed = parsed.select(*own, "__once.v.op", "__once.v.after", *([] if "lsn" in own else ["__once.v.source.lsn"]))
     own += [c for c in ("lsn",) if c not in own]
     parsed = parsed.where(F.col("op").isNull() | ~F.col("op").isin("u", "d"))
     a = lambda f: F.col(f"after.{f}")

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from datetime import timedelta
+from datetime import date, timedelta
+from functools import reduce
+from operator import or_
 from time import sleep
 
 import pandas as pd
@@ -159,54 +161,125 @@ def first_deliveries(e: DataFrame, key: str, ok: Column) -> DataFrame:
 
 
 class Store:
-    """Events by day under a folder, each batch a partition of its own that a repeated batch overwrites. Rows have ok: only those that are have days."""
+    """Events by day under a folder, each batch a part of its own that a repeated batch overwrites. Rows have ok: only those that are have days.
 
-    def __init__(self, spark: SparkSession, out: str, schema: T.StructType, time: str):
-        self.out, self.time = f"{out}/events", time
-        own = [f for f in schema if f.name != "ok"]
-        self.schema = T.StructType([*own, *(T.StructField(n, k) for n, k in (("ok", T.BooleanType()), ("day", T.DateType()), ("batch", T.LongType())))])
-        spark.createDataFrame([], T.StructType(own)).write.mode("ignore").parquet(f"{self.out}/batch=-1/ok=true/day=1970-01-01")
+    So that neither the folders that a batch lists nor its small files grow with the number of batches, every FOLD parts that lie side by side
+    are folded into one of the next level, with a file for each day or so. Which parts hold the batches before one follows from its number: with
+    FOLD of 16, at most 15 of each level. An event is written once more for each level. What was folded is removed when the next part of its
+    level has been folded, so that a reader who listed parts before still finds them."""
 
-    def _read(self, spark: SparkSession, path: str) -> DataFrame:
-        return spark.read.schema(self.schema).option("basePath", self.out).parquet(path)
+    FOLD = 16
 
-    def between(self, spark: SparkSession, lo: object, hi: object, before: int) -> DataFrame:
-        """Stored events from lo to hi of the batches before one: days outside aren't read."""
-        rows = self._read(spark, self.out).where((F.col("batch") < before) & F.col("ok"))
-        rows = rows.where(F.col("day").between(F.lit(lo.date()), F.lit(hi.date())))
-        return rows.where(F.col(self.time).between(F.lit(lo), F.lit(hi))).drop("ok", "day", "batch")
+    def __init__(self, spark: SparkSession, out: str, schema: T.StructType, time: str, fold: int = FOLD):
+        self.out, self.time, self.fold_of = f"{out}/events", time, fold
+        own = [f for f in schema if f.name != "ok"]
+        part = {"level": T.IntegerType(), "first": T.LongType(), "ok": T.BooleanType(), "day": T.DateType()}
+        self.schema = T.StructType([*own, *(T.StructField(n, k) for n, k in part.items())])
+
+    def _path(self, level: int, first: int) -> str:
+        return f"{self.out}/level={level}/first={first}"
+
+    def _read(self, spark: SparkSession, paths: list[str]) -> DataFrame:
+        rows = spark.read.schema(self.schema).option("basePath", self.out).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
+        return rows.drop("level", "first")
+
+    def parts(self, before: int) -> list[tuple[int, int]]:
+        """(level, first batch) of the parts that hold the batches before one, the largest first."""
+        level, found, at = 0, [], 0
+        while self.fold_of ** (level + 1) <= before:
+            level += 1
+        for k in range(level, -1, -1):
+            size = self.fold_of**k
+            while at + size <= before:
+                found.append((k, at))
+                at += size
+        return found
+
+    def fold(self, spark: SparkSession, before: int) -> None:
+        """Folds the parts that the batches before one have completed. They are all committed, so they won't change; done again, it does the same."""
+        level = 1
+        while before and before % (size := self.fold_of**level) == 0:
+            first, small = before - size, self.fold_of ** (level - 1)
+            own = [self._path(level - 1, first + i * small) for i in range(self.fold_of)]
+            if not _exists(spark, f"{self._path(level, first)}/_SUCCESS"):
+                rows = self._read(spark, own).repartition("ok", "day")  # adaptive execution divides a day that is large
+                rows.write.partitionBy("ok", "day").mode("overwrite").parquet(self._path(level, first))
+            for i in range(self.fold_of):
+                _remove(spark, self._path(level - 1, first - size + i * small))
+            level += 1
+
+    def near(self, spark: SparkSession, days: list[date], back: timedelta, on: timedelta, before: int) -> DataFrame:
+        """Stored events of the batches before one, from so long before any of the days to so long after it: other days aren't read."""
+        spans: list[list[date]] = []
+        for d in sorted(days):
+            lo, hi = _shifted(d, -back), _shifted(d, on)
+            if spans and lo <= spans[-1][1] + timedelta(days=1):
+                spans[-1][1] = max(spans[-1][1], hi)
+            else:
+                spans.append([lo, hi])
+        rows = self._read(spark, [self._path(*p) for p in self.parts(before)]).where("ok")
+        within = reduce(or_, (F.col("day").between(*(F.lit(d.isoformat()).cast("date") for d in span)) for span in spans), F.lit(False))
+        return rows.where(within).drop("ok", "day")
+
+    def all(self, spark: SparkSession, before: int) -> DataFrame:
+        """All stored events, ok or not, of the batches before one."""
+        return self._read(spark, [self._path(*p) for p in self.parts(before)]).drop("day")
 
     def add(self, rows: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
         """Stores a batch, in the one pass that reads it; returns its rows that are ok and the others, read back."""
-        path = f"{self.out}/batch={number}"
+        path = self._path(0, number)
         rows.withColumn("day", F.when(F.col("ok"), F.to_date(self.time))).write.partitionBy("ok", "day").mode("overwrite").parquet(path)
-        stored = self._read(rows.sparkSession, path)
-        return tuple(stored.where(c).drop("ok", "day", "batch") for c in ("ok", "NOT ok"))
+        stored = self._read(rows.sparkSession, [path])
+        return tuple(stored.where(c).drop("ok", "day") for c in ("ok", "NOT ok"))
+
+
+def _shifted(day: date, by: timedelta) -> date:
+    """A day so much earlier or later, its part of a day counted whole, within the calendar."""
+    whole = -(-abs(by) // timedelta(days=1)) * (1 if by > timedelta(0) else -1)
+    return date.fromordinal(min(max(day.toordinal() + whole, 1), date.max.toordinal()))
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple[object, object]:
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(context._jsc.hadoopConfiguration()), at
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _hadoop(spark, path)
+    return fs.exists(at)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, at = _hadoop(spark, path)
+    fs.delete(at, True)
 
 
 #: How long after an event others may count it.
 REACH = timedelta(seconds=max(W.WINDOWS.values()))
 
 
-def features(e: DataFrame, out: str) -> StreamingQuery:
+def features(e: DataFrame, out: str, fold: int = Store.FOLD) -> StreamingQuery:
     """Windows of each batch's new events, from the stored history of their users: late events find their place too.
 
     A late event changes the windows of events of its user that are stored already and lie up to REACH after it: they are computed anew, and
-    written with the batch. ``current_features`` gives each event's last version. New events go to out/events, incomplete ones to
-    out/quarantine, features to out/features."""
+    written with the batch. ``current_features`` gives each event's last version. New events go to out/events (see Store, fold is its FOLD),
+    incomplete ones to out/quarantine, features to out/features. Of what is stored a batch reads the days within reach of its own events' days:
+    one event that is a year late costs two months, not the year between."""
     spark = e.sparkSession
     complete = F.col("user_id").isNotNull() & F.col("ts").isNotNull() & F.col("value").isNotNull()
     rows = first_deliveries(e, "event_id", complete)
-    store = Store(spark, out, rows.schema, "ts")
+    store = Store(spark, out, rows.schema, "ts", fold)
 
     def batch(rows: DataFrame, number: int) -> None:
+        store.fold(rows.sparkSession, number)
         new, broken = store.add(rows, number)
         broken.write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
-        lo, hi = new.agg(F.min("ts"), F.max("ts")).first()
+        days = [r.day for r in new.select(F.to_date("ts").alias("day")).distinct().collect()]  # at most the calendar's
         known = new.withColumn("__new", F.lit(True))
-        if lo is not None:
+        if days:
             users = new.select("user_id").distinct()
-            past = store.between(rows.sparkSession, lo - HISTORY, hi + REACH, number).join(users, "user_id", "left_semi")
+            past = store.near(rows.sparkSession, days, HISTORY, REACH, number).join(users, "user_id", "left_semi")
             known = known.unionByName(past.withColumn("__new", F.lit(False)))
         known = known.select("event_id", "user_id", "ts", "event_type", "value", "__new")
         known = W.last_marked(known, "user_id", "ts", "event_id", F.col("__new"))
