@@ -5,8 +5,10 @@ first four, five and six bytes, lower case, hashed), a document's the noisy-or o
 enough. Both are fitted together from document labels, by gradient steps on the documents' likelihood; afterwards the
 sentences with high probabilities are the offending ones.
 
-Fitted on at most SAMPLE labelled documents of each class (those of the least hashes of doc_id) with the FEATURES that tell the
-classes apart best; whole texts are read, in tasks, and only counts and the chosen features' places come to the driver.
+Fitted on at most SAMPLE labelled documents of each class (those of the least hashes of doc_id), as far as they fit in SAMPLE_BYTES, with the
+FEATURES that tell the classes apart best. Documents of over a sixteenth of SAMPLE_BYTES are taken last. Of rows that share a doc_id one is learned
+from, that of the least hash of its text. Whole texts are read, in tasks, and only counts and the chosen features' places come to the driver: a
+bounded number, however long the texts and however often an id is repeated.
 Without labels of both classes all scores are 0.
 
 Null and empty texts score 0. Rows that repeat a doc_id are each scored; a document with several labels counts as toxic if one is.
@@ -21,13 +23,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .shared import partitions, table
 
 SAMPLE = 2000
+#: Bytes of the texts of a class that are learned from.
+SAMPLE_BYTES = 32 << 20
 FEATURES = 2048
 THRESHOLD = 0.7
 #: A sentence without features that tell: so unlikely that thousands of them stay below any threshold.
@@ -94,16 +99,30 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([K.signed(f[some]), toxic[some], (count - toxic)[some]], names=["feature", "toxic", "clean"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
-    """docs: doc_id, text. labels: doc_id, toxic; those held out are not read."""
-    none = Model(np.zeros(0, np.uint64), np.zeros(0))
+def _sampled(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int) -> DataFrame:
+    """doc_id, text and toxic of the documents to learn from. They are written once, so all documents are read once."""
     known = labels.where(
         F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()
     ).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
     chosen = picked[0].unionByName(picked[1])
     # at most 2 * sample rows, so small enough for every task
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text"))).alias("one")  # tasks keep one row of an id each
+    rows = rows.groupBy("doc_id", "toxic").agg(least).select("doc_id", F.col("one.text").alias("text"), "toxic")
+    rows = table(rows.repartition(partitions(docs)), "sample")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    sizes = rows.select(F.col("doc_id").alias("id"), F.col("toxic").alias("class"), size.alias("size"))  # at most 2 * sample rows
+    order = Window.partitionBy("class").orderBy(F.col("size") > sample_bytes // 16, F.xxhash64("id"), "id")
+    fit_in = sizes.withColumn("total", F.sum("size").over(order)).where(F.col("total") <= sample_bytes).select("id")
+    return rows.join(F.broadcast(fit_in), F.col("doc_id") == F.col("id"), "left_semi")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """docs: doc_id, text. labels: doc_id, toxic; those held out are not read."""
+    none = Model(np.zeros(0, np.uint64), np.zeros(0))
+    rows = _sampled(docs, labels, sample, sample_bytes)
     counts = rows.mapInArrow(_counts, "feature long, toxic long, clean long").groupBy("feature").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
     )
