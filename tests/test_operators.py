@@ -274,3 +274,11 @@ def test_dimensions_order(spark):
     d = {k: sorted((r.place, r.id, r.parent) for r in v.collect()) for k, v in D.dimensions(pairs, "s").items()}
     assert [i for _, i, _ in d["customer"]] == ["9", "x", "10", "100"] and [p for _, _, p in d["account"]] == ["9", "x", "10", "100"]
     assert [p for _, _, p in d["card"]] == ["acct-9", "acct-9", "acct-x", "acct-x", "acct-10", "acct-10", "acct-100", "acct-100"]
+
+
+def test_iso_times_of_any_year(spark):
+    texts = ["0001-01-01 00:00:00", "0999-12-31 23:59:59.999999", "1969-12-31 23:59:59.9995", "2024-02-29 12:03:04.005", "9999-12-31 23:59:59.999", "+11476-08-15 05:20:00", None]
+    t = spark.createDataFrame([(x,) for x in texts], "t string").select(F.col("t").cast("timestamp").alias("t"))
+    pairs = [(X.iso(F.col("t"), millis=m), F.date_format("t", f"yyyy-MM-dd'T'HH:mm:ss{s}'Z'")) for m, s in ((True, ".SSS"), (False, ""))]
+    for r in t.select(*(c.alias(f"{n}{i}") for i, p in enumerate(pairs) for n, c in zip("ab", p, strict=True))).collect():
+        assert r.a0 == r.b0 and r.a1 == r.b1
