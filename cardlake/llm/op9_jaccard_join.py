@@ -9,7 +9,8 @@ shingle. Two texts are linked if the Jaccard similarity of their shingle sets is
 3. A trie is walked from the longest matched prefixes up. At each of its nodes the leaves of different children are compared by their
    whole signatures, and those that seem similar are connected. Prefixes are shortened only where something is left to be connected, and
    no further than ``stop_depth``: there the chance that a pair of similarity 0.8 shares a prefix in some tree reaches the target recall.
-   Tries of many leaves are dealt as pairs of blocks. What is connected in any tree is one candidate group.
+   A few trees go first, their tries of many leaves in blocks; then only leaves that aren't connected by those are compared, in pairs of blocks
+   where they are many, and only edges between groups are given. What is connected in any tree is one candidate group.
 4. Texts are sent once to their group and all pairs there are counted exactly as products of incidence matrices, in blocks:
    a text's links are counted, not emitted, so a group of copies costs rows in proportion to its size.
 
@@ -43,6 +44,8 @@ LABEL = 2
 SEEMS = 0.64
 #: Members of a trie or group that one task compares.
 PART = 1000
+#: Trees whose tries are walked first, in blocks.
+FIRST = 4
 _rng = np.random.default_rng(9)
 FACTORS = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -142,17 +145,28 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _in_blocks(members: DataFrame, key: str, part: int) -> DataFrame:
     """Members of more than part are hashed to blocks, and each pair of blocks becomes a task's key (key, i, j); block tells a member's own."""
     blocks = F.ceil(F.col("n") / F.lit(part)).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = members.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return _paired(members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")), blocks)
+
+
+def _paired(members: DataFrame, others: Column) -> DataFrame:
+    """Each member once for each of the first so many blocks that its own is compared with."""
+    rows = members.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
 
 
-def walk(path: np.ndarray, cut: np.ndarray, sig: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray]:
+def walk(path: np.ndarray, cut: np.ndarray, sig: np.ndarray, floor: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Walks tries of sorted paths (a row of labels each; cut: where each trie begins, and the end) from their longest common prefixes up.
 
+    Leaves of a trie with the same own are connected already.
+
     Returns for each leaf the least one that it is connected with, and the length of the prefix at which it was first compared (0: never)."""
     n, depth = path.shape
     label, first_at = np.arange(n), np.zeros(n, np.int64)
+    if own is not None:
+        trie = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+        order = np.lexsort((own, trie))
+        start = np.flatnonzero(np.concatenate([[True], (own[order][1:] != own[order][:-1]) | (trie[order][1:] != trie[order][:-1])]))
+        label[order] = np.repeat(order[start], np.diff(np.append(start, n)))
     differ = path[1:] != path[:-1]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), depth)
     common[cut[1:-1] - 1] = -1
@@ -203,29 +217,70 @@ def walk(path: np.ndarray, cut: np.ndarray, sig: np.ndarray, floor: int) -> tupl
     return label, first_at
 
 
-def candidate_edges(reps: DataFrame, n: int) -> DataFrame:
-    """(a, b): a links b's candidate group, within one trie. reps: node, sig."""
+def _keys(reps: DataFrame, first: int, end: int) -> DataFrame:
+    """reps in the tries of trees first to end: node, own, tree, key (of the trie)."""
+    rows = reps.where(F.col("sig").isNotNull()).select("node", "own", "sig", F.explode(F.sequence(F.lit(first), F.lit(end - 1))).alias("tree"))
+    key = F.xxhash64("tree", F.col("sig").substr(LABEL * DEPTH * F.col("tree") + 1, F.lit(LABEL * stop_depth())))
+    return rows.select("node", "own", "tree", key.alias("key"))
+
+
+def _connected(dealt: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+    """(a, b): values of own that are connected within one trie's part. dealt: node, own, tree, key, i, j."""
     floor = stop_depth()
-    tree = F.col("tree")
-    paths = reps.where(F.col("sig").isNotNull()).select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    key = F.xxhash64("tree", F.col("sig").substr(LABEL * DEPTH * tree + 1, F.lit(LABEL * floor)))
-    keys = paths.select("node", "tree", key.alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = keys.join(shared, "key").join(reps.select("node", "sig"), "node")
-    members = members.withColumn("path", F.col("sig").substr(LABEL * DEPTH * tree + 1, F.lit(LABEL * DEPTH)))
-    dealt = _in_blocks(members, "key", PART).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "path", "node")
+    rows = dealt.join(reps.select("node", "sig"), "node")
+    rows = rows.withColumn("path", F.col("sig").substr(LABEL * DEPTH * F.col("tree") + 1, F.lit(LABEL * DEPTH)))
+    rows = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "path", "node")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = lambda t, c: K.text_bytes(t.column(c))[0].view(">u2").astype(np.uint16).reshape(t.num_rows, -1)
         for t, cut in K.grouped(batches, ["key", "i", "j"]):
-            node = t.column("node").to_numpy()
-            label, _ = walk(labels(t, "path"), cut, labels(t, "sig"), floor)
-            far = np.flatnonzero(label != np.arange(len(node)))
+            own = t.column("own").to_numpy()
+            label, _ = walk(labels(t, "path"), cut, labels(t, "sig"), floor, own)
+            far = np.flatnonzero(own[label] != own)
             if len(far):
-                pairs = np.unique(np.stack([node[label[far]], node[far]]), axis=1)
+                pairs = np.unique(np.stack([own[label[far]], own[far]]), axis=1)
                 yield pa.record_batch([pairs[0], pairs[1]], names=["a", "b"])
 
-    return dealt.select("key", "i", "j", "path", "node", "sig").mapInArrow(scan, "a long, b long")
+    return rows.select("key", "i", "j", "path", "node", "own", "sig").mapInArrow(scan, "a long, b long")
+
+
+def first_edges(reps: DataFrame, n: int) -> DataFrame:
+    """(a, b): a links b's candidate group, within one block of at most about PART leaves of a trie of the first trees. reps: node, own, sig."""
+    keys = _keys(reps, 0, FIRST)
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    block = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / F.lit(PART))).cast("int")
+    dealt = keys.join(shared, "key").withColumn("i", block).withColumn("j", F.col("i"))
+    return _connected(dealt, reps, n)
+
+
+def other_edges(reps: DataFrame, n: int) -> DataFrame:
+    """(a, b): values of own that any trie connects beyond ``first_edges``. reps: node, own (the group that those found), sig.
+
+    Tries whose leaves are one group are done. In a trie of more than PART leaves the leaves of its largest group are only compared with
+    the others, not with each other: rows grow with the product of both, not with the square of the trie."""
+    keys = _keys(reps, 0, TREES)
+    count = F.count(F.lit(1))
+    shared = keys.groupBy("key").agg(count.alias("n"), F.min("tree").alias("tree"), F.min("own").alias("least"), F.max("own").alias("most"))
+    shared = shared.where((F.col("least") != F.col("most")) & ((F.col("tree") >= FIRST) | (F.col("n") > PART))).select("key", "n")
+    wide = keys.join(shared.where(F.col("n") > PART), "key").groupBy("key", "own").agg(count.alias("k"))
+    wide = wide.groupBy("key").agg(F.max_by("own", F.struct("k", "own")).alias("main"), F.max("k").alias("k"))
+    rows = keys.join(shared, "key").join(wide, "key", "left")
+    k, hashed, blocks = F.coalesce("k", F.lit(0)), F.xxhash64("node"), lambda x: F.ceil(x / F.lit(PART)).cast("int")
+    rest, main = blocks(F.col("n") - k), blocks(k)
+    inside = F.coalesce(F.col("own") == F.col("main"), F.lit(False))
+    rows = rows.withColumn("block", F.when(inside, rest + F.pmod(hashed, main)).otherwise(F.pmod(hashed, rest)).cast("int"))
+    return _connected(_paired(rows, F.when(inside, rest).otherwise(rest + main)), reps, n)
+
+
+def candidates(reps: DataFrame, n: int) -> DataFrame:
+    """(node, label): nodes of groups of texts that seem similar, and the least node of each's group. reps: node, sig.
+
+    The first trees connect most of what is similar, so that the edges of the others are few: those between groups."""
+    near = components(first_edges(reps.withColumn("own", F.col("node")), n))
+    known = table(reps.join(near, "node", "left").select("node", F.coalesce("label", "node").alias("own"), F.col("label").isNotNull().alias("found"), "sig"), "known")
+    far = components(other_edges(known, n)).select(F.col("node").alias("at"), F.col("label").alias("to"))
+    groups = known.join(far, F.col("own") == F.col("at"), "left").where(F.col("found") | F.col("to").isNotNull())
+    return groups.select("node", F.coalesce("to", "own").alias("label"))
 
 
 def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -299,7 +354,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = table(
         classes.select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "rep.doc", "rep.tie", "rep.sig", "copies"), "classes"
     )
-    groups = components(candidate_edges(reps.select("node", "sig"), n))
+    groups = table(candidates(reps.select("node", "sig"), n), "groups")
     sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     inside = groups.join(sizes, "label").join(reps.select("node", "doc", "tie", "copies"), "node").select(
         "node", F.col("doc").alias("of"), F.col("tie").alias("as"), "copies", F.col("label").alias("group"), "n"

@@ -74,3 +74,33 @@ def test_first_rows(spark):
     rows = [(3, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (None, "a  b c d e f"), (4, "x")]
     got = sorted((str(r.doc_id), r.first) for r in o9.near_duplicates(frame(spark, rows)).collect())
     assert got == [("2", True), ("2", True), ("3", False), ("4", True), ("None", False)]
+
+
+def test_a_large_group_of_near_copies_has_few_edges(spark, monkeypatch):
+    """Each text is linked in a few trees, however many blocks its tries are dealt to, and the groups are those that whole tries give."""
+    rng = random.Random(11)
+    base, other = text(rng, 150).split(), text(rng, 150).split()
+    rows = [(i, " ".join([*base, f"end{i}"])) for i in range(70)] + [(100 + i, " ".join([*other[: 150 - i], "cut"])) for i in range(0, 60, 3)]
+    rows += [(200 + i, text(rng, 40)) for i in range(10)]
+    whole, edges, components = links(spark, rows), [], o9.components
+    assert {c for _, c, _ in whole} == {0, 100, *range(200, 210)} and {n for i, _, n in whole if i < 70} == {69}
+
+    def counted(e):
+        edges.append(e.distinct().count())
+        return components(e)
+
+    monkeypatch.setattr(o9, "components", counted)
+    monkeypatch.setattr(o9, "PART", 10)
+    assert links(spark, rows) == whole
+    assert sum(edges[:-1]) <= 6 * 90  # the last are those of exact links
+
+
+def test_walk_leaves_what_is_connected_already():
+    rng = np.random.default_rng(3)
+    path = np.sort(rng.integers(0, 2, (40, 1)), axis=0).repeat(o9.DEPTH, axis=1).astype(np.uint16)
+    sig = rng.integers(0, 3, (3, 144))[rng.integers(0, 3, 40)].astype(np.uint16)
+    cut, own = np.array([0, 25, 40]), rng.integers(0, 9, 40)
+    label, _ = o9.walk(path, cut, sig, 4, own)
+    inside = [(a, b) for lo, hi in ((0, 25), (25, 40)) for a in range(lo, hi) for b in range(a + 1, hi)]
+    pairs = [(a, b) for a, b in inside if own[a] == own[b] or ((path[a] == path[b]).all() and (sig[a] == sig[b]).mean() >= o9.SEEMS)]
+    assert label.tolist() == connected(40, pairs)
