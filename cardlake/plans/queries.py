@@ -1218,26 +1218,26 @@ def filled_templates(spark, sf):
 _FILES = 5
 
 
-def _stream(spark, sf, **how):
+def _stream(spark, sf, again: bool = True, **how):
     e = t(spark, sf, "events")
-    return jobs.source(spark, jobs.replay(e, "ts", _FILES, again=c("event_id") % 7 == 0, **how), e.schema, "ts")
+    wide, twice = jobs.width(e, _FILES), c("event_id") % 7 == 0
+    return jobs.source(spark, jobs.replay(e, "ts", _FILES, again=twice if again else None, wide=wide, **how), e.schema, "ts", wide)
 
 
 def _deliveries(spark, sf, n: int = 4, rows: DataFrame | None = None) -> tuple[str, DataFrame]:
-    """A folder of n files of events, by the remainder of event_id, and its stream: a file a trigger."""
+    """A folder of n deliveries of events, by the remainder of event_id, and its stream: a delivery a trigger."""
     e, folder = t(spark, sf, "events") if rows is None else rows, shared_folder(spark, "deliveries")
+    wide = jobs.width(e, n)
     for i in range(n):
-        e.where(c("event_id") % n == i).coalesce(1).write.mode("append").parquet(folder)
-    return folder, jobs.source(spark, folder, e.schema, "ts")
+        jobs.deliver(e.where(c("event_id") % n == i), folder, wide)
+    return folder, jobs.source(spark, folder, e.schema, "ts", wide)
 
 
 @query("""SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n
 FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts)
 FROM events) - INTERVAL 10 MINUTES GROUP BY 1, 2""")
 def stream_tumbling(spark, sf):
-    e = t(spark, sf, "events")
-    stream = jobs.source(spark, jobs.replay(e, "ts", _FILES), e.schema, "ts")
-    done = jobs.run(jobs.tumbling(stream, "ts", "event_type", "1 hour", "10 minutes"), "tumbling")
+    done = jobs.run(jobs.tumbling(_stream(spark, sf, again=False), "ts", "event_type", "1 hour", "10 minutes"), "tumbling")
     return done.select(c("start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
 
 
@@ -1267,9 +1267,7 @@ def stream_alerts(spark, sf):
 
 @query(f"SELECT user_id, count(*) AS n, CAST(sum({dec('value')}) AS DOUBLE) AS total FROM events GROUP BY 1")
 def stream_state(spark, sf):
-    e = t(spark, sf, "events")
-    stream = jobs.source(spark, jobs.replay(e, "ts", _FILES), e.schema, "ts")
-    return jobs.running_totals(stream).select("user_id", "n", "total")
+    return jobs.running_totals(_stream(spark, sf, again=False)).select("user_id", "n", "total")
 
 
 @query(SQL["alert_hold"])
@@ -1412,9 +1410,10 @@ def stream_progress(spark, sf):
     """Rows and offsets of each batch of a query that is stopped after two files and goes on with the next two."""
     e, folder, out = t(spark, sf, "events"), shared_folder(spark, "deliveries"), shared_folder(spark, "progress")
     told: list[tuple] = []
+    wide = jobs.width(e, 4)
     for half in ((0, 1), (2, 3)):
         for i in half:
-            e.where(c("event_id") % 4 == i).coalesce(1).write.mode("append").parquet(folder)
-        q = jobs.foreach_batch(jobs.source(spark, folder, e.schema, "ts"), out, lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/rows/batch={n}"))
+            jobs.deliver(e.where(c("event_id") % 4 == i), folder, wide)
+        q = jobs.foreach_batch(jobs.source(spark, folder, e.schema, "ts", wide), out, lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/rows/batch={n}"))
         told += [(b, n, int(re.search(r"\d+", end)[0]), half == (0, 1)) for b, _, n, end, _ in jobs.progress(q) if n]
     return spark.createDataFrame(told, "batch long, n_rows long, last_offset long, before_restart boolean")
